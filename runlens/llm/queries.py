@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import exact_dedup
+from runlens.llm import exact_dedup, jaccard_join
 from runlens.llm.common import table
 
 
@@ -12,10 +12,16 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op9_ngram_jaccard_join": jaccard_join.SQL,
 }
