@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import exact_dedup, jaccard_join
+from runlens.llm import exact_dedup, jaccard_join, toxicity
 from runlens.llm.common import table
 
 
@@ -12,12 +12,17 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
+    "op7_toxicity_neighbours": op7_toxicity_neighbours,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
