@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import exact_dedup, jaccard_join, toxicity
+from runlens.llm import decontaminate, exact_dedup, jaccard_join, license_scan, toxicity
 from runlens.llm.common import table
 
 
+def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op7_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -21,12 +29,15 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_license_scan": op3_license_scan,
     "op7_toxicity_neighbours": op7_toxicity_neighbours,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
+    "op3_license_scan": license_scan.SQL,
     "op9_ngram_jaccard_join": jaccard_join.SQL,
 }
