@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import decontaminate, exact_dedup, jaccard_join, license_scan, toxicity
-from runlens.llm.common import table
+from runlens.llm import decontaminate, exact_dedup, jaccard_join, license_scan, packing, token_files, toxicity
+from runlens.llm.common import scratch_path, table
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,10 +20,27 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def _vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file, the same on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), 2)
+    return token_files.digests(token_files.read_tokens(spark, path))
+
+
 def op7_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 0).drop("row")
+
+
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
@@ -32,7 +49,9 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
+    "op6_token_orc": op6_token_orc,
     "op7_toxicity_neighbours": op7_toxicity_neighbours,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
 }
 
