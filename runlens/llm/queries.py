@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from runlens.llm import decontaminate, exact_dedup, jaccard_join, license_scan, packing, token_files, toxicity
+from runlens.llm import decontaminate, exact_dedup, jaccard_join, license_scan, packing, quality, token_files, toxicity
 from runlens.llm.common import scratch_path, table
 
 
@@ -45,6 +45,10 @@ def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
@@ -53,6 +57,7 @@ QUERIES = {
     "op7_toxicity_neighbours": op7_toxicity_neighbours,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
+    "op10_quality_discriminant": op10_quality_discriminant,
 }
 
 ORACLE_SQL = {
