@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from runlens.llm import decontaminate, exact_dedup, jaccard_join, license_scan, packing, quality, token_files, toxicity
+from runlens.llm import chat, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, packing, quality, token_files, toxicity
 from runlens.llm.common import scratch_path, table
 
 
@@ -20,6 +21,15 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents"))
 
 
+def op4_chat_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chat.perspectives(table(spark, sf_dir, "conversations"))
+    return out.withColumn("masks", F.array_join(F.transform("masks", lambda m: F.concat_ws("-", m["start"].cast("string"), m["end"].cast("string"))), ","))
+
+
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def _vocabulary(name: str) -> str:
     """The place of a public tokenizer's file, the same on every executor."""
     import public_tokenizers
@@ -53,6 +63,8 @@ QUERIES = {
     "op1_benchmark_decontamination": op1_benchmark_decontamination,
     "op2_exact_dedup": op2_exact_dedup,
     "op3_license_scan": op3_license_scan,
+    "op4_chat_rotation": op4_chat_rotation,
+    "op5_line_dedup": op5_line_dedup,
     "op6_token_orc": op6_token_orc,
     "op7_toxicity_neighbours": op7_toxicity_neighbours,
     "op8_best_fit_packing": op8_best_fit_packing,
@@ -63,5 +75,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.SQL,
     "op3_license_scan": license_scan.SQL,
+    "op4_chat_rotation": chat.SQL,
+    "op5_line_dedup": line_dedup.SQL,
     "op9_ngram_jaccard_join": jaccard_join.SQL,
 }
