@@ -30,7 +30,7 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     """The place of a public tokenizer's file, the same on every executor."""
     import public_tokenizers
 
@@ -39,7 +39,7 @@ def _vocabulary(name: str) -> str:
 
 def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
-    token_files.write_tokens(table(spark, sf_dir, "documents"), path, _vocabulary("byte_bpe_50k.json"), 2)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, vocabulary("byte_bpe_50k.json"), 2)
     return token_files.digests(token_files.read_tokens(spark, path))
 
 
@@ -48,7 +48,7 @@ def op7_toxicity_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"), 0).drop("row")
+    return packing.best_fit(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), 0).drop("row")
 
 
 def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
