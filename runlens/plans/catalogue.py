@@ -79,13 +79,13 @@ def depth_curve_adjacent(read):
 
 
 @query(f"""
-WITH l AS ({_LAYERS}), u AS (SELECT layer, event_type, 'value' AS signal, value::double AS v FROM l UNION ALL SELECT layer, event_type, 'square', (value * value)::double FROM l)
+WITH l AS ({_LAYERS}), u AS (SELECT layer, event_type, 'value' AS signal, value::double AS v FROM l UNION ALL SELECT layer, event_type, 'root', sqrt(abs(value)) FROM l)
 SELECT event_type, signal, layer, round(avg(v), 7) AS mean, count(*) AS n, round(layer / 64, 9) AS depth FROM u WHERE signal <> 'rank' AND v IS NOT NULL GROUP BY event_type, signal, layer""")
 def comparison_long_table(read):
     """Curves of several signals and runs in one table; a signal that does not compare is left out."""
-    rows = _layers(read).withColumn("square", F.col("value") * F.col("value")).withColumn("rank", F.col("event_id").cast("double"))
-    known = rows.sparkSession.createDataFrame([("value",), ("square",)], "signal string")
-    out = signals.comparison(rows, ["event_type"], "layer", ["value", "square", "rank"], 64, "residual", F.broadcast(known))
+    rows = _layers(read).withColumn("root", F.sqrt(F.abs("value"))).withColumn("rank", F.col("event_id").cast("double"))
+    known = rows.sparkSession.createDataFrame([("value",), ("root",)], "signal string")
+    out = signals.comparison(rows, ["event_type"], "layer", ["value", "root", "rank"], 64, "residual", F.broadcast(known))
     return _rounded(_rounded(out, 7, "mean"), 9, "depth")
 
 
