@@ -18,6 +18,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def corpus(docs: DataFrame) -> DataFrame:
+    """doc_id and text only, so that no further column can clash with those that operators add."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names; a folder of our own only where none is named."""
     path = spark.conf.get("spark.checkpoint.dir", None)
@@ -39,8 +52,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cores(spark: SparkSession) -> int:
-    return max(1, spark.sparkContext.defaultParallelism)
+def slices(batches, rows: int = 1000):
+    """Arrow batches cut smaller, so that a task holds the Python objects of few rows at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
 
 
 def shuffle_parts(spark: SparkSession) -> int:
@@ -95,6 +111,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     spark = edges.sparkSession
     pairs = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    before = None
     for _ in range(rounds):
         # Large star: every larger neighbour of a node links to the node's smallest neighbour (or itself).
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -104,11 +121,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         new = small.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
-        new = stored(new, "edges")
-        same = new.exceptAll(pairs).limit(1).count() == 0 and new.count() == pairs.count()
-        pairs = new
-        if same:
+        pairs = stored(new, "edges")
+        # Settled when no pair has changed: their number and the sum of their hashes stay.
+        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        if now == before:
             break
+        before = now
     else:
         raise RuntimeError(f"components not settled after {rounds} rounds")
     roots = pairs.select(F.col("b").alias("node")).distinct()

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import stored
+from runlens.llm.common import corpus, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -61,7 +61,7 @@ def items(benchmark: DataFrame) -> DataFrame:
 def windows(docs: DataFrame, held: DataFrame) -> DataFrame:
     """(doc_id, text_hash, n_words, start, hashes): item-sized windows on the diagonals of shared shingles."""
     shingles = held.select("n_words", "k", F.posexplode("hashes").alias("at", "hash")).distinct()
-    if held.agg(F.sum(F.size("hashes"))).first()[0] <= BROADCAST_SHINGLES:
+    if (held.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_SHINGLES:
         shingles = F.broadcast(shingles)
     out = []
     for k in sorted(r.k for r in held.select("k").distinct().collect()):  # five sizes at most
@@ -87,7 +87,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     and further columns are not read.
     """
     held = stored(items(benchmark.select("item_id", "text")).withColumn("fp", fingerprint(F.col("hashes"))), "items")
-    found = windows(docs.select("doc_id", "text"), held)
+    found = windows(corpus(docs), held)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, n_words int, start_word int, distance int, similarity double")
     found = stored(found.withColumn("fp", fingerprint(F.col("hashes"))), "windows")

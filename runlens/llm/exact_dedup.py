@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import shuffle_parts, stored
+from runlens.llm.common import corpus, free_name, shuffle_parts, stored
 
 #: Runs that one merge takes in.
 FAN_IN = 8
@@ -68,7 +68,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     rows that repeat both id and text exactly one stays. An empty table gives
     an empty result; further columns of ``docs`` are not read.
     """
-    rows = stored(digests(docs.select("doc_id", "text")), "digests")
+    rows = stored(digests(corpus(docs)), "digests")
     runs = (rows.agg(F.max("run")).first()[0] or 0) + 1
     groups = stored(merge_runs(rows, runs).where("group_size > 1"), "copies").select(*_KEY, "first", "group_size")
     # A plain join, so that adaptive execution may split the partition of a text with very many copies.
@@ -88,11 +88,12 @@ def keep_first(docs: DataFrame) -> DataFrame:
     kept = found.where("kept and group_size > 1").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"))
     repeated = dropped.join(kept, (dropped._id.eqNullSafe(kept._id)) & (dropped._digest == kept._digest), "left_semi")
     gone = stored(dropped.join(repeated, (dropped._id.eqNullSafe(repeated._id)) & (dropped._digest == repeated._digest), "left_anti"), "gone")
-    rows = docs.withColumn("_d", F.sha2(normalised(F.col("text")), 256))
-    out = rows.join(gone, rows.doc_id.eqNullSafe(gone._id) & (rows._d == gone._digest), "left_anti")
+    digest = free_name(docs, "digest")
+    rows = docs.withColumn(digest, F.sha2(normalised(F.col("text")), 256))
+    out = rows.join(gone, rows.doc_id.eqNullSafe(gone._id) & (rows[digest] == gone._digest), "left_anti")
     if repeated.limit(1).count():
-        out = out.dropDuplicates(["doc_id", "_d"])
-    return out.select(*[out[c] for c in docs.columns])
+        out = out.dropDuplicates(["doc_id", digest])
+    return out.drop(digest)
 
 
 SQL = r"""

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import stored
+from runlens.llm.common import corpus, stored
 
 #: Phrases and their labels; every place where the words stand consecutively counts.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -72,7 +72,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     no labels (empty strings) and score 0; repeated rows get equal results; an
     empty table gives an empty result; other columns are not read.
     """
-    docs = docs.select("doc_id", "text")
+    docs = corpus(docs)
     found = stored(spans(docs), "spans")
     base = F.create_map(*(F.lit(x) for p in BASE.items() for x in p))
     every = F.create_map(*(F.lit(x) for p in (BASE | TEMPLATES).items() for x in p))

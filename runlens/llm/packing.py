@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import shuffle_parts, stored
+from runlens.llm.common import corpus, shuffle_parts, stored
 from runlens.llm.tokens import CHUNK, tokenizer
 
 LENGTH = 2048
@@ -45,7 +45,7 @@ def pieces(docs: DataFrame, vocabulary: str, end: int, length: int = LENGTH) ->
                             out[name].append(value)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out["doc_id"], pa.int64()), "row": pa.array(out["row"], pa.int64()), "piece": pa.array(out["piece"], pa.int32()), "start": pa.array(out["start"], pa.int64()), "length": pa.array(out["length"], pa.int32()), "ids_crc32": pa.array(out["ids_crc32"], pa.int64())})
 
-    return docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(cut, _PIECE)
+    return corpus(docs).select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(cut, _PIECE)
 
 
 def moves(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, int, int, int, int, int]]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import stored
+from runlens.llm.common import corpus, slices, stored
 from runlens.llm.toxicity import training_labels
 
 #: Weight of the pooled covariance in a class's own, and of its diagonal.
@@ -68,11 +68,11 @@ def with_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, x): the statistics of each row's whole text."""
 
     def rows(batches):
-        for batch in batches:
+        for batch in slices(batches):
             x = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "x": pa.array(x, pa.list_(pa.float64()))})
 
-    return docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, x array<double>")
+    return corpus(docs).mapInArrow(rows, "doc_id long, x array<double>")
 
 
 @dataclass

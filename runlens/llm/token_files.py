@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from runlens.llm.common import shuffle_parts
+from runlens.llm.common import corpus, shuffle_parts
 from runlens.llm.tokens import CHUNK, tokenizer
 
 #: Rows between the entries of a row index, and bytes of a stripe: what a reader may skip, and read by itself.
@@ -39,7 +39,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int) -> None:
                 before += int(size.sum())
 
     # The texts are sorted, not the ids, which take more room.
-    rows = docs.select("doc_id", "text").repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
+    rows = corpus(docs).repartitionByRange(shuffle_parts(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
     rows.mapInArrow(encode, "doc_id long, part int, before long, n_tokens long, ids array<int>").write.options(**{
         "compression": "none", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(INDEX_ROWS), "orc.stripe.size": str(STRIPE),
     }).orc(path)

@@ -17,9 +17,9 @@ from array import array
 import numpy as np
 
 #: Pieces whose ids a worker keeps at once.
-KEPT_PIECES = 800_000
+KEPT_PIECES = 400_000
 #: Texts encoded together.
-CHUNK = 400
+CHUNK = 200
 
 
 def _chars(kind: str) -> str:

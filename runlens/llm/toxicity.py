@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.llm.common import stored
+from runlens.llm.common import corpus, slices, stored
 
 #: Labelled rows of each class that may become examples (the bound of the fitted model).
 EXAMPLES = 3000
@@ -51,7 +51,7 @@ class _TermIds(dict):
         self.ids = ids
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        if len(self) >= 300_000:
+        if len(self) >= 200_000:
             self.clear()
         found = self[word] = tuple(self.ids[t] for t in _terms_of(word) if t in self.ids)
         return found
@@ -65,7 +65,7 @@ def _counts(text: str | None, ids: _TermIds) -> tuple[int, Counter]:
 
 def training_labels(labels: DataFrame, label: str, held_out) -> DataFrame:
     """(doc_id, y) once per labelled id outside the held-out fold; the larger of several labels counts."""
-    return labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
+    return labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
 
 
 @dataclass
@@ -141,7 +141,7 @@ def _vector(model: Model, n_words: int, counts: Counter) -> tuple[np.ndarray, np
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out=is_held_out) -> Model:
     """Terms and examples from a sample of at most EXAMPLES labelled rows a class; frequencies from all of ``docs``."""
-    spark = docs.sparkSession
+    spark, docs = docs.sparkSession, corpus(docs)
     known = stored(training_labels(labels, label, held_out), "labels")
     share = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(EXAMPLES) for y in (0, 1)]
@@ -151,12 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out=is_he
     n0, n1 = n.get(0, 0), n.get(1, 0)
 
     def terms(batches):
-        for batch in batches:
+        for batch in slices(batches, 200):
             out = [(t, y) for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for t in {t for w in set(_WORD.findall((text or "").lower())) for t in _terms_of(w)}]
             yield pa.RecordBatch.from_pydict({"term": pa.array([t for t, _ in out], pa.string()), "y": pa.array([y for _, y in out], pa.int32())})
 
     a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi2 = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / (F.lit(float(max(1, n1))) * max(1, n0) * (a + b) * (n0 + n1 - a - b))
+    chi2 = (n0 + n1) * F.pow(a * (n0 - b) - b * (n1 - a), 2) / F.nullif(F.lit(float(max(1, n1))) * max(1, n0) * (a + b) * (n0 + n1 - a - b), F.lit(0.0))
     found = (
         sample.select("text", "y").mapInArrow(terms, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
         .where((F.col("a") + F.col("b") >= LEAST_EXAMPLES) & (F.col("a") + F.col("b") < n0 + n1)).withColumn("chi2", chi2)
@@ -167,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out=is_he
 
     def frequencies(batches):
         known_ids, total = _TermIds(sent.value), Counter()
-        for batch in batches:
+        for batch in slices(batches):
             for text in batch.column(0).to_pylist():
                 total[-1] += 1
                 total.update(set(_counts(text, known_ids)[1]))
@@ -180,7 +180,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out=is_he
 
     def vectors(batches):
         known_ids = _TermIds(sent.value)
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             for text in batch.column(1).to_pylist():
                 t, q = _vector(model, *_counts(text, known_ids))
@@ -212,13 +212,13 @@ def score(docs: DataFrame, model: Model, held_out=is_held_out) -> DataFrame:
     def rows(batches):
         m = sent.value
         index, ids, cache = m.index(), _TermIds(m.ids), {}
-        for batch in batches:
+        for batch in slices(batches):
             out = {"score": [], "nearest": [], "cosines": []}
             for text in batch.column(1).to_pylist():
                 n_words, counts = _counts(text, ids)
                 key = (n_words > 0, *sorted(counts.items()))
                 if key not in cache:
-                    if len(cache) >= 50_000:
+                    if len(cache) >= 20_000:
                         cache.clear()
                     terms, q = _vector(m, n_words, counts)
                     if not n_words or not index.blocks:
@@ -231,7 +231,7 @@ def score(docs: DataFrame, model: Model, held_out=is_held_out) -> DataFrame:
                     out[k].append(v)
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(2), "score": pa.array(out["score"], pa.float64()), "nearest": pa.array(out["nearest"], pa.list_(pa.int64())), "cosines": pa.array(out["cosines"], pa.list_(pa.float64()))})
 
-    scored = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(rows, "doc_id long, held_out boolean, score double, nearest array<long>, cosines array<double>")
+    scored = corpus(docs).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(rows, "doc_id long, held_out boolean, score double, nearest array<long>, cosines array<double>")
     return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "nearest", "cosines")
 
 
