@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import scalar
-from runlens.operators import checks, docs, moments, pairing, runs, signals, tensors, trace
+from runlens.operators import checks, collect, docs, moments, pairing, runs, signals, tensors, trace
+from runlens.plans import attach
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -606,3 +607,112 @@ def trace_enriched_enters(read):
     details = rows.where("event = 'view'").withColumn("last_i", F.col("i")).withColumn("last_value", F.round("value", 6)).withColumn("call", F.col("user_id"))
     enters = rows.where("event = 'enter'").withColumn("call", F.col("user_id"))
     return trace.enriched(enters, details, ["call"], "i", ["last_value", "last_i"]).select("user_id", "i", "last_value", "last_i")
+
+
+# Collection
+
+
+@query("""
+SELECT l_orderkey, l_linenumber AS position, CASE WHEN l_linenumber < 3 THEN 'prompt' WHEN l_returnflag = 'R' THEN 'generated' ELSE 'continuation' END AS token_role, count(*) AS n FROM lineitem
+WHERE l_linenumber >= 2 AND l_linenumber < 6 AND l_linestatus = 'O' AND l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT') GROUP BY 1, 2, 3""")
+def selected_contexts(read):
+    """Positions in a range, of chosen documents, that are scored, with the role of their tokens."""
+    rows = read("lineitem").select("l_orderkey", F.col("l_linenumber").alias("position"), F.lit(3).alias("prompt_length"), F.when(F.col("l_returnflag") == "R", "generate").otherwise("choice").alias("kind"), F.when(F.col("l_linestatus") == "O", F.col("l_linenumber")).alias("step"))
+    wanted = read("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("l_orderkey"))
+    out = collect.selected_contexts(rows, wanted, ("l_orderkey",), 2, 6, scored_only=True)
+    return out.groupBy("l_orderkey", "position", "token_role").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT vec_id, round(list_sum(embedding[label + 1 : label + 16]::double[]), 6) AS valid_sum, round(embedding[3]::double + embedding[1]::double, 6) AS gathered_sum FROM embeddings""")
+def position_slices(read):
+    """The unpadded part of a row, and elements gathered by place."""
+    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    e = read("embeddings")
+    return _rounded(e.select("vec_id", total(collect.valid_part(F.col("embedding"), F.col("label"), F.lit(16))).alias("valid_sum"), total(collect.gathered(F.col("embedding"), F.array(F.lit(2), F.lit(0)))).alias("gathered_sum")), 6, "valid_sum", "gathered_sum")
+
+
+@query("""WITH f AS (SELECT o_custkey, min(o_orderkey) AS forward FROM orders GROUP BY 1) SELECT o_orderkey, o_custkey, forward FROM orders JOIN f USING (o_custkey)""")
+def request_documents(read):
+    """Requests of one prefix share a forward, which serves all their documents."""
+    o = read("orders")
+    forwards = o.groupBy("o_custkey").agg(F.min("o_orderkey").alias("forward"))
+    return collect.request_documents(o, forwards, "o_custkey", ["o_orderkey"])
+
+
+@query(f"""
+WITH s AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_LO}) AS step FROM lineitem) SELECT l_orderkey, string_agg(l_partkey::varchar, ' ' ORDER BY step) AS token_ids FROM s WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P') GROUP BY 1""")
+def emitted_tokens(read):
+    """What wanted documents emitted, in order."""
+    steps = docs.choice_ordinals(read("lineitem"), ["l_orderkey"], *_LINE_ORDER).withColumn("step", F.col("choice_idx")).withColumn("choice_idx", F.lit(0))
+    wanted = read("orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
+    out = collect.emitted_tokens(steps, wanted, ["l_orderkey"], "step", "l_partkey")
+    return out.withColumn("token_ids", F.array_join(F.transform("token_ids", lambda t: t.cast("string")), " "))
+
+
+@query("""WITH m AS (SELECT DISTINCT l_returnflag FROM lineitem), e AS (SELECT DISTINCT o_orderkey FROM orders WHERE o_orderstatus = 'P') SELECT l_returnflag, o_orderkey FROM m, e WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_returnflag = m.l_returnflag AND l.l_orderkey = e.o_orderkey)""")
+def custom_rows_missing(read):
+    """Rows that each module should have and lacks."""
+    rows = read("lineitem").select("l_returnflag", F.col("l_orderkey").alias("o_orderkey"))
+    return collect.incomplete(rows, read("orders").where("o_orderstatus = 'P'"), "l_returnflag", ["o_orderkey"])
+
+
+@query("""SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS correct, count(*) FILTER (o_orderstatus = 'O') AS incorrect, count(*) FILTER (o_orderstatus = 'P') AS unknown FROM orders GROUP BY 1""")
+def collection_counts(read):
+    o = read("orders").withColumn("ok", F.when(F.col("o_orderstatus") == "F", True).when(F.col("o_orderstatus") == "O", False))
+    return collect.verdict_counts(o, ["o_orderpriority"], "ok")
+
+
+@query("""SELECT conv_id, arg_max(sha256(text), turn * 10 + CASE role WHEN 'user' THEN 1 ELSE 0 END) AS h FROM conversations WHERE role <> 'system' GROUP BY 1""")
+def prompt_hashes(read):
+    """The last hash of each conversation that is not empty."""
+    c = read("conversations").select("conv_id", F.when(F.col("role") != "system", F.sha2("text", 256)).otherwise("").alias("h"), (F.col("turn") * 10 + (F.col("role") == "user").cast("int")).alias("i"))
+    return collect.prompt_hashes(c, ["conv_id"], "h", "i")
+
+
+@query("""WITH e AS (SELECT user_id, event_type, count(*) AS n_choices FROM events GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_type) AS nth, row_number() OVER (PARTITION BY user_id ORDER BY event_type) <= 3 AS shown FROM e""")
+def sample_display_counts(read):
+    """Choices per document and which a display of three would show."""
+    return trace.sample_counts(read("events"), ["user_id", "event_type"], 3)
+
+
+@query("""WITH h AS (SELECT l_orderkey, bool_or(l_partkey % 20 = 7 AND l_returnflag = 'A') AS has FROM lineitem GROUP BY 1) SELECT l_orderkey FROM h WHERE has""")
+def forwards_of_document(read):
+    """Forwards whose samples cover one document of one task."""
+    held = read("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("task_name"), (F.col("l_partkey") % 20).alias("doc_id"))).alias("samples"))
+    return trace.forwards_of(held, "samples", 7, "A").select("l_orderkey")
+
+
+@query(f"""WITH t AS ({_TRACE}), d AS (SELECT user_id, i, event, sum(CASE event WHEN 'enter' THEN 1 WHEN 'exit' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY i) AS h FROM t) SELECT user_id, i, (h - least(0, min(h) OVER (PARTITION BY user_id ORDER BY i)))::bigint AS depth FROM d""")
+def trace_depth(read):
+    """The height of the call stack after each event."""
+    return trace.depths(_trace(read), ["user_id"], "i", "event").select("user_id", "i", "depth")
+
+
+@query("""
+WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN doc_id % 9 = 0 THEN NULL ELSE 2 + doc_id % 4 END AS rank, doc_id % 7 <> 0 AS floating, n_chars AS n_values, doc_id % 8 AS rows, 2 AS batch_rows, 3 AS batch_length FROM documents),
+r AS (SELECT *, CASE WHEN rank IS NULL THEN 'not a tensor' WHEN NOT floating THEN 'not floating point' WHEN n_values = 0 THEN 'empty' WHEN rank NOT IN (2, 3, 4) THEN 'unknown rank' WHEN rank = 2 AND rows <> 6 THEN 'rows are not batch times length' WHEN rank = 3 AND rows <> 2 THEN 'another batch size' WHEN rank = 4 AND rows <> 2 THEN 'another batch size in attention' END AS reason FROM d)
+SELECT doc_id, reason, CASE WHEN reason IS NULL THEN CASE rank WHEN 3 THEN 'bsh' WHEN 2 THEN 'flattened_bs' ELSE 'bhqk' END END AS layout FROM r""")
+def tensor_layouts(read):
+    """Which layout a tensor has or the first rule that leaves it out."""
+    i = F.col("doc_id")
+    d = read("documents").select("doc_id", F.when(F.col("text").isNotNull() & (i % 9 != 0), 2 + i % 4).alias("rank"), (i % 7 != 0).alias("floating"), F.col("n_chars").alias("n_values"), (i % 8).alias("rows"), F.lit(2).alias("batch_rows"), F.lit(3).alias("batch_length"))
+    return checks.tensor_layout(d).select("doc_id", "reason", "layout")
+
+
+@query(f"""
+WITH p AS ({_PARTS}), g AS (SELECT run, doc, {_GOLD} AS gold FROM p), e AS (SELECT doc, count(DISTINCT gold) AS nv, count(DISTINCT split_part(gold, ':', 1)) AS nk, count(*) FILTER (gold IS NULL) AS bad FROM g GROUP BY doc HAVING count(DISTINCT run) = 3)
+SELECT run, CASE WHEN e.doc IS NULL THEN 'not_in_every_language' WHEN bad > 0 OR nk > 1 THEN 'unverifiable' WHEN nv > 1 THEN 'disagree' ELSE 'kept' END AS outcome, count(*) AS n FROM g LEFT JOIN e USING (doc) GROUP BY 1, 2""")
+def pairing_provenance(read):
+    """Documents paired by position, with what excludes the others."""
+    rows = _gold(read)
+    paired, _ = attach.attach_pairing(rows.select("run", "doc"), pair_on="position")
+    return attach.provenance(attach.pairing_table(paired, rows.select("run", "doc", "gold")))
+
+
+@query("""SELECT event_type, CASE WHEN value > 95 THEN 'nan' WHEN value > 90 THEN 'posinf' WHEN value > 85 THEN 'neginf' ELSE 'finite' END AS state, count(*) AS n, count(*) AS n_read FROM events GROUP BY 1, 2""")
+def nonfinite_round_trip(read):
+    """Values by their state, written as JSON numbers and read back to the same."""
+    v = F.col("value")
+    x = F.when(v > 95, float("nan")).when(v > 90, float("inf")).when(v > 85, float("-inf")).otherwise(F.floor(v).cast("double"))
+    rows = read("events").select("event_type", x.alias("x")).withColumn("back", scalar.from_json_number(scalar.json_number(F.col("x"))))
+    return rows.groupBy("event_type", scalar.weight_state(F.col("x")).alias("state")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x").eqNullSafe(F.col("back"))).alias("n_read"))
