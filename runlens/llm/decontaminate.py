@@ -109,5 +109,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def keep_unmatched(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item; all columns stay."""
-    gone = stored(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), "text_hash").distinct(), "gone")
+    # The list grows with the corpus: a merge join at every size.
+    gone = stored(contaminated(docs, benchmark).select(F.col("doc_id").alias("_id"), "text_hash").distinct(), "gone").hint("merge")
     return docs.join(gone, docs.doc_id.eqNullSafe(gone._id) & (F.xxhash64(docs.text) == gone.text_hash), "left_anti").select(*[docs[c] for c in docs.columns])

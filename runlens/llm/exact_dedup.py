@@ -90,6 +90,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     gone = stored(dropped.join(repeated, (dropped._id.eqNullSafe(repeated._id)) & (dropped._digest == repeated._digest), "left_anti"), "gone")
     digest = free_name(docs, "digest")
     rows = docs.withColumn(digest, F.sha2(normalised(F.col("text")), 256))
+    # The list grows with the corpus: a merge join at every size.
+    gone = gone.hint("merge")
     out = rows.join(gone, rows.doc_id.eqNullSafe(gone._id) & (rows[digest] == gone._digest), "left_anti")
     if repeated.limit(1).count():
         out = out.dropDuplicates(["doc_id", digest])

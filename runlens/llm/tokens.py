@@ -17,7 +17,7 @@ from array import array
 import numpy as np
 
 #: Pieces whose ids a worker keeps at once.
-KEPT_PIECES = 400_000
+KEPT_PIECES = 600_000
 #: Texts encoded together.
 CHUNK = 200
 

@@ -30,6 +30,8 @@ TERMS, LEAST_CHI2, LEAST_EXAMPLES = 2048, 30.0, 5
 #: Letters in the starts of words that are terms.
 STARTS = (4, 5, 6, 7)
 NEIGHBOURS = 24
+#: Score from which on a text is predicted toxic.
+THRESHOLD = 0.5
 BLOCK = 32
 #: Weight of the term that every text with words has: little evidence stays near to none.
 EVERY_TEXT = 1.0
@@ -73,7 +75,7 @@ class Model:
     ids: dict[str, int]
     idf: np.ndarray
     base_rate: float
-    vectors: np.ndarray  # one row per distinct example, of norm 1; the last column is the term of every text
+    vectors: list[tuple[np.ndarray, np.ndarray]]  # terms and weights of each distinct example, of norm 1; the last term is that of every text
     votes: np.ndarray  # (example, class) weights, such that classes count as often as in all labelled rows
     example: np.ndarray  # smallest doc_id of the rows behind each vector
 
@@ -85,22 +87,22 @@ class Index:
     """Postings by term, cut into blocks of examples, with the largest weight in each."""
 
     def __init__(self, model: Model):
-        n, v = model.vectors.shape
-        # Like vectors stand in one block, so that the bounds are tight.
-        order = np.lexsort((np.arange(n), np.argmax(model.vectors[:, :-1], axis=1) if v > 1 else np.zeros(n)))
-        self.vectors, self.votes, self.example = model.vectors[order], model.votes[order], model.example[order]
-        self.blocks = -(-n // BLOCK) if n else 0
+        self.n, v = len(model.vectors), len(model.idf) + 1
+        # Vectors with one heaviest term stand in one block, so that the bounds are tight.
+        order = np.argsort([int(t[np.argmax(np.where(t < v - 1, w, 0))]) for t, w in model.vectors], kind="stable").astype(np.int64)
+        self.vectors = [model.vectors[i] for i in order]
+        self.votes, self.example = model.votes[order], model.example[order]
+        self.blocks = -(-self.n // BLOCK)
+        term = np.concatenate([t for t, _ in self.vectors] or [np.zeros(0, np.int64)])
+        row = np.repeat(np.arange(self.n), [len(t) for t, _ in self.vectors])
+        weight = np.concatenate([w for _, w in self.vectors] or [np.zeros(0)])
+        by_term = np.lexsort((row, term))
+        term, self.rows, self.weights = term[by_term], row[by_term], weight[by_term]
         self.largest = np.zeros((v, self.blocks))
-        self.at = np.zeros((v, self.blocks + 1), np.int64)
-        rows, weights, total = [], [], 0
-        for t in range(v):
-            held = np.flatnonzero(self.vectors[:, t])
-            np.maximum.at(self.largest[t], held // BLOCK, self.vectors[held, t])
-            self.at[t] = total + np.searchsorted(held, np.arange(self.blocks + 1) * BLOCK)
-            rows.append(held)
-            weights.append(self.vectors[held, t])
-            total += len(held)
-        self.rows, self.weights = (np.concatenate(x) if x else np.zeros(0) for x in (rows, weights))
+        np.maximum.at(self.largest, (term, self.rows // BLOCK), self.weights)
+        # Where the postings of a term within a block begin; the last column is where the term's end.
+        place = term * (self.blocks + 1) + self.rows // BLOCK
+        self.at = np.searchsorted(place, np.arange(v * (self.blocks + 1))).reshape(v, self.blocks + 1)
 
     def _cosines(self, terms: np.ndarray, q: np.ndarray, blocks: np.ndarray, out: np.ndarray) -> None:
         """Add up the postings of the query's terms in these blocks."""
@@ -109,11 +111,11 @@ class Index:
         if not size.sum():
             return
         at = np.repeat(start - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        out += np.bincount(self.rows[at].astype(np.int64), weights=self.weights[at] * np.repeat(np.repeat(q, len(blocks)), size), minlength=len(out))
+        out += np.bincount(self.rows[at], weights=self.weights[at] * np.repeat(np.repeat(q, len(blocks)), size), minlength=len(out))
 
     def nearest(self, terms: np.ndarray, q: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
         """Rows and cosines of the k nearest examples; the smaller row wins a tie."""
-        n = len(self.vectors)
+        n = self.n
         bound = q @ self.largest[terms]
         order = np.argsort(-bound, kind="stable")
         cosine, done, wave = np.zeros(n), 0, max(2, -(-2 * k // BLOCK))
@@ -176,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out=is_he
     df = {r.term: r.df for r in docs.select("text").mapInArrow(frequencies, "term int, df long").groupBy("term").agg(F.sum("df").alias("df")).collect()}
     rows = df.get(-1, 0)
     idf = np.array([math.log((1 + rows) / (1 + df.get(i, 0))) + 1 for i in range(len(ids))])
-    model = Model(ids, idf, share.get(1, 0) / max(1, sum(share.values())), np.zeros((0, len(ids) + 1)), np.zeros((0, 2)), np.zeros(0, np.int64))
+    model = Model(ids, idf, share.get(1, 0) / max(1, sum(share.values())), [], np.zeros((0, 2)), np.zeros(0, np.int64))
 
     def vectors(batches):
         known_ids = _TermIds(sent.value)
@@ -191,15 +193,34 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out=is_he
     held = sample.select("doc_id", "text", "y").mapInArrow(vectors, "doc_id long, y int, vector string").groupBy("vector").agg(F.sum("y").alias("ones"), F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("doc_id")).orderBy("vector").collect()
     held = [(json.loads(r.vector), r) for r in held]
     held = [x for x in held if x[0][0]]
-    model.vectors = np.zeros((len(held), len(ids) + 1))
-    for i, ((t, q), _) in enumerate(held):
-        model.vectors[i, t] = q
+    model.vectors = [(np.array(t, np.int64), np.array(q)) for (t, q), _ in held]
     weight = [share.get(y, 0) / max(1, n.get(y, 0)) for y in (0, 1)]
     model.votes = np.array([[(r.rows - r.ones) * weight[0], r.ones * weight[1]] for _, r in held]).reshape(-1, 2)
     model.example = np.array([r.doc_id for _, r in held], np.int64)
     return model
 
 
+class Scorer:
+    """Scores texts in one task: (score, nearest examples, their cosines). Texts of equal term counts are scored once."""
+
+    def __init__(self, model: Model):
+        self.model, self.index, self.ids, self.known = model, model.index(), _TermIds(model.ids), {}
+
+    def __call__(self, text: str | None) -> tuple[float, list[int], list[float]]:
+        m, index = self.model, self.index
+        n_words, counts = _counts(text, self.ids)
+        if not n_words or not index.blocks:
+            return m.base_rate, [], []
+        key = tuple(sorted(counts.items()))
+        if key not in self.known:
+            if len(self.known) >= 20_000:
+                self.known.clear()
+            at, cosine = index.nearest(*_vector(m, n_words, counts))
+            votes = (index.votes[at] / (0.02 + 1 - np.minimum(1, cosine))[:, None]).sum(axis=0)
+            self.known[key] = (float(votes[1] / votes.sum()) if votes.sum() else m.base_rate, index.example[at[:3]].tolist(), cosine[:3].round(6).tolist())
+        return self.known[key]
+
+
 def score(docs: DataFrame, model: Model, held_out=is_held_out) -> DataFrame:
     """(doc_id, held_out, score, predicted, nearest, cosines) per row: votes weighted by nearness, and the examples that cast them.
 
@@ -210,29 +231,13 @@ def score(docs: DataFrame, model: Model, held_out=is_held_out) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches):
-        m = sent.value
-        index, ids, cache = m.index(), _TermIds(m.ids), {}
+        scorer = Scorer(sent.value)
         for batch in slices(batches):
-            out = {"score": [], "nearest": [], "cosines": []}
-            for text in batch.column(1).to_pylist():
-                n_words, counts = _counts(text, ids)
-                key = (n_words > 0, *sorted(counts.items()))
-                if key not in cache:
-                    if len(cache) >= 20_000:
-                        cache.clear()
-                    terms, q = _vector(m, n_words, counts)
-                    if not n_words or not index.blocks:
-                        cache[key] = (m.base_rate, [], [])
-                    else:
-                        at, cosine = index.nearest(terms, q)
-                        votes = (index.votes[at] / (0.02 + 1 - np.minimum(1, cosine))[:, None]).sum(axis=0)
-                        cache[key] = (float(votes[1] / votes.sum()) if votes.sum() else m.base_rate, index.example[at[:3]].tolist(), cosine[:3].round(6).tolist())
-                for k, v in zip(out, cache[key], strict=True):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(2), "score": pa.array(out["score"], pa.float64()), "nearest": pa.array(out["nearest"], pa.list_(pa.int64())), "cosines": pa.array(out["cosines"], pa.list_(pa.float64()))})
+            out = [scorer(t) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "held_out": batch.column(2), "score": pa.array([x[0] for x in out], pa.float64()), "nearest": pa.array([x[1] for x in out], pa.list_(pa.int64())), "cosines": pa.array([x[2] for x in out], pa.list_(pa.float64()))})
 
     scored = corpus(docs).select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(rows, "doc_id long, held_out boolean, score double, nearest array<long>, cosines array<double>")
-    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "nearest", "cosines")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"), "nearest", "cosines")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -241,7 +246,13 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic; all columns stay."""
-    model = fit(docs, labels)
-    rejected = stored(score(docs, model).where("predicted = 1").select(F.col("doc_id").alias("_id")).distinct(), "rejected")
-    return docs.join(rejected, docs.doc_id.eqNullSafe(rejected._id), "left_anti").select(*[docs[c] for c in docs.columns])
+    """The rows of ``docs`` that are not predicted toxic; all columns stay. Rows are judged where they are read, nothing is joined."""
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    at = docs.columns.index("text")
+
+    def kept(batches):
+        scorer = Scorer(sent.value)
+        for batch in slices(batches):
+            yield batch.filter(pa.array([scorer(t)[0] < THRESHOLD for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -62,12 +62,14 @@ def test_nearest_are_exact():
     v = np.where(rng.random((300, 41)) < 0.1, rng.random((300, 41)), 0)
     v[:, -1] = 0.3
     v /= np.linalg.norm(v, axis=1)[:, None]
-    index = toxicity.Index(toxicity.Model({}, np.ones(40), 0.5, v, np.ones((300, 2)), np.arange(300)))
+    sparse = [(np.flatnonzero(x), x[np.flatnonzero(x)]) for x in v]
+    index = toxicity.Index(toxicity.Model({}, np.ones(40), 0.5, sparse, np.ones((300, 2)), np.arange(300)))
+    dense = v[index.example]
     for _ in range(100):
         terms = np.append(np.sort(rng.choice(40, int(rng.integers(0, 8)), replace=False)), 40)
         q = rng.random(len(terms))
         q /= np.linalg.norm(q)
         rows, cosine = index.nearest(terms, q, 24)
-        exact = index.vectors[:, terms] @ q
+        exact = dense[:, terms] @ q
         assert np.allclose(np.sort(cosine), np.sort(exact)[-24:])
         assert np.allclose(cosine, exact[rows])
