@@ -20,7 +20,9 @@ def query(sql: str | None):
 
     def put(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            df = f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            # Ordinals and counts are one type throughout.
+            return df.withColumns({c: F.col(c).cast("long") for c, kind in df.dtypes if kind == "int"})
 
         run.__name__, run.__doc__ = f.__name__, f.__doc__
         QUERIES[f.__name__] = run
@@ -252,7 +254,7 @@ def extremes_topk(read):
     return _rounded(moments.extremes(read("embeddings"), ["vec_id"], "embedding", 8), 6, "value")
 
 
-@query("""SELECT l_returnflag, round(min(l_extendedprice), 2) AS min, round(max(l_extendedprice), 2) AS max, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS std, round(quantile_disc(l_extendedprice, 0.5), 2) AS median, 0 AS nan, 0 AS inf FROM lineitem GROUP BY 1""")
+@query("""SELECT l_returnflag, round(min(l_extendedprice), 2) AS min, round(max(l_extendedprice), 2) AS max, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS std, round(quantile_disc(l_extendedprice, 0.5), 2) AS median, 0::bigint AS nan, 0::bigint AS inf FROM lineitem GROUP BY 1""")
 def lower_median_numeric_stats(read):
     return _rounded(_rounded(moments.numeric_summary(read("lineitem"), ["l_returnflag"], "l_extendedprice"), 2, "min", "max", "median"), 4, "mean", "std")
 
@@ -310,7 +312,7 @@ def value_norm_gqa(read):
 
 @query("""
 WITH e AS (SELECT vec_id, embedding::double[] AS a, label FROM embeddings), s AS (SELECT *, list_max(a) AS top FROM e)
-SELECT vec_id, list_position(a, top) - 1 AS lens_token_id, round(1 / list_sum(list_transform(a, lambda x: exp(x - top))), 6) AS lens_prob, len(list_filter(a, lambda x: x > a[label + 1])) AS target_rank, round(len(list_filter(a, lambda x: x > a[label + 1])) / len(a), 6) AS target_percentile FROM s""")
+SELECT vec_id, (list_position(a, top) - 1)::bigint AS lens_token_id, round(1 / list_sum(list_transform(a, lambda x: exp(x - top))), 6) AS lens_prob, len(list_filter(a, lambda x: x > a[label + 1])) AS target_rank, round(len(list_filter(a, lambda x: x > a[label + 1])) / len(a), 6) AS target_percentile FROM s""")
 def logit_lens_top1_rank(read):
     """Likeliest token, its probability and the target's rank."""
     return _rounded(tensors.logit_lens(read("embeddings"), ["vec_id"], "embedding", "label"), 6, "lens_prob", "target_percentile")
