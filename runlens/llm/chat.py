@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.llm.common import stored
+
 #: Turn numbers in one part.
 PART_TURNS = 64
 SYSTEM, UNKNOWN, END = "system", "unknown", "<|end|>\n"
@@ -50,9 +52,13 @@ def perspectives(conversations: DataFrame) -> DataFrame:
         return F.struct(last.alias("at"), F.when(p["own"], F.concat(acc["masks"], F.array(mask))).otherwise(acc["masks"]).alias("masks"))
 
     both = both.withColumn("laid", F.aggregate("pieces", start, step))
-    before = F.sum("laid.at").over(Window.partitionBy("conv_id", "perspective").orderBy("part")) - F.col("laid.at")
     text = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"])), "")
-    return both.select("conv_id", "perspective", "part", F.size("turns").cast("long").alias("n_turns"), F.size("laid.masks").cast("long").alias("n_own"), before.cast("long").alias("chars_before"), text.alias("text"), F.col("laid.masks").alias("masks"))
+    laid = stored(both.select("conv_id", "perspective", "part", F.size("turns").cast("long").alias("n_turns"), F.size("laid.masks").cast("long").alias("n_own"), F.col("laid.at").cast("long").alias("n_chars"), text.alias("text"), F.col("laid.masks").alias("masks")), "laid")
+    # Only numbers go through the window over the parts of a dialogue.
+    before = F.sum("n_chars").over(Window.partitionBy("conv_id", "perspective").orderBy("part")) - F.col("n_chars")
+    ahead = laid.select("conv_id", "perspective", "part", before.alias("chars_before")).withColumnsRenamed({"conv_id": "_conv", "perspective": "_who", "part": "_part"})
+    out = laid.join(ahead, laid.conv_id.eqNullSafe(ahead._conv) & (laid.perspective == ahead._who) & (laid.part == ahead._part))
+    return out.select("conv_id", "perspective", "part", "n_turns", "n_own", "chars_before", "text", "masks")
 
 
 SQL = rf"""
