@@ -375,13 +375,13 @@ def group_by_language(read):
 
 
 @query("""
-WITH m AS (SELECT l_suppkey, CASE WHEN l_linenumber % 4 = 0 THEN 'acc,none' WHEN l_linenumber % 4 = 1 THEN 'exact_match,strict' WHEN l_linenumber % 4 = 2 THEN 'acc_norm_stderr,none' ELSE 'other' END AS metric, l_discount AS v FROM lineitem WHERE l_suppkey % 3 <> 0 OR l_linenumber % 4 <> 0),
+WITH m AS (SELECT l_suppkey, CASE WHEN l_returnflag = 'N' AND l_quantity > 45 THEN 'acc,none' WHEN l_returnflag = 'A' THEN 'exact_match,strict' WHEN l_returnflag = 'R' THEN 'acc_norm_stderr,none' ELSE 'other' END AS metric, l_discount AS v FROM lineitem),
 e AS (SELECT l_suppkey, split_part(metric, ',', 1) AS metric, avg(v) AS score FROM m WHERE metric LIKE '%,%' AND metric NOT LIKE '%stderr%' GROUP BY 1, 2)
 SELECT l_suppkey, arg_min(metric, CASE metric WHEN 'acc_norm' THEN 1 WHEN 'acc' THEN 2 ELSE 3 END) AS metric, round(arg_min(score, CASE metric WHEN 'acc_norm' THEN 1 WHEN 'acc' THEN 2 ELSE 3 END), 6) AS score FROM e GROUP BY 1""")
 def score_headline_priority(read):
     """One headline score per run, by preference of metrics."""
-    n = F.col("l_linenumber") % 4
-    m = read("lineitem").withColumn("metric", F.when(n == 0, "acc,none").when(n == 1, "exact_match,strict").when(n == 2, "acc_norm_stderr,none").otherwise("other")).where((F.col("l_suppkey") % 3 != 0) | (n != 0))
+    flag = F.col("l_returnflag")
+    m = read("lineitem").withColumn("metric", F.when((flag == "N") & (F.col("l_quantity") > 45), "acc,none").when(flag == "A", "exact_match,strict").when(flag == "R", "acc_norm_stderr,none").otherwise("other"))
     return _rounded(runs.headline_scores(m, ["l_suppkey"], "metric", "l_discount"), 6, "score")
 
 
@@ -427,16 +427,16 @@ def pairing_field_discovery(read):
 
 
 @query("""
-WITH d AS (SELECT s_nationkey % 3 AS run, s_suppkey AS doc FROM supplier), m AS (SELECT run, doc, doc // 4 AS canonical FROM d WHERE doc % 7 <> 0 UNION ALL SELECT run, doc, doc // 4 FROM d WHERE doc % 10 = 1 AND doc % 7 <> 0),
+WITH d AS (SELECT s_nationkey % 3 AS run, s_suppkey AS doc, s_acctbal FROM supplier), m AS (SELECT run, doc, doc // 4 AS canonical FROM d WHERE s_acctbal > 0 UNION ALL SELECT run, doc, doc // 4 FROM d WHERE s_acctbal > 9000),
 r AS (SELECT run, doc, count(*) AS n_rows, min(canonical) AS canonical FROM m GROUP BY 1, 2), h AS (SELECT d.run, d.doc, n_rows, canonical FROM d LEFT JOIN r USING (run, doc)),
 p AS (SELECT run, canonical, count(*) AS n FROM h WHERE n_rows = 1 GROUP BY 1, 2), q AS (SELECT canonical, count(*) AS in_runs, max(n) AS most FROM p GROUP BY 1)
 SELECT h.run, h.doc, CASE WHEN n_rows = 1 THEN h.canonical END AS canonical, CASE WHEN n_rows IS NULL THEN 'unmapped' WHEN n_rows > 1 THEN 'duplicate_mapping_rows' WHEN n > 1 THEN 'many_to_one' WHEN most > 1 THEN 'counterpart_many_to_one' WHEN in_runs < (SELECT count(DISTINCT run) FROM d) THEN 'not_in_every_language' ELSE 'paired' END AS pairing_status
 FROM h LEFT JOIN p ON p.run = h.run AND p.canonical = h.canonical LEFT JOIN q ON q.canonical = h.canonical""")
 def mapping_many_to_one(read):
     """Documents paired by a mapping, or why not."""
-    d = read("supplier").select((F.col("s_nationkey") % 3).alias("run"), F.col("s_suppkey").alias("doc"))
-    m = d.where("doc % 7 <> 0").withColumn("canonical", F.floor(F.col("doc") / 4))
-    return pairing.mapped(d, m.unionByName(m.where("doc % 10 = 1")), "run", "doc", "canonical")
+    d = read("supplier").select((F.col("s_nationkey") % 3).alias("run"), F.col("s_suppkey").alias("doc"), "s_acctbal")
+    m = d.where("s_acctbal > 0").withColumn("canonical", F.floor(F.col("doc") / 4))
+    return pairing.mapped(d, m.unionByName(m.where("s_acctbal > 9000")), "run", "doc", "canonical")
 
 
 _GOLD = "CASE WHEN doc % 13 = 0 AND run = 'A' THEN NULL WHEN doc % 11 = 0 AND run = 'R' THEN 'target:' || (q % 2)::int ELSE 'choice:' || (CASE WHEN q >= 50 THEN 1 ELSE 0 END) END"
@@ -677,10 +677,10 @@ def sample_display_counts(read):
     return trace.sample_counts(read("events"), ["user_id", "event_type"], 3)
 
 
-@query("""WITH h AS (SELECT l_orderkey, bool_or(l_partkey % 20 = 7 AND l_returnflag = 'A') AS has FROM lineitem GROUP BY 1) SELECT l_orderkey FROM h WHERE has""")
+@query("""WITH h AS (SELECT l_orderkey, bool_or(l_linenumber = 7 AND l_returnflag = 'A') AS has FROM lineitem GROUP BY 1) SELECT l_orderkey FROM h WHERE has""")
 def forwards_of_document(read):
     """Forwards whose samples cover one document of one task."""
-    held = read("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("task_name"), (F.col("l_partkey") % 20).alias("doc_id"))).alias("samples"))
+    held = read("lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct(F.col("l_returnflag").alias("task_name"), F.col("l_linenumber").alias("doc_id"))).alias("samples"))
     return trace.forwards_of(held, "samples", 7, "A").select("l_orderkey")
 
 
