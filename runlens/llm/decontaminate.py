@@ -38,11 +38,11 @@ def shingle_hashes(w: Column, k: int) -> Column:
 def fingerprint(hashes: Column) -> Column:
     """SimHash: each bit by the majority of the shingles, repeated ones as often as they occur; ties give 1."""
 
-    def bit(b: int) -> Column:
-        votes = F.aggregate(hashes, F.lit(0), lambda n, h: n + (F.shiftrightunsigned(h, b).bitwiseAND(F.lit(1)) * 2 - 1).cast("int"))
-        return F.when(votes >= 0, F.shiftleft(F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
+    def bit(b: Column) -> Column:
+        votes = F.aggregate(hashes, F.lit(0), lambda n, h: n + (F.call_function("shiftrightunsigned", h, b).bitwiseAND(F.lit(1)) * 2 - 1).cast("int"))
+        return F.when(votes >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), b)).otherwise(F.lit(0).cast("long"))
 
-    return reduce(Column.bitwiseOR, map(bit, range(64)))
+    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
 def _block(fp: Column) -> Column:
