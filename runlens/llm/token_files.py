@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from runlens.llm.common import corpus, shuffle_parts
 from runlens.llm.tokens import CHUNK, tokenizer
 
+#: Pieces that a worker remembers; no other stage of this job needs the memory.
+KEPT_PIECES = 800_000
 #: Rows between the entries of a row index, and bytes of a stripe: what a reader may skip, and read by itself.
 INDEX_ROWS, STRIPE = 1000, 16 << 20
 
@@ -28,7 +30,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int) -> None:
     """
 
     def encode(batches):
-        make, part, before = tokenizer(vocabulary), TaskContext.get().partitionId(), 0
+        make, part, before = tokenizer(vocabulary, KEPT_PIECES), TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 rows = batch.slice(at, CHUNK)

@@ -16,8 +16,8 @@ from array import array
 
 import numpy as np
 
-#: Pieces whose ids a worker keeps at once.
-KEPT_PIECES = 600_000
+#: Pieces whose ids a worker keeps at once, some 200 bytes each, unless it is told otherwise.
+KEPT_PIECES = 400_000
 #: Texts encoded together.
 CHUNK = 200
 
@@ -50,10 +50,10 @@ class _Index(dict):
 
 
 class PieceTokenizer:
-    def __init__(self, path: str, special_as_text: bool = True):
+    def __init__(self, path: str, kept: int = KEPT_PIECES, special_as_text: bool = True):
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
+        self.kept, self.library = kept, Tokenizer.from_file(path)
         self.library.encode_special_tokens = special_as_text
         vocabulary = self.library.get_vocab(with_added_tokens=False)
         self.kind = "word" if any(t.endswith("</w>") for t in vocabulary) else "byte"
@@ -97,7 +97,7 @@ class PieceTokenizer:
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The ids of each text as unsigned 32-bit integers; null counts as empty."""
-        if len(self.index) > KEPT_PIECES:
+        if len(self.index) > self.kept:
             self._forget()
         numbers: list[np.ndarray | None] = []
         for text in texts:
@@ -123,6 +123,6 @@ class PieceTokenizer:
 
 
 @functools.cache
-def tokenizer(path: str) -> PieceTokenizer:
+def tokenizer(path: str, kept: int = KEPT_PIECES) -> PieceTokenizer:
     """One per worker process and file."""
-    return PieceTokenizer(path)
+    return PieceTokenizer(path, kept)

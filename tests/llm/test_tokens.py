@@ -35,11 +35,8 @@ def test_any_text_equals_the_library(text, path):
     assert tokenizer(path)([text])[0].tolist() == whole(path, [text])[0]
 
 
-def test_forgetting_changes_nothing(monkeypatch):
-    from runlens.llm import tokens
-
-    monkeypatch.setattr(tokens, "KEPT_PIECES", 3)
-    make = PieceTokenizer(BYTE)
+def test_forgetting_changes_nothing():
+    make = PieceTokenizer(BYTE, kept=3)
     for text in ("a b c d e f", "g h i a b", "a b c d e f"):
         assert make([text])[0].tolist() == whole(BYTE, [text])[0]
 
