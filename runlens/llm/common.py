@@ -31,12 +31,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: The folder of our own of each application that names none.
+_own_dirs: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is named."""
+    """The shared folder the cluster names; a folder of our own only where none is named, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        app = spark.sparkContext.applicationId
+        if app not in _own_dirs:
+            _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
+        path = _own_dirs[app]
     return path.rstrip("/")
 
 
