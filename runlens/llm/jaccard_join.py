@@ -14,7 +14,9 @@ proposes only its members against one member of like size, the one with most
 of its prefix in other documents too, as the origin of edited copies has; so
 thousands of near copies cost as many comparisons as there are copies. What
 these links leave in different components is then compared within the lists,
-which makes the components exact.
+which makes the components exact. Every link lies in one component, so the
+links of a set are counted by comparing each component's sets with each other
+in blocks.
 """
 
 from __future__ import annotations
@@ -44,6 +46,11 @@ DOC_BITS = 24
 SHORT_LIST = 32
 #: Members of a long list that one task compares with as many others.
 BLOCK = 512
+#: Members, and their shingles, of a component that one task compares with as many others to count links.
+COUNT_BLOCK = 1024
+COUNT_SHINGLES = 1 << 22
+#: Shingles that the count of common ones takes at once.
+COLUMNS = 2048
 
 _NODE = "doc_id long, n int, key long, sketch binary, prefix array<long>"
 
@@ -140,8 +147,8 @@ def _close(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return both.select("a", "an", "b", "bn", "sa", "sb").mapInArrow(allowed, "a long, an int, b long, bn int")
 
 
-def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose sets, made anew from the texts, have a Jaccard similarity of 0.8 or more."""
+def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs whose sets, made anew from the texts, have a Jaccard similarity of 0.8 or more; and those sets."""
     pairs = stored(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
     chosen = bitmap(nodes.join(wanted, "key", "left_semi").select("doc_id"), "doc_id", DOC_BITS)
@@ -166,7 +173,62 @@ def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     held = docs.mapInArrow(sets, "key long, tokens binary").join(wanted, "key", "left_semi").dropDuplicates(["key"])
     held = stored(held, "sets")
     both = pairs.select("a", "b").join(held.select(F.col("key").alias("a"), F.col("tokens").alias("ta")), "a").join(held.select(F.col("key").alias("b"), F.col("tokens").alias("tb")), "b")
-    return stored(both.select("a", "b", "ta", "tb").mapInArrow(linked, "a long, b long"), "links")
+    return stored(both.select("a", "b", "ta", "tb").mapInArrow(linked, "a long, b long"), "links"), held
+
+
+def _linked(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Which of the sets x link with which of y, as a matrix of flags."""
+    sizes = np.array([len(s) for s in (*x, *y)])
+    _, column, rows = np.unique(np.concatenate([*x, *y]), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    met = rows[column] > 1
+    row, column = row[met], (np.cumsum(rows > 1) - 1)[column[met]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((len(x), len(y)), np.float32)
+    n_columns = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, n_columns, COLUMNS):
+        part = slice(*np.searchsorted(column, (at, at + COLUMNS)))
+        held = np.zeros((len(sizes), min(COLUMNS, n_columns - at)), np.float32)
+        held[row[part], column[part] - at] = 1
+        both += held[: len(x)] @ held[len(x) :].T
+    return 100 * both >= 80 * (sizes[: len(x), None] + sizes[None, len(x) :] - both)
+
+
+def _degrees(roots: DataFrame, sets: DataFrame) -> DataFrame:
+    """(key, count): the links of each set that links with another.
+
+    Every pair of sets of one component is compared once. Small components
+    share a group; a large one is cut into blocks and every two blocks are
+    compared in a group of their own. Only counts leave a group.
+    """
+    members = stored(roots.select(F.col("node").alias("key"), "root").join(sets.dropDuplicates(["key"]), "key"), "members")
+    sizes = members.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / COUNT_BLOCK), F.ceil(F.sum(F.length("tokens") / 8) / COUNT_SHINGLES)).cast("int").alias("blocks"))
+    rows = members.join(stored(sizes, "sizes"), "root").withColumn("own", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    deals = max(shuffle_parts(roots.sparkSession), members.count() // COUNT_BLOCK)
+    alone = F.col("blocks") > 1
+    rows = rows.select(alone.alias("alone"), F.when(alone, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(deals))).alias("deal"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "root", "key", "tokens")
+
+    def compare(group):
+        group = group.sort_by("root")
+        root, key, own, i, j = (group.column(c).to_numpy() for c in ("root", "key", "own", "i", "j"))
+        tokens = [np.frombuffer(x, np.uint64) for x in group.column("tokens").to_pylist()]
+        count = np.zeros(len(key), np.int64)
+        ends = np.flatnonzero(np.concatenate([root[1:] != root[:-1], [True]])) + 1
+        for start, end in zip(np.concatenate([[0], ends[:-1]]), ends, strict=True):
+            x = np.arange(start, end)
+            if i[start] == j[start]:
+                # Every set is found to link with itself.
+                count[x] = _linked([tokens[k] for k in x], [tokens[k] for k in x]).sum(axis=1) - 1
+            else:
+                x, y = x[own[x] == i[start]], x[own[x] == j[start]]
+                if len(x) and len(y):
+                    yes = _linked([tokens[k] for k in x], [tokens[k] for k in y])
+                    count[x], count[y] = yes.sum(axis=1), yes.sum(axis=0)
+        return pa.Table.from_pydict({"key": pa.array(key), "n": pa.array(count)})
+
+    return rows.groupBy("alone", "deal", "i", "j").applyInArrow(compare, "key long, n long").groupBy("key").agg(F.sum("n").alias("count"))
 
 
 def _across(lists: DataFrame, by: str) -> DataFrame:
@@ -257,11 +319,12 @@ def _within(lists: DataFrame, sketches: DataFrame) -> DataFrame:
     return rows.groupBy("two", "i", "j").applyInArrow(compare, "a long, an int, b long, bn int").distinct()
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
+def jaccard_components(docs: DataFrame, count: bool = True) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links.
 
     component_id is the smallest doc_id reachable over links, n_links the
-    verified links of the row's shingle set to other sets. Null and empty
+    number of other shingle sets that the row's set links with, left out
+    unless ``count``. Null and empty
     texts have no shingles and link with nothing; rows with equal sets are
     linked; a null doc_id never names a component unless all its members lack
     one. An empty table gives an empty result; other columns are not read.
@@ -284,7 +347,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         star = rated.withColumn("like", like)
         star = star.join(stored(star.groupBy("token", "like").agg(F.max(F.struct("part", "n", "key")).alias("hub")), "hubs"), ["token", "like"])
         stars.append(star.where("hub.key <> key").select(F.col("key").alias("a"), F.col("n").alias("an"), F.col("hub.key").alias("b"), F.col("hub.n").alias("bn")).where(_near_sizes("an", "bn")))
-    links = _links(docs, _close(stars[0].unionByName(stars[1]).distinct(), sketches), nodes)
+    links, sets = _links(docs, _close(stars[0].unionByName(stars[1]).distinct(), sketches), nodes)
     roots = stored(components(links), "roots")
 
     # What is still apart: short lists by single shingles, long ones by pairs of shingles.
@@ -292,21 +355,22 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     apart = stored(_across(placed, "token"), "apart")
     short = _close(_pairwise(apart.where(F.col("size") <= SHORT_LIST)), sketches)
     long = _within(_across(_shingle_pairs(apart.where(F.col("size") > SHORT_LIST)), "two"), sketches)
-    more = _links(docs, short.unionByName(long).distinct(), nodes)
+    more, others = _links(docs, short.unionByName(long).distinct(), nodes)
 
-    links = links.unionByName(more)
-    roots = components(links)
-    degree = links.select(F.col("a").alias("key")).union(links.select("b")).groupBy("key").count()
+    roots = stored(components(links.unionByName(more)), "roots")
     placed = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     heads = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    named = stored(placed.join(heads, "root").join(degree, "key", "left").select("key", "n", "component_id", F.coalesce("count", F.lit(0)).alias("n_links")), "named")
+    named = placed.join(heads, "root")
+    if count:
+        named = named.join(_degrees(roots, sets.unionByName(others)), "key", "left").withColumn("n_links", F.coalesce("count", F.lit(0)))
+    named = stored(named.select("key", "n", "component_id", *["n_links"] * count), "named")
     out = rows.select("doc_id", "n", "key").join(named, ["key", "n"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * count)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that head their component, those without words included; all columns stay."""
-    found = jaccard_components(docs)
+    found = jaccard_components(docs, count=False)
     # The list grows with the corpus: a merge join at every size.
     gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "gone").hint("merge")
     return docs.join(gone, docs.doc_id == gone._id, "left_anti").select(*[docs[c] for c in docs.columns])

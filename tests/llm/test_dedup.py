@@ -103,6 +103,26 @@ def test_jaccard_against_brute_force(spark, monkeypatch, short_list):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components(rows)
 
 
+@pytest.mark.parametrize("block", [8, 1024])
+def test_jaccard_counts_all_links(spark, monkeypatch, block):
+    """Dozens of near copies, whose links are far more than those to one of them, and components of two."""
+    monkeypatch.setattr(jaccard_join, "COUNT_BLOCK", block)
+    monkeypatch.setattr(jaccard_join, "COLUMNS", 64)
+    rng = np.random.default_rng(6)
+    origin, rows = [f"w{i}" for i in range(80)], []
+    for i in range(60):
+        text = list(origin)
+        for at in rng.choice(80, int(rng.integers(0, 3)), replace=False):
+            text[at] = f"x{rng.integers(3000)}"
+        rows.append((i, " ".join(text)))
+    rows += [(100 + i, " ".join(f"{i // 2}y{k}" for k in range(40 + i % 2))) for i in range(20)] + [(200, None), (201, rows[0][1])]
+    grams = lambda w: frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) > 4 else frozenset([tuple(w)] if w else [])
+    sets = {d: grams((t or "").split()) for d, t in rows}
+    links = {d: len({y for y in sets.values() if x and y and x != y and 100 * len(x & y) >= 80 * len(x | y)}) for d, x in sets.items()}
+    out = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    assert {r.doc_id: r.n_links for r in out} == links and max(links.values()) > 20
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 40), max_size=120), st.lists(st.integers(0, 40), max_size=60))
 def test_sketches_never_overstate(a, b):
