@@ -52,7 +52,7 @@ COUNT_SHINGLES = 1 << 22
 #: Shingles that the count of common ones takes at once.
 COLUMNS = 2048
 
-_NODE = "doc_id long, n int, key long, sketch binary, prefix array<long>"
+_NODE = "doc_id long, text_hash long, n int, key long, sketch binary, prefix array<long>"
 
 
 def _texts(batch):
@@ -110,7 +110,7 @@ def _nodes(docs: DataFrame, flags: np.ndarray, shift: int) -> DataFrame:
     def rows(batches):
         seen = set()
         for batch in slices(batches):
-            out = {"doc_id": batch.column(0), "n": [], "key": [], "sketch": [], "prefix": []}
+            out = {"doc_id": batch.column(0), "text_hash": batch.column(2), "n": [], "key": [], "sketch": [], "prefix": []}
             for _, text in _texts(batch):
                 tokens = word_shingles(text)
                 n, key = len(tokens), set_key(tokens) if len(tokens) else 0
@@ -127,7 +127,7 @@ def _nodes(docs: DataFrame, flags: np.ndarray, shift: int) -> DataFrame:
                     out["prefix"].append([])
             yield pa.RecordBatch.from_pydict(out | {"n": pa.array(out["n"], pa.int32()), "key": pa.array(out["key"], pa.int64()), "sketch": pa.array(out["sketch"], pa.binary()), "prefix": pa.array(out["prefix"], pa.list_(pa.int64()))})
 
-    return docs.mapInArrow(rows, _NODE)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(rows, _NODE)
 
 
 def _near_sizes(a: str, b: str) -> str:
@@ -156,8 +156,9 @@ def _links(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> tuple[DataFra
 
     def sets(batches):
         for batch in slices(batches):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            keep = has_bit(sent.value, DOC_BITS, np.where(np.isnan(ids), 0, ids).astype(np.int64) if ids.dtype.kind == "f" else ids)
+            # Nulls are filled first, as an array with nulls comes as floats. Rows without an id are always looked at.
+            ids = batch.column(0)
+            keep = has_bit(sent.value, DOC_BITS, ids.fill_null(0).to_numpy(zero_copy_only=False)) | ids.is_null().to_numpy(zero_copy_only=False)
             made = [x for t in batch.column(1).filter(pa.array(keep)).to_pylist() if len(x := word_shingles(t)) > 1]
             yield pa.RecordBatch.from_pydict({"key": pa.array([set_key(x) for x in made], pa.int64()), "tokens": pa.array([x.tobytes() for x in made], pa.binary())})
 
@@ -319,16 +320,8 @@ def _within(lists: DataFrame, sketches: DataFrame) -> DataFrame:
     return rows.groupBy("two", "i", "j").applyInArrow(compare, "a long, an int, b long, bn int").distinct()
 
 
-def jaccard_components(docs: DataFrame, count: bool = True) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links.
-
-    component_id is the smallest doc_id reachable over links, n_links the
-    number of other shingle sets that the row's set links with, left out
-    unless ``count``. Null and empty
-    texts have no shingles and link with nothing; rows with equal sets are
-    linked; a null doc_id never names a component unless all its members lack
-    one. An empty table gives an empty result; other columns are not read.
-    """
+def _components(docs: DataFrame, count: bool) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text_hash, n_shingles, component_id and, if ``count``, n_links."""
     docs = corpus(docs)
     flags, shift = _common_shingles(docs)
     rows = stored(_nodes(docs, flags, shift), "nodes")
@@ -364,16 +357,31 @@ def jaccard_components(docs: DataFrame, count: bool = True) -> DataFrame:
     if count:
         named = named.join(_degrees(roots, sets.unionByName(others)), "key", "left").withColumn("n_links", F.coalesce("count", F.lit(0)))
     named = stored(named.select("key", "n", "component_id", *["n_links"] * count), "named")
-    out = rows.select("doc_id", "n", "key").join(named, ["key", "n"], "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * count)
+    out = rows.select("doc_id", "text_hash", "n", "key").join(named, ["key", "n"], "left")
+    return out.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), *[F.coalesce("n_links", F.lit(0)).alias("n_links")] * count)
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links.
+
+    component_id is the smallest doc_id reachable over links, n_links the
+    number of other shingle sets that the row's set links with. Null and empty
+    texts have no shingles and link with nothing; rows with equal sets are
+    linked; a null doc_id never names a component unless all its members lack
+    one. An empty table gives an empty result; other columns are not read.
+    """
+    return _components(docs, count=True).drop("text_hash")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that head their component, those without words included; all columns stay."""
-    found = jaccard_components(docs, count=False)
+    """The rows of ``docs`` that head their component, those without words included; all columns stay.
+
+    Rows are told by id and text, as ids may repeat or be null.
+    """
+    found = _components(docs, count=False)
     # The list grows with the corpus: a merge join at every size.
-    gone = stored(found.where("component_id <> doc_id").select(F.col("doc_id").alias("_id")).distinct(), "gone").hint("merge")
-    return docs.join(gone, docs.doc_id == gone._id, "left_anti").select(*[docs[c] for c in docs.columns])
+    gone = stored(found.where(~F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_id"), "text_hash").distinct(), "gone").hint("merge")
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone._id) & (F.xxhash64(docs.text) == gone.text_hash), "left_anti").select(*[docs[c] for c in docs.columns])
 
 
 SQL = r"""

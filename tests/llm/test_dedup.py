@@ -103,6 +103,18 @@ def test_jaccard_against_brute_force(spark, monkeypatch, short_list):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components(rows)
 
 
+def test_jaccard_rows_without_an_id_and_repeated_ids(spark):
+    """A near copy that only rows without an id hold, an id beyond what floats tell, and a clean text with a near copy's id."""
+    text = [f"w{i}" for i in range(80)]
+    edited = lambda at: " ".join([*text[:at], "other", *text[at + 1 :]])
+    clean, big = "quite another text with words of its own", (1 << 53) + 1
+    rows = [(5, " ".join(text)), (None, edited(20)), (big, edited(60)), (9, edited(40)), (9, clean), (None, "no copy of any other text here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    out = jaccard_join.jaccard_components(df).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in out) == brute_components(rows)
+    assert Counter(map(tuple, jaccard_join.keep_one(df).collect())) == Counter([rows[0], rows[4], rows[5]])
+
+
 @pytest.mark.parametrize("block", [8, 1024])
 def test_jaccard_counts_all_links(spark, monkeypatch, block):
     """Dozens of near copies, whose links are far more than those to one of them, and components of two."""
