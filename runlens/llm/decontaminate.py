@@ -1,8 +1,8 @@
 """Benchmark decontamination: SimHash of item-sized windows, Hamming blocks, exact weighted-shingle similarity.
 
-Only DataFrame functions. A window that shares no shingle with any item has
-similarity 0 to all of them, so windows are laid at the places where a rolling
-shingle hash meets a benchmark shingle, on the diagonal of the two positions.
+Only DataFrame functions. A window is similar to an item only if most of its
+shingles are the item's, in whatever order, so windows are laid at every start
+from which enough rolling shingle hashes meet those of items of that size.
 Their fingerprints and those of the items of that size meet in RADIUS + 1
 blocks of bits: two fingerprints within RADIUS agree in one block at least, so
 none is missed. What is within the radius is verified exactly.
@@ -21,6 +21,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: Bits that fingerprints of a window and its item may differ in. At similarity 0.8 some 10 of 64 differ, 20 is three deviations more.
 RADIUS = 20
+#: Documents to lay windows in are preselected by their hash modulo this, the bound of the broadcast table.
+BUCKETS = 1 << 18
 #: Distinct benchmark shingles up to which their table is broadcast; beyond, the join shuffles.
 BROADCAST_SHINGLES = 2_000_000
 
@@ -58,21 +60,48 @@ def items(benchmark: DataFrame) -> DataFrame:
     return w.select("item_id", "n_words", "k", hashes.alias("hashes")).dropDuplicates(["item_id", "hashes"])
 
 
+def _starts(places: Column, n: Column, size: Column) -> Column:
+    """Every start of a window of ``size`` shingles, of ``n``, in which enough of the sorted ``places`` lie for SIMILARITY.
+
+    A start is found at the first of its places only: it lies behind the place
+    before that one and reaches the last place needed.
+    """
+    last = F.greatest(F.lit(0), n - size)
+    # shared >= SIMILARITY * (both sizes - shared), less what rounding may add.
+    need = F.ceil((F.least(n, size) + size) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9).cast("int")
+
+    def found(i: Column) -> Column:
+        first = F.get(places, i)
+        low = F.greatest(F.coalesce(F.get(places, i - 1), F.lit(-1)) + 1, F.get(places, i + need - 1) - size + 1, F.lit(0))
+        high = F.least(first, last)
+        return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+    return F.when(F.size(places) >= need, F.flatten(F.transform(F.sequence(F.lit(0), F.size(places) - need), found))).otherwise(F.array().cast("array<int>"))
+
+
 def windows(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, n_words, start, hashes): item-sized windows on the diagonals of shared shingles."""
-    shingles = held.select("n_words", "k", F.posexplode("hashes").alias("at", "hash")).distinct()
+    """(doc_id, text_hash, n_words, start, hashes): the item-sized windows with enough shingles of items of that size."""
+    shingles = held.select("n_words", "k", F.explode("hashes").alias("hash")).distinct()
     if (held.agg(F.sum(F.size("hashes"))).first()[0] or 0) <= BROADCAST_SHINGLES:
         shingles = F.broadcast(shingles)
     out = []
     for k in sorted(r.k for r in held.select("k").distinct().collect()):  # five sizes at most
         # The words are a column of their own, and the explosion is an outer one, as for an inner one the optimiser
         # adds a filter on the array below: either would split the text anew at every place.
-        rolled = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w")).select("doc_id", "text_hash", shingle_hashes(F.col("w"), k).alias("rolled"))
-        hits = rolled.select("doc_id", "text_hash", "rolled", F.posexplode_outer("rolled").alias("pos", "hash")).join(shingles.where(F.col("k") == k), "hash")
-        last = F.size("rolled") + k - 1 - F.col("n_words")
-        start = F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), last))
-        hits = hits.select("doc_id", "text_hash", "n_words", start.alias("start"), F.slice("rolled", start + 1, F.col("n_words") - (k - 1)).alias("hashes"))
-        out.append(hits.dropDuplicates(["doc_id", "text_hash", "n_words", "start"]))
+        split = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
+        rolled = split.select("doc_id", "text_hash", shingle_hashes(F.col("w"), k).alias("rolled")).withColumn("n", F.size("rolled"))
+        hits = rolled.select("doc_id", "text_hash", "n", F.posexplode_outer("rolled").alias("pos", "hash")).join(shingles.where(F.col("k") == k), "hash")
+        places = hits.groupBy("doc_id", "text_hash", "n", "n_words").agg(F.array_sort(F.collect_set("pos")).alias("places"))
+        starts = places.select("doc_id", "text_hash", "n_words", _starts(F.col("places"), F.col("n"), F.col("n_words") - (k - 1)).alias("starts")).where(F.size("starts") > 0)
+        starts = stored(starts, "starts")
+        # The texts that have windows are read again. At most BUCKETS rows of one number.
+        bucket = F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(BUCKETS)).alias("bucket")
+        again = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").select("*", bucket).join(F.broadcast(starts.select(bucket).distinct()), "bucket", "left_semi")
+        again = again.dropDuplicates(["doc_id", "text_hash"]).withColumnsRenamed({"doc_id": "_id", "text_hash": "_hash"})
+        laid = starts.join(again, starts.doc_id.eqNullSafe(again._id) & (starts.text_hash == again._hash)).select("doc_id", "text_hash", "n_words", "starts", words(F.col("text")).alias("w"))
+        laid = laid.select("doc_id", "text_hash", "n_words", "starts", shingle_hashes(F.col("w"), k).alias("rolled"))
+        laid = laid.select("doc_id", "text_hash", "n_words", F.explode_outer(F.transform("starts", lambda s: F.struct(s.alias("start"), F.slice("rolled", s + 1, F.col("n_words") - (k - 1)).alias("hashes")))).alias("laid"))
+        out.append(laid.select("doc_id", "text_hash", "n_words", "laid.start", "laid.hashes"))
     return reduce(DataFrame.unionByName, out) if out else None
 
 

@@ -52,6 +52,17 @@ def test_decontamination_against_brute_force(spark):
     assert all(r.similarity == 1.0 and r.distance == 0 for r in found if r.doc_id in (1, 2))
 
 
+def test_decontamination_of_reordered_items(spark):
+    """An item whose halves are swapped in the middle of a text shares most shingles, at no common offset."""
+    item = [f"word{i}" for i in range(60)]
+    swapped, thirds = " ".join(item[30:] + item[:30]), " ".join(item[40:] + item[20:40] + item[:20])
+    docs = [(1, f"{FILL} {swapped} {FILL}"), (2, f"{FILL} {thirds} {FILL}"), (3, f"{FILL} {' '.join(item)} {FILL}"), (4, f"{FILL} {' '.join(item[:50])}"), (5, " ".join(item[6:])), (6, " ".join(item[4:])), (None, f"{FILL} {swapped}"), (7, f"{FILL} {swapped} {FILL} {' '.join(item)}")]
+    items = [(1, " ".join(item)), (2, " ".join(item[:20])), (3, "word7 word8")]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == brute_contaminated(docs, items)
+    assert {r.start_word for r in found if (r.doc_id, r.item_id) == (1, 1)} == {15}
+
+
 def test_decontamination_against_brute_force_on_documents(spark, small):
     items = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     small = small.where("doc_id < 60")
