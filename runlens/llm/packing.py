@@ -32,16 +32,16 @@ def pieces(docs: DataFrame, vocabulary: str, end: int, length: int = LENGTH) ->
     """The ids of each text and ``end``, cut into pieces of ``length`` ids; only the last may be shorter."""
 
     def cut(batches):
-        make = tokenizer(vocabulary)
+        make, last = tokenizer(vocabulary), np.uint32(end).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 rows = batch.slice(at, CHUNK)
                 out = {k.split()[0]: [] for k in _PIECE.split(", ")}
                 for doc_id, row, ids in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), make(rows.column(1).to_pylist()), strict=True):
-                    ids = np.append(ids, np.uint32(end)).astype("<u4", copy=False)
-                    for k, first in enumerate(range(0, len(ids), length)):
-                        held = ids[first : first + length]
-                        for name, value in zip(out, (doc_id, row, k, first, len(held), zlib.crc32(held.tobytes())), strict=True):
+                    ids += last
+                    for k, first in enumerate(range(0, len(ids) // 4, length)):
+                        held = ids[4 * first : 4 * (first + length)]
+                        for name, value in zip(out, (doc_id, row, k, first, len(held) // 4, zlib.crc32(held)), strict=True):
                             out[name].append(value)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(out["doc_id"], pa.int64()), "row": pa.array(out["row"], pa.int64()), "piece": pa.array(out["piece"], pa.int32()), "start": pa.array(out["start"], pa.int64()), "length": pa.array(out["length"], pa.int32()), "ids_crc32": pa.array(out["ids_crc32"], pa.int64())})
 

@@ -30,14 +30,15 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str, end: int) -> None:
     """
 
     def encode(batches):
-        make, part, before = tokenizer(vocabulary, KEPT_PIECES), TaskContext.get().partitionId(), 0
+        make, last = tokenizer(vocabulary, KEPT_PIECES), np.uint32(end).tobytes()
+        part, before = TaskContext.get().partitionId(), 0
         for batch in batches:
             for at in range(0, batch.num_rows, CHUNK):
                 rows = batch.slice(at, CHUNK)
-                ids = [np.append(x, np.uint32(end)) for x in make(rows.column(1).to_pylist())]
-                size = np.array([len(x) for x in ids], np.int64)
-                held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.concatenate(ids).view(np.int32), pa.int32()))
-                yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "part": pa.array(np.full(len(ids), part), pa.int32()), "before": pa.array(before + np.cumsum(size) - size), "n_tokens": pa.array(size), "ids": held})
+                ids = [x for raw in make(rows.column(1).to_pylist()) for x in (raw, last)]
+                size = np.array([len(x) // 4 + 1 for x in ids[::2]], np.int64)
+                held = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_pydict({"doc_id": rows.column(0), "part": pa.array(np.full(len(size), part), pa.int32()), "before": pa.array(before + np.cumsum(size) - size), "n_tokens": pa.array(size), "ids": held})
                 before += int(size.sum())
 
     # The texts are sorted, not the ids, which take more room.

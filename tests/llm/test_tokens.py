@@ -1,5 +1,7 @@
+import json
 import zlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -18,27 +20,48 @@ BYTE, WORD = vocabulary("byte_bpe_50k.json"), vocabulary("word_bpe_49k.json")
 def whole(path, texts):
     from tokenizers import Tokenizer
 
-    library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
-    return [e.ids for e in library.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    return [e.ids for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+
+
+def ids_of(raw):
+    return np.frombuffer(raw, "<u4").tolist()
 
 
 @pytest.mark.parametrize("path", [BYTE, WORD])
 def test_pieces_equal_the_library(path, small):
     texts = [t for _, t in ODD] + [r.text for r in small.collect()]
-    assert [x.tolist() for x in tokenizer(path)(texts)] == whole(path, texts)
+    assert [ids_of(x) for x in tokenizer(path)(texts)] == whole(path, texts)
 
 
 @settings(max_examples=300, deadline=None)
 @given(st.text(st.sampled_from("ab éÉÅß²½1'-.\n\t\r\x85\xa0\x1ćΣſK İ日<|>s"), max_size=30), st.sampled_from([BYTE, WORD]))
 def test_any_text_equals_the_library(text, path):
-    assert tokenizer(path)([text])[0].tolist() == whole(path, [text])[0]
+    assert ids_of(tokenizer(path)([text])[0]) == whole(path, [text])[0]
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_special_tokens_are_the_librarys(path):
+    texts = ["a <|endoftext|> b", "a <|ENDOFTEXT|> b", "<|startoftext|>", "<|endoftext|", "<| endoftext |>", "x<|endoftext|>y <|startoftext|> \u2019"]
+    assert [ids_of(x) for x in tokenizer(path)(texts)] == whole(path, texts)
+    assert 50256 in whole(BYTE, texts)[0] and 49407 in whole(WORD, texts)[0]
+    assert ids_of(PieceTokenizer(BYTE, special_as_text=True)(["<|endoftext|>"])[0]) != [50256]
+
+
+def test_other_vocabularies_are_encoded_whole(tmp_path, small):
+    """A file whose settings cut texts in another way is never cut here."""
+    settings = json.loads(Path(BYTE).read_text())
+    settings["pre_tokenizer"]["add_prefix_space"] = True
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(settings))
+    texts = [t for _, t in ODD] + [r.text for r in small.limit(20).collect()]
+    make = PieceTokenizer(str(path))
+    assert make.kind is None and [ids_of(x) for x in make(texts)] == whole(str(path), texts)
 
 
 def test_forgetting_changes_nothing():
     make = PieceTokenizer(BYTE, kept=3)
     for text in ("a b c d e f", "g h i a b", "a b c d e f"):
-        assert make([text])[0].tolist() == whole(BYTE, [text])[0]
+        assert ids_of(make([text])[0]) == whole(BYTE, [text])[0]
 
 
 def test_files_round_trip(spark, odd, tmp_path):
