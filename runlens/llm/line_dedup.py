@@ -2,10 +2,14 @@
 
 Only DataFrame functions. A line goes down a tree of fixed depth: by its
 number of tokens, then by its leading tokens, variable ones (with a digit) as
-a wild card. In a leaf, a token stays constant at its place where enough lines
-of the leaf have it there; the others become wild cards, and what is left is
-the line's template. A template with enough constants that enough documents
-hold recurs, and its lines are dropped.
+a wild card. In a leaf, a token is constant at its place where MIN_DOCS lines
+of the leaf have it there, however many lines the leaf has; the others become
+wild cards, and what is left is the line's template. A template with enough
+constants that enough documents hold recurs, and its lines are dropped.
+
+Tokens, lines and templates are told apart by two independent 64-bit hashes.
+Equal lines of a leaf are looked at once, and constants meet their tokens in a
+join by token, so neither a hot leaf nor a hot line is gathered in one task.
 """
 
 from __future__ import annotations
@@ -21,10 +25,6 @@ MIN_DOCS = 5
 CONSTANT = 0.6
 #: Levels of leading tokens.
 LEADING = 4
-#: Tokens of a line told apart; what follows them counts as one more.
-PLACES = 128
-#: A constant stands in at least one of so many lines of its leaf, which bounds the constants of a place.
-RARITY = 100
 #: Leaves are preselected by their hash modulo this, the bound of the broadcast table.
 BUCKETS = 1 << 18
 
@@ -37,41 +37,39 @@ def _masked(tokens: Column, line: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line, tokens, leaf) of every line that is not blank."""
+    """(doc_id, text_hash, line, tokens, leaf, leaf2) of every line that is not blank."""
     # An outer explosion: for an inner one the optimiser adds a filter that splits the text a second time.
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "t"))
     lines = lines.select("doc_id", "text_hash", "line", F.trim("t").alias("t")).where("t <> ''").select("doc_id", "text_hash", "line", "t", F.split("t", " ").alias("raw"))
     lines = lines.select("doc_id", "text_hash", "line", _masked(F.col("raw"), F.col("t")).alias("tokens"))
     leading = [F.coalesce(F.get("tokens", F.lit(i)), F.lit("")) for i in range(LEADING)]
-    return lines.withColumn("leaf", F.xxhash64(F.size("tokens"), *leading))
+    return lines.withColumn("leaf", F.xxhash64(F.size("tokens"), *leading)).withColumn("leaf2", F.xxhash64(F.lit(2), *leading, F.size("tokens")))
 
 
 def recurring(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line, template) of every line whose template recurs."""
+    """(doc_id, text_hash, line) of every line whose template recurs."""
     lines = _lines(docs)
     busy = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines")).where(F.col("n_lines") >= MIN_DOCS)
-    busy = stored(busy, "leaves")
-    # At most BUCKETS rows of one number.
-    buckets = busy.select(F.pmod("leaf", F.lit(BUCKETS)).alias("bucket")).distinct()
+    # At most BUCKETS rows of one number; a leaf that shares its bucket with a busy one is only looked at in vain.
+    buckets = stored(busy.select(F.pmod("leaf", F.lit(BUCKETS)).alias("bucket")).distinct(), "leaves")
     near = lines.withColumn("bucket", F.pmod("leaf", F.lit(BUCKETS))).join(F.broadcast(buckets), "bucket", "left_semi")
-    rest = F.array_join(F.slice("tokens", PLACES + 1, F.size("tokens")), " ")
-    places = F.when(F.size("tokens") > PLACES, F.concat(F.slice("tokens", 1, PLACES), F.array(rest))).otherwise(F.col("tokens"))
-    near = near.select("doc_id", "text_hash", "line", "leaf", places.alias("places"))
-    # A token at its place is one number, a wild card none.
-    held = near.select("doc_id", "text_hash", "line", "leaf", F.transform("places", lambda t, i: F.when(t != WILD, F.xxhash64(i, t))).alias("places"))
-    held = stored(held.join(busy, "leaf"), "lines")
-
-    often = held.select("leaf", "n_lines", F.explode("places").alias("word")).where("word IS NOT NULL").groupBy("leaf", "word").agg(F.count(F.lit(1)).alias("n"), F.max("n_lines").alias("n_lines"))
-    # At most RARITY words a place and PLACES + 1 places a leaf are gathered. Stored, so that the join below may be
-    # split where very many lines have one leaf.
-    often = stored(often.where((F.col("n") >= MIN_DOCS) & (RARITY * F.col("n") >= F.col("n_lines"))).groupBy("leaf").agg(F.collect_set("word").alias("often")), "often")
-    line = held.join(often, "leaf").select("doc_id", "text_hash", "line", "leaf", F.size("places").alias("n"), F.filter("places", lambda p: F.array_contains(F.col("often"), p)).alias("kept"))
-    # The numbers tell the places too, so what is kept is the template.
-    line = line.where(F.size("kept") >= CONSTANT * F.col("n")).select("doc_id", "text_hash", "line", F.xxhash64("leaf", "kept").alias("template"))
-    line = stored(line, "templates")
-    many = line.select("template", "doc_id", "text_hash").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= MIN_DOCS)
-    many = stored(many.select("template"), "recurring")
-    return line.join(many, "template")
+    # A token at its place in its leaf is two numbers, a wild card none.
+    held = F.transform("tokens", lambda t, i: F.when(t != WILD, F.struct(F.xxhash64("leaf", i, t).alias("h1"), F.xxhash64(t, "leaf2", i).alias("h2"))))
+    near = near.select("doc_id", "text_hash", "line", "leaf", "leaf2", held.alias("places"))
+    same = [F.xxhash64("leaf", "places").alias("l1"), F.xxhash64("places", "leaf2").alias("l2")]
+    near = stored(near.select("doc_id", "text_hash", "line", "leaf", "leaf2", "places", *same), "lines")
+
+    # Each distinct line once, with how often it occurs.
+    times = near.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("times"), F.any_value("leaf").alias("leaf"), F.any_value("leaf2").alias("leaf2"), F.any_value("places").alias("places"))
+    times = stored(times, "distinct")
+    word = times.select("l1", "l2", "leaf", "leaf2", "times", F.size("places").alias("n"), F.posexplode("places").alias("at", "word")).where("word IS NOT NULL").select("*", "word.*").drop("word")
+    often = stored(word.groupBy("h1", "h2").agg(F.sum("times").alias("n_lines")).where(F.col("n_lines") >= MIN_DOCS).select("h1", "h2"), "constants")
+    # The tokens' hashes tell their places, so what is constant makes up the template.
+    kept = word.join(often, ["h1", "h2"]).groupBy("l1", "l2", "leaf", "leaf2", "n").agg(F.array_sort(F.collect_list(F.struct("at", "h1", "h2"))).alias("kept"))
+    kept = kept.where(F.size("kept") >= CONSTANT * F.col("n")).select("l1", "l2", F.xxhash64("leaf", "kept").alias("t1"), F.xxhash64("kept", "leaf2").alias("t2"))
+    line = stored(near.select("doc_id", "text_hash", "line", "l1", "l2").join(stored(kept, "kept"), ["l1", "l2"]).select("doc_id", "text_hash", "line", "t1", "t2"), "templates")
+    many = line.select("t1", "t2", "doc_id", "text_hash").distinct().groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= MIN_DOCS)
+    return line.join(stored(many.select("t1", "t2"), "recurring"), ["t1", "t2"]).select("doc_id", "text_hash", "line")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
@@ -93,11 +91,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
 SQL = rf"""
 WITH l AS (SELECT doc_id, i AS line, string_split(trim(string_split(coalesce(text, ''), chr(10))[i + 1], ' '), ' ') AS raw FROM documents, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) u(i)),
 m AS (SELECT doc_id, line, list_transform(raw, lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '{WILD}' ELSE t END) AS ts FROM l WHERE raw[1] <> ''),
-k AS (SELECT doc_id, line, len(ts) || '/' || array_to_string(list_transform(range(1, {LEADING + 1}), lambda i: coalesce(ts[i], '')), chr(1)) AS leaf,
-      CASE WHEN len(ts) > {PLACES} THEN list_append(ts[1:{PLACES}], array_to_string(ts[{PLACES + 1}:], ' ')) ELSE ts END AS ts FROM m),
-b AS (SELECT leaf, count(*) AS n_lines FROM k GROUP BY leaf HAVING count(*) >= {MIN_DOCS}),
-e AS (SELECT k.doc_id, k.line, leaf, n_lines, i AS place, ts[i] AS word FROM k JOIN b USING (leaf), unnest(range(1, len(ts) + 1)) u(i)),
-o AS (SELECT leaf, place, word FROM e GROUP BY leaf, place, word HAVING count(*) >= {MIN_DOCS} AND {RARITY} * count(*) >= max(n_lines)),
+k AS (SELECT doc_id, line, len(ts) || '/' || array_to_string(list_transform(range(1, {LEADING + 1}), lambda i: coalesce(ts[i], '')), chr(1)) AS leaf, ts FROM m),
+b AS (SELECT leaf FROM k GROUP BY leaf HAVING count(*) >= {MIN_DOCS}),
+e AS (SELECT k.doc_id, k.line, leaf, i AS place, ts[i] AS word FROM k JOIN b USING (leaf), unnest(range(1, len(ts) + 1)) u(i)),
+o AS (SELECT leaf, place, word FROM e GROUP BY leaf, place, word HAVING count(*) >= {MIN_DOCS}),
 x AS (SELECT e.doc_id, e.line, e.leaf, e.place, CASE WHEN o.word IS NULL OR e.word = '{WILD}' THEN NULL ELSE e.word END AS word FROM e LEFT JOIN o USING (leaf, place, word)),
 t AS (SELECT doc_id, line, leaf || chr(2) || string_agg(coalesce(chr(3) || word, ''), chr(1) ORDER BY place) AS template FROM x GROUP BY doc_id, line, leaf HAVING count(word) >= {CONSTANT} * count(*)),
 r AS (SELECT template FROM t GROUP BY template HAVING count(DISTINCT doc_id) >= {MIN_DOCS}),

@@ -163,3 +163,22 @@ def test_line_dedup_on_odd_rows(odd, nothing):
     assert Counter((r.doc_id, r.n_lines) for r in out) == Counter((i, len((t or "").split("\n"))) for i, t in ODD)
     assert all(r.text == "" and r.n_dropped == 0 for r in out if r.doc_id == 5)
     assert line_dedup.line_dedup(nothing).count() == 0
+
+
+def test_line_dedup_whatever_else_a_leaf_holds(spark):
+    """A line of 20 documents goes, alone or among thousands of other lines of its leaf."""
+    same = "one two three four five six seven eight"
+    alone = [(i, same) for i in range(20)]
+    crowd = [(100 + i, f"one two three four a{i} b{i} c{i} d{i}") for i in range(3000)]
+    for rows in (alone, alone + crowd):
+        out = line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+        assert {r.doc_id for r in out if r.n_dropped} == set(range(20))
+
+
+def test_line_dedup_looks_at_all_of_a_long_line(spark):
+    """Lines that only share their first tokens are not one template, however long what they share."""
+    head = " ".join(f"w{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100]}" for i in range(200))
+    rows = [(i, head + " " + " ".join(f"{'abcdefghij'[i]}{'abcdefghij'[k % 10]}{'abcdefghij'[k // 10 % 10]}{'abcdefghij'[k // 100]}" for k in range(200))) for i in range(8)]
+    rows += [(100 + i, head) for i in range(8)]
+    out = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(out[i] == 0 and out[100 + i] == 1 for i in range(8))
