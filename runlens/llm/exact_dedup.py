@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from runlens.llm.common import corpus, free_name, shuffle_parts, stored
 
-#: Runs that one merge takes in.
-FAN_IN = 8
+#: Runs that one merge takes in: rounds are binomial.
+FAN_IN = 2
 
-#: Ranges of the digest's first byte; a merged run is spread over that many groups.
-SLOTS = 256
+#: Ranges of digests for each shuffle partition; a merged run is spread over all of them.
+SLOTS_EACH = 4
 
 _KEY = ["digest", "n_bytes", "check"]
 
@@ -37,13 +37,15 @@ def merge_runs(rows: DataFrame, runs: int, fan_in: int = FAN_IN) -> DataFrame:
     """(digest, n_bytes, check, first, group_size): the smallest (doc_id, row) of every distinct text.
 
     A run holds one row per distinct text that its partition met. In every
-    round ``fan_in`` neighbouring runs are exchanged by (run, digest range),
-    laid out in digest order and merged, so a text repeated in a third of all
-    rows sends at most one row per run. A digest only matches together with
+    round the runs pair up (more at once with a larger ``fan_in``), are
+    exchanged by (run, digest range), laid out in digest order and merged, so
+    a text repeated in a third of all rows sends at most one row per run. A digest only matches together with
     its byte length and a second, independent hash, at every level.
     """
     spark = rows.sparkSession
-    slot = F.conv(F.substring("digest", 1, 2), 16, 10).cast("int") % SLOTS
+    # As many ranges as the cluster has room for, by the digest's first 32 bits.
+    slots = SLOTS_EACH * shuffle_parts(spark)
+    slot = F.floor(F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") * slots / (1 << 32)).cast("int")
     # A null id sorts after every other id.
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row")
     level = rows.withColumn("slot", slot).groupBy("run", "slot", *_KEY).agg(F.min(first).alias("first"), F.count(F.lit(1)).alias("group_size"))
