@@ -36,9 +36,11 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a folder of our own only where none is named, as in tests."""
+    """The shared folder the cluster names; a folder of our own only where none is named and all runs on one machine, as in tests."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.conf.get("spark.master", "local").startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own_dirs:
             _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="spark-")
@@ -50,14 +52,29 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+#: The scratch tables of each application that are still there.
+_scratch: dict[str, list[str]] = {}
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    _scratch.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(spark: SparkSession) -> int:
+    """Delete the tables that stored() wrote so far; call it once the results that read them are written. Returns their number."""
+    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for p in paths:
+        at = hadoop(p)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    return len(paths)
+
+
 def slices(batches, rows: int = 1000):
     """Arrow batches cut smaller, so that a task holds the Python objects of few rows at once."""
     for batch in batches:
