@@ -3,9 +3,11 @@
 Only DataFrame functions. A window is similar to an item only if most of its
 shingles are the item's, in whatever order, so windows are laid at every start
 from which enough rolling shingle hashes meet those of items of that size.
-Their fingerprints and those of the items of that size meet in RADIUS + 1
-blocks of bits: two fingerprints within RADIUS agree in one block at least, so
-none is missed. What is within the radius is verified exactly.
+Their 128-bit fingerprints meet those of the items of that size in a
+multi-index of BLOCKS blocks of 16 bits: two fingerprints within RADIUS are
+within NEAR bits in one block at least, and every item is entered under all
+values that near to its own, so none within RADIUS is missed while some 8 % of
+unrelated pairs are looked at. What is within the radius is verified exactly.
 """
 
 from __future__ import annotations
@@ -19,8 +21,11 @@ from runlens.llm.common import corpus, stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
-#: Bits that fingerprints of a window and its item may differ in. At similarity 0.8 some 10 of 64 differ, 20 is three deviations more.
-RADIUS = 20
+#: Blocks of 16 bits in a fingerprint, and the bits that one of them may differ in.
+BLOCKS, NEAR = 8, 3
+#: Bits that fingerprints of a window and its item may differ in: beyond it, every block may be farther than NEAR. At
+#: similarity 0.8 some 19 of 128 differ, the radius is three deviations more.
+RADIUS = BLOCKS * (NEAR + 1) - 1
 #: Documents to lay windows in are preselected by their hash modulo this, the bound of the broadcast table.
 BUCKETS = 1 << 18
 #: Distinct benchmark shingles up to which their table is broadcast; beyond, the join shuffles.
@@ -37,8 +42,8 @@ def shingle_hashes(w: Column, k: int) -> Column:
     return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(1), F.size(w) - (k - 1)), lambda i: F.xxhash64(F.slice(w, i, k)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def fingerprint(hashes: Column) -> Column:
-    """SimHash: each bit by the majority of the shingles, repeated ones as often as they occur; ties give 1."""
+def _signs(hashes: Column) -> Column:
+    """64 bits, each by the majority of the hashes, repeated ones as often as they occur; ties give 1."""
 
     def bit(b: Column) -> Column:
         votes = F.aggregate(hashes, F.lit(0), lambda n, h: n + (F.call_function("shiftrightunsigned", h, b).bitwiseAND(F.lit(1)) * 2 - 1).cast("int"))
@@ -47,10 +52,24 @@ def fingerprint(hashes: Column) -> Column:
     return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
+def fingerprint(hashes: Column) -> Column:
+    """SimHash of 128 bits, as two longs; the second is of the shingles hashed once more."""
+    return F.array(_signs(hashes), _signs(F.transform(hashes, lambda h: F.xxhash64(h, F.lit(1)))))
+
+
 def _block(fp: Column) -> Column:
-    """(block, bits) for each of the RADIUS + 1 blocks."""
-    edges = [i * 64 // (RADIUS + 1) for i in range(RADIUS + 2)]
-    return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("bits")) for i, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+    """(block, bits) for each of the blocks."""
+    return F.array(*(F.struct(F.lit(i).alias("block"), F.shiftrightunsigned(F.get(fp, F.lit(i // 4)), 16 * (i % 4)).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("bits")) for i in range(BLOCKS)))
+
+
+def _entered(blocks: DataFrame) -> DataFrame:
+    """Rows with (block, bits), entered under every value of bits that is within NEAR."""
+    near = F.filter(F.sequence(F.lit(0), F.lit(0xFFFF)), lambda m: F.bit_count(m) <= NEAR)
+    return blocks.withColumn("bits", F.explode(F.transform(near, lambda m: m.bitwiseXOR(F.col("bits")))))
+
+
+def _apart(a: Column, b: Column) -> Column:
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(2)), F.lit(0)).cast("int")
 
 
 def items(benchmark: DataFrame) -> DataFrame:
@@ -119,13 +138,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = windows(corpus(docs), held)
     if found is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, text_hash long, item_id long, n_words int, start_word int, distance int, similarity double")
-    found = stored(found.withColumn("fp", fingerprint(F.col("hashes"))), "windows")
-    blocks = found.select("doc_id", "text_hash", "n_words", "start", "fp", "hashes", F.inline(_block(F.col("fp"))))
-    theirs = held.select("item_id", "n_words", F.col("fp").alias("item_fp"), F.col("hashes").alias("item_hashes"), F.inline(_block(F.col("fp"))))
-    near = (
-        blocks.join(theirs, ["n_words", "block", "bits"]).withColumn("distance", F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))).cast("int")).where(F.col("distance") <= RADIUS)
-        .select("doc_id", "text_hash", "n_words", "start", "item_id", "distance", "hashes", "item_hashes").dropDuplicates(["doc_id", "text_hash", "n_words", "start", "item_id"])
-    )
+    found = stored(found.withColumn("fp", fingerprint(F.col("hashes"))).withColumn("window", F.monotonically_increasing_id()), "windows")
+    blocks = found.select("window", "n_words", "fp", F.inline(_block(F.col("fp"))))
+    theirs = _entered(held.select("item_id", "n_words", F.col("fp").alias("item_fp"), F.col("hashes").alias("item_hashes"), F.inline(_block(F.col("fp")))).select("item_id", "n_words", "item_fp", "block", "bits"))
+    # Only numbers meet in the index; the hashes join what is within the radius.
+    near = blocks.join(theirs, ["n_words", "block", "bits"]).withColumn("distance", _apart(F.col("fp"), F.col("item_fp"))).where(F.col("distance") <= RADIUS).select("window", "item_id", "n_words", "item_fp", "distance").distinct()
+    same = held.select("item_id", "n_words", F.col("fp").alias("item_fp"), F.col("hashes").alias("item_hashes"))
+    near = near.withColumnRenamed("item_id", "_item").join(found.select("window", "doc_id", "text_hash", "start", "hashes"), "window").join(same, ["n_words", "item_fp"]).where(F.col("_item").eqNullSafe(F.col("item_id"))).drop("_item")
 
     def times(a: Column, h: Column) -> Column:
         return F.size(F.filter(a, lambda x: x == h))

@@ -1,6 +1,7 @@
 import re
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from runlens.llm import chat, decontaminate, license_scan
@@ -79,13 +80,38 @@ def test_decontamination_on_odd_rows(spark, odd, nothing):
     assert decontaminate.keep_unmatched(odd, items.where("false")).count() == len(ODD)
 
 
-def test_fingerprints_within_the_radius_share_a_block(spark):
-    rows = [(i, (1 << i) - 1 - (1 << 63) * (i == 64)) for i in range(63)]
-    df = spark.createDataFrame(rows, "i int, fp long")
-    blocks = df.select("i", "fp", F.inline(decontaminate._block(F.col("fp"))))
-    other = df.select(F.col("i").alias("j"), F.col("fp").alias("gp"), F.inline(decontaminate._block(F.col("fp"))))
-    met = {(r.i, r.j) for r in blocks.join(other, ["block", "bits"]).select("i", "j").distinct().collect()}
-    assert {(a, b) for a in range(63) for b in range(63) if abs(a - b) <= decontaminate.RADIUS} <= met
+def test_fingerprints_within_the_radius_meet(spark):
+    """Whatever bits differ, up to RADIUS of them; most of those that differ in half do not meet."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(300):
+        a = rng.integers(0, 2, 128)
+        n = int(rng.integers(0, decontaminate.RADIUS + 1)) if i < 200 else 64
+        b = a.copy()
+        at = rng.choice(128, n, replace=False)
+        b[at] = 1 - b[at]
+        rows.append((i, *([int(np.packbits(x[k : k + 64]).view(">i8")[0]) for k in (0, 64)] for x in (a, b))))
+    df = spark.createDataFrame(rows, "i int, fp array<long>, gp array<long>")
+    blocks = df.select("i", F.inline(decontaminate._block(F.col("fp"))))
+    other = decontaminate._entered(df.select("i", F.inline(decontaminate._block(F.col("gp")))))
+    met = {r.i for r in blocks.join(other, ["i", "block", "bits"]).select("i").distinct().collect()}
+    assert set(range(200)) <= met and len(met) < 230
+    assert all(r.d == bin(int(r.fp[0]) % 2**64 ^ int(r.gp[0]) % 2**64).count("1") + bin(int(r.fp[1]) % 2**64 ^ int(r.gp[1]) % 2**64).count("1") for r in df.withColumn("d", decontaminate._apart(F.col("fp"), F.col("gp"))).collect())
+
+
+def test_recall_at_the_threshold(spark):
+    """Windows with words exchanged at random, as similar as 0.8 to 1: nine of ten that brute force finds are found at least."""
+    rng = np.random.default_rng(9)
+    items = [(i, " ".join(f"i{i}w{rng.integers(10**6)}" for _ in range(int(rng.integers(30, 90))))) for i in range(20)]
+    docs = []
+    for d in range(300):
+        w = items[d % 20][1].split()
+        for at in rng.choice(len(w), int(rng.integers(0, 1 + len(w) // 30)), replace=False):
+            w[at] = f"x{rng.integers(10**6)}"
+        docs.append((d, f"{FILL} {' '.join(w)} {FILL}"))
+    found = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    true = brute_contaminated(docs, [items[0]]) | {p for i in items[1:] for p in brute_contaminated(docs, [i])}
+    assert len(true) > 150 and found <= true and len(found) >= 0.98 * len(true)
 
 
 def test_licenses(spark):
@@ -98,6 +124,19 @@ def test_licenses(spark):
     assert "apache-2.0" in out[6].labels and out[7].n_base == 0 and out[8].n_base == 2
 
 
+def test_license_texts(spark):
+    """Each notice is found whole, with a word changed, and not by a third of it."""
+    held = [(text.split(), label) for text, label in license_scan.TEMPLATES.items()]
+    rows = []
+    for i, (w, _) in enumerate(held):
+        changed = [x if k != len(w) // 2 else "other" for k, x in enumerate(w)]
+        rows += [(3 * i, f"{FILL} {' '.join(w)} {FILL}"), (3 * i + 1, f"{FILL} {' '.join(changed)} {FILL}"), (3 * i + 2, f"{FILL} {' '.join(w[: len(w) // 3])} {FILL}")]
+    out = {r.doc_id: r.labels.split(",") for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, (w, label) in enumerate(held):
+        assert label in out[3 * i] and label not in out[3 * i + 2]
+        assert label in out[3 * i + 1] or len(w) < 25
+
+
 def test_licenses_on_odd_rows(odd, nothing):
     out = license_scan.license_scan(odd).collect()
     split = lambda t: [w for w in re.split(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t or "") if w]
