@@ -1,11 +1,13 @@
 """Toxicity: the nearest labelled examples by exact TF-IDF cosine, found in a block-max inverted index.
 
 Terms are words and the starts of words. A bounded sample of labelled rows
-gives the terms (those that go with the label) and the examples; document
-frequencies are counted over all documents. The index holds each distinct
-example vector once, in blocks, with the largest weight of every term in every
-block: blocks whose bound cannot reach the k-th best cosine are passed over,
-so the k found are exactly the nearest.
+gives the terms (all that go with the label by a chi-square test, however many)
+and the examples; document frequencies are counted over all documents. The
+index holds each distinct example vector once, in blocks, with the largest
+weight of every term in every block: blocks whose bound cannot reach the k-th
+best cosine are passed over, so the k found are exactly the nearest. Their
+votes, weighted by nearness, are calibrated by a logistic fit to the votes that
+the examples get from each other.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ import json
 import math
 import re
 from collections import Counter
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +27,8 @@ from runlens.llm.common import corpus, slices, stored
 
 #: Labelled rows of each class that may become examples (the bound of the fitted model).
 EXAMPLES = 3000
-#: Terms the model may hold, and the least chi-square and number of examples of one.
-TERMS, LEAST_CHI2, LEAST_EXAMPLES = 2048, 30.0, 5
+#: The least chi-square and number of examples of a term: below them its going with the label is chance.
+LEAST_CHI2, LEAST_EXAMPLES = 30.0, 5
 #: Letters in the starts of words that are terms.
 STARTS = (4, 5, 6, 7)
 NEIGHBOURS = 24
@@ -78,6 +80,9 @@ class Model:
     vectors: list[tuple[np.ndarray, np.ndarray]]  # terms and weights of each distinct example, of norm 1; the last term is that of every text
     votes: np.ndarray  # (example, class) weights, such that classes count as often as in all labelled rows
     example: np.ndarray  # smallest doc_id of the rows behind each vector
+    single: np.ndarray = field(default_factory=lambda: np.zeros(2))  # the weight of one row of each class
+    slope: float = 1.0  # of the votes' log odds, as fitted to the examples
+    shift: float = 0.0
 
     def index(self) -> Index:
         return Index(self)
@@ -133,6 +138,16 @@ class Index:
         return rows, cosine[rows]
 
 
+def vote(votes: np.ndarray, cosine: np.ndarray) -> float | None:
+    """The share of label 1 among the votes, each the heavier the nearer it is; None without a vote."""
+    total = (votes / (0.02 + 1 - np.minimum(1, cosine))[:, None]).sum(axis=0)
+    return float(total[1] / total.sum()) if total.sum() > 0 else None
+
+
+def log_odds(share: float) -> float:
+    return math.log((share + 1e-4) / (1 - share + 1e-4))
+
+
 def _vector(model: Model, n_words: int, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
     terms = np.array(sorted(counts), np.int64)
     q = np.array([(1 + math.log(counts[t])) * model.idf[t] for t in terms.tolist()])
@@ -145,10 +160,12 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out=is_he
     """Terms and examples from a sample of at most EXAMPLES labelled rows a class; frequencies from all of ``docs``."""
     spark, docs = docs.sparkSession, corpus(docs)
     known = stored(training_labels(labels, label, held_out), "labels")
+    # Of rows that share an id only one is an example, so that the bound holds.
     share = {r.y: r["count"] for r in known.groupBy("y").count().collect()}
     chosen = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(EXAMPLES) for y in (0, 1)]
     # At most 2 * EXAMPLES rows of two numbers.
-    sample = stored(docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").select("doc_id", "text", "y"), "examples")
+    sample = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sample = stored(sample.select("doc_id", "text", "y"), "examples")
     n = {r.y: r["count"] for r in sample.groupBy("y").count().collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
 
@@ -162,7 +179,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out=is_he
     found = (
         sample.select("text", "y").mapInArrow(terms, "term string, y int").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
         .where((F.col("a") + F.col("b") >= LEAST_EXAMPLES) & (F.col("a") + F.col("b") < n0 + n1)).withColumn("chi2", chi2)
-        .where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").limit(TERMS).collect()
+        .where(F.col("chi2") >= LEAST_CHI2).orderBy(F.desc("chi2"), "term").collect()
     )
     ids = {r.term: i for i, r in enumerate(found)}
     sent = spark.sparkContext.broadcast(ids)
@@ -197,6 +214,39 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", held_out=is_he
     weight = [share.get(y, 0) / max(1, n.get(y, 0)) for y in (0, 1)]
     model.votes = np.array([[(r.rows - r.ones) * weight[0], r.ones * weight[1]] for _, r in held]).reshape(-1, 2)
     model.example = np.array([r.doc_id for _, r in held], np.int64)
+    model.single = np.array(weight)
+    return _calibrated(spark, model) if n0 and n1 else model
+
+
+def _calibrated(spark, model: Model) -> Model:
+    """Slope and shift of the votes' log odds by logistic regression over the examples, each judged by the others."""
+    sent = spark.sparkContext.broadcast(model)
+
+    def judged(batches):
+        m = sent.value
+        index = m.index()
+        for batch in batches:
+            out = []
+            for i in batch.column(0).to_pylist():
+                at, cosine = index.nearest(*index.vectors[i])
+                for y in (0, 1):
+                    if index.votes[i, y] > 0:
+                        votes = index.votes[at].copy()
+                        votes[at == i, y] -= m.single[y]
+                        share = vote(np.maximum(votes, 0), cosine)
+                        if share is not None:
+                            out.append((round(8 * log_odds(share)), y, float(index.votes[i, y])))
+            yield pa.RecordBatch.from_pydict({"bin": pa.array([x[0] for x in out], pa.int32()), "y": pa.array([x[1] for x in out], pa.int32()), "weight": pa.array([x[2] for x in out], pa.float64())})
+
+    rows = spark.range(0, len(model.vectors), 1, 8).mapInArrow(judged, "bin int, y int, weight double").groupBy("bin").agg(F.sum(F.col("weight") * F.col("y")).alias("ones"), F.sum("weight").alias("n")).orderBy("bin").collect()
+    x, ones, n = (np.array([float(r[k]) for r in rows]) for k in ("bin", "ones", "n"))
+    a, w = np.stack([x / 8, np.ones_like(x)]), np.array([1.0, 0.0])
+    for _ in range(50):
+        z = 1 / (1 + np.exp(-np.clip(w @ a, -60, 60)))
+        # A weak pull towards the votes as they are keeps the fit finite where the classes are told apart wholly.
+        grad, hess = a @ (ones - n * z) - (w - [1, 0]), (a * (n * z * (1 - z))) @ a.T + np.eye(2)
+        w = w + np.clip(np.linalg.solve(hess, grad), -0.5, 0.5)
+    model.slope, model.shift = max(0.05, float(w[0])), float(w[1])
     return model
 
 
@@ -216,13 +266,14 @@ class Scorer:
             if len(self.known) >= 20_000:
                 self.known.clear()
             at, cosine = index.nearest(*_vector(m, n_words, counts))
-            votes = (index.votes[at] / (0.02 + 1 - np.minimum(1, cosine))[:, None]).sum(axis=0)
-            self.known[key] = (float(votes[1] / votes.sum()) if votes.sum() else m.base_rate, index.example[at[:3]].tolist(), cosine[:3].round(6).tolist())
+            share = vote(index.votes[at], cosine)
+            calibrated = m.base_rate if share is None else 1 / (1 + math.exp(-max(-60.0, min(60.0, m.shift + m.slope * log_odds(share)))))
+            self.known[key] = (calibrated, index.example[at[:3]].tolist(), cosine[:3].round(6).tolist())
         return self.known[key]
 
 
 def score(docs: DataFrame, model: Model, held_out=is_held_out) -> DataFrame:
-    """(doc_id, held_out, score, predicted, nearest, cosines) per row: votes weighted by nearness, and the examples that cast them.
+    """(doc_id, held_out, score, predicted, nearest, cosines) per row: calibrated votes weighted by nearness, and the examples that cast them.
 
     Texts without words, null ones included, have no neighbours and get the
     share of label 1 among the labelled rows, as every text does when nothing
