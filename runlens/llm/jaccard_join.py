@@ -66,6 +66,8 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     Every shingle of every row is counted: tasks send packed 32-bit
     remainders, dealt by the leading bits, and each range is counted by itself.
+    A shingle that several rows of a slice hold is sent once with its count, so
+    one that a third of all rows hold is a small part of its range.
     """
     lead = max(6, (4 * shuffle_parts(docs.sparkSession) - 1).bit_length())
     shift = 64 - lead - 32
@@ -76,21 +78,36 @@ def _common_shingles(docs: DataFrame) -> tuple[np.ndarray, int]:
             if not sets:
                 continue
             all_ = np.sort(np.concatenate(sets) >> np.uint64(shift))
-            ends = np.searchsorted(all_, (np.arange(1, (1 << lead) + 1, dtype=np.uint64)) << np.uint64(32))
-            starts = np.concatenate([[0], ends[:-1]])
-            used = np.flatnonzero(ends > starts)
-            low = all_.astype(np.uint32)
-            yield pa.RecordBatch.from_pydict({"range": pa.array(used, pa.int32()), "held": pa.array([low[starts[i] : ends[i]].tobytes() for i in used], pa.binary())})
+            first = np.flatnonzero(np.concatenate([all_[:1] == all_[:1], all_[1:] != all_[:-1]]))
+            times = np.diff(np.concatenate([first, [len(all_)]]))
+            parts = []
+            for chosen in (times == 1, times > 1):
+                held = all_[first[chosen]]
+                ends = np.searchsorted(held, (np.arange(1, (1 << lead) + 1, dtype=np.uint64)) << np.uint64(32))
+                parts.append((held.astype(np.uint32), times[chosen].astype(np.uint32), np.concatenate([[0], ends[:-1]]), ends))
+            (once, _, s1, e1), (more, n, s2, e2) = parts
+            used = np.flatnonzero((e1 > s1) | (e2 > s2))
+            out = {"range": pa.array(used, pa.int32()), "once": pa.array([once[s1[i] : e1[i]].tobytes() for i in used], pa.binary())}
+            yield pa.RecordBatch.from_pydict(out | {k: pa.array([x[s2[i] : e2[i]].tobytes() for i in used], pa.binary()) for k, x in (("more", more), ("times", n))})
 
     def count(key, group):
-        low = np.sort(np.concatenate([np.frombuffer(x, np.uint32) for x in group.column("held").to_pylist()]))
-        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]]))
-        rows = np.diff(np.concatenate([first, [len(low)]]))
+        def held(name):
+            return np.concatenate([np.frombuffer(x, np.uint32) for x in group.column(name).to_pylist()])
+
+        low = np.sort(held("once"))
+        first = np.flatnonzero(np.concatenate([low[:1] == low[:1], low[1:] != low[:-1]]))
+        values, rows = low[first], np.diff(np.concatenate([first, [len(low)]]))
+        more, at = np.unique(held("more"), return_inverse=True)
+        n = np.bincount(at, weights=held("times"), minlength=len(more)).astype(np.int64)
+        # Those sent both ways count together.
+        n[np.isin(more, values)] += rows[np.isin(values, more)]
+        alone = ~np.isin(values, more)
+        values, rows = np.concatenate([values[alone], more]), np.concatenate([rows[alone], n])
         often = rows >= COMMON_ROWS
-        v = low[first[often]].astype(np.int64) + (int(key[0].as_py()) << 32)
+        v = values[often].astype(np.int64) + (int(key[0].as_py()) << 32)
         return pa.Table.from_pydict({"v": pa.array(v, pa.int64()), "n_rows": pa.array(rows[often], pa.int64())})
 
-    found = docs.mapInArrow(spread, "range int, held binary").groupBy("range").applyInArrow(count, "v long, n_rows long")
+    found = docs.mapInArrow(spread, "range int, once binary, more binary, times binary").groupBy("range").applyInArrow(count, "v long, n_rows long")
     found = stored(found, "common")
     scale = found.groupBy(F.floor(F.log2(F.col("n_rows") / COMMON_ROWS)).cast("int").alias("times")).count().orderBy(F.desc("times")).collect()
     total, least = 0, None
@@ -352,7 +369,8 @@ def _components(docs: DataFrame, count: bool) -> DataFrame:
 
     roots = stored(components(links.unionByName(more)), "roots")
     placed = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    heads = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    # Stored, so that the join below may be split where very many sets have one root.
+    heads = stored(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "heads")
     named = placed.join(heads, "root")
     if count:
         named = named.join(_degrees(roots, sets.unionByName(others)), "key", "left").withColumn("n_links", F.coalesce("count", F.lit(0)))
