@@ -36,14 +36,19 @@ def _masked(tokens: Column, line: Column) -> Column:
     return F.when(line.rlike("[0-9]"), F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), WILD).otherwise(t))).otherwise(tokens)
 
 
+def _leaf() -> list[Column]:
+    """Where the tree puts tokens: by their number and the leading ones, as two numbers."""
+    leading = [F.coalesce(F.get("tokens", F.lit(i)), F.lit("")) for i in range(LEADING)]
+    return [F.xxhash64(F.size("tokens"), *leading).alias("leaf"), F.xxhash64(F.lit(2), *leading, F.size("tokens")).alias("leaf2")]
+
+
 def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line, tokens, leaf, leaf2) of every line that is not blank."""
+    """(doc_id, text_hash, line, tokens, leaf) of every line that is not blank."""
     # An outer explosion: for an inner one the optimiser adds a filter that splits the text a second time.
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode_outer(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line", "t"))
     lines = lines.select("doc_id", "text_hash", "line", F.trim("t").alias("t")).where("t <> ''").select("doc_id", "text_hash", "line", "t", F.split("t", " ").alias("raw"))
     lines = lines.select("doc_id", "text_hash", "line", _masked(F.col("raw"), F.col("t")).alias("tokens"))
-    leading = [F.coalesce(F.get("tokens", F.lit(i)), F.lit("")) for i in range(LEADING)]
-    return lines.withColumn("leaf", F.xxhash64(F.size("tokens"), *leading)).withColumn("leaf2", F.xxhash64(F.lit(2), *leading, F.size("tokens")))
+    return lines.select("*", _leaf()[0])
 
 
 def recurring(docs: DataFrame) -> DataFrame:
@@ -53,20 +58,22 @@ def recurring(docs: DataFrame) -> DataFrame:
     # At most BUCKETS rows of one number; a leaf that shares its bucket with a busy one is only looked at in vain.
     buckets = stored(busy.select(F.pmod("leaf", F.lit(BUCKETS)).alias("bucket")).distinct(), "leaves")
     near = lines.withColumn("bucket", F.pmod("leaf", F.lit(BUCKETS))).join(F.broadcast(buckets), "bucket", "left_semi")
-    # A token at its place in its leaf is two numbers, a wild card none.
+    masked = F.array_join("tokens", " ")
+    near = stored(near.select("doc_id", "text_hash", "line", masked.alias("masked")).select("*", F.xxhash64("masked").alias("l1"), F.xxhash64(F.lit(2), "masked").alias("l2")), "lines")
+
+    # Each distinct line once, with how often it occurs. A token at its place in its leaf is two numbers.
+    each = stored(near.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("times"), F.any_value("masked").alias("masked")).withColumn("number", F.monotonically_increasing_id()), "distinct")
+    each = each.select("number", "l1", "l2", "times", F.split("masked", " ").alias("tokens")).select("*", *_leaf(), F.size("tokens").alias("n"))
     held = F.transform("tokens", lambda t, i: F.when(t != WILD, F.struct(F.xxhash64("leaf", i, t).alias("h1"), F.xxhash64(t, "leaf2", i).alias("h2"))))
-    near = near.select("doc_id", "text_hash", "line", "leaf", "leaf2", held.alias("places"))
-    same = [F.xxhash64("leaf", "places").alias("l1"), F.xxhash64("places", "leaf2").alias("l2")]
-    near = stored(near.select("doc_id", "text_hash", "line", "leaf", "leaf2", "places", *same), "lines")
-
-    # Each distinct line once, with how often it occurs.
-    times = near.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("times"), F.any_value("leaf").alias("leaf"), F.any_value("leaf2").alias("leaf2"), F.any_value("places").alias("places"))
-    times = stored(times, "distinct")
-    word = times.select("l1", "l2", "leaf", "leaf2", "times", F.size("places").alias("n"), F.posexplode("places").alias("at", "word")).where("word IS NOT NULL").select("*", "word.*").drop("word")
+    each = each.select("number", "l1", "l2", "times", "leaf", "leaf2", "n", F.array_compact(held).alias("words"))
+    word = each.select("number", "times", F.explode_outer("words").alias("word")).select("number", "times", "word.*").where("h1 IS NOT NULL")
     often = stored(word.groupBy("h1", "h2").agg(F.sum("times").alias("n_lines")).where(F.col("n_lines") >= MIN_DOCS).select("h1", "h2"), "constants")
-    # The tokens' hashes tell their places, so what is constant makes up the template.
-    kept = word.join(often, ["h1", "h2"]).groupBy("l1", "l2", "leaf", "leaf2", "n").agg(F.array_sort(F.collect_list(F.struct("at", "h1", "h2"))).alias("kept"))
-    kept = kept.where(F.size("kept") >= CONSTANT * F.col("n")).select("l1", "l2", F.xxhash64("leaf", "kept").alias("t1"), F.xxhash64("kept", "leaf2").alias("t2"))
+    # All tokens of a line that occurs often enough itself are constant; those of the others are looked up.
+    rare = word.where(F.col("times") < MIN_DOCS).select("number", "h1", "h2").join(often, ["h1", "h2"]).groupBy("number").agg(F.collect_list(F.struct("h1", "h2")).alias("kept"))
+    whole = each.where(F.col("times") >= MIN_DOCS).select("l1", "l2", "leaf", "leaf2", "n", F.col("words").alias("kept"))
+    kept = whole.unionByName(each.select("number", "l1", "l2", "leaf", "leaf2", "n").join(rare, "number").drop("number"))
+    # The hashes tell the places too, so what is constant, in any fixed order, is the template.
+    kept = kept.where(F.size("kept") >= CONSTANT * F.col("n")).withColumn("kept", F.array_sort("kept")).select("l1", "l2", F.xxhash64("leaf", "kept").alias("t1"), F.xxhash64("kept", "leaf2").alias("t2"))
     line = stored(near.select("doc_id", "text_hash", "line", "l1", "l2").join(stored(kept, "kept"), ["l1", "l2"]).select("doc_id", "text_hash", "line", "t1", "t2"), "templates")
     many = line.select("t1", "t2", "doc_id", "text_hash").distinct().groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= MIN_DOCS)
     return line.join(stored(many.select("t1", "t2"), "recurring"), ["t1", "t2"]).select("doc_id", "text_hash", "line")
