@@ -57,13 +57,25 @@ def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
 
 
+#: How a number may be written, exponents included.
+_NUMBER = "^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$"
+
+
+def number(text: Column) -> Column:
+    """A text as a double: any way of writing a number, and nan, inf or infinity with or without a sign; else null."""
+    name = F.lower(stripped(text))
+    special = F.when(name.rlike("^[+-]?nan$"), float("nan")).when(name.rlike("^[+]?inf(inity)?$"), float("inf")).when(name.rlike("^-inf(inity)?$"), float("-inf"))
+    return F.when(text.rlike(_NUMBER), stripped(text).try_cast("double")).otherwise(special)
+
+
 def json_number(x: Column) -> Column:
     """A double as text that JSON can hold; non-finite values by name."""
     return F.when(F.isnan(x), "nan").when(x == float("inf"), "inf").when(x == float("-inf"), "-inf").otherwise(x.cast("string"))
 
 
 def from_json_number(x: Column) -> Column:
-    return F.when(F.lower(x).isin("nan"), float("nan")).when(F.lower(x).isin("inf", "+inf"), float("inf")).when(F.lower(x) == "-inf", float("-inf")).otherwise(F.try_to_number(x, F.lit("S" + "9" * 12 + "D" + "9" * 12)).cast("double"))
+    """The double that json_number() wrote; null for what is no number."""
+    return number(x)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -120,5 +132,36 @@ def parse_batch_size(text: str) -> int | str:
 
 
 def config_hash(config: dict) -> str:
-    """The first eight hex digits over the sorted JSON of a configuration."""
-    return hashlib.sha256(json.dumps(config, sort_keys=True, ensure_ascii=False).encode()).hexdigest()[:8]
+    """The first eight hex digits over the sorted JSON of a configuration; what JSON lacks goes by its text."""
+    return hashlib.sha256(json.dumps(config, sort_keys=True, default=str).encode()).hexdigest()[:8]
+
+
+def output_path(tasks: Column, model: Column, day: Column, digest: Column) -> Column:
+    """results/TASKS/MODEL/DAY-DIGEST, tasks sorted and joined by +."""
+    names = F.coalesce(F.nullif(F.array_join(F.array_sort(tasks), "+"), F.lit("")), F.lit("unknown-task"))
+    return F.concat_ws("/", F.lit("results"), names, model_slug(model), F.concat_ws("-", F.date_format(day, "yyyy-MM-dd"), digest))
+
+
+#: Bytes of an element by the name of its type.
+WIDTHS = {"float64": 8, "int64": 8, "float32": 4, "int32": 4, "float16": 2, "bfloat16": 2, "int16": 2, "int8": 1, "uint8": 1, "bool": 1}
+
+
+def n_bytes(shape: Column, dtype: Column) -> Column:
+    """Size of a tensor: elements times the width of its type, null for a type not known."""
+    width = F.create_map(*(F.lit(x) for p in WIDTHS.items() for x in p))
+    return F.aggregate(shape, F.lit(1).cast("long"), lambda n, x: n * x) * F.try_element_at(width, dtype)
+
+
+def brief(values: Column, width: int = 8) -> Column:
+    """The first elements of an array as JSON, and how many more there are."""
+    more = F.greatest(F.size(values) - width, F.lit(0))
+    return F.concat(F.to_json(F.slice(values, 1, width)), F.when(more > 0, F.concat(F.lit(" +"), more.cast("string"))).otherwise(""))
+
+
+def iso_time(ts: Column) -> Column:
+    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+
+
+def session_id(ts: Column, key: Column) -> Column:
+    """A name that sorts by time, made unique by eight hex digits of a key (a uuid for a new session)."""
+    return F.concat_ws("-", F.date_format(ts, "yyyyMMdd'T'HHmmssSSSSSS"), F.substring(F.sha2(key, 256), 1, 8))

@@ -45,10 +45,15 @@ def emitted_tokens(steps: DataFrame, wanted: DataFrame, keys: list[str], step: s
 
 
 def incomplete(rows: DataFrame, expected: DataFrame, by: str, keys: list[str]) -> DataFrame:
-    """(by, keys) that ``expected`` asks of every ``by`` and ``rows`` lacks."""
-    modules = rows.select(by).distinct()
-    asked = expected.select(*keys).distinct().join(F.broadcast(modules))
-    return asked.join(rows.select(by, *keys), [by, *keys], "left_anti")
+    """(by, keys) that ``expected`` asks of every ``by`` and ``rows`` lacks.
+
+    What each key has is gathered first (of the few modules that are hooked),
+    so only what is missing is ever laid out.
+    """
+    modules = rows.agg(F.array_sort(F.collect_set(by)).alias("_all"))
+    held = rows.groupBy(*keys).agg(F.collect_set(by).alias("_held"))
+    asked = expected.select(*keys).distinct().join(held, keys, "left").join(F.broadcast(modules), F.lit(True))
+    return asked.select(F.explode(F.array_except("_all", F.coalesce("_held", F.array().cast(dict(modules.dtypes)["_all"])))).alias(by), *keys)
 
 
 def verdict_counts(docs: DataFrame, keys: list[str], correct: str) -> DataFrame:
@@ -60,9 +65,24 @@ def prompt_hashes(samples: DataFrame, keys: list[str], value: str, order: str) -
     return samples.where(F.col(value).isNotNull() & (F.col(value) != "")).groupBy(*keys).agg(F.max_by(value, order).alias(value))
 
 
-def feature_role(axis: Column, size: Column, heads: Column, width: Column) -> Column:
-    """What an axis of a tensor is: features of the residual stream, heads, positions or other features."""
-    return F.when(axis == "position", "position").when(size == width, "residual").when(size == heads, "head").otherwise("feature")
+def feature_role(is_router_logits: Column, is_router_choice: Column) -> Column:
+    """What a feature index means: an expert in a router's logits, a rank in its weights or choices, else a channel."""
+    return F.when(is_router_logits, "expert").when(is_router_choice, "router_rank").otherwise("channel")
+
+
+def absolute_position(prompt_length: Column, step: Column) -> Column:
+    """Where the token of a step stands in the whole input."""
+    return prompt_length - 1 + step
+
+
+def contexts_by_document(contexts: DataFrame, keys: list[str], order: str, columns: list[str]) -> DataFrame:
+    """The contexts of each document as one list in their order (those of one forward, a few choices)."""
+    return contexts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(order, *columns))).alias("contexts"))
+
+
+def next_ordinal(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """One more than the largest number so far."""
+    return df.groupBy(*keys).agg((F.max(column) + 1).alias("next"))
 
 
 def rolled_shards(docs: DataFrame, order: str, per_shard: int = 500) -> DataFrame:

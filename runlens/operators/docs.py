@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from runlens.functions.scalar import argmax, stripped
+from runlens.functions.scalar import argmax, number, stripped
 
 #: Metrics that tell a verdict, in order of preference.
 VERDICT_METRICS = ("acc", "exact_match", "acc_norm", "em", "f1")
@@ -28,17 +28,21 @@ def verdict(metrics: dict[str, Column], declared: Column | None = None) -> Colum
     """Whether the first metric that is present says 1; null if none is, or it is no number.
 
     ``metrics`` has for each name an expression that is null where the metric
-    is absent and its text otherwise.
+    is absent and its text otherwise ("null" for a null). ``declared``, a
+    struct with is_correct, comes first wherever it is there.
     """
-    value = F.coalesce(*([declared] if declared is not None else []), *(metrics[m] for m in VERDICT_METRICS if m in metrics))
-    return F.expr("CAST(NULL AS DOUBLE)").isNotNull() if value is None else (F.try_to_number(value, F.lit("S999999999D999999")).cast("double") == 1.0)
+    held = [metrics[m] for m in VERDICT_METRICS if m in metrics]
+    value = F.coalesce(*held) if held else F.lit(None).cast("string")
+    truth = F.when(F.lower(value).isin("true", "false"), F.lower(value) == "true").otherwise(number(value) == 1.0)
+    return truth if declared is None else F.when(declared.isNotNull(), declared["is_correct"]).otherwise(truth)
 
 
-def gold_choice(target: Column, choices: Column) -> Column:
-    """The place a target names: a whole number in range, else the choice with its text, white space aside; else null."""
-    number = F.try_to_number(F.when(stripped(target).rlike("^-?\\d{1,9}$"), stripped(target)), F.lit("S999999999")).cast("int")
-    at = F.array_position(F.transform(choices, stripped), stripped(target)) - 1
-    return F.when((number >= 0) & (number < F.size(choices)), number).otherwise(F.when(at >= 0, at.cast("int")))
+def gold_choice(target: Column, choices: Column, n_choices: Column | None = None) -> Column:
+    """The place a target names: a whole number, null out of range; else the first choice with its text, white space aside; else null."""
+    n = F.size(choices) if n_choices is None else n_choices
+    place = F.when(stripped(target).rlike("^[+-]?\\d+$"), stripped(target).try_cast("int"))
+    at = (F.array_position(F.transform(choices, stripped), stripped(target)) - 1).cast("int")
+    return F.when(stripped(target).rlike("^[+-]?\\d+$"), F.when((place >= 0) & (place < n), place)).otherwise(F.when((at >= 0) & (at < n), at))
 
 
 def choice_rows(samples: DataFrame, keys: list[str], logprobs: str, choices: str, target: str, passed: list[str] = ()) -> DataFrame:
@@ -85,3 +89,63 @@ def doc_set_hash(docs: DataFrame, keys: list[str], task: str, doc: str) -> DataF
     """The first 16 hex digits of the hash over the sorted task:doc lines of each run, repeats included."""
     line = F.concat_ws(":", F.col(task).cast("string"), F.col(doc).cast("string"))
     return docs.groupBy(*keys).agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256), 1, 16).alias("doc_id_set_hash"))
+
+
+def is_scored(responses: Column) -> Column:
+    """Whether an array of VARIANT responses tells choices by their log probabilities: the first is a list. None is generated."""
+    return F.coalesce(F.startswith(F.schema_of_variant(F.get(responses, F.lit(0))), F.lit("ARRAY")), F.lit(False))
+
+
+def docs_from_samples(samples: DataFrame, record: str = "record", order: str = "line") -> DataFrame:
+    """The table of documents from harness records (VARIANT), in their order.
+
+    Of each task the records of the primary filter count, and those without
+    one: a row per choice where responses carry log probabilities, else one
+    row per document. The verdict is the record's own contract or that of the
+    first metric present.
+    """
+    v = F.col(record)
+    get = lambda path, kind: F.try_variant_get(v, path, kind)
+    metrics = {m: F.when(get(f"$.{m}", "variant").isNotNull(), F.coalesce(get(f"$.{m}", "string"), F.lit("null"))) for m in VERDICT_METRICS}
+    contract = F.when(get("$._eval_framework", "variant").isNotNull(), F.struct(get("$._eval_framework.is_correct", "boolean").alias("is_correct")))
+    rows = samples.select(
+        F.col(order).alias("_order"), get("$.task_name", "string").alias("task_name"), get("$.doc_id", "long").alias("doc_id"), get("$.filter", "string").alias("filter"), get("$._eval_framework.primary_filter", "string").alias("_declared"),
+        F.coalesce(get("$.target", "string"), F.lit("None")).alias("target"), F.coalesce(get("$.filtered_resps", "array<variant>"), F.array().cast("array<variant>")).alias("_resps"),
+        F.coalesce(get("$.arguments", "array<array<string>>"), F.array().cast("array<array<string>>")).alias("_args"), verdict(metrics, contract).alias("is_correct"),
+    )
+    first = primary_filters(rows, ["task_name"], "filter", "_order", "_declared")
+    rows = rows.join(first, "task_name", "left").where(F.col("filter").isNull() | (F.col("filter") == F.col("primary_filter")))
+    rows = rows.withColumn("_scored", is_scored(F.col("_resps"))).withColumn("_text", F.transform("_args", lambda a: F.get(a, F.lit(1))))
+    rows = rows.withColumn("_p", F.when(F.col("_scored"), F.transform("_resps", lambda r: F.try_variant_get(r, "$[0]", "double"))))
+    rows = rows.withColumn("_best", argmax(F.col("_p")).cast("int")).withColumn("_gold", gold_choice(F.col("target"), F.array_compact("_text"), F.size("_p")))
+    scored, kept = F.col("_scored"), ["task_name", "doc_id"]
+    rows = rows.select(
+        *kept, "is_correct", "_scored", "_gold", "filter",
+        F.when(scored, F.coalesce(F.get("_text", F.col("_best")), F.col("_best").cast("string"))).otherwise(F.coalesce(F.try_variant_get(F.get("_resps", F.lit(0)), "$", "string"), F.lit(""))).alias("predicted"),
+        F.when(scored, F.coalesce(F.get("_text", F.col("_gold")), "target")).otherwise(F.col("target")).alias("target"),
+        F.posexplode(F.when(scored, F.col("_p")).otherwise(F.array(F.lit(None).cast("double")))).alias("choice_idx", "choice_logprob"),
+    )
+    is_target = F.when(F.col("_scored"), F.coalesce(F.col("choice_idx") == F.col("_gold"), F.lit(False))).otherwise(True)
+    return rows.select(*kept, "choice_idx", "is_correct", is_target.alias("is_target_choice"), "predicted", "target", "choice_logprob", "filter")
+
+
+def scalar_fields(rows: DataFrame, keys: list[str], document: str) -> DataFrame:
+    """(keys, field, value): the texts, numbers and booleans of a JSON document, as text; lists, objects and nulls are left out.
+
+    True and False are written so; numbers keep their JSON text.
+    """
+    kinds = F.from_json(document, "map<string,variant>")
+    texts = F.from_json(document, "map<string,string>")
+    each = rows.select(*keys, F.explode(texts).alias("field", "value"), kinds.alias("_kinds"))
+    kind = F.schema_of_variant(F.try_element_at("_kinds", F.col("field")))
+    value = F.when(kind == "BOOLEAN", F.initcap("value")).otherwise(F.col("value"))
+    return each.where(~F.startswith(kind, F.lit("ARRAY")) & ~F.startswith(kind, F.lit("OBJECT")) & (kind != "VOID")).select(*keys, "field", value.alias("value"))
+
+
+def choices_of(docs: DataFrame, keys: list[str], choice: str, flag: str, target: str) -> DataFrame:
+    """Per document: its number of rows, whether its choices are numbered from 0 without a hole, its last gold choice and its target."""
+    c = F.col(choice)
+    return docs.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n_rows"), ((F.min(c) == 0) & (F.max(c) + 1 == F.countDistinct(c))).alias("is_whole"), F.countDistinct(c).alias("n_choices"),
+        F.max(F.when(F.col(flag), c)).alias("gold_choice"), F.min_by(target, c).alias("target"),
+    )

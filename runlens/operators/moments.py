@@ -25,12 +25,13 @@ def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     )
 
 
-def merge(parts: DataFrame, keys: list[str]) -> DataFrame:
+def merge(parts: DataFrame, keys: list[str], *more: Column) -> DataFrame:
     """The moments of all rows behind partial moments; a part without finite values changes counts only.
 
     Squares are taken about the common mean, in a second aggregation, so that
     nothing is lost to cancellation. Both combine on the map side, so a group
-    with very many parts costs no more than others.
+    with very many parts costs no more than others. ``more`` are further
+    aggregates over the parts, taken along.
     """
     whole = parts.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("observations"),
@@ -38,6 +39,7 @@ def merge(parts: DataFrame, keys: list[str]) -> DataFrame:
         (F.sum(F.col("finite_count") * F.col("mean")) / F.nullif(F.sum("finite_count"), F.lit(0))).alias("mean"),
         F.min("min").alias("min"),
         F.max("max").alias("max"),
+        *more,
     )
     apart = parts.join(whole.select(*keys, F.col("mean").alias("_mean")), keys)
     squares = apart.groupBy(*keys).agg(F.sum(F.col("m2") + F.col("finite_count") * F.pow(F.col("mean") - F.col("_mean"), 2)).alias("m2"))
@@ -56,19 +58,43 @@ def pool_calls(observations: DataFrame, forwards: DataFrame, group: list[str], d
 
 def pool_documents(samples: DataFrame, group: list[str]) -> DataFrame:
     """Per group: pooled moments over all values, and moments of the documents' means, each document counting once."""
-    pooled = merge(samples.drop("observations"), group).withColumnsRenamed({"mean": "pooled_mean", "m2": "pooled_m2", "observations": "documents"})
-    pooled = pooled.withColumn("pooled_std", _deviation(F.col("pooled_m2"), F.col("finite_count")))
-    each = samples.groupBy(*group).agg(
-        F.sum("observations").alias("observations"),
-        F.count("mean").alias("finite_documents"),
-        F.avg("mean").alias("sample_mean"),
-        F.stddev_pop("mean").alias("sample_mean_std"),
-        F.min("mean").alias("sample_mean_min"),
-        F.max("mean").alias("sample_mean_max"),
-        F.when(F.count("mean") > 1, F.stddev_samp("mean")).alias("sample_mean_sample_std"),
-        F.when(F.count("mean") > 1, F.stddev_samp("mean") / F.sqrt(F.count("mean"))).alias("sample_mean_sem"),
+    mean, n = F.col("mean"), F.count("mean")
+    each = (
+        F.sum("observations").alias("_observations"),
+        n.alias("finite_documents"),
+        F.avg(mean).alias("sample_mean"),
+        F.stddev_pop(mean).alias("sample_mean_std"),
+        (F.var_pop(mean) * n).alias("sample_mean_m2"),
+        F.min(mean).alias("sample_mean_min"),
+        F.max(mean).alias("sample_mean_max"),
+        F.when(n > 1, F.stddev_samp(mean)).alias("sample_mean_sample_std"),
+        F.when(n > 1, F.stddev_samp(mean) / F.sqrt(n)).alias("sample_mean_sem"),
     )
-    return pooled.join(each, group)
+    pooled = merge(samples, group, *each).withColumnsRenamed({"mean": "pooled_mean", "m2": "pooled_m2", "observations": "documents", "_observations": "observations"})
+    return pooled.withColumn("pooled_std", _deviation(F.col("pooled_m2"), F.col("finite_count")))
+
+
+def overflowing(parts: DataFrame) -> Column:
+    """Whether finite values gave a mean or squares that are not: such moments are left out, not kept as null or infinite."""
+    return (F.col("finite_count") > 0) & ~F.coalesce(is_finite(F.col("mean")) & is_finite(F.col("m2")), F.lit(False))
+
+
+def recorded(parts: DataFrame, keys: list[str], reason: str = "moment_overflow") -> tuple[DataFrame, DataFrame]:
+    """(the moments that may be kept, how many were left out by keys and reason)."""
+    out = parts.where(overflowing(parts)).groupBy(*keys).agg(F.count(F.lit(1)).alias("count")).withColumn("reason", F.lit(reason))
+    return parts.where(~overflowing(parts)), out
+
+
+def observe_arrays(df: DataFrame, keys: list[str], array: str) -> DataFrame:
+    """Moments of each row's array, taken within the row: nothing is shuffled."""
+    x = F.transform(array, lambda v: v.cast("double"))
+    out = df.select(*keys, x.alias("_x")).withColumn("_f", F.filter("_x", is_finite))
+    n = F.size("_f")
+    mean = F.when(n > 0, F.aggregate("_f", F.lit(0.0), lambda s, v: s + v) / n)
+    out = out.withColumn("mean", mean)
+    m2 = F.when(n > 0, F.aggregate("_f", F.lit(0.0), lambda s, v: s + (v - F.col("mean")) * (v - F.col("mean"))))
+    counts = {"nan": F.isnan, "posinf": lambda v: v == float("inf"), "neginf": lambda v: v == float("-inf")}
+    return out.select(*keys, F.size("_x").cast("long").alias("count"), n.cast("long").alias("finite_count"), *(F.size(F.filter("_x", f)).cast("long").alias(k) for k, f in counts.items()), "mean", m2.alias("m2"), F.array_min("_f").alias("min"), F.array_max("_f").alias("max"))
 
 
 def numeric_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -84,21 +110,24 @@ def axis_moments(df: DataFrame, keys: list[str], array: str) -> DataFrame:
     return moments(df.select(*keys, F.posexplode(array).alias("axis_index", "_value")), [*keys, "axis_index"], "_value")
 
 
-def extremes(df: DataFrame, keys: list[str], array: str, k: int) -> DataFrame:
+def extremes(df: DataFrame, keys: list[str], array: str, k: int, features: int | None = None) -> DataFrame:
     """The k finite elements of largest magnitude per row: flat place, signed value, rank from 0; the first place wins a tie.
 
-    Each row's array is ranked in place, so nothing is shuffled.
+    With the number of features in a position, the position and feature of
+    each too. Each row's array is ranked in place, so nothing is shuffled.
     """
     held = F.transform(F.col(array), lambda x, i: F.struct((-F.abs(x.cast("double"))).alias("order"), i.alias("place"), x.cast("double").alias("value")))
+    place = [] if features is None else [F.floor(F.col("s.place") / features).alias("position"), (F.col("s.place") % features).alias("feature")]
     top = F.slice(F.array_sort(F.filter(held, lambda s: is_finite(s["value"]))), 1, k)
-    return df.select(*keys, F.posexplode(top).alias("abs_rank", "s")).select(*keys, "abs_rank", F.col("s.place").alias("flat_index"), F.col("s.value").alias("value"))
+    return df.select(*keys, F.posexplode(top).alias("abs_rank", "s")).select(*keys, "abs_rank", F.col("s.place").alias("flat_index"), *place, F.col("s.value").alias("value"))
 
 
 def coverage(modules: DataFrame, observations: DataFrame, exclusions: DataFrame, key: str = "module") -> DataFrame:
-    """Every module with its numbers of observations and exclusions, 0 without any."""
-    seen = observations.groupBy(key).agg(F.count(F.lit(1)).alias("observation_count"))
+    """Every module with its numbers of observations, of the calls they come from and of exclusions, 0 without any."""
+    calls = [F.countDistinct("call").alias("call_count")] if "call" in observations.columns else []
+    seen = observations.groupBy(key).agg(F.count(F.lit(1)).alias("observation_count"), *calls)
     out = exclusions.groupBy(key).agg(F.sum("count").alias("exclusion_count"))
-    return modules.join(seen, key, "left").join(out, key, "left").fillna(0, ["observation_count", "exclusion_count"])
+    return modules.join(seen, key, "left").join(out, key, "left").fillna(0, ["observation_count", "exclusion_count", *["call_count"] * len(calls)])
 
 
 def exclusion_counts(events: DataFrame, keys: list[str]) -> DataFrame:

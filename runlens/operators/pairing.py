@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.functions.scalar import stripped
+from runlens.operators.docs import choices_of
+
 
 def shared_by_all(docs: DataFrame, run: str, key: str) -> DataFrame:
     """Keys that every run has."""
@@ -52,8 +55,36 @@ def mapped(docs: DataFrame, mapping: DataFrame, run: str, doc: str, canonical: s
 def evidence(choice_idx: Column, choice_ids: Column, answer_id: Column, target: Column, invalid: Column | None = None) -> Column:
     """What tells the gold answer, as kind:value: the named choice, its place, an answer id or the target's text."""
     named = F.try_element_at(choice_ids, choice_idx + 1)
-    out = F.when(F.lit(False) if invalid is None else invalid, F.lit("invalid:")).when(named.isNotNull(), F.concat(F.lit("choice_id:"), named))
-    return out.when(choice_idx.isNotNull(), F.concat(F.lit("choice:"), choice_idx.cast("string"))).when(answer_id.isNotNull(), F.concat(F.lit("answer_id:"), answer_id)).when(target.isNotNull(), F.concat(F.lit("target:"), F.lower(F.trim(target))))
+    out = F.when(F.lit(False) if invalid is None else invalid, F.lit("invalid:canonical_choice_ids_do_not_match_choices")).when(named.isNotNull(), F.concat(F.lit("choice_id:"), named))
+    return out.when(choice_idx.isNotNull(), F.concat(F.lit("choice:"), choice_idx.cast("string"))).when(answer_id.isNotNull(), F.concat(F.lit("answer_id:"), answer_id)).when(target.isNotNull(), F.concat(F.lit("target:"), stripped(target)))
+
+
+def choices_of_documents(docs: DataFrame) -> DataFrame:
+    """choices_of() for the table of documents with run and doc."""
+    return choices_of(docs, ["run", "doc"], "choice_idx", "is_target_choice", "target")
+
+
+def gold_positions(choices: DataFrame, keys: list[str], choice_ids: Column | None = None, answer_id: Column | None = None) -> DataFrame:
+    """(keys, gold) of rows that choices_of() gives: where the gold answer is, by canonical ids where a mapping has them.
+
+    Ids that repeat, or do not fit the document's choices one to one, are
+    invalid; a document without a gold choice tells its target only if it is
+    a single row, else nothing.
+    """
+    ids = F.lit(None).cast("array<string>") if choice_ids is None else choice_ids
+    wrong = ids.isNotNull() & ~(F.col("is_whole") & (F.size(ids) == F.col("n_choices")) & (F.size(F.array_distinct(ids)) == F.size(ids)))
+    gold = evidence(F.col("gold_choice"), ids, F.lit(None).cast("string") if answer_id is None else answer_id, F.col("target"), F.col("gold_choice").isNotNull() & wrong)
+    return choices.where(F.col("gold_choice").isNotNull() | (F.col("n_rows") == 1)).select(*keys, gold.alias("gold"))
+
+
+def mapping_of_runs(mapping: DataFrame, datasets: DataFrame) -> DataFrame:
+    """Mapping rows with the run that each language names: a data set's label or its task, the first in order.
+
+    ``datasets`` has run, label, task and nth. Languages that name none are left out.
+    """
+    names = datasets.select("run", "nth", F.explode(F.array(F.struct(F.col("label").alias("language"), F.lit(0).alias("kind")), F.struct(F.col("task").alias("language"), F.lit(1).alias("kind")))).alias("n")).select("run", "nth", "n.*")
+    first = names.groupBy("language").agg(F.min_by("run", F.struct("nth", "kind")).alias("run"))
+    return mapping.join(first, "language")
 
 
 def answer_status(rows: DataFrame, key: str, run: str, gold: str) -> DataFrame:
@@ -104,3 +135,14 @@ def coverage_counts(table: DataFrame, series: str, status: str) -> DataFrame:
 def new_work(asked: DataFrame, recorded: DataFrame, keys: list[str]) -> DataFrame:
     """What is asked for and not recorded yet."""
     return asked.join(recorded.select(*keys), keys, "left_anti")
+
+
+def example_rows(chosen: DataFrame, runs: DataFrame, answers: DataFrame, depths: DataFrame | None = None) -> DataFrame:
+    """Every chosen document (bucket, key) with every run: what it answered and where it settled, nulls where it has neither.
+
+    ``chosen`` is a few documents of each bucket and ``runs`` a few runs, so
+    each document is given the list of runs and laid out.
+    """
+    every = runs.agg(F.array_sort(F.collect_set("run")).alias("_runs"))
+    out = chosen.join(F.broadcast(every), F.lit(True)).withColumn("run", F.explode("_runs")).drop("_runs").join(answers, ["run", "key"], "left")
+    return out if depths is None else out.join(depths, ["run", "key"], "left")

@@ -22,12 +22,18 @@ def screen(runs: DataFrame, schema_version: str, versions: str = "reducer_versio
     return joined.withColumn("reason", reasons((~F.coalesce(F.col("completed"), F.lit(False)), "not completed"), (~F.col("schema_version").eqNullSafe(F.lit(schema_version)), "another schema version"), (~F.col(versions).eqNullSafe(F.col("majority")), "reducer versions of a minority"))).drop("majority")
 
 
-def labelled_groups(runs: DataFrame, by: list[str], vocab: str = "vocab_size") -> DataFrame:
-    """Groups of runs equal in ``by``: size, letter (A for the largest) and whether vocabularies mix."""
+def groups_of_runs(runs: DataFrame, by: list[str], vocab: str = "vocab_size") -> DataFrame:
+    """Groups of runs equal in ``by``: size and whether vocabularies mix."""
     groups = runs.groupBy(*by).agg(F.count(F.lit(1)).alias("n_runs"), F.countDistinct(vocab).alias("n_vocab"))
-    # A handful of groups: the window over all of them is small.
-    nth = F.row_number().over(Window.orderBy(F.desc("n_runs"), *by))
-    return groups.withColumn("label", F.char(64 + nth)).withColumn("mixed_vocab", F.col("n_vocab") > 1)
+    return groups.withColumn("mixed_vocab", F.col("n_vocab") > 1)
+
+
+def labelled_groups(runs: DataFrame, by: list[str], vocab: str = "vocab_size") -> DataFrame:
+    """The groups of one report with their letter, A for the largest; after Z come AA, AB and so on."""
+    # A report has a handful of groups: the window over all of them is small.
+    nth = F.row_number().over(Window.orderBy(F.desc("n_runs"), *by)) - 1
+    letter = F.concat(F.when(nth >= 26, F.char(64 + F.floor(nth / 26))).otherwise(""), F.char(65 + nth % 26))
+    return groups_of_runs(runs, by, vocab).withColumn("label", letter)
 
 
 def language_groups(runs: DataFrame, by: list[str], task: str) -> DataFrame:
@@ -51,6 +57,26 @@ def headline_scores(results: DataFrame, keys: list[str], metric: str, value: str
     return each.groupBy(*keys).agg(F.min_by(F.struct(F.col("_m").alias("metric"), "score"), F.struct("_rank", "_m")).alias("s")).select(*keys, "s.*")
 
 
+def protocol_scores(results: DataFrame, protocols: DataFrame, runs: DataFrame) -> DataFrame:
+    """(run, score) of runs that declare a protocol: the declared metric and filter of their only task, else null.
+
+    ``results`` is (run, task, metric, value) with metric,filter names,
+    ``protocols`` (run, task, primary_metric, primary_filter), ``runs`` (run,
+    tasks). Runs without a protocol are left out: headline_scores() has theirs.
+    """
+    single = runs.join(protocols.select("run").distinct(), "run", "left_semi").select("run", F.when(F.size("tasks") == 1, F.get("tasks", F.lit(0))).alias("task"))
+    wanted = single.join(protocols, ["run", "task"], "left").withColumn("metric", F.concat_ws(",", "primary_metric", "primary_filter"))
+    return wanted.join(results, ["run", "task", "metric"], "left").select("run", F.col("value").alias("score"))
+
+
+def named_reference(runs: DataFrame, group: list[str], series: str, text: str) -> DataFrame:
+    """The run of each group whose series contains a text; more or fewer than one is an error."""
+    found = runs.where(F.contains(series, F.lit(text)))
+    if bad := runs.select(*group).distinct().join(found.groupBy(*group).count(), group, "left").where("count IS NULL OR count <> 1").take(1):
+        raise ValueError(f"{text!r} names {bad[0]['count'] or 0} runs of {bad[0].asDict()}")
+    return found
+
+
 def reference_runs(scores: DataFrame, group: list[str], score: str, run: str, higher: Column | bool = True) -> DataFrame:
     """The best run of each group; the first run among equals, runs without a score last."""
     signed = F.when(F.lit(higher) if isinstance(higher, bool) else higher, F.col(score)).otherwise(-F.col(score))

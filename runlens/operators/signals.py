@@ -64,3 +64,14 @@ def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.corr(x, y).alias("r"), F.count(F.lit(1)).alias("n"))
+
+
+def document_depth(depths: DataFrame, keys: list[str], order: list[str], depth: str = "depth") -> DataFrame:
+    """One depth per document: that of the last choice and step."""
+    return depths.groupBy(*keys).agg(F.max_by(depth, F.struct(*order)).alias(depth))
+
+
+def join_metrics(signals: DataFrame, metrics: DataFrame, keys: list[str]) -> DataFrame:
+    """Signals with a metric of their document, null without one; several metric rows of a document are refused."""
+    refuse_duplicates(metrics, keys)
+    return signals.join(metrics, keys, "left")

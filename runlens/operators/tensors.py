@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,3 +71,54 @@ def split_values(values: Column, layout: str, heads: int, head_dim: int, parts:
     if layout == "fused_per_head":
         return F.flatten(F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), lambda h: F.slice(values, h * parts * head_dim + at * head_dim + 1, head_dim)))
     raise ValueError(f"unknown layout {layout!r}")
+
+
+def with_token_text(lens: DataFrame, vocabulary: DataFrame, token: str = "lens_token_id") -> DataFrame:
+    """The likeliest token's text and whether it is special, from a vocabulary (token_id, text, is_special); null for ids it lacks."""
+    held = vocabulary.select(F.col("token_id").alias(token), F.col("text").alias("lens_token"), F.col("is_special").alias("lens_is_special"))
+    return lens.join(held, token, "left")
+
+
+def hidden_rows(df: DataFrame, keys: list[str], layer: str, step: str, vector: str, layers: list[int]) -> DataFrame:
+    """The vectors of the chosen layers, as one list per document and layer in the order of their steps."""
+    kept = df.where(F.col(layer).isin(*layers))
+    return kept.groupBy(*keys, layer).agg(F.transform(F.array_sort(F.collect_list(F.struct(step, vector))), lambda s: s[vector]).alias("steps"))
+
+
+@dataclass(frozen=True)
+class Reducer:
+    """A named, versioned reduction of array rows to a table; runs compare only if their versions agree."""
+
+    name: str
+    version: str
+    table: str
+    reduce: Callable[[DataFrame], DataFrame]
+
+
+#: Reducers by name; register() adds a user's.
+REDUCERS: dict[str, Reducer] = {}
+
+
+def register(reducer: Reducer) -> Reducer:
+    if reducer.name in REDUCERS:
+        raise ValueError(f"there is a reducer {reducer.name} already")
+    REDUCERS[reducer.name] = reducer
+    return reducer
+
+
+def descriptors(names: list[str]) -> list[dict[str, str]]:
+    """What a manifest tells of the reducers of a run."""
+    return [{"name": n, "version": REDUCERS[n].version, "table": REDUCERS[n].table} for n in sorted(names)]
+
+
+def reduce_all(df: DataFrame, names: list[str]) -> dict[str, DataFrame]:
+    """The table of each reducer; two may not write one table."""
+    chosen = [REDUCERS[n] for n in names]
+    if len({r.table for r in chosen}) < len(chosen):
+        raise ValueError("two reducers write one table")
+    return {r.table: r.reduce(df) for r in chosen}
+
+
+_LENS_KEYS = ["task_name", "doc_id", "choice_idx", "step", "layer"]
+register(Reducer("logit_lens", "1", "signals", lambda df: logit_lens(df, _LENS_KEYS, "logits", "target")))
+register(Reducer("layer_similarity", "1", "similarity", lambda df: similarity(df, _LENS_KEYS[:4], "layer", "hidden")))

@@ -12,9 +12,23 @@ def enriched(enters: DataFrame, details: DataFrame, call: list[str], order: str,
     return enters.join(last, call, "left")
 
 
-def forward_index(events: DataFrame, keys: list[str], order: str, event: str, phase: str) -> DataFrame:
-    """Per forward: the number of calls that began and the phase of the first event."""
-    return events.groupBy(*keys).agg(F.count_if(F.col(event) == "enter").alias("n_enters"), F.min_by(phase, order).alias("phase"))
+def forward_index(events: DataFrame, keys: list[str], order: str, event: str, phase: str, headers: DataFrame | None = None) -> DataFrame:
+    """Per forward: the number of calls that began, the phase of the first event and what its header tells (samples, batch rows)."""
+    out = events.groupBy(*keys).agg(F.count_if(F.col(event) == "enter").alias("n_enters"), F.min_by(phase, order).alias("phase"))
+    return out if headers is None else out.join(headers, keys, "left")
+
+
+def numbered_calls(events: DataFrame, session: list[str], order: str, event: str) -> DataFrame:
+    """Events numbered from 0 in their session, with the number of the call (enter) and of the forward (header) they fall in."""
+    w = Window.partitionBy(*session).orderBy(order)
+    return events.withColumn("i", F.row_number().over(w) - 1).withColumn("call", F.count_if(F.col(event) == "enter").over(w)).withColumn("forward_id", F.count_if(F.col(event) == "forward").over(w))
+
+
+def session_summary(events: DataFrame, session: list[str], order: str, event: str) -> DataFrame:
+    """Per session: whether it failed (calls that were unwound, exits that close nothing), and its deepest open call."""
+    held = calls(events, session, order, event)
+    out = held.groupBy(*session).agg(F.count_if(F.col("status") == "closed").alias("n_closed"), F.count_if(F.col("status") == "unwound").alias("n_unwound"), F.count_if(F.col("status") == "orphan").alias("n_orphans"), F.max("depth").alias("deepest"), F.max_by("enter", F.when(F.col("status") == "unwound", F.struct("depth", "enter"))).alias("deepest_open"))
+    return out.withColumn("healthy", (F.col("n_unwound") == 0) & (F.col("n_orphans") == 0))
 
 
 def depths(events: DataFrame, session: list[str], order: str, event: str) -> DataFrame:

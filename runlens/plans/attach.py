@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from runlens.operators import pairing
 
 #: Why a document is left out, in the order in which it is told.
-EXCLUSIONS = ("unmapped", "duplicate_mapping_rows", "many_to_one", "counterpart_many_to_one", "not_in_every_language", "unverifiable", "disagree")
+EXCLUSIONS = ("unmapped", "duplicate_mapping_rows", "many_to_one", "counterpart_many_to_one", "no_identity_field", "strict_no_identity", "not_in_every_language")
 
 
 def attach_pairing(docs: DataFrame, fields: DataFrame | None = None, mapping: DataFrame | None = None, pair_on: str | None = None, strict: bool = False) -> tuple[DataFrame, str]:
@@ -16,8 +16,8 @@ def attach_pairing(docs: DataFrame, fields: DataFrame | None = None, mapping: Da
 
     A mapping comes first, then "position" if it is asked for, then the named
     field, then the one field that qualifies; several that qualify are
-    ambiguous and refused; with none, strict refuses and otherwise documents
-    pair by position, that is by their own id.
+    ambiguous and refused; with none, documents pair by position, that is by
+    their own id, or not at all where strict.
     """
     if mapping is not None and pair_on is not None:
         raise ValueError("a mapping and a field cannot both be given")
@@ -36,31 +36,64 @@ def attach_pairing(docs: DataFrame, fields: DataFrame | None = None, mapping: Da
         if good:
             kind, chosen = "field", good[0]
     if chosen is None and strict:
-        raise ValueError("no field pairs the documents")
+        # Nothing identifies a document, and its position may not.
+        return docs.select("run", "doc", F.lit(None).cast("string").alias("pair_key"), F.lit("strict_no_identity").alias("pairing_status")), "none"
     if chosen is None:
         keyed = docs.select("run", "doc", F.col("doc").cast("string").alias("pair_key"))
     else:
         keyed = docs.select("run", "doc").join(fields.where(F.col("field") == chosen).select("run", "doc", F.col("value").alias("pair_key")), ["run", "doc"], "left")
     shared = pairing.shared_by_all(keyed, "run", "pair_key").withColumn("_shared", F.lit(True))
     out = keyed.join(shared, "pair_key", "left")
-    return out.select("run", "doc", "pair_key", F.when(F.col("_shared"), "paired").otherwise("not_in_every_language").alias("pairing_status")), kind
+    status = F.when(F.col("_shared"), "paired").when(F.col("pair_key").isNull(), "no_identity_field").otherwise("not_in_every_language")
+    return out.select("run", "doc", "pair_key", status.alias("pairing_status")), kind
 
 
-def pairing_table(paired: DataFrame, gold: DataFrame, assume_aligned: bool = False) -> DataFrame:
-    """A row per document with both statuses and the first reason that excludes it, null if none.
+def answer_statuses(paired: DataFrame, gold: DataFrame) -> DataFrame:
+    """(pair_key, answer_status) of the paired documents, by the gold evidence (run, doc, gold) of all their runs."""
+    rows = paired.where("pairing_status = 'paired'").join(gold, ["run", "doc"], "left")
+    return pairing.answer_status(rows, "pair_key", "run", "gold")
 
-    ``gold`` is (run, doc, gold). Assuming alignment keeps documents whose
-    evidence disagrees or cannot be verified.
+
+def pairing_table(paired: DataFrame, gold: DataFrame, series: DataFrame, kind: str, field: str | None = None, mapping_sha256: str | None = None, label: str = "A") -> DataFrame:
+    """A row per graded document of every run: whether and how it pairs, why not, and what its answer key tells.
+
+    ``paired`` is (run, doc, task_name, doc_id, pair_key, pairing_status),
+    ``gold`` (run, doc, gold) with evidence as kind:value, ``series`` (run,
+    series, model, num_fewshot, language). Pairing and answers are told apart:
+    a paired document may have an answer key that disagrees.
     """
     rows = paired.join(gold, ["run", "doc"], "left")
-    status = pairing.answer_status(rows.where("pairing_status = 'paired'"), "pair_key", "run", "gold")
-    out = rows.join(status, "pair_key", "left")
-    reason = F.when(F.col("pairing_status") != "paired", F.col("pairing_status"))
-    if not assume_aligned:
-        reason = reason.when(F.col("answer_status") != "agree", F.col("answer_status"))
-    return out.select("run", "doc", "pair_key", "pairing_status", "answer_status", "gold", reason.alias("exclusion"))
+    rows = rows.join(answer_statuses(paired, gold), "pair_key", "left").join(series, "run", "left")
+    is_paired = F.col("pairing_status") == "paired"
+    return rows.select(
+        F.lit(label).alias("group"), "model", "num_fewshot", "series", "language", F.col("run").alias("run_path"), "task_name", "doc_id", F.lit(kind).alias("pairing_source"),
+        F.lit(field).cast("string").alias("pairing_field"), F.lit(mapping_sha256).cast("string").alias("mapping_sha256"), F.col("pair_key").alias("canonical_doc_id"),
+        F.when(is_paired, "paired").otherwise("excluded").alias("pairing_status"), F.when(~is_paired, F.col("pairing_status")).alias("exclusion_reason"),
+        F.substring_index("gold", ":", 1).alias("gold_evidence"), F.when(F.col("gold").isNotNull(), F.expr("substr(gold, locate(':', gold) + 1)")).alias("gold_value"),
+        F.when(is_paired, F.when(F.col("gold").isNull(), "no_gold_evidence").otherwise(F.col("answer_status"))).alias("answer_status"),
+    )
+
+
+def comparable_keys(statuses: DataFrame, assume_aligned: bool = False) -> DataFrame:
+    """Keys whose documents may be compared across languages: those that agree where the group is aligned; all where that is asserted, else none."""
+    aligned = pairing.alignment(statuses).select("aligned")
+    out = statuses.join(F.broadcast(aligned), F.lit(True))
+    keep = F.col("aligned") & (F.col("answer_status") == "agree")
+    return out.where(keep | ~F.col("aligned") if assume_aligned else keep).select("pair_key")
+
+
+def coverage(table: DataFrame) -> DataFrame:
+    """Per series: its documents, how many are paired and a map of what excludes the others."""
+    counts = table.groupBy("group", "series", "run_path", F.coalesce("exclusion_reason", F.lit("paired")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    excluded = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("outcome") != "paired", F.struct("outcome", "n")))))
+    return counts.groupBy("group", "series", "run_path").agg(F.sum("n").alias("documents"), F.sum(F.when(F.col("outcome") == "paired", F.col("n")).otherwise(0)).alias("paired"), excluded.alias("excluded"))
+
+
+def evidence_kinds(gold: DataFrame) -> DataFrame:
+    """How many documents tell their gold answer by which kind of evidence."""
+    return gold.where("gold IS NOT NULL").groupBy(F.substring_index("gold", ":", 1).alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def provenance(table: DataFrame) -> DataFrame:
-    """Per run: rows, how many are kept, and how many each reason excludes."""
-    return table.groupBy("run", F.coalesce("exclusion", F.lit("kept")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    """Per run: documents by what excludes them, or by what their answers tell."""
+    return table.groupBy("run_path", F.coalesce("exclusion_reason", "answer_status", F.lit("paired")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))

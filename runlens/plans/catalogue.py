@@ -2,36 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions import scalar
 from runlens.operators import checks, collect, docs, moments, pairing, runs, signals, tensors, trace
 from runlens.plans import attach
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None):
-    """Register a function (read) -> DataFrame, where read gives a table by name."""
-
-    def put(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            df = f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
-            # Ordinals and counts are one type throughout.
-            return df.withColumns({c: F.col(c).cast("long") for c, kind in df.dtypes if kind == "int"})
-
-        run.__name__, run.__doc__ = f.__name__, f.__doc__
-        QUERIES[f.__name__] = run
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return put
-
+from runlens.plans.registry import ORACLE_SQL, QUERIES, query  # noqa: F401
 
 def _rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
@@ -127,12 +104,12 @@ def primary_filter(read):
 
 
 @query("""
-WITH s AS (SELECT event_id, CASE WHEN event_type = 'click' THEN NULL WHEN event_type = 'error' THEN 'n/a' ELSE (event_id % 2)::varchar END AS acc, CASE WHEN event_type IN ('click', 'view') THEN (value > 50)::int::varchar END AS em FROM events)
+WITH s AS (SELECT event_id, CASE WHEN event_type = 'click' THEN NULL WHEN event_type = 'error' THEN 'n/a' WHEN event_type = 'view' THEN (value / 100)::varchar WHEN event_type = 'purchase' THEN '1e' || (event_id % 2) ELSE (event_id % 2)::varchar END AS acc, CASE WHEN event_type IN ('click', 'view') THEN (value > 50)::int::varchar END AS em FROM events)
 SELECT event_id, TRY_CAST(coalesce(acc, em) AS double) = 1 AS is_correct FROM s""")
 def verdict_by_presence(read):
     """The verdict of the first metric that is present, null where that is no number."""
     kind = F.col("event_type")
-    acc = F.when(kind == "click", None).when(kind == "error", "n/a").otherwise((F.col("event_id") % 2).cast("string"))
+    acc = F.when(kind == "click", None).when(kind == "error", "n/a").when(kind == "view", (F.col("value") / 100).cast("string")).when(kind == "purchase", F.concat(F.lit("1e"), (F.col("event_id") % 2).cast("string"))).otherwise((F.col("event_id") % 2).cast("string"))
     em = F.when(kind.isin("click", "view"), (F.col("value") > 50).cast("int").cast("string"))
     return read("events").select("event_id", docs.verdict({"acc": acc, "em": em}).alias("is_correct"))
 
@@ -228,9 +205,9 @@ def moments_dataset_two_stage(read):
     """Calls pooled per document, documents pooled per group; only complete forwards count."""
     forwards = read("orders").select(F.col("o_orderkey").alias("forward"), F.when(F.col("o_orderstatus") != "P", "complete").otherwise("incomplete").alias("status"))
     calls = _with_values(read).withColumn("forward", F.col("l_orderkey"))
-    calls = moments.moments(calls, ["forward", "l_returnflag", "l_linestatus", "l_orderkey", "l_partkey", "l_linenumber", "l_suppkey", "l_shipdate", "l_extendedprice", "l_quantity", "l_discount", "l_tax"], "value")
+    calls = moments.moments(calls, ["forward", "l_returnflag", "l_linestatus", "l_orderkey", "l_partkey"], "value")
     samples = moments.pool_calls(calls, forwards, ["l_returnflag", "l_linestatus"], "l_orderkey")
-    # Rows that repeat in all columns are one call of several values here, so observations are the values.
+    # Lines of one part are one call of several values here, so observations are the values.
     out = moments.pool_documents(samples.withColumn("observations", F.col("count")), ["l_returnflag", "l_linestatus"])
     out = _rounded(out, 4, "pooled_mean", "pooled_std", "sample_mean", "sample_mean_std", "sample_mean_sem")
     return out.select("l_returnflag", "l_linestatus", "documents", "finite_documents", "observations", "pooled_mean", "pooled_std", "sample_mean", "sample_mean_std", "sample_mean_sem")
@@ -254,9 +231,11 @@ def extremes_topk(read):
     return _rounded(moments.extremes(read("embeddings"), ["vec_id"], "embedding", 8), 6, "value")
 
 
-@query("""SELECT l_returnflag, round(min(l_extendedprice), 2) AS min, round(max(l_extendedprice), 2) AS max, round(avg(l_extendedprice), 4) AS mean, round(stddev_pop(l_extendedprice), 4) AS std, round(quantile_disc(l_extendedprice, 0.5), 2) AS median, 0::bigint AS nan, 0::bigint AS inf FROM lineitem GROUP BY 1""")
+@query(f"""WITH v AS (SELECT *, {_value_sql()} AS value FROM lineitem), f AS (SELECT *, CASE WHEN isfinite(value) THEN value END AS x FROM v)
+SELECT l_returnflag, round(min(x), 2) AS min, round(max(x), 2) AS max, round(avg(x), 4) AS mean, round(stddev_pop(x), 4) AS std, round(quantile_disc(x, 0.5), 2) AS median, count(*) FILTER (isnan(value)) AS nan, count(*) FILTER (isinf(value)) AS inf FROM f GROUP BY 1""")
 def lower_median_numeric_stats(read):
-    return _rounded(_rounded(moments.numeric_summary(read("lineitem"), ["l_returnflag"], "l_extendedprice"), 2, "min", "max", "median"), 4, "mean", "std")
+    """What a trace tells of a tensor, non-finite values among its own."""
+    return _rounded(_rounded(moments.numeric_summary(_with_values(read), ["l_returnflag"], "value"), 2, "min", "max", "median"), 4, "mean", "std")
 
 
 @query("""SELECT c_mktsegment, c_custkey AS module, (SELECT count(*) FROM orders o WHERE o.o_custkey = c.c_custkey) AS observation_count, coalesce((SELECT sum(CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END) FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT'), 0)::bigint AS exclusion_count FROM customer c""")
@@ -297,10 +276,11 @@ def median_depth_and_corr(read):
 
 @query("""
 WITH n AS (SELECT *, sqrt(list_dot_product(embedding::double[], embedding::double[])) AS nn FROM embeddings)
-SELECT a.label, a.vec_id AS layer_i, b.vec_id AS layer_j, round(list_dot_product(a.embedding::double[], b.embedding::double[]) / (a.nn * b.nn), 6) AS cos FROM n a JOIN n b ON a.label = b.label AND a.vec_id <= b.vec_id""")
+SELECT a.vec_id // 32 AS doc_id, a.vec_id AS layer_i, b.vec_id AS layer_j, round(list_dot_product(a.embedding::double[], b.embedding::double[]) / (a.nn * b.nn), 6) AS cos FROM n a JOIN n b ON a.vec_id // 32 = b.vec_id // 32 AND a.vec_id <= b.vec_id""")
 def layer_similarity_triangle(read):
-    """Cosines of all layers i <= j of a document."""
-    return _rounded(tensors.similarity(read("embeddings"), ["label"], "vec_id", "embedding"), 6, "cos")
+    """Cosines of all layers i <= j of a document, which has 32 of them."""
+    rows = read("embeddings").withColumn("doc_id", F.floor(F.col("vec_id") / 32))
+    return _rounded(tensors.similarity(rows, ["doc_id"], "vec_id", "embedding"), 6, "cos")
 
 
 @query("""
@@ -361,7 +341,7 @@ def group_by_model_vocab_gate(read):
     from runlens.schema import OWN_VOCABULARY
 
     parts = read("part")
-    groups = runs.labelled_groups(parts, ["p_brand", "p_type"], "p_size")
+    groups = runs.groups_of_runs(parts, ["p_brand", "p_type"], "p_size")
     names = ["target_percentile", "cos", "lens_prob"]
     columns = parts.sparkSession.createDataFrame([(n, n not in OWN_VOCABULARY) for n in names], "signal string, comparable boolean")
     held = groups.select("p_brand", "p_type", F.explode(F.array(*map(F.lit, names))).alias("signal"))
@@ -496,11 +476,11 @@ def examples_per_bucket(read):
 
 
 @query("""
-WITH d AS (SELECT role AS run, conv_id AS doc, sha256(string_agg(left(text, 1), '' ORDER BY turn, text)) AS h FROM conversations WHERE role <> 'system' GROUP BY 1, 2) SELECT doc FROM d GROUP BY doc HAVING count(DISTINCT run) = 2 AND count(DISTINCT h) = 1""")
+WITH d AS (SELECT o_custkey AS doc, o_orderstatus AS run, sha256(string_agg(o_orderpriority, '|' ORDER BY o_orderkey)) AS h FROM orders GROUP BY 1, 2) SELECT doc FROM d GROUP BY doc HAVING count(DISTINCT run) = 3 AND count(DISTINCT h) = 1""")
 def comparable_prompts(read):
-    """Documents whose prompt is the same in every run."""
-    c = read("conversations").where("role <> 'system'").groupBy(F.col("role").alias("run"), F.col("conv_id").alias("doc")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return pairing.same_prompts(c.withColumn("h", F.sha2(F.array_join(F.transform("t", lambda t: F.left(t["text"], F.lit(1))), ""), 256)), "doc", "run", "h")
+    """Documents whose whole prompt is the same in every run: the priorities of a customer's orders, by status."""
+    o = read("orders").groupBy(F.col("o_custkey").alias("doc"), F.col("o_orderstatus").alias("run")).agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "o_orderpriority"))).alias("t"))
+    return pairing.same_prompts(o.withColumn("h", F.sha2(F.array_join(F.transform("t", lambda t: t["o_orderpriority"]), "|"), 256)), "doc", "run", "h")
 
 
 # Keys, resumption and validation
@@ -526,12 +506,12 @@ def duplicate_keys(read):
 
 
 @query("""
-WITH d AS (SELECT (doc_id - doc_id % 10 * (doc_id % 3 // 2))::varchar AS id, CASE WHEN doc_id % 17 = 0 THEN '  ' ELSE left(text, 20) END AS question, string_split(left(coalesce(text, ''), 30), ' ') AS choices, (doc_id % 6)::int - 1 AS label, doc_id FROM documents), t AS (SELECT id, count(*) AS n FROM d GROUP BY 1)
+WITH d AS (SELECT (doc_id - doc_id % 10 * (doc_id % 3 // 2))::varchar AS id, CASE WHEN doc_id % 17 = 0 THEN '  ' ELSE text END AS question, string_split(coalesce(text, ''), ' ') AS choices, (doc_id % 6)::int - 1 AS label, doc_id FROM documents), t AS (SELECT id, count(*) AS n FROM d GROUP BY 1)
 SELECT doc_id, CASE WHEN trim(id) = '' THEN 'missing id' WHEN n > 1 THEN 'repeated id' WHEN question IS NULL OR trim(question, ' ') = '' THEN 'blank question' WHEN len(choices) < 2 THEN 'fewer than two choices' WHEN len(list_filter(choices, lambda c: trim(c, ' ') = '')) > 0 THEN 'blank choice' WHEN label < 0 OR label >= len(choices) THEN 'label out of range' END AS problem FROM d JOIN t USING (id)""")
 def benchmark_validation_report(read):
     """Benchmark items with the first rule that each breaks."""
     i = F.col("doc_id")
-    d = read("documents").select("doc_id", (i - i % 10 * F.floor(i % 3 / 2)).cast("string").alias("id"), F.when(i % 17 == 0, "  ").otherwise(F.left("text", F.lit(20))).alias("question"), F.split(F.left(F.coalesce("text", F.lit("")), F.lit(30)), " ").alias("choices"), ((i % 6).cast("int") - 1).alias("label"))
+    d = read("documents").select("doc_id", (i - i % 10 * F.floor(i % 3 / 2)).cast("string").alias("id"), F.when(i % 17 == 0, "  ").otherwise(F.col("text")).alias("question"), F.split(F.coalesce("text", F.lit("")), " ").alias("choices"), ((i % 6).cast("int") - 1).alias("label"))
     return checks.benchmark_problems(d).select("doc_id", "problem")
 
 
@@ -703,18 +683,34 @@ def tensor_layouts(read):
 
 @query(f"""
 WITH p AS ({_PARTS}), g AS (SELECT run, doc, {_GOLD} AS gold FROM p), e AS (SELECT doc, count(DISTINCT gold) AS nv, count(DISTINCT split_part(gold, ':', 1)) AS nk, count(*) FILTER (gold IS NULL) AS bad FROM g GROUP BY doc HAVING count(DISTINCT run) = 3)
-SELECT run, CASE WHEN e.doc IS NULL THEN 'not_in_every_language' WHEN bad > 0 OR nk > 1 THEN 'unverifiable' WHEN nv > 1 THEN 'disagree' ELSE 'kept' END AS outcome, count(*) AS n FROM g LEFT JOIN e USING (doc) GROUP BY 1, 2""")
+SELECT 'A' AS "group", 'model' AS model, 0::bigint AS num_fewshot, 'series ' || run AS series, lower(run) AS language, run AS run_path, 'parts' AS task_name, g.doc AS doc_id, 'position' AS pairing_source, NULL::varchar AS pairing_field, NULL::varchar AS mapping_sha256, g.doc::varchar AS canonical_doc_id,
+CASE WHEN e.doc IS NULL THEN 'excluded' ELSE 'paired' END AS pairing_status, CASE WHEN e.doc IS NULL THEN 'not_in_every_language' END AS exclusion_reason, split_part(gold, ':', 1) AS gold_evidence, split_part(gold, ':', 2) AS gold_value,
+CASE WHEN e.doc IS NOT NULL THEN CASE WHEN gold IS NULL THEN 'no_gold_evidence' WHEN bad > 0 OR nk > 1 THEN 'unverifiable' WHEN nv > 1 THEN 'disagree' ELSE 'agree' END END AS answer_status FROM g LEFT JOIN e USING (doc)""")
+def pairing_table(read):
+    """A row per document and run: how it pairs, why not, and what its answer key tells."""
+    rows = _gold(read)
+    paired, kind = attach.attach_pairing(rows.select("run", "doc"), pair_on="position")
+    paired = paired.withColumn("task_name", F.lit("parts")).withColumn("doc_id", F.col("doc"))
+    series = rows.select("run").distinct().select("run", F.concat(F.lit("series "), "run").alias("series"), F.lit("model").alias("model"), F.lit(0).alias("num_fewshot"), F.lower("run").alias("language"))
+    return attach.pairing_table(paired, rows.select("run", "doc", "gold"), series, kind)
+
+
+@query(f"""
+WITH p AS ({_PARTS}), e AS (SELECT doc FROM p GROUP BY doc HAVING count(DISTINCT run) = 3) SELECT 'A' AS "group", run AS series, run AS run_path, count(*) AS documents, count(e.doc) AS paired, coalesce('not_in_every_language=' || nullif(count(*) - count(e.doc), 0), '') AS excluded FROM p LEFT JOIN e USING (doc) GROUP BY run""")
 def pairing_provenance(read):
-    """Documents paired by position, with what excludes the others."""
+    """Per run, how many documents pair and what excludes the others."""
     rows = _gold(read)
-    paired, _ = attach.attach_pairing(rows.select("run", "doc"), pair_on="position")
-    return attach.provenance(attach.pairing_table(paired, rows.select("run", "doc", "gold")))
+    paired, kind = attach.attach_pairing(rows.select("run", "doc"), pair_on="position")
+    series = rows.select("run").distinct().select("run", F.col("run").alias("series"), F.lit("model").alias("model"), F.lit(0).alias("num_fewshot"), F.lit(None).cast("string").alias("language"))
+    table = attach.pairing_table(paired.withColumn("task_name", F.lit("parts")).withColumn("doc_id", F.col("doc")), rows.select("run", "doc", "gold"), series, kind)
+    out = attach.coverage(table)
+    return out.withColumn("excluded", F.array_join(F.transform(F.map_entries("excluded"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
 
 
 @query("""SELECT event_type, CASE WHEN value > 95 THEN 'nan' WHEN value > 90 THEN 'posinf' WHEN value > 85 THEN 'neginf' ELSE 'finite' END AS state, count(*) AS n, count(*) AS n_read FROM events GROUP BY 1, 2""")
 def nonfinite_round_trip(read):
     """Values by their state, written as JSON numbers and read back to the same."""
     v = F.col("value")
-    x = F.when(v > 95, float("nan")).when(v > 90, float("inf")).when(v > 85, float("-inf")).otherwise(F.floor(v).cast("double"))
+    x = F.when(v > 95, float("nan")).when(v > 90, float("inf")).when(v > 85, float("-inf")).when(v < 20, v * 1e-7).when(v < 40, v * 1e15).otherwise(v / 3)
     rows = read("events").select("event_type", x.alias("x")).withColumn("back", scalar.from_json_number(scalar.json_number(F.col("x"))))
     return rows.groupBy("event_type", scalar.weight_state(F.col("x")).alias("state")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("x").eqNullSafe(F.col("back"))).alias("n_read"))

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from runlens.functions.scalar import relative_depth
+from runlens.operators import docs as documents
 from runlens.operators import moments, pairing, runs, signals
-from runlens.schema import AXIS_GROUP, GROUP
+from runlens.plans import attach
+from runlens.schema import AXIS_GROUP, GROUP, TABLES
 
 
 def partition_runs(candidates: DataFrame, schema_version: str, by: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -17,28 +20,74 @@ def partition_runs(candidates: DataFrame, schema_version: str, by: list[str]) ->
     return fit.join(groups.select(*by, "label"), by), groups, screened.where("reason IS NOT NULL")
 
 
-def comparison_report(rows: DataFrame, groups: DataFrame, columns: DataFrame, names: list[str], n_blocks: int) -> DataFrame:
-    """Depth curves of all grouped runs; signals tied to a vocabulary are left out where vocabularies mix."""
-    held = groups.select("label", F.explode(F.array(*map(F.lit, names))).alias("signal"), "mixed_vocab")
-    allowed = held.join(F.broadcast(columns), "signal").where(F.col("comparable") | ~F.col("mixed_vocab")).select("label", "signal")
-    long = signals.comparison(rows, ["label", "run"], "layer", names, n_blocks, "residual")
-    return long.join(F.broadcast(allowed), ["label", "signal"], "left_semi")
+#: The signals of a comparison (fixed values): table, column, layer column, layer domain.
+COMPARISON = (
+    ("signals", "lens_prob", "layer", "residual"),
+    ("signals", "target_percentile", "layer", "residual"),
+    ("signals", "target_rank", "layer", "residual"),
+    ("similarity", "cos", "layer_i", "pair"),
+    ("attn_norm", "value_norm", "block", "block"),
+)
 
 
-def pairing_report(rows: DataFrame, key: str, run: str, gold: str) -> tuple[DataFrame, DataFrame]:
-    """(a row per document and run with its pairing and answer status, the alignment)."""
-    shared = pairing.shared_by_all(rows, run, key).withColumn("pairing_status", F.lit("paired"))
-    status = pairing.answer_status(rows, key, run, gold)
-    table = rows.join(shared, key, "left").join(status, key, "left").fillna({"pairing_status": "not_in_every_language"})
-    return table, pairing.alignment(status)
+def comparison_report(tables: dict[str, DataFrame], runs_: DataFrame) -> DataFrame:
+    """Depth curves of all grouped runs, every signal of COMPARISON that a run has.
 
+    ``tables`` holds signals, similarity and attn_norm with the path of each
+    row's run; ``runs_`` (run, label, n_blocks, mixed_vocab). Similarity
+    counts between neighbouring layers only. Signals tied to a vocabulary are
+    left out of groups where vocabularies mix.
+    """
+    parts = []
+    for table, column, index, domain in COMPARISON:
+        rows = tables[table]
+        rows = signals.adjacent(rows) if table == "similarity" else rows
+        if not TABLES[table][column].metadata["comparable_across_vocab"]:
+            rows = rows.join(F.broadcast(runs_.where("NOT mixed_vocab").select("run")), "run", "left_semi")
+        long = rows.select("run", F.col(index).alias("layer_index"), F.col(column).cast("double").alias("value"))
+        curve = long.where(F.col("value").isNotNull() & ~F.isnan("value")).groupBy("run", "layer_index").agg(F.avg("value").alias("value"), F.count(F.lit(1)).alias("n_rows"))
+        parts.append(curve.withColumn("signal", F.lit(column)).withColumn("layer_domain", F.lit(domain)))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    # A row per run of one report.
+    out = out.join(F.broadcast(runs_), "run")
+    depth_domain = F.when(F.col("layer_domain") == "residual", "residual").otherwise("block")
+    return out.withColumn("relative_depth", relative_depth(F.col("layer_index"), F.col("n_blocks"), depth_domain))
 
-def examples_report(rows: DataFrame, key: str, run: str, correct: str, reference: str, per_bucket: int = 3) -> DataFrame:
-    """What every run made of a few documents of each bucket."""
-    buckets = pairing.agreement(rows, key, run, correct, reference)
-    chosen = pairing.stratified(buckets, ["bucket"], key, per_bucket)
-    # A few rows for each of five buckets.
-    return rows.join(F.broadcast(chosen), key)
+
+def pairing_report(docs: DataFrame, series: DataFrame, fields: DataFrame | None = None, mapping: DataFrame | None = None, pair_on: str | None = None, strict: bool = False, mapping_sha256: str | None = None, label: str = "A") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(the pairing table, the alignment, the statuses by pair key) of the documents of one group's runs.
+
+    ``docs`` has the columns of the table of documents and run; ``mapping``
+    (run, doc, canonical, choice_ids, answer_id) brings canonical ids.
+    """
+    rows = docs.withColumn("doc", F.concat_ws("#", "task_name", F.col("doc_id").cast("string")))
+    each = rows.groupBy("run", "doc").agg(F.min("task_name").alias("task_name"), F.min("doc_id").alias("doc_id"))
+    paired, kind = attach.attach_pairing(each.select("run", "doc"), fields, mapping.select("run", "doc", "canonical") if mapping is not None else None, pair_on, strict)
+    gold = pairing.choices_of_documents(rows)
+    if mapping is None:
+        gold = pairing.gold_positions(gold, ["run", "doc"])
+    else:
+        gold = pairing.gold_positions(gold.join(mapping.select("run", "doc", "choice_ids", "answer_id").dropDuplicates(["run", "doc"]), ["run", "doc"], "left"), ["run", "doc"], F.col("choice_ids"), F.col("answer_id"))
+    table = attach.pairing_table(paired.join(each, ["run", "doc"]), gold, series, kind, pair_on if kind == "field" else None, mapping_sha256, label)
+    status = attach.answer_statuses(paired, gold)
+    return table, pairing.alignment(status), status
+
+
+def examples_report(docs: DataFrame, keys: DataFrame, reference: str, depths: DataFrame | None = None, per_bucket: int = 3) -> DataFrame:
+    """What every run made of a few documents of each bucket, where it settled, and which run is the reference.
+
+    ``docs`` has the columns of the table of documents, run and key; ``keys``
+    (key) are those that compare.
+    """
+    held = docs.join(keys.distinct(), "key", "left_semi")
+    verdicts = documents.last_verdicts(held, ["run", "key"], "is_correct", "choice_idx")
+    buckets = pairing.agreement(verdicts, "key", "run", "is_correct", reference).where("bucket <> 'mixed'")
+    chosen = pairing.stratified(buckets, ["bucket"], "key", per_bucket)
+    answers = documents.first_answers(held, ["run", "key"], ["task_name", "doc_id", "predicted", "target", "is_correct"], "choice_idx")
+    out = pairing.example_rows(chosen, held.select("run"), answers, depths)
+    return out.withColumn("is_reference", F.col("run") == reference)
 
 
 def module_statistics(observations: DataFrame, forwards: DataFrame, axis_stats: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -9,8 +9,9 @@ import urllib.error
 import urllib.request
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 #: Answers after which a request is made again.
 RETRIED = (408, 429, 500, 502, 503, 504)
@@ -56,7 +57,7 @@ def judge(work: DataFrame, url: str, prompt, score, metrics: list[str]) -> DataF
     """(identity, status, scores) of each row of (identity, record): ``prompt`` makes messages of a record, ``score`` numbers of an answer.
 
     Requests are made from tasks. A failure is a row of its own and does not
-    end the job; journal() keeps only successes from being asked again.
+    end the job; add_to_journal() keeps all, and to_ask() asks again what has no success.
     """
 
     def rows(batches):
@@ -75,3 +76,27 @@ def judge(work: DataFrame, url: str, prompt, score, metrics: list[str]) -> DataF
 def to_ask(asked: DataFrame, journal: DataFrame) -> DataFrame:
     """Rows whose identity has no success in the journal."""
     return asked.join(journal.where("status = 'success'").select("identity").distinct(), "identity", "left_anti")
+
+
+_JOURNAL = "identity string, status string, scores map<string,double>, written timestamp"
+
+
+def journal(spark: SparkSession, path: str) -> DataFrame:
+    """One row per identity: its first success, else its last other status."""
+    try:
+        rows = spark.read.schema(_JOURNAL).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        rows = spark.createDataFrame([], _JOURNAL)
+    done = F.col("status") == "success"
+    since = F.unix_micros("written")
+    rank = F.struct(done.alias("done"), F.when(done, -since).otherwise(since).alias("at"))
+    return rows.groupBy("identity").agg(F.max_by(F.struct("status", "scores", "written"), rank).alias("j")).select("identity", "j.*")
+
+
+def add_to_journal(answers: DataFrame, path: str) -> None:
+    """Append (identity, status, scores); a status is pending, success or failed."""
+    if bad := answers.where(~F.col("status").isin("pending", "success", "failed")).take(1):
+        raise ValueError(f"not a status: {bad[0].status}")
+    answers.select("identity", "status", "scores", F.current_timestamp().alias("written")).write.mode("append").parquet(path)

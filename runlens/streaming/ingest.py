@@ -43,6 +43,12 @@ def sessions(events: DataFrame, ts: str, keys: list[str], gap: str, late: str =
     return out.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), *keys, "n")
 
 
+def module_counters(events: DataFrame, module: str, event: str) -> DataFrame:
+    """Calls, observations and exclusions of each module so far, as counters kept in the state store (output mode update)."""
+    kinds = {"calls": "enter", "observations": "observe", "exclusions": "exclude"}
+    return events.groupBy(module).agg(*(F.count_if(F.col(event) == kind).alias(name) for name, kind in kinds.items()))
+
+
 def open_calls(events: DataFrame, session: str, order: str, event: str) -> DataFrame:
     """Calls as they close: (session, enter, exit, depth, status), orphan exits included.
 

@@ -1,7 +1,7 @@
 import pytest
 from oracle import same
 
-from runlens.plans.catalogue import ORACLE_SQL, QUERIES
+from runlens.plans.queries import ORACLE_SQL, QUERIES
 
 
 def test_every_query_has_sql():

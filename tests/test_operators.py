@@ -1,4 +1,6 @@
+import hashlib
 import math
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +153,16 @@ def test_benchmark_items(spark):
 def test_refusals():
     with pytest.raises(ValueError, match="lacks"):
         checks.refuse_missing({})
+    for bad in ({"extremes": 3}, {"extremes": 3, "extremes_modules": "m"}, {"module_stats": True, "axes": "other", "axes_modules": "m"}, {"modules": "("}, {"routing": "m"}):
+        with pytest.raises(ValueError):
+            checks.StatisticsOptions(**bad)
+    judge = {"endpoint": "https://judge/v1", "model": "m", "prompt": "p", "score": "s"}
+    checks.refuse_judge({"output_type": "generate_until"}, {"scoring": "llm_judge", "judge": judge})
+    for more in ({"endpoint": "ftp://x"}, {"endpoint": "https://a:b@judge"}, {"timeout": 0}, {"max_retries": 11}, {"other": 1}, {"generation_kwargs": {"model": 1}}, {"model": " "}):
+        with pytest.raises(ValueError):
+            checks.refuse_judge({"output_type": "generate_until"}, {"scoring": "llm_judge", "judge": judge | more})
+    with pytest.raises(ValueError):
+        checks.refuse_judge({}, {"judge": judge})
     assert checks.resume_problems({"a": 1}, {"a": 2}) == ["a: 1 was recorded, 2 is asked for"]
     with pytest.raises(ValueError):
         schema.hook_schema(["doc_id"])
@@ -186,6 +198,47 @@ def test_hook_selectors(spark):
         hooks.hook_metrics(df, ["k"], "a", lambda x: {"z": x.sum(axis=1)}, ["s"]).collect()
 
 
+def test_hook_specs(spark):
+    good = {"name": "h", "version": "1", "metrics": {"s": "sum"}, "observe": lambda x: {"s": x.sum(axis=1)}, "modules": ("a",)}
+    hooks.HookSpec(**good)
+    for bad in ({"name": "1h"}, {"version": ""}, {"modules": ()}, {"module_pattern": "x"}, {"modules": (), "module_pattern": "("}, {"modules": ("a", "a")}, {"positions": "all"}, {"position_range": (3, 1)}, {"doc_ids": (-1,)},
+                {"max_rows": -1}, {"pass_name": "other"}, {"collection_resume": True}, {"metrics": {}}, {"metrics": {"step": "x"}}, {"observe": 1}):
+        with pytest.raises(ValueError):
+            hooks.HookSpec(**(good | bad))
+    df = spark.createDataFrame([(1, 0, 0, [1.0]), (2, 0, 0, [2.0])], "doc_id int, position int, step int, a array<float>")
+    with pytest.raises(ValueError, match="bound"):
+        hooks.run_hook(df, hooks.HookSpec(**(good | {"max_rows": 1})), ["doc_id"], "a")
+    assert hooks.run_hook(df, hooks.HookSpec(**(good | {"max_rows": 1, "doc_ids": (2,)})), ["doc_id"], "a").first().s == 2.0
+
+
+def test_reducers(spark):
+    df = spark.createDataFrame([("t", 1, 0, 0, layer, [1.0, 2.0], 0, [1.0, float(layer)]) for layer in range(3)], "task_name string, doc_id long, choice_idx int, step int, layer int, logits array<double>, target int, hidden array<double>")
+    out = tensors.reduce_all(df, ["logit_lens", "layer_similarity"])
+    assert {k: v.count() for k, v in out.items()} == {"signals": 3, "similarity": 6}
+    assert [d["name"] for d in tensors.descriptors(["logit_lens", "layer_similarity"])] == ["layer_similarity", "logit_lens"]
+    with pytest.raises(ValueError):
+        tensors.register(tensors.REDUCERS["logit_lens"])
+
+
+def test_named_reference(spark):
+    df = spark.createDataFrame([("A", "big"), ("A", "small"), ("B", "big one")], "label string, series string")
+    assert runs.named_reference(df, ["label"], "series", "big").count() == 2
+    with pytest.raises(ValueError, match="names 0"):
+        runs.named_reference(df, ["label"], "series", "small")
+
+
+def test_numbers_and_hashes(spark):
+    texts = ["1e0", " 0.6666666666666666 ", "1_0", "nan", "-Infinity", "1.0d", "", "1e-5", ".5"]
+    out = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(scalar.number(F.col("t"))).collect()]
+    assert out[0] == 1.0 and out[1] == 0.6666666666666666 and out[2] is None and math.isnan(out[3]) and out[4] == -INF and out[5:7] == [None, None] and out[7:] == [1e-5, 0.5]
+    assert scalar.config_hash({"a": "é", "b": Path("x")}) == hashlib.sha256(b'{"a": "\\u00e9", "b": "x"}').hexdigest()[:8]
+
+
+def test_out_of_range_targets_are_no_label(spark):
+    df = spark.createDataFrame([("7", [" 7", " 8"]), ("-1", ["a"]), ("8 ", ["x"] * 9), ("Paris", ["paris", "\tParis "])], "t string, c array<string>")
+    assert [r[0] for r in df.select(docs.gold_choice(F.col("t"), F.col("c"))).collect()] == [None, None, 8, 1]
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], "k string, v double, layer int, token int")
     assert moments.merge(moments.moments(df, ["k"], "v"), ["k"]).count() == 0

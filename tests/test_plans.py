@@ -1,3 +1,5 @@
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -33,8 +35,8 @@ def test_precedence_and_refusals(spark, docs):
     assert attach.attach_pairing(docs, two, pair_on="name")[1] == "field"
     with pytest.raises(ValueError, match="does not pair"):
         attach.attach_pairing(docs, two, pair_on="absent")
-    with pytest.raises(ValueError, match="no field"):
-        attach.attach_pairing(docs, strict=True)
+    out, kind = attach.attach_pairing(docs, strict=True)
+    assert kind == "none" and {r.pairing_status for r in out.collect()} == {"strict_no_identity"}
     out, kind = attach.attach_pairing(docs, two, pair_on="position")
     assert kind == "position" and sorted(r.pairing_status for r in out.collect()) == ["not_in_every_language"] * 2 + ["paired"] * 2
     mapping = frame(spark, [("a", 1, "k"), ("b", 3, "k")], "run string, doc long, canonical string")
@@ -45,25 +47,51 @@ def test_precedence_and_refusals(spark, docs):
 
 
 def test_assumed_alignment(spark, docs):
-    paired, _ = attach.attach_pairing(docs, pair_on="position")
+    paired, kind = attach.attach_pairing(docs, pair_on="position")
     gold = frame(spark, [("a", 1, "choice:0"), ("b", 1, "choice:1")], "run string, doc long, gold string")
-    reasons = lambda assume: sorted(r.exclusion or "" for r in attach.pairing_table(paired, gold, assume).collect())
-    assert reasons(False) == ["disagree", "disagree", "not_in_every_language", "not_in_every_language"]
-    assert reasons(True) == ["", "", "not_in_every_language", "not_in_every_language"]
-    assert {(r.run, r.outcome): r.n for r in attach.provenance(attach.pairing_table(paired, gold, True)).collect()} == {(r, o): 1 for r in "ab" for o in ("kept", "not_in_every_language")}
+    status = attach.answer_statuses(paired, gold)
+    assert attach.comparable_keys(status).count() == 0 and attach.comparable_keys(status, True).count() == 1
+    series = frame(spark, [("a", "s1", "m", 0, "en"), ("b", "s2", "m", 0, "ko")], "run string, series string, model string, num_fewshot int, language string")
+    table = attach.pairing_table(paired.selectExpr("*", "'t' AS task_name", "doc AS doc_id"), gold, series, kind)
+    assert len(table.columns) == 17 and sorted((r.exclusion_reason or "", r.answer_status or "") for r in table.collect()) == [("", "disagree")] * 2 + [("not_in_every_language", "")] * 2
+    assert {(r.series, r.documents, r.paired): r.excluded for r in attach.coverage(table).collect()} == {("s1", 2, 1): {"not_in_every_language": 1}, ("s2", 2, 1): {"not_in_every_language": 1}}
+    assert {(r.run_path, r.outcome): r.n for r in attach.provenance(table).collect()} == {(r, o): 1 for r in "ab" for o in ("disagree", "not_in_every_language")}
+    assert {r.kind: r.n for r in attach.evidence_kinds(gold).collect()} == {"choice": 2}
 
 
 def test_command_line(spark, tmp_path, capsys):
     for name, done in (("one", True), ("two", True), ("three", False)):
         path = f"file://{tmp_path}/{name}"
-        source.write_results(spark, path, {"schema_version": "0.4", "results": {}, "manifest": dict.fromkeys(REQUIRED_MANIFEST, "x") | {"completed": done, "n_blocks": 2, "vocab_size": 10 if name == "one" else 20}})
+        source.write_results(spark, path, {"schema_version": "0.4", "results": {}, "manifest": dict.fromkeys(REQUIRED_MANIFEST, "x") | {"tasks": ["t"], "model_id": name, "completed": done, "n_blocks": 2, "vocab_size": 10 if name == "one" else 20}})
+        source.write_samples(frame(spark, [("t", 1, "h")], "task_name string, doc_id long, prompt_hash string"), path)
         source.append(frame(spark, [("t", 1, 0, 0, layer, 0.5, 0.25) for layer in range(3)], "task_name string, doc_id long, choice_idx int, step int, layer int, lens_prob double, target_percentile double"), path, "signals")
     assert cli.main(["report", f"file://{tmp_path}", "--output", f"file://{tmp_path}/out"]) == 0
     said = capsys.readouterr().out
     assert "three: not completed" in said and "group A: 2 runs" in said and "vocabularies differ" in said
     out = spark.read.parquet(f"file://{tmp_path}/out/comparison")
-    assert {(r.signal, r.depth) for r in out.where(F.col("run").endswith("one")).collect()} == {("target_percentile", d) for d in (0.0, 0.5, 1.0)}
+    assert {(r.signal, r.relative_depth) for r in out.where(F.col("run").endswith("one")).collect()} == {("target_percentile", d) for d in (0.0, 0.5, 1.0)}
     (tmp_path / "t.jsonl").write_text('{"i": 1, "event": "enter", "call": 1, "forward": 1, "module": "m"}\n')
     assert cli.main(["debug", f"file://{tmp_path}/t.jsonl"]) == 0 and "unwound" in capsys.readouterr().out
     frame(spark, [("t", 1, "m")], "task_name string, doc_id long, module string").write.parquet(f"file://{tmp_path}/stats/samples")
     assert cli.main(["module-stats", f"file://{tmp_path}/stats", "--table", "samples", "--doc", "t#1", "--module", "^m"]) == 0
+
+
+def test_report_across_languages(spark, tmp_path):
+    """Two languages of one model: pairing by a field, a document whose answer differs, examples of what agrees."""
+    for name, task, shift in (("en", "t_en", 0), ("ko", "t_ko", 10)):
+        path = f"file://{tmp_path}/{name}"
+        source.write_results(spark, path, {"schema_version": "0.4", "results": {task: {"acc,none": 0.5 + shift / 100}}, "manifest": dict.fromkeys(REQUIRED_MANIFEST, "x") | {"tasks": [task], "model_id": "m", "num_fewshot": 0, "completed": True, "n_blocks": 2}})
+        rows = [(task, d + shift, c, d % 2 == 0, c == (1 if name == "ko" and d == 19 else 0), "p", "t", -1.0) for d in range(20) for c in range(2)]
+        source.append(frame(spark, rows, "task_name string, doc_id long, choice_idx int, is_correct boolean, is_target_choice boolean, predicted string, target string, choice_logprob double"), path, "docs")
+        source.append(frame(spark, [(task, d + shift, 0, 0, layer, 5) for d in range(20) for layer in range(3)], "task_name string, doc_id long, choice_idx int, step int, layer int, lens_token_id long"), path, "signals")
+        samples = frame(spark, [(task, d + shift, f"id{d}", name) for d in range(20)], "task_name string, doc_id long, key string, own string").selectExpr("task_name", "doc_id", "named_struct('key', key, 'own', own || doc_id) AS doc")
+        source.write_samples(samples, path)
+    assert cli.main(["report", f"file://{tmp_path}", "--output", f"file://{tmp_path}/out", "--multilingual", "en=t_en,ko=t_ko"]) == 0
+    table = spark.read.parquet(f"file://{tmp_path}/out/pairing")
+    assert {(r.pairing_status, r.answer_status): r["count"] for r in table.groupBy("pairing_status", "answer_status").count().collect()} == {("paired", "agree"): 38, ("paired", "disagree"): 2}
+    assert {(r.pairing_source, r.language) for r in table.collect()} == {("field", "en"), ("field", "ko")}
+    examples = spark.read.parquet(f"file://{tmp_path}/out/examples").collect()
+    assert {r.bucket for r in examples} == {"all_correct", "all_wrong"} and len(examples) == 12 and all(r.settle_depth == 0.0 for r in examples)
+    assert {r.is_reference for r in examples if r.run.endswith("/ko")} == {True}
+    assert json.loads((tmp_path / "out/pairing.json").read_text())["groups"][0]["alignment"]["aligned"] is True
+    assert cli.main(["report", f"file://{tmp_path}", "--output", f"file://{tmp_path}/out2", "--multilingual", "en=t_en,ko=t_ko", "--pair-on", "nothing"]) == 1

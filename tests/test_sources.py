@@ -1,10 +1,13 @@
 import io
 import json
+import math
 import urllib.error
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from runlens.operators import checks
 from runlens.operators.checks import REQUIRED_MANIFEST
 from runlens.plans import reports
 from runlens.schema import TABLES
@@ -47,6 +50,27 @@ def test_manifests(spark, run, tmp_path):
     assert r.path.endswith("/run") and r.results == {"t": {"acc,none": 0.5}}
     with pytest.raises(ValueError):
         source.write_results(spark, run, {"manifest": {}})
+    document["results"]["t"]["acc_stderr,none"] = float("nan")
+    source.write_results(spark, run, document)
+    source.mark_complete(spark, run, more=1)
+    manifest = source.read_manifest(spark, run)
+    assert (manifest["completed"], manifest["more"]) == (True, 1) and "finished_at" in manifest
+    (r,) = source.discover_runs(spark, f"file://{tmp_path}").collect()
+    assert math.isnan(r.results["t"]["acc_stderr,none"])
+    with pytest.raises(FileNotFoundError):
+        source.read_results(spark, f"{run}/none")
+
+
+def test_a_whole_manifest_is_accepted():
+    """Every key that a run writes (fixed values), and none that it does not."""
+    manifest = {
+        "schema_version": "0.4", "tool_version": "1", "lm_eval_version": "0.4.9", "model_id": "m", "tokenizer_id": "m", "tasks": ["t"], "num_fewshot": 0, "limit": None, "doc_id_set_hash": "h",
+        "reducers": [], "n_blocks": 2, "layer_index_convention": "c", "attn_index_convention": "c", "fixed_settings": {}, "seed": 1234, "started_at": "now", "completed": False,
+    }
+    checks.refuse_missing(manifest)
+    for key in manifest:
+        with pytest.raises(ValueError, match=key):
+            checks.refuse_missing({k: v for k, v in manifest.items() if k != key})
 
 
 def test_samples(spark, run, tmp_path):
@@ -82,6 +106,24 @@ def test_units_are_written_once(spark, run):
     assert [tuple(r) for r in source.read_custom(spark, run, "mine").select("doc_id", "m", "unit").collect()] == [(1, 0.5, "t/1")]
     with pytest.raises(ValueError, match="schema"):
         source.append_custom(rows.withColumn("more", F.lit(1)), run, "mine", "t/2")
+    with pytest.raises(ValueError, match="contract"):
+        source.append_custom(rows, run, "mine", "t/2", {"other": 1})
+
+
+def test_units_without_a_marker_do_not_count(spark, run):
+    """An attempt that failed before its marker, in the same application, and the one that follows."""
+    rows = spark.createDataFrame([(1, 0.5)], "doc_id long, m double")
+    source.append_custom(rows, run, "mine", "t/1")
+    rows.write.parquet(f"{run}/custom/mine/rows/attempt=u{'0' * 32}")
+    assert source.append_custom(rows, run, "mine", "t/2") and not source.append_custom(rows, run, "mine", "t/2")
+    assert source.read_custom(spark, run, "mine").count() == 2
+    (path, *_) = Path(run.removeprefix("file://")).glob("custom/mine/rows/attempt=*/*.parquet")
+    for path in Path(run.removeprefix("file://")).glob("custom/mine/rows/attempt=*/*.parquet"):
+        if "0" * 32 not in str(path):
+            path.unlink()
+            break
+    with pytest.raises(ValueError, match="damaged"):
+        source.read_custom(spark, run, "mine")
 
 
 def test_tensors(spark, run):
@@ -90,9 +132,25 @@ def test_tensors(spark, run):
     assert source.audit_tensors(spark, run, "hidden").count() == 0
     with pytest.raises(ValueError):
         source.save_tensors(rows, run, "hidden", limit=4)
+    # What was refused has no index.
+    assert [r.kind for r in source.audit_tensors(spark, run, "hidden").collect()] == ["orphan"]
+    source.save_tensors(rows.withColumn("values", F.array(F.lit(3.0), F.lit(4.0))), run, "hidden")
+    assert [r.values for r in source.read_tensors(spark, run, "hidden").collect()] == [[3.0, 4.0]]
+    source.save_tensors(rows.withColumn("shape", F.array(F.lit(3))), run, "hidden")
+    with pytest.raises(ValueError, match="shape"):
+        source.read_tensors(spark, run, "hidden")
+    assert source.run_files(spark, run).where("path LIKE 'tensors/hidden/index/%'").count() >= 1
     assert source.fingerprints(spark, f"{run}/tensors", "*.parquet").count() >= 1
     with pytest.raises(ValueError):
         source.read_statistics(spark, run, "passwords")
+    with pytest.raises(FileNotFoundError, match="no trace"):
+        source.read_statistics(spark, run, "samples")
+    source.export_tables({"samples": spark.createDataFrame([(1,)], "count int")}, f"{run}/debug/module_stats/collection/s1")
+    with pytest.raises(FileNotFoundError, match="collection"):
+        source.read_statistics(spark, run, "samples")
+    assert source.read_statistics(spark, run, "samples", "collection").dtypes == [("count", "bigint")]
+    with pytest.raises(RuntimeError, match="no extremes"):
+        source.read_statistics(spark, run, "extremes", "collection")
 
 
 def test_judge_retries_and_checks():
@@ -150,11 +208,29 @@ def test_call_stacks_across_batches(spark, tmp_path):
     assert sorted((r.status, r.enter, r["exit"], r.depth) for r in spark.table("calls").where("enter IS NOT NULL").collect()) == [("closed", 2, 5, 1), ("closed", 3, 4, 2)]
 
 
-def test_reports(spark):
-    rows = spark.createDataFrame([(r, f"d{i}", (i + len(r)) % 2 == 0, "choice:1") for r in ("m", "nn") for i in range(6)] + [("m", "only", True, "choice:0")], "run string, doc string, correct boolean, gold string")
-    table, aligned = reports.pairing_report(rows, "doc", "run", "gold")
-    assert aligned.first().aligned and table.where("pairing_status = 'not_in_every_language'").count() == 1
-    assert reports.examples_report(rows, "doc", "run", "correct", "m", 2).count() == 8
+def test_tasks_and_splits(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a/one.yaml").write_text("task: one\ndoc_to_text: !function helpers.text\n")
+    (tmp_path / "a/helpers.py").write_text("raise AssertionError\n")
+    tasks, files = source.discover_tasks(spark, f"file://{tmp_path}/a")
+    assert tasks["one"]["doc_to_text"] == "helpers.text" and files.count() == 2
+    with pytest.raises(ValueError, match="two tasks"):
+        source.discover_tasks(spark, f"file://{tmp_path}/a", builtin=("one",))
+    lines = [{"id": 1, "prompt": "p", "answer": "a"}, {"id": "1", "prompt": "p", "answer": "a"}, {"id": 2, "prompt": "p"}, {"id": 3, "prompt": "p", "answer": []}, {"id": 4, "prompt": "p", "answer": ["x"]}, {"id": True, "prompt": "p", "answer": "a"}]
+    (tmp_path / "s.jsonl").write_text("\n\n".join(map(json.dumps, lines)))
+    out = {r.line: r.problem for r in source.split_problems(spark, [f"file://{tmp_path}/s.jsonl"], "generate_until", "id").collect()}
+    assert out == {1: "repeated id", 3: "repeated id", 5: "the answer is no text", 7: "the answer is no text", 9: None, 11: "no id"}
+    judged = {r.line: r.problem for r in source.split_problems(spark, [f"file://{tmp_path}/s.jsonl"], "generate_until", "id", judged=True).collect()}
+    assert judged[5] is None and judged[7] == "the answer is no text"
+
+
+def test_trace_rings(spark, tmp_path):
+    events = spark.range(20).select(F.col("id").alias("i"))
+    assert source.write_trace(events, f"file://{tmp_path}/t", "i", 5) == 15
+    assert sorted(r.i for r in spark.read.json(f"file://{tmp_path}/t").collect()) == list(range(15, 20))
+
+
+def test_statistics_of_modules(spark):
     obs = spark.createDataFrame([("t", "m", "out", "0", "f32", "prefill", "bsh", 1, f, 2, 2, 0, 0, 0, 1.5, 0.5, 1.0, 2.0) for f in (1, 2)], "task_name string, module string, io string, tensor_path string, dtype string, stage string, layout string, doc_id long, forward long, count long, finite_count long, nan long, posinf long, neginf long, mean double, m2 double, min double, max double")
     out = reports.module_statistics(obs, spark.createDataFrame([(1, "complete"), (2, "incomplete")], "forward long, status string"))
     assert (out["samples"].first().observations, out["dataset"].first().documents) == (1, 1)
