@@ -141,6 +141,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     found = stored(found.withColumn("fp", fingerprint(F.col("hashes"))).withColumn("window", F.monotonically_increasing_id()), "windows")
     blocks = found.select("window", "n_words", "fp", F.inline(_block(F.col("fp"))))
     theirs = _entered(held.select("item_id", "n_words", F.col("fp").alias("item_fp"), F.col("hashes").alias("item_hashes"), F.inline(_block(F.col("fp")))).select("item_id", "n_words", "item_fp", "block", "bits"))
+    # Some 5,600 entries an item: a merge join at every size.
+    theirs = theirs.hint("merge")
     # Only numbers meet in the index; the hashes join what is within the radius.
     near = blocks.join(theirs, ["n_words", "block", "bits"]).withColumn("distance", _apart(F.col("fp"), F.col("item_fp"))).where(F.col("distance") <= RADIUS).select("window", "item_id", "n_words", "item_fp", "distance").distinct()
     same = held.select("item_id", "n_words", F.col("fp").alias("item_fp"), F.col("hashes").alias("item_hashes"))
