@@ -1,29 +1,41 @@
-"""Best-fit packing in bulk: pieces are range-sorted by size, gaps are kept sorted, and ranks resolve who goes where.
-
-Sizes are whole numbers up to the length of a sequence, so all pieces of one
-size are one class and all sequences with one gap are one class, however many
-they are. Every round takes the largest class of pieces left: the successor of
-its size among the gaps (the smallest gap that it fits) takes as many as fit
-into each sequence, conflicts are resolved by rank, the gaps shrink, and the
-round repeats until the class is placed; new sequences open only where no gap
-fits. A round costs the same at every corpus size, as it moves whole ranges of
-ranks. The moves are then applied to the pieces by rank in one join.
+"""Bulk-synchronous best-fit packing.
+
+Pieces and gaps (what is left of open sequences) are tables, range-sorted by
+size. A sweep matches every gap with the largest piece still free that has it
+for a successor: in descending order a gap opens a bracket and a piece closes
+the innermost open one, so that each piece goes to the smallest gap that it
+fits and larger pieces come first where several want one gap. Brackets are
+matched by their level, which is a running sum over ranges of sizes. Gaps are
+updated and stored, and the sweep repeats with bundles of fewer pieces. What
+no gap takes opens new sequences, in groups of as many as fit together. This
+goes from large pieces to small ones, a band of sizes at a time.
+
+Pieces of one size are told apart by their rank only, so a run of them is one
+row (RUNS rows for the corpus, whatever its size), and so is a run of
+sequences with one gap. Matches of runs are applied to the pieces by rank in
+one join at the end. The driver sees counters.
 """
 
 from __future__ import annotations
 
-import bisect
 import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import corpus, shuffle_parts, stored
 from runlens.llm.tokens import CHUNK, tokenizer
 
 LENGTH = 2048
+#: Runs that the pieces are cut into; sizes that are rare have shorter ones.
+RUNS = 1 << 14
+#: Lower bounds of the bands of sizes, as parts of a sequence, and the share of a typical gap that bundles fill in the sweeps of a band.
+PARTS = (2, 3, 4, 8, 16, 32, 64, 128, 256, 512)
+SHARES = (1, 4)
+#: Sizes in one range of a sweep.
+RANGE = 64
 
 _PIECE = "doc_id long, row long, piece int, start long, length int, ids_crc32 long"
 
@@ -48,47 +60,103 @@ def pieces(docs: DataFrame, vocabulary: str, end: int, length: int = LENGTH) ->
     return corpus(docs).select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(cut, _PIECE)
 
 
-def moves(counts: dict[int, int], length: int = LENGTH) -> list[tuple[int, int, int, int, int, int]]:
-    """Best fit, largest first, by classes: (size, first rank, ranks, first sequence, pieces a sequence, offset).
-
-    ``counts`` has the number of pieces of each size. Ranks count within a
-    size from 0. Sequences with one gap are kept as ranges of numbers.
+#: A row of the state: a gap or a piece of ``size``, first sequence or rank and number of the run; a move of a run of pieces besides
+#: where it goes: first sequence, pieces in each, and the place of the first in each.
+_GAP, _WANT, _MOVE = 0, 1, 2
+_STATE = "kind int, size int, first long, n long, sequence long, each long, base int"
+
+
+def _row(kind: int, size, first, n, sequence=None, each=None, base=None) -> Column:
+    values = (F.lit(kind), size, first, n, *(F.lit(None) if x is None else x for x in (sequence, each, base)))
+    return F.struct(*(v.cast(t).alias(name) for v, (name, t) in zip(values, (c.split() for c in _STATE.split(", ")), strict=True)))
+
+
+def _rows(df: DataFrame, *rows: Column) -> DataFrame:
+    """The rows that a row makes, those of no pieces or sequences, and gaps of nothing, left out."""
+    return df.select(F.explode(F.filter(F.array(*rows), lambda r: (r["n"] > 0) & (r["size"] > 0))).alias("r")).select("r.*")
+
+
+def _sweep(gaps: DataFrame, wants: DataFrame, typical: int, length: int) -> DataFrame:
+    """What gaps and pieces become when every gap takes one bundle at most: of one size, as many as a typical gap has room for."""
+    fill = F.greatest(F.lit(1), F.least(F.floor(F.lit(typical) / F.col("size")), F.col("n")))
+    bundled = wants.withColumn("each", fill).withColumn("value", (F.col("each") * F.col("size")).cast("int")).withColumn("times", F.floor(F.col("n") / F.col("each")))
+    both = gaps.withColumn("value", F.col("size")).withColumn("times", F.col("n")).unionByName(bundled)
+    order = [F.desc("value"), "kind", "first", "size"]
+    # The running sum within a range of sizes, and what the ranges before it add up to: a row for each range.
+    both = both.withColumn("range", F.floor(F.col("value") / RANGE)).withColumn("step", F.when(F.col("kind") == _GAP, 1).otherwise(-1))
+    before = both.groupBy("range").agg(F.sum("step").alias("total")).select("range", (F.sum("total").over(Window.orderBy(F.desc("range"))) - F.col("total")).alias("before"))
+    both = both.withColumn("height", F.sum("step").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(before), "range")
+    level = F.col("height") + F.col("before") + (F.col("kind") == _WANT).cast("int")
+    at = Window.partitionBy("level").orderBy(*order)
+    both = both.withColumn("level", level).withColumn("next", F.lead(F.struct("kind", "size", "first", "n", "each", "value", "times")).over(at)).withColumn("previous", F.lag("kind").over(at))
+    met = both.where((F.col("kind") == _GAP) & (F.col("next.kind") == _WANT))
+    p, took = F.col("next"), F.least(F.col("n"), F.col("next.times"))
+    changed = _rows(
+        met,
+        _row(_MOVE, p["size"], p["first"], took * p["each"], F.col("first"), p["each"], length - F.col("size")),
+        _row(_GAP, F.col("size") - p["value"], F.col("first"), took),
+        _row(_GAP, F.col("size"), F.col("first") + took, F.col("n") - took),
+        _row(_WANT, p["size"], p["first"] + took * p["each"], p["n"] - took * p["each"]),
+    )
+    alone = both.where(F.when(F.col("kind") == _GAP, F.coalesce(F.col("next.kind") != _WANT, F.lit(True))).otherwise(F.coalesce(F.col("previous") != _GAP, F.lit(True))))
+    return changed.unionByName(_rows(alone, _row(_GAP, F.col("size"), F.col("first"), F.when(F.col("kind") == _GAP, F.col("n")).otherwise(0)), _row(_WANT, F.col("size"), F.col("first"), F.when(F.col("kind") == _WANT, F.col("n")).otherwise(0))))
+
+
+def _opened(wants: DataFrame, opened: int, length: int) -> DataFrame:
+    """What pieces become that no gap takes: each group of neighbours by size that fit together, as many as the largest allows, opens sequences."""
+    fit = wants.withColumn("fit", F.floor(F.lit(length) / F.col("size")))
+    # A run of one size fills sequences with itself; the rest of it goes with its neighbours.
+    own = fit.withColumn("whole", F.floor(F.col("n") / F.col("fit"))).withColumn("rest", F.col("n") - F.col("whole") * F.col("fit"))
+    single = own.where("whole > 0").select(F.col("fit").alias("f"), F.concat(F.lit("own"), F.col("size"), F.lit("/"), F.col("first")).alias("group"), "size", "first", F.col("whole").alias("n"), F.col("fit").alias("each"))
+    rest = own.where("rest > 0").select("fit", "size", (F.col("first") + F.col("whole") * F.col("fit")).alias("from"), "rest")
+    # At most fit - 1 pieces are left of a run: they are rows of their own.
+    rest = rest.select("fit", "size", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1), lambda i: F.col("from") + i)).alias("first"))
+    nth = F.row_number().over(Window.partitionBy("fit").orderBy(F.desc("size"), "first")) - 1
+    mixed = rest.withColumn("group", F.floor(nth / F.col("fit"))).select(F.col("fit").alias("f"), F.concat(F.lit("mix"), F.col("fit"), F.lit("/"), F.col("group")).alias("group"), "size", "first", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("each"))
+    rows = single.unionByName(mixed)
+    used = rows.groupBy("f", "group").agg(F.max("n").alias("sequences"), F.sum(F.col("size") * F.col("each")).alias("filled"))
+    # Sequences are numbered by class of fit, then within it: no more classes than sizes.
+    classes = used.groupBy("f").agg(F.sum("sequences").alias("total")).select("f", (F.sum("total").over(Window.orderBy("f")) - F.col("total")).alias("ahead"))
+    within = F.sum("sequences").over(Window.partitionBy("f").orderBy("group")) - F.col("sequences")
+    used = used.withColumn("within", within).join(F.broadcast(classes), "f").withColumn("sequence", F.lit(opened) + F.col("ahead") + F.col("within"))
+    before = F.sum("size").over(Window.partitionBy("group").orderBy(F.desc("size"), "first")) - F.col("size")
+    moved = rows.withColumn("base", F.when(F.col("each") > 1, F.lit(0)).otherwise(before)).join(used.select("group", "sequence"), "group")
+    return _rows(moved, _row(_MOVE, F.col("size"), F.col("first"), F.col("n") * F.col("each"), F.col("sequence"), F.col("each"), F.col("base"))).unionByName(_rows(used, _row(_GAP, length - F.col("filled"), F.col("sequence"), F.col("sequences"))))
+
+
+def plan(sizes: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Moves (size, first, n, sequence, each, base) of all pieces, from (size, n): n pieces of a size have ranks from 0.
+
+    A move takes the pieces with ranks from first, ``each`` to a sequence
+    from ``sequence`` on, laid one after another from ``base``.
     """
-    gaps: dict[int, list[tuple[int, int]]] = {}
-    sizes: list[int] = []  # of the gaps, sorted
-    opened, out = 0, []
-
-    def add(gap: int, first: int, n: int) -> None:
-        if gap and n:
-            if gap not in gaps:
-                bisect.insort(sizes, gap)
-                gaps[gap] = []
-            gaps[gap].append((first, n))
-
-    for size in sorted(counts, reverse=True):
-        rank, left = 0, counts[size]
-        while left:
-            at = bisect.bisect_left(sizes, size)
-            if at < len(sizes):
-                gap = sizes[at]
-                first, n = gaps[gap].pop()
-                if not gaps[gap]:
-                    del gaps[gap], sizes[at]
-            else:
-                gap, first, n = length, opened, -(-left // (length // size))
-                opened += n
-            each = gap // size
-            whole = min(n, left // each)
-            if whole:
-                out.append((size, rank, whole * each, first, each, length - gap))
-                add(gap - each * size, first, whole)
-                rank, left = rank + whole * each, left - whole * each
-            if whole < n and left:
-                out.append((size, rank, left, first + whole, left, length - gap))
-                add(gap - left * size, first + whole, 1)
-                rank, left, whole = rank + left, 0, whole + 1
-            add(gap, first + whole, n - whole)
-    return out
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    unit = max(1, -(-total // RUNS))
+    runs = sizes.select("size", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / unit))).alias("i"))
+    state = stored(_rows(runs, _row(_WANT, F.col("size"), F.col("i") * unit, F.least(F.lit(unit), F.col("n") - F.col("i") * unit))), "packing")
+    moves, opened = [], 0
+
+    def step(changed: DataFrame, kept) -> DataFrame:
+        done = stored(changed.unionByName(state.where(kept)), "packing")
+        moves.append(done.where(F.col("kind") == _MOVE))
+        return done.where(F.col("kind") != _MOVE)
+
+    for lowest in [length // p for p in PARTS] + [0]:
+        wanted = (F.col("kind") == _WANT) & (F.col("size") > lowest)
+        open_ = (F.col("kind") == _GAP) & (F.col("size") > lowest)
+        for share in (*SHARES, None):
+            left, room, gaps = state.agg(F.count_if(wanted), F.sum(F.when(open_, F.col("size") * F.col("n"))), F.sum(F.when(open_, F.col("n")))).first()
+            if not left:
+                break
+            if share is None or not gaps:
+                state = step(_opened(state.where(wanted), opened, length), ~wanted)
+                opened = moves[-1].agg(F.max(F.col("sequence") + F.ceil(F.col("n") / F.col("each")))).first()[0]
+                break
+            state = step(_sweep(state.where(open_), state.where(wanted), max(1, room // gaps // share), length), ~(wanted | open_))
+    out = moves[0] if moves else state.where("false")
+    for m in moves[1:]:
+        out = out.unionByName(m)
+    return out.select("size", "first", "n", "sequence", "each", "base")
 
 
 def pack(rows: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -104,15 +172,16 @@ def pack(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     # The number within the partition is the lower 33 bits.
     ordered = ordered.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     ordered = stored(ordered, "ordered")
-    held = ordered.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("least"))
-    # Ranks of a size: those in the parts before, then those here. A window over at most LENGTH rows a part.
+    held = stored(ordered.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("least")), "held")
+    # Ranks of a size: those in the parts before, then those here. A window over at most a row a part.
     ahead = held.select("part", "length", "least", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("ahead"))
-    counts = {r.length: r.n for r in held.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    plan = spark.createDataFrame(moves(counts, length), "length int, rank long, ranks long, sequence long, each long, base int")
+    found = stored(plan(held.groupBy(F.col("length").alias("size")).agg(F.sum("n").alias("n")), length), "moves")
     ranked = ordered.join(F.broadcast(ahead), ["part", "length"]).withColumn("of_size", F.col("ahead") + F.col("nth") - F.col("least"))
-    # The moves are bounded by the length of a sequence, not by the corpus.
-    placed = ranked.join(F.broadcast(plan), (ranked.length == plan.length) & (ranked.of_size >= plan["rank"]) & (ranked.of_size < plan["rank"] + plan.ranks)).drop(plan.length)
-    nth = F.col("of_size") - F.col("rank")
+    # A move reaches over at most all blocks of RUN_BLOCK ranks that its run does; moves and pieces of a block meet.
+    block = max(1, -(-(held.agg(F.sum("n")).first()[0] or 0) // RUNS))
+    spread = found.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("n") - 1) / block))))
+    placed = ranked.withColumn("size", F.col("length")).withColumn("block", F.floor(F.col("of_size") / block)).join(F.broadcast(spread), ["size", "block"]).where((F.col("of_size") >= F.col("first")) & (F.col("of_size") < F.col("first") + F.col("n")))
+    nth = F.col("of_size") - F.col("first")
     return placed.select("doc_id", "row", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.col("sequence") + F.floor(nth / F.col("each"))).alias("sequence_id"), (F.col("base") + nth % F.col("each") * F.col("length")).cast("long").alias("offset"))
 
 
