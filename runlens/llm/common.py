@@ -65,9 +65,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession) -> int:
-    """Delete the tables that stored() wrote so far; call it once the results that read them are written. Returns their number."""
-    paths = _scratch.pop(spark.sparkContext.applicationId, [])
+def scratch_tables(spark: SparkSession) -> int:
+    """How many scratch tables this application has written so far."""
+    return len(_scratch.get(spark.sparkContext.applicationId, []))
+
+
+def drop_scratch(spark: SparkSession, since: int) -> int:
+    """Delete the tables that stored() wrote after the first ``since``; call it once the results that read them are written. Returns their number."""
+    made = _scratch.get(spark.sparkContext.applicationId, [])
+    paths, made[since:] = made[since:], []
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     for p in paths:
         at = hadoop(p)
@@ -125,17 +131,18 @@ def has_bit(flags: np.ndarray, bits: int, values: np.ndarray) -> np.ndarray:
     return (flags[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b longs): root is the smallest node reachable.
 
     Alternating large-star and small-star rounds, each a grouped minimum over
     (node, neighbour) pairs, so no node's neighbours are ever gathered in one
-    place; each round is written to the shared folder. Self-loops are allowed.
+    place; each round is written to the shared folder, and rounds go on until
+    nothing changes. Self-loops are allowed.
     """
     spark = edges.sparkSession
     pairs = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
-    for _ in range(rounds):
+    while True:
         # Large star: every larger neighbour of a node links to the node's smallest neighbour (or itself).
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
@@ -150,7 +157,5 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError(f"components not settled after {rounds} rounds")
     roots = pairs.select(F.col("b").alias("node")).distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root"))).distinct()

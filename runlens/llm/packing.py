@@ -5,7 +5,7 @@ size. A sweep matches every gap with the largest piece still free that has it
 for a successor: in descending order a gap opens a bracket and a piece closes
 the innermost open one, so that each piece goes to the smallest gap that it
 fits and larger pieces come first where several want one gap. Brackets are
-matched by their level, which is a running sum over ranges of sizes. Gaps are
+matched by their level, a running sum. Gaps are
 updated and stored, and the sweep repeats with bundles of fewer pieces. What
 no gap takes opens new sequences, in groups of as many as fit together. This
 goes from large pieces to small ones, a band of sizes at a time.
@@ -22,7 +22,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import corpus, shuffle_parts, stored
@@ -32,10 +32,10 @@ LENGTH = 2048
 #: Runs that the pieces are cut into; sizes that are rare have shorter ones.
 RUNS = 1 << 14
 #: Lower bounds of the bands of sizes, as parts of a sequence, and the share of a typical gap that bundles fill in the sweeps of a band.
-PARTS = (2, 3, 4, 8, 16, 32, 64, 128, 256, 512)
+PARTS = (2, 3, 4, 8, 16, 32, 64)
 SHARES = (1, 4)
-#: Sizes in one range of a sweep.
-RANGE = 64
+#: Files of a stored state, which has some RUNS rows.
+FILES = 2
 
 _PIECE = "doc_id long, row long, piece int, start long, length int, ids_crc32 long"
 
@@ -71,9 +71,9 @@ def _row(kind: int, size, first, n, sequence=None, each=None, base=None) -> Colu
     return F.struct(*(v.cast(t).alias(name) for v, (name, t) in zip(values, (c.split() for c in _STATE.split(", ")), strict=True)))
 
 
-def _rows(df: DataFrame, *rows: Column) -> DataFrame:
-    """The rows that a row makes, those of no pieces or sequences, and gaps of nothing, left out."""
-    return df.select(F.explode(F.filter(F.array(*rows), lambda r: (r["n"] > 0) & (r["size"] > 0))).alias("r")).select("r.*")
+def _rows(df: DataFrame, rows: Column) -> DataFrame:
+    """The rows that each row makes, an array; those of no pieces or sequences, and gaps of nothing, are left out."""
+    return df.select(F.explode(F.filter(rows, lambda r: (r["n"] > 0) & (r["size"] > 0))).alias("r")).select("r.*")
 
 
 def _sweep(gaps: DataFrame, wants: DataFrame, typical: int, length: int) -> DataFrame:
@@ -82,24 +82,22 @@ def _sweep(gaps: DataFrame, wants: DataFrame, typical: int, length: int) -> Data
     bundled = wants.withColumn("each", fill).withColumn("value", (F.col("each") * F.col("size")).cast("int")).withColumn("times", F.floor(F.col("n") / F.col("each")))
     both = gaps.withColumn("value", F.col("size")).withColumn("times", F.col("n")).unionByName(bundled)
     order = [F.desc("value"), "kind", "first", "size"]
-    # The running sum within a range of sizes, and what the ranges before it add up to: a row for each range.
-    both = both.withColumn("range", F.floor(F.col("value") / RANGE)).withColumn("step", F.when(F.col("kind") == _GAP, 1).otherwise(-1))
-    before = both.groupBy("range").agg(F.sum("step").alias("total")).select("range", (F.sum("total").over(Window.orderBy(F.desc("range"))) - F.col("total")).alias("before"))
-    both = both.withColumn("height", F.sum("step").over(Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))).join(F.broadcast(before), "range")
-    level = F.col("height") + F.col("before") + (F.col("kind") == _WANT).cast("int")
+    is_gap, is_want = F.col("kind") == _GAP, F.col("kind") == _WANT
+    # The table has some RUNS rows whatever the corpus, so one window may order it.
+    height = F.sum(F.when(is_gap, 1).otherwise(-1)).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     at = Window.partitionBy("level").orderBy(*order)
-    both = both.withColumn("level", level).withColumn("next", F.lead(F.struct("kind", "size", "first", "n", "each", "value", "times")).over(at)).withColumn("previous", F.lag("kind").over(at))
-    met = both.where((F.col("kind") == _GAP) & (F.col("next.kind") == _WANT))
-    p, took = F.col("next"), F.least(F.col("n"), F.col("next.times"))
-    changed = _rows(
-        met,
+    both = both.withColumn("level", height + is_want.cast("int"))
+    both = both.withColumn("next", F.lead(F.struct("kind", "size", "first", "n", "each", "value", "times")).over(at)).withColumn("met", F.coalesce(F.lag("kind").over(at) == _GAP, F.lit(False)))
+    p = F.col("next")
+    took = F.least(F.col("n"), p["times"])
+    changed = F.array(
         _row(_MOVE, p["size"], p["first"], took * p["each"], F.col("first"), p["each"], length - F.col("size")),
         _row(_GAP, F.col("size") - p["value"], F.col("first"), took),
         _row(_GAP, F.col("size"), F.col("first") + took, F.col("n") - took),
         _row(_WANT, p["size"], p["first"] + took * p["each"], p["n"] - took * p["each"]),
     )
-    alone = both.where(F.when(F.col("kind") == _GAP, F.coalesce(F.col("next.kind") != _WANT, F.lit(True))).otherwise(F.coalesce(F.col("previous") != _GAP, F.lit(True))))
-    return changed.unionByName(_rows(alone, _row(_GAP, F.col("size"), F.col("first"), F.when(F.col("kind") == _GAP, F.col("n")).otherwise(0)), _row(_WANT, F.col("size"), F.col("first"), F.when(F.col("kind") == _WANT, F.col("n")).otherwise(0))))
+    same = F.array(_row(_GAP, F.col("size"), F.col("first"), F.when(is_gap, F.col("n"))), _row(_WANT, F.col("size"), F.col("first"), F.when(is_want, F.col("n"))))
+    return _rows(both, F.when(is_gap & (p["kind"] == _WANT), changed).when(is_gap | ~F.col("met"), same))
 
 
 def _opened(wants: DataFrame, opened: int, length: int) -> DataFrame:
@@ -121,7 +119,7 @@ def _opened(wants: DataFrame, opened: int, length: int) -> DataFrame:
     used = used.withColumn("within", within).join(F.broadcast(classes), "f").withColumn("sequence", F.lit(opened) + F.col("ahead") + F.col("within"))
     before = F.sum("size").over(Window.partitionBy("group").orderBy(F.desc("size"), "first")) - F.col("size")
     moved = rows.withColumn("base", F.when(F.col("each") > 1, F.lit(0)).otherwise(before)).join(used.select("group", "sequence"), "group")
-    return _rows(moved, _row(_MOVE, F.col("size"), F.col("first"), F.col("n") * F.col("each"), F.col("sequence"), F.col("each"), F.col("base"))).unionByName(_rows(used, _row(_GAP, length - F.col("filled"), F.col("sequence"), F.col("sequences"))))
+    return _rows(moved, F.array(_row(_MOVE, F.col("size"), F.col("first"), F.col("n") * F.col("each"), F.col("sequence"), F.col("each"), F.col("base")))).unionByName(_rows(used, F.array(_row(_GAP, length - F.col("filled"), F.col("sequence"), F.col("sequences")))))
 
 
 def plan(sizes: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -132,28 +130,36 @@ def plan(sizes: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     total = sizes.agg(F.sum("n")).first()[0] or 0
     unit = max(1, -(-total // RUNS))
-    runs = sizes.select("size", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / unit))).alias("i"))
-    state = stored(_rows(runs, _row(_WANT, F.col("size"), F.col("i") * unit, F.least(F.lit(unit), F.col("n") - F.col("i") * unit))), "packing")
-    moves, opened = [], 0
-
-    def step(changed: DataFrame, kept) -> DataFrame:
-        done = stored(changed.unionByName(state.where(kept)), "packing")
+    bounds = [length // p for p in PARTS] + [0]
+    moves: list[DataFrame] = []
+
+    def step(rows: DataFrame) -> tuple[DataFrame, dict]:
+        """Store a state; what is left of it without its moves, and its counters: pieces, gaps and their room above each bound, sequences."""
+        wants, gaps = F.col("kind") == _WANT, F.col("kind") == _GAP
+        counts = [F.max(F.when(F.col("kind") == _MOVE, F.col("sequence") + F.ceil(F.col("n") / F.col("each")))).alias("opened")]
+        for b in bounds:
+            above = F.col("size") > b
+            counts += [F.count_if(wants & above).alias(f"wants{b}"), F.sum(F.when(gaps & above, F.col("n"))).alias(f"gaps{b}"), F.sum(F.when(gaps & above, F.col("size") * F.col("n"))).alias(f"room{b}")]
+        told = Observation()
+        done = stored(rows.coalesce(FILES).observe(told, *counts), "packing")
         moves.append(done.where(F.col("kind") == _MOVE))
-        return done.where(F.col("kind") != _MOVE)
+        return done.where(F.col("kind") != _MOVE), told.get
 
-    for lowest in [length // p for p in PARTS] + [0]:
-        wanted = (F.col("kind") == _WANT) & (F.col("size") > lowest)
-        open_ = (F.col("kind") == _GAP) & (F.col("size") > lowest)
+    runs = sizes.select("size", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / unit))).alias("i"))
+    state, seen = step(_rows(runs, F.array(_row(_WANT, F.col("size"), F.col("i") * unit, F.least(F.lit(unit), F.col("n") - F.col("i") * unit)))))
+    opened = 0
+    for b in bounds:
+        wanted, open_ = (F.col("kind") == _WANT) & (F.col("size") > b), (F.col("kind") == _GAP) & (F.col("size") > b)
         for share in (*SHARES, None):
-            left, room, gaps = state.agg(F.count_if(wanted), F.sum(F.when(open_, F.col("size") * F.col("n"))), F.sum(F.when(open_, F.col("n")))).first()
-            if not left:
+            if not seen[f"wants{b}"]:
                 break
-            if share is None or not gaps:
-                state = step(_opened(state.where(wanted), opened, length), ~wanted)
-                opened = moves[-1].agg(F.max(F.col("sequence") + F.ceil(F.col("n") / F.col("each")))).first()[0]
+            if share is None or not seen[f"gaps{b}"]:
+                state, seen = step(_opened(state.where(wanted), opened, length).unionByName(state.where(~wanted)))
+                opened = seen["opened"]
                 break
-            state = step(_sweep(state.where(open_), state.where(wanted), max(1, room // gaps // share), length), ~(wanted | open_))
-    out = moves[0] if moves else state.where("false")
+            typical = max(1, seen[f"room{b}"] // seen[f"gaps{b}"] // share)
+            state, seen = step(_sweep(state.where(open_), state.where(wanted), typical, length).unionByName(state.where(~(wanted | open_))))
+    out = moves[0]
     for m in moves[1:]:
         out = out.unionByName(m)
     return out.select("size", "first", "n", "sequence", "each", "base")

@@ -17,8 +17,11 @@ def windows(words, n, k):
         yield s, Counter(tuple(w[i : i + k]) for i in range(n - k + 1))
 
 
+def tokens(text):
+    return [w for w in re.findall(r"[^\W_]+", (text or "").lower()) if w]
+
+
 def brute_contaminated(docs, items):
-    tokens = lambda t: [w for w in re.findall(r"[^\W_]+", (t or "").lower()) if w]
     out = set()
     for d, text in docs:
         words = tokens(text)
@@ -157,3 +160,13 @@ def test_chat_perspectives(spark):
     assert [bob.text[m.start : m.end] for m in bob.masks] == ["< |end|>yo<|end|>\n"]
     assert out[1, "bob", 1].chars_before == len(bob.text)
     assert chat.perspectives(df.where("false")).count() == 0
+
+
+def test_chat_of_many_and_long_turns(spark):
+    """A dialogue over many parts, a very long turn, and many texts under one turn number: the parts in order are the whole."""
+    rows = [(1, i, "ab"[i % 2], f"turn {i}") for i in range(300)] + [(1, 7, "a", f"same number {i:04d}") for i in range(200)] + [(1, 300, "a", "x" * 300_000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = sorted((r for r in chat.perspectives(df).collect() if r.perspective == "a"), key=lambda r: r.part)
+    whole = "".join(("<|assistant|>\n" if role == "a" else f"<|user {role}|>\n") + text + chat.END for _, _, role, text in sorted(rows))
+    assert "".join(r.text for r in out) == whole and sum(r.n_turns for r in out) == len(rows)
+    assert [r.chars_before for r in out] == [sum(len(x.text) for x in out[:k]) for k in range(len(out))]

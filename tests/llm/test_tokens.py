@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from runlens.llm import packing, token_files
 from runlens.llm.queries import vocabulary
@@ -82,6 +83,23 @@ def test_files_round_trip(spark, odd, tmp_path):
     assert sums == {(r.start, r.n_tokens, zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in out}
 
 
+def test_files_can_be_read_in_parts(spark, tmp_path, monkeypatch):
+    """Stripes, row indexes and Bloom filters are in the files, and what a filter cannot match is not read."""
+    from pyarrow import orc
+
+    monkeypatch.setattr(token_files, "INDEX_ROWS", 1000)
+    monkeypatch.setattr(token_files, "STRIPE", 1 << 16)
+    rows = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *(F.sha2((F.col("id") * k).cast("string"), 256) for k in range(1, 4))).alias("text"))
+    token_files.write_tokens(rows, f"file://{tmp_path}/tokens", BYTE, 2)
+    files = [orc.ORCFile(p) for p in tmp_path.glob("tokens/*.orc")]
+    assert sum(f.nrows for f in files) == 20_000 and all(f.row_index_stride == 1000 for f in files) and max(f.nstripes for f in files) > 1
+    raw = b"".join(p.read_bytes() for p in tmp_path.glob("tokens/*.orc"))
+    spans = sorted((f.read_stripe(i, ["doc_id"])["doc_id"][0].as_py(), f.read_stripe(i, ["doc_id"])["doc_id"][-1].as_py()) for f in files for i in range(f.nstripes))
+    assert all(a[1] < b[0] for a, b in zip(spans, spans[1:], strict=False)) and len(raw) > 0
+    found = token_files.read_tokens(spark, f"file://{tmp_path}/tokens").where("doc_id = 12345")
+    assert "EqualTo(doc_id,12345)" in found._jdf.queryExecution().toString() and found.count() == 1
+
+
 def test_files_of_nothing(spark, nothing, tmp_path):
     token_files.write_tokens(nothing, f"file://{tmp_path}/tokens", BYTE, 2)
     assert token_files.digests(token_files.read_tokens(spark, f"file://{tmp_path}/tokens")).count() == 0
