@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from runlens.llm import decontaminate, exact_dedup, jaccard_join, packing, toxicity
-from runlens.llm.common import drop_scratch, scratch_path, table
+from runlens.llm.common import drop_scratch, scratch_path, scratch_tables, table
 from runlens.llm.queries import vocabulary
 
 
@@ -54,9 +54,9 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet and read again, and scratch tables go with their stage."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        path = scratch_path(spark, name)
+        path, before = scratch_path(spark, name), scratch_tables(spark)
         stage(spark, docs, sf_dir).write.parquet(path)
         # What the stage kept for itself is no longer read.
-        drop_scratch(spark)
+        drop_scratch(spark, before)
         docs = spark.read.parquet(path)
     return docs
