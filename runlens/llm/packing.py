@@ -32,8 +32,8 @@ LENGTH = 2048
 #: Runs that the pieces are cut into; sizes that are rare have shorter ones.
 RUNS = 1 << 14
 #: Lower bounds of the bands of sizes, as parts of a sequence, and the share of a typical gap that bundles fill in the sweeps of a band.
-PARTS = (2, 3, 4, 8, 16, 32, 64)
-SHARES = (1, 4)
+PARTS = (2, 3, 4, 8, 32)
+SHARES = (1,)
 #: Files of a stored state, which has some RUNS rows.
 FILES = 2
 
