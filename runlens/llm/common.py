@@ -159,3 +159,12 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
     roots = pairs.select(F.col("b").alias("node")).distinct()
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots.select("node", F.col("node").alias("root"))).distinct()
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text's UTF-8: bit by bit, by the reversed polynomial."""
+    digits = f"hex(encode({text}))"
+    at = "instr('0123456789ABCDEF', substr({0}, i{1}, 1)) - 1"
+    data = f"list_transform(range(1, length({digits}), 2), lambda i: 16 * ({at.format(digits, '')}) + {at.format(digits, ' + 1')})"
+    steps = f"list_prepend(4294967295::BIGINT, flatten(list_transform({data}, lambda b: [b::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])))"
+    return f"xor(list_reduce({steps}, lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END), 4294967295)"
