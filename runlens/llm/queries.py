@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, packing, quality, spelling, token_files, toxicity
+from runlens.llm import chat, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, packing, prefix_trie, quality, spelling, token_files, toxicity
 from runlens.llm.common import scratch_path, table
 
 
@@ -59,6 +59,10 @@ def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
@@ -74,6 +78,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_discriminant": op10_quality_discriminant,
+    "op12_prefix_trie": op12_prefix_trie,
     "op13_spelling_variants": op13_spelling_variants,
 }
 
@@ -83,5 +88,6 @@ ORACLE_SQL = {
     "op4_chat_rotation": chat.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op9_ngram_jaccard_join": jaccard_join.SQL,
+    "op12_prefix_trie": prefix_trie.SQL,
     "op13_spelling_variants": spelling.SQL,
 }
