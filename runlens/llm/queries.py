@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.llm import chat, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, packing, prefix_trie, quality, spelling, token_files, toxicity
+from runlens.llm import chat, decontaminate, exact_dedup, jaccard_join, license_scan, line_dedup, minhash_forest, packing, prefix_trie, quality, spelling, token_files, toxicity
 from runlens.llm.common import scratch_path, table
 
 
@@ -59,6 +59,10 @@ def op10_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
 
@@ -78,6 +82,7 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_quality_discriminant": op10_quality_discriminant,
+    "op11_minhash_forest": op11_minhash_forest,
     "op12_prefix_trie": op12_prefix_trie,
     "op13_spelling_variants": op13_spelling_variants,
 }
@@ -88,6 +93,7 @@ ORACLE_SQL = {
     "op4_chat_rotation": chat.SQL,
     "op5_line_dedup": line_dedup.SQL,
     "op9_ngram_jaccard_join": jaccard_join.SQL,
+    "op11_minhash_forest": minhash_forest.SQL,
     "op12_prefix_trie": prefix_trie.SQL,
     "op13_spelling_variants": spelling.SQL,
 }
