@@ -1,19 +1,17 @@
 """Bulk-synchronous best-fit packing.
 
-Pieces and gaps (what is left of open sequences) are tables, range-sorted by
-size. A sweep matches every gap with the largest piece still free that has it
-for a successor: in descending order a gap opens a bracket and a piece closes
-the innermost open one, so that each piece goes to the smallest gap that it
-fits and larger pieces come first where several want one gap. Brackets are
-matched by their level, a running sum. Gaps are
-updated and stored, and the sweep repeats with bundles of fewer pieces. What
-no gap takes opens new sequences, in groups of as many as fit together. This
-goes from large pieces to small ones, a band of sizes at a time.
-
-Pieces of one size are told apart by their rank only, so a run of them is one
-row (RUNS rows for the corpus, whatever its size), and so is a run of
-sequences with one gap. Matches of runs are applied to the pieces by rank in
-one join at the end. The driver sees counters.
+Pieces go in bands of sizes, large ones first; a band is a superstep. Its
+pieces and the gaps (what is left of open sequences) are sorted by range and
+dealt in turn to shards, so that every shard has like sizes and a bounded
+number of rows, whatever the corpus. All shards sweep at once: each piece goes
+to the smallest gap that it fits, its successor, conflicts are resolved by
+rank, gaps are updated, and this repeats until no gap takes a piece. What is
+left opens some of the sequences that it would fill, and the sweeps go on until
+all pieces of the band are placed. Then the gaps of all shards are sorted and
+dealt anew for the next band.
+
+A shard leaves one sequence partly filled at the end, of some SEQUENCES. The
+driver sees a row of counters for each band.
 """
 
 from __future__ import annotations
@@ -22,20 +20,21 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, Window
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from runlens.llm.common import corpus, shuffle_parts, stored
 from runlens.llm.tokens import CHUNK, tokenizer
 
 LENGTH = 2048
-#: Runs that the pieces are cut into; sizes that are rare have shorter ones.
-RUNS = 1 << 14
-#: Lower bounds of the bands of sizes, as parts of a sequence, and the share of a typical gap that bundles fill in the sweeps of a band.
-PARTS = (2, 3, 4, 8, 32)
-SHARES = (1,)
-#: Files of a stored state, which has some RUNS rows.
-FILES = 2
+#: Lower bounds of the bands of sizes, as parts of a sequence; the last band goes down to the smallest.
+PARTS = (2, 4, 16)
+#: Of the sequences that the pieces left would fill, one in so many is opened at a time.
+OPENED = 4
+#: Sequences that the pieces of one shard fill, and its rows for each of them at most.
+SEQUENCES = 2000
+ROWS_A_SEQUENCE = 10
 
 _PIECE = "doc_id long, row long, piece int, start long, length int, ids_crc32 long"
 
@@ -60,135 +59,97 @@ def pieces(docs: DataFrame, vocabulary: str, end: int, length: int = LENGTH) ->
     return corpus(docs).select("doc_id", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(cut, _PIECE)
 
 
-#: A row of the state: a gap or a piece of ``size``, first sequence or rank and number of the run; a move of a run of pieces besides
-#: where it goes: first sequence, pieces in each, and the place of the first in each.
-_GAP, _WANT, _MOVE = 0, 1, 2
-_STATE = "kind int, size int, first long, n long, sequence long, each long, base int"
-
-
-def _row(kind: int, size, first, n, sequence=None, each=None, base=None) -> Column:
-    values = (F.lit(kind), size, first, n, *(F.lit(None) if x is None else x for x in (sequence, each, base)))
-    return F.struct(*(v.cast(t).alias(name) for v, (name, t) in zip(values, (c.split() for c in _STATE.split(", ")), strict=True)))
-
-
-def _rows(df: DataFrame, rows: Column) -> DataFrame:
-    """The rows that each row makes, an array; those of no pieces or sequences, and gaps of nothing, are left out."""
-    return df.select(F.explode(F.filter(rows, lambda r: (r["n"] > 0) & (r["size"] > 0))).alias("r")).select("r.*")
-
-
-def _sweep(gaps: DataFrame, wants: DataFrame, typical: int, length: int) -> DataFrame:
-    """What gaps and pieces become when every gap takes one bundle at most: of one size, as many as a typical gap has room for."""
-    fill = F.greatest(F.lit(1), F.least(F.floor(F.lit(typical) / F.col("size")), F.col("n")))
-    bundled = wants.withColumn("each", fill).withColumn("value", (F.col("each") * F.col("size")).cast("int")).withColumn("times", F.floor(F.col("n") / F.col("each")))
-    both = gaps.withColumn("value", F.col("size")).withColumn("times", F.col("n")).unionByName(bundled)
-    order = [F.desc("value"), "kind", "first", "size"]
-    is_gap, is_want = F.col("kind") == _GAP, F.col("kind") == _WANT
-    # The table has some RUNS rows whatever the corpus, so one window may order it.
-    height = F.sum(F.when(is_gap, 1).otherwise(-1)).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    at = Window.partitionBy("level").orderBy(*order)
-    both = both.withColumn("level", height + is_want.cast("int"))
-    both = both.withColumn("next", F.lead(F.struct("kind", "size", "first", "n", "each", "value", "times")).over(at)).withColumn("met", F.coalesce(F.lag("kind").over(at) == _GAP, F.lit(False)))
-    p = F.col("next")
-    took = F.least(F.col("n"), p["times"])
-    changed = F.array(
-        _row(_MOVE, p["size"], p["first"], took * p["each"], F.col("first"), p["each"], length - F.col("size")),
-        _row(_GAP, F.col("size") - p["value"], F.col("first"), took),
-        _row(_GAP, F.col("size"), F.col("first") + took, F.col("n") - took),
-        _row(_WANT, p["size"], p["first"] + took * p["each"], p["n"] - took * p["each"]),
-    )
-    same = F.array(_row(_GAP, F.col("size"), F.col("first"), F.when(is_gap, F.col("n"))), _row(_WANT, F.col("size"), F.col("first"), F.when(is_want, F.col("n"))))
-    return _rows(both, F.when(is_gap & (p["kind"] == _WANT), changed).when(is_gap | ~F.col("met"), same))
-
-
-def _opened(wants: DataFrame, opened: int, length: int) -> DataFrame:
-    """What pieces become that no gap takes: each group of neighbours by size that fit together, as many as the largest allows, opens sequences."""
-    fit = wants.withColumn("fit", F.floor(F.lit(length) / F.col("size")))
-    # A run of one size fills sequences with itself; the rest of it goes with its neighbours.
-    own = fit.withColumn("whole", F.floor(F.col("n") / F.col("fit"))).withColumn("rest", F.col("n") - F.col("whole") * F.col("fit"))
-    single = own.where("whole > 0").select(F.col("fit").alias("f"), F.concat(F.lit("own"), F.col("size"), F.lit("/"), F.col("first")).alias("group"), "size", "first", F.col("whole").alias("n"), F.col("fit").alias("each"))
-    rest = own.where("rest > 0").select("fit", "size", (F.col("first") + F.col("whole") * F.col("fit")).alias("from"), "rest")
-    # At most fit - 1 pieces are left of a run: they are rows of their own.
-    rest = rest.select("fit", "size", F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("rest") - 1), lambda i: F.col("from") + i)).alias("first"))
-    nth = F.row_number().over(Window.partitionBy("fit").orderBy(F.desc("size"), "first")) - 1
-    mixed = rest.withColumn("group", F.floor(nth / F.col("fit"))).select(F.col("fit").alias("f"), F.concat(F.lit("mix"), F.col("fit"), F.lit("/"), F.col("group")).alias("group"), "size", "first", F.lit(1).cast("long").alias("n"), F.lit(1).cast("long").alias("each"))
-    rows = single.unionByName(mixed)
-    used = rows.groupBy("f", "group").agg(F.max("n").alias("sequences"), F.sum(F.col("size") * F.col("each")).alias("filled"))
-    # Sequences are numbered by class of fit, then within it: no more classes than sizes.
-    classes = used.groupBy("f").agg(F.sum("sequences").alias("total")).select("f", (F.sum("total").over(Window.orderBy("f")) - F.col("total")).alias("ahead"))
-    within = F.sum("sequences").over(Window.partitionBy("f").orderBy("group")) - F.col("sequences")
-    used = used.withColumn("within", within).join(F.broadcast(classes), "f").withColumn("sequence", F.lit(opened) + F.col("ahead") + F.col("within"))
-    before = F.sum("size").over(Window.partitionBy("group").orderBy(F.desc("size"), "first")) - F.col("size")
-    moved = rows.withColumn("base", F.when(F.col("each") > 1, F.lit(0)).otherwise(before)).join(used.select("group", "sequence"), "group")
-    return _rows(moved, F.array(_row(_MOVE, F.col("size"), F.col("first"), F.col("n") * F.col("each"), F.col("sequence"), F.col("each"), F.col("base")))).unionByName(_rows(used, F.array(_row(_GAP, length - F.col("filled"), F.col("sequence"), F.col("sequences")))))
-
-
-def plan(sizes: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Moves (size, first, n, sequence, each, base) of all pieces, from (size, n): n pieces of a size have ranks from 0.
-
-    A move takes the pieces with ranks from first, ``each`` to a sequence
-    from ``sequence`` on, laid one after another from ``base``.
+_STEP = "is_gap boolean, size int, sequence_id long, offset long, " + _PIECE
+
+
+def sweep(sizes: np.ndarray, gaps: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gap and place of every piece, and what is left of the gaps; ``sizes`` descends, opened sequences are added to ``gaps``.
+
+    In descending order of size, gaps before pieces, a gap opens a bracket
+    and a piece closes the innermost open one. So each piece goes to the
+    smallest gap that it fits, and of pieces that want one gap the first in
+    rank, which is the largest, has it; the others go to the gaps around.
+    Brackets are matched by their level. Gaps are updated and swept again until
+    none takes a piece. Only then sequences are opened, a part of those that
+    the pieces left would fill.
     """
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    unit = max(1, -(-total // RUNS))
-    bounds = [length // p for p in PARTS] + [0]
-    moves: list[DataFrame] = []
-
-    def step(rows: DataFrame) -> tuple[DataFrame, dict]:
-        """Store a state; what is left of it without its moves, and its counters: pieces, gaps and their room above each bound, sequences."""
-        wants, gaps = F.col("kind") == _WANT, F.col("kind") == _GAP
-        counts = [F.max(F.when(F.col("kind") == _MOVE, F.col("sequence") + F.ceil(F.col("n") / F.col("each")))).alias("opened")]
-        for b in bounds:
-            above = F.col("size") > b
-            counts += [F.count_if(wants & above).alias(f"wants{b}"), F.sum(F.when(gaps & above, F.col("n"))).alias(f"gaps{b}"), F.sum(F.when(gaps & above, F.col("size") * F.col("n"))).alias(f"room{b}")]
-        told = Observation()
-        done = stored(rows.coalesce(FILES).observe(told, *counts), "packing")
-        moves.append(done.where(F.col("kind") == _MOVE))
-        return done.where(F.col("kind") != _MOVE), told.get
-
-    runs = sizes.select("size", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / unit))).alias("i"))
-    state, seen = step(_rows(runs, F.array(_row(_WANT, F.col("size"), F.col("i") * unit, F.least(F.lit(unit), F.col("n") - F.col("i") * unit)))))
-    opened = 0
-    for b in bounds:
-        wanted, open_ = (F.col("kind") == _WANT) & (F.col("size") > b), (F.col("kind") == _GAP) & (F.col("size") > b)
-        for share in (*SHARES, None):
-            if not seen[f"wants{b}"]:
-                break
-            if share is None or not seen[f"gaps{b}"]:
-                state, seen = step(_opened(state.where(wanted), opened, length).unionByName(state.where(~wanted)))
-                opened = seen["opened"]
-                break
-            typical = max(1, seen[f"room{b}"] // seen[f"gaps{b}"] // share)
-            state, seen = step(_sweep(state.where(open_), state.where(wanted), typical, length).unionByName(state.where(~(wanted | open_))))
-    out = moves[0]
-    for m in moves[1:]:
-        out = out.unionByName(m)
-    return out.select("size", "first", "n", "sequence", "each", "base")
-
-
-def pack(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """``rows`` (doc_id, row, piece, start, length, ids_crc32) with sequence_id and offset.
+    at, offset, left = np.full(len(sizes), -1, np.int64), np.zeros(len(sizes), np.int64), np.arange(len(sizes))
+    while len(left):
+        live = np.flatnonzero(gaps >= sizes[left[-1]])
+        both = np.concatenate([gaps[live], sizes[left]])
+        order = np.argsort(-both, kind="stable")
+        piece = (order >= len(live)).astype(np.int64)
+        level = np.cumsum(1 - 2 * piece) + piece
+        by_level = np.argsort(level, kind="stable")
+        first, then = by_level[:-1], by_level[1:]
+        met = (level[first] == level[then]) & (piece[first] == 0) & (piece[then] == 1)
+        gap, mine = live[order[first[met]]], order[then[met]] - len(live)
+        if not len(gap):
+            gaps = np.concatenate([gaps, np.full(max(1, int(sizes[left].sum()) // (OPENED * length)), length, np.int64)])
+            continue
+        taken = left[mine]
+        at[taken], offset[taken] = gap, length - gaps[gap]
+        gaps[gap] -= sizes[taken]
+        left = np.delete(left, mine)
+    return at, offset, gaps
+
+
+def _dealt(df: DataFrame, order: list[str], shards: int) -> DataFrame:
+    """``df`` with a shard for each row: sorted by range, rows are dealt in turn, so that every shard has like sizes."""
+    ordered = df.repartitionByRange(shuffle_parts(df.sparkSession), *order).sortWithinPartitions(*order)
+    # The number within the partition is the lower 33 bits.
+    nth = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return ordered.withColumn("shard", F.pmod(nth + F.spark_partition_id(), F.lit(shards)))
+
+
+def _superstep(gaps: DataFrame, wants: DataFrame, shards: int, band: int, length: int) -> DataFrame:
+    """Sweep all shards of a band: rows _STEP of placed pieces and of what is left of each gap."""
+    nulls = [F.lit(None).cast(kind).alias(name) for name, kind in (c.split() for c in _PIECE.split(", "))]
+    held = _dealt(gaps, ["size", "sequence_id"], shards).select("shard", F.lit(True).alias("is_gap"), "size", "sequence_id", F.lit(None).cast("long").alias("offset"), *nulls)
+    wanted = _dealt(wants, ["length", "doc_id", "row", "piece"], shards).select("shard", F.lit(False).alias("is_gap"), F.col("length").alias("size"), F.lit(None).cast("long").alias("sequence_id"), F.lit(None).cast("long").alias("offset"), *(c.split()[0] for c in _PIECE.split(", ")))
+    names = [c.split()[0] for c in _STEP.split(", ")]
+
+    def swept(key, table):
+        shard, is_gap = key[0].as_py(), table.column("is_gap")
+        open_ = table.filter(is_gap).sort_by([("size", "ascending"), ("sequence_id", "ascending")])
+        pieces_ = table.filter(pc.invert(is_gap)).sort_by([("size", "descending"), ("doc_id", "ascending"), ("row", "ascending"), ("piece", "ascending")])
+        at, offset, left = sweep(pieces_.column("size").to_numpy().astype(np.int64), open_.column("size").to_numpy().astype(np.int64), length)
+        # Numbers of sequences that this shard opens begin where no other's do.
+        own = ((band + 1) << 52) + (shard << 24) + np.arange(len(left) - len(open_), dtype=np.int64)
+        sequence = np.concatenate([open_.column("sequence_id").to_numpy().astype(np.int64), own])
+        placed = pieces_.set_column(names.index("sequence_id") + 1, "sequence_id", pa.array(sequence[at])).set_column(names.index("offset") + 1, "offset", pa.array(offset)).select(names)
+        some = np.flatnonzero(left > 0)
+        rest = {n: pa.nulls(len(some), placed.schema.field(n).type) for n in names} | {"is_gap": pa.array(np.ones(len(some), bool)), "size": pa.array(left[some], pa.int32()), "sequence_id": pa.array(sequence[some])}
+        return pa.concat_tables([placed, pa.Table.from_pydict(rest, schema=placed.schema)])
+
+    return held.unionByName(wanted).groupBy("shard").applyInArrow(swept, _STEP)
+
+
+def pack(rows: DataFrame, length: int = LENGTH, sequences: int = SEQUENCES) -> DataFrame:
+    """``rows`` (doc_id, row, piece, start, length, ids_crc32), a stored table, with sequence_id and offset.
 
     Every piece lies in one sequence, pieces of a sequence do not overlap and
     leave no hole before the last. Ties in size go by doc_id, row and piece.
     An empty table packs into nothing.
     """
+    bounds = [length // p for p in PARTS] + [0]
+    band = F.lit(0)
+    for b in bounds[:-1]:
+        band = band + (F.col("length") <= b).cast("int")
+    held = {r.band: r for r in rows.groupBy(band.alias("band")).agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("ids")).collect()}
     spark = rows.sparkSession
-    order = ["length", "doc_id", "row", "piece"]
-    ordered = rows.repartitionByRange(shuffle_parts(spark), *order).sortWithinPartitions(*order)
-    # The number within the partition is the lower 33 bits.
-    ordered = ordered.withColumn("part", F.spark_partition_id()).withColumn("nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    ordered = stored(ordered, "ordered")
-    held = stored(ordered.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"), F.min("nth").alias("least")), "held")
-    # Ranks of a size: those in the parts before, then those here. A window over at most a row a part.
-    ahead = held.select("part", "length", "least", (F.sum("n").over(Window.partitionBy("length").orderBy("part")) - F.col("n")).alias("ahead"))
-    found = stored(plan(held.groupBy(F.col("length").alias("size")).agg(F.sum("n").alias("n")), length), "moves")
-    ranked = ordered.join(F.broadcast(ahead), ["part", "length"]).withColumn("of_size", F.col("ahead") + F.col("nth") - F.col("least"))
-    # A move reaches over at most all blocks of RUN_BLOCK ranks that its run does; moves and pieces of a block meet.
-    block = max(1, -(-(held.agg(F.sum("n")).first()[0] or 0) // RUNS))
-    spread = found.withColumn("block", F.explode(F.sequence(F.floor(F.col("first") / block), F.floor((F.col("first") + F.col("n") - 1) / block))))
-    placed = ranked.withColumn("size", F.col("length")).withColumn("block", F.floor(F.col("of_size") / block)).join(F.broadcast(spread), ["size", "block"]).where((F.col("of_size") >= F.col("first")) & (F.col("of_size") < F.col("first") + F.col("n")))
-    nth = F.col("of_size") - F.col("first")
-    return placed.select("doc_id", "row", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", (F.col("sequence") + F.floor(nth / F.col("each"))).alias("sequence_id"), (F.col("base") + nth % F.col("each") * F.col("length")).cast("long").alias("offset"))
+    gaps, n_gaps = spark.createDataFrame([], "size int, sequence_id long"), 0
+    placed = spark.createDataFrame([], _STEP)
+    for i, b in enumerate(bounds):
+        if i not in held:
+            continue
+        shards = max(1, -(-held[i].ids // (length * sequences)), -(-(held[i].n + n_gaps) // (ROWS_A_SEQUENCE * sequences)))
+        # Gaps that no piece of the band fits wait for the next.
+        done = stored(_superstep(gaps.where(F.col("size") > b), rows.where(band == i), shards, i, length), "packing")
+        placed = placed.unionByName(done.where(~F.col("is_gap")))
+        gaps = gaps.where(F.col("size") <= b).unionByName(done.where("is_gap").select("size", "sequence_id"))
+        n_gaps = gaps.count() if i < max(held) else 0
+    return placed.select("doc_id", "row", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
 
 
 def best_fit(docs: DataFrame, vocabulary: str, end: int, length: int = LENGTH) -> DataFrame:
