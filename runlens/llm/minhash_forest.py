@@ -6,8 +6,8 @@ of all signatures, range-partitioned, so that neighbours are those with the
 longest common prefix. Documents that share LEAST_DEPTH leading minima are a
 region. Candidates are taken in two steps.
 
-First every set meets one other: of its neighbours in the orders and the hubs
-of its regions, the one whose prefixes agree most. A hub is the member that
+First every set meets two others: the neighbour in the orders and the hub of
+its regions whose prefixes agree most with its own. A hub is the member that
 shares most with others, as the origin of edited copies does, so thousands of
 copies cost as many comparisons as there are copies.
 
@@ -17,8 +17,8 @@ and with each other; a crowded region is searched one level deeper instead,
 in the regions that one more minimum makes of it, down to DEPTH, where
 whatever is left is compared. Two sets at the threshold share a region of
 depth 3 in one of 24 trees but for 1 in 10^10, and one of depth 8 but for 5 in
-10^4. Parity sketches, whose bound loses no link, thin candidates out, and
-what is left is confirmed on full sets.
+10^4. Parity sketches, whose bound loses no link, thin these candidates
+out. All candidates are confirmed on full sets.
 
 Equal sets are one node from the start, so exact copies cost nothing here.
 """
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.llm.common import bitmap, components, corpus, has_bit, shuffle_parts, slices, stored
-from runlens.llm.shingles import common, fewest_apart, parity_sketch, word_shingles
+from runlens.llm.shingles import common, parity_sketch, word_shingles
 
 WORDS = 3
 #: Two sets link when 100 * intersection >= SIMILAR * union.
@@ -42,6 +42,8 @@ LEAST_SET = SIMILAR // (100 - SIMILAR) + 1
 TREES, DEPTH, LEAST_DEPTH = 24, 8, 3
 #: A region with more members outside its largest component is searched a level deeper.
 CROWD = 128
+#: Minima that a set and a first partner share in common prefixes, summed over the trees; at the threshold of similarity it is some 90.
+LEAST_WEIGHT = 36
 #: Members of a side that one group compares.
 BLOCK = 512
 #: Bits of the map that preselects the documents whose sets are made again.
@@ -50,7 +52,7 @@ DOC_BITS = 26
 _ROWS = 1024
 
 _NODE = "doc_id long, text_hash long, n int, k1 long, k2 long, sig binary, sketch binary"
-_ORDER = "tree int, sig binary, node long, n int, next long, next_n int, shared int, part long, edge int"
+_ORDER = "tree int, sig binary, node long, n int, next long, next_n int, shared int, size int, part long, edge int"
 
 _draw = np.random.default_rng(20_011)
 _TIMES = _draw.integers(0, 1 << 31, TREES * DEPTH, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -105,10 +107,13 @@ def _neighbours(batches):
         after = np.concatenate([ahead[:-1] >= LEAST_DEPTH, [False]])
         follow, follow_n = np.roll(node, -1), np.roll(n, -1)
         at = np.flatnonzero(keep)
+        # Members of the same region that lie in this batch.
+        run = np.cumsum(shared < LEAST_DEPTH)
+        size = np.bincount(run)[run]
         return pa.RecordBatch.from_pydict({
             "tree": pa.array(tree[at], pa.int32()), "sig": pa.array([sig[i] for i in at], pa.binary()), "node": pa.array(node[at]), "n": pa.array(n[at], pa.int32()),
             "next": pa.array(follow[at], pa.int64(), mask=~after[at]), "next_n": pa.array(follow_n[at], pa.int32(), mask=~after[at]),
-            "shared": pa.array(ahead[at], pa.int32()), "part": pa.array(part[at]), "edge": pa.array(edge[at], pa.int32()),
+            "shared": pa.array(ahead[at], pa.int32()), "size": pa.array(size[at], pa.int32()), "part": pa.array(part[at]), "edge": pa.array(edge[at], pa.int32()),
         })
 
     for batch in batches:
@@ -153,7 +158,7 @@ def _region(depth: int) -> Column:
 
 
 def _partners(shared: DataFrame) -> DataFrame:
-    """(a, b) with a < b: each set and the one whose prefixes agree most with its own, of neighbours in the orders and hubs of regions."""
+    """(a, b) with a < b: each set with the neighbour in the orders and the hub of its regions whose prefixes agree most with its own."""
     # Where one partition ends and the next begins: two rows for each, so the window is over few.
     ends = shared.where("edge > 0").select("part", "tree", "sig", "node", "n", F.explode(F.filter(F.array(F.when(F.col("edge") != 2, 0), F.when(F.col("edge") >= 2, 1)), lambda e: e.isNotNull())).alias("end"))
     follow = F.lead(F.struct("tree", "sig", "node", "n", "end")).over(Window.orderBy("part", "end"))
@@ -162,39 +167,25 @@ def _partners(shared: DataFrame) -> DataFrame:
     beside = shared.where("next is not null").select("node", "n", "next", "next_n", "shared").unionByName(over).where(_sizes_fit("n", "next_n"))
     both = beside.select(F.col("node").alias("a"), F.col("next").alias("b"), "shared").unionByName(beside.select(F.col("next").alias("a"), F.col("node").alias("b"), "shared"))
 
-    regions = shared.withColumn("region", _region(LEAST_DEPTH))
-    sizes = stored(regions.groupBy("region").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "regions")
-    regions = stored(regions.select("region", "node", "n").join(sizes, "region"), "members")
+    scores = stored(shared.groupBy("node").agg(F.sum(F.log2(F.col("size") + F.lit(1))).alias("score")), "scores")
+    # Sizes are classed twice, half a class apart, so that like sizes share a class.
+    like = F.explode(F.array(*(F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / SIMILAR)) + x).cast("int") * 2 + F.lit(int(2 * x)) for x in (0.0, 0.5))))
+    rated = stored(shared.join(scores, "node").select(_region(LEAST_DEPTH).alias("region"), like.alias("like"), "node", "n", "score"), "rated")
     # Stored tables on both sides, so that a large region may be split.
-    rated = regions.join(stored(regions.groupBy("node").agg(F.sum(F.log2("size")).alias("score")), "scores"), "node")
-    hubs = []
-    for shift in (0.0, 0.5):
-        like = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / SIMILAR)) + shift).cast("int")
-        named = stored(rated.select("region", "node", "n", "score", like.alias("like")), "rated")
-        best = stored(named.groupBy("region", "like").agg(F.max(F.struct("score", "n", "node")).alias("hub")), "hubs")
-        hubs.append(named.join(best, ["region", "like"]).where("hub.node <> node").where(_sizes_fit("n", "hub.n")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.lit(LEAST_DEPTH).alias("shared")))
-    weighed = both.unionByName(hubs[0]).unionByName(hubs[1]).groupBy("a", "b").agg(F.sum("shared").alias("weight"))
-    chosen = weighed.groupBy("a").agg(F.max(F.struct("weight", "b")).alias("best"))
-    return chosen.select(F.least("a", "best.b").alias("a"), F.greatest("a", "best.b").alias("b")).distinct()
-
-
-def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs whose sketches allow a link; no link is lost."""
-
-    def allowed(batches):
-        for batch in batches:
-            n = batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()
-            apart = np.array([fewest_apart(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True)], np.int64)
-            yield batch.select([0, 1]).filter(pa.array((100 + SIMILAR) * apart <= (100 - SIMILAR) * n))
-
-    a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(allowed, "a long, b long")
+    best = stored(rated.groupBy("region", "like").agg(F.max(F.struct("score", "n", "node")).alias("hub")), "hubs")
+    hubs = rated.join(best, ["region", "like"]).where("hub.node <> node").where(_sizes_fit("n", "hub.n")).select(F.col("node").alias("a"), F.col("hub.node").alias("b"), F.lit(LEAST_DEPTH).alias("shared"), F.lit(True).alias("is_hub"))
+    weighed = both.withColumn("is_hub", F.lit(False)).unionByName(hubs).groupBy("a", "is_hub", "b").agg(F.sum("shared").alias("weight")).where(F.col("weight") >= LEAST_WEIGHT)
+    # Of each kind the best, which is all that a node keeps.
+    best = lambda kind: F.max(F.when(F.col("is_hub") == kind, F.struct("weight", "b"))).getField("b")
+    chosen = weighed.groupBy("a").agg(best(True).alias("hub"), best(False).alias("beside"))
+    chosen = chosen.select("a", F.explode(F.array_compact(F.array_distinct(F.array("hub", "beside")))).alias("b"))
+    return chosen.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def _confirmed(docs: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs whose sets, made anew from the texts, are similar enough."""
     pairs = stored(pairs, "pairs")
-    wanted = stored(nodes.select("node", "doc_id", "k1", "k2").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "node"), "wanted")
+    wanted = stored(nodes.select("node", "doc_id", "k1", "k2").join(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), "node", "left_semi"), "wanted")
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(wanted, "doc_id", DOC_BITS))
 
     def sets(batches):
@@ -273,7 +264,9 @@ def _search(members: DataFrame, regions: DataFrame, nodes: DataFrame) -> DataFra
                     y = right[fits[(100 + SIMILAR) * apart <= (100 - SIMILAR) * (n[right[fits]] + n[k])]]
                     found.append(np.stack([np.full(len(y), k), y]))
         x, y = np.concatenate(found, axis=1)
-        return pa.Table.from_pydict({"a": pa.array(np.minimum(node[x], node[y])), "b": pa.array(np.maximum(node[x], node[y]))})
+        # Two sets may share regions of several trees.
+        pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
+        return pa.Table.from_pydict({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
 
     return rows.groupBy("deal").applyInArrow(compare, "a long, b long").distinct()
 
@@ -300,21 +293,24 @@ def _components(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, text_hash, n_shingles, component_id."""
     docs = corpus(docs)
     rows = stored(_signed(docs), "rows")
-    nodes = rows.where("sig is not null").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.max("sig").alias("sig"), F.max("sketch").alias("sketch"))
-    nodes = stored(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    sets = rows.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("doc_id"), F.max("sig").alias("sig"), F.max("sketch").alias("sketch"))
+    sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    nodes = sets.where("sig is not null")
     shared = stored(_orders(nodes), "orders")
-    links = _confirmed(docs, _close(_partners(shared), nodes), nodes)
-    roots = stored(components(links), "roots")
+    roots = stored(components(_confirmed(docs, _partners(shared), nodes)), "roots")
     # Rows at the ends of a partition may share no region at all; they do no harm.
-    links = links.unionByName(_confirmed(docs, _apart(shared, roots, nodes), nodes))
-    roots = stored(components(links), "roots")
-
-    sets = rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("least"))
-    placed = sets.join(nodes.select("k1", "k2", "node"), ["k1", "k2"], "left").join(roots, "node", "left")
+    more = _confirmed(docs, _apart(shared, roots, nodes), nodes)
+    # What is found now joins whole components: only their roots are looked at again.
+    ends = [F.coalesce(f"root_{x}", x) for x in "ab"]
+    by = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+    joined = stored(components(more.join(by[0], "a", "left").join(by[1], "b", "left").select(ends[0].alias("a"), ends[1].alias("b"))), "joined")
+
+    last = sets.select("k1", "k2", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    last = last.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
     # Every set is of the component of its root, or is one by itself; stored, so that joins may be split.
-    placed = stored(placed.select("k1", "k2", "least", F.coalesce("root", "node").alias("root")), "placed")
-    heads = stored(placed.where("root is not null").groupBy("root").agg(F.min("least").alias("head")), "heads")
-    named = stored(placed.join(heads, "root", "left").select("k1", "k2", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("head")).alias("component_id")), "named")
+    placed = stored(last.select("k1", "k2", "doc_id", F.coalesce("top", "root").alias("root")), "placed")
+    heads = stored(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "heads")
+    named = stored(placed.join(heads, "root").select("k1", "k2", "component_id"), "named")
     out = rows.select("doc_id", "text_hash", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     return out.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
