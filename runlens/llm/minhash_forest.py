@@ -13,9 +13,9 @@ copies cost as many comparisons as there are copies.
 
 Then regions that still hold several components are searched whole. Where few
 members are outside the region's largest component, all are compared with it
-and with each other; a crowded region is searched one level deeper instead,
-in the regions that one more minimum makes of it, down to DEPTH, where
-whatever is left is compared. Two sets at the threshold share a region of
+and with each other; a crowded region is searched deeper instead, in the
+regions that more minima make of it, down to DEPTH, where whatever is left
+is compared. Two sets at the threshold share a region of
 depth 3 in one of 24 trees but for 1 in 10^10, and one of depth 8 but for 5 in
 10^4. Parity sketches, whose bound loses no link, thin these candidates
 out. All candidates are confirmed on full sets.
@@ -40,8 +40,10 @@ SIMILAR = 85
 #: Sets of fewer shingles link with equal ones only: 1 of 6 is more than 100 - SIMILAR in a hundred of them.
 LEAST_SET = SIMILAR // (100 - SIMILAR) + 1
 TREES, DEPTH, LEAST_DEPTH = 24, 8, 3
-#: A region with more members outside its largest component is searched a level deeper.
-CROWD = 128
+#: Depths at which regions are searched.
+DEPTHS = (LEAST_DEPTH, 5, DEPTH)
+#: A region with more members outside its largest component is searched deeper.
+CROWD = 256
 #: Minima that a set and a first partner share in common prefixes, summed over the trees; at the threshold of similarity it is some 90.
 LEAST_WEIGHT = 36
 #: Members of a side that one group compares.
@@ -271,11 +273,23 @@ def _search(members: DataFrame, regions: DataFrame, nodes: DataFrame) -> DataFra
     return rows.groupBy("deal").applyInArrow(compare, "a long, b long").distinct()
 
 
+def _labels(links: DataFrame) -> DataFrame:
+    """(node, root) of all nodes with links: those of one root are connected. It may take several roots for a component.
+
+    The smallest label of a node and its neighbours, twice, which is enough
+    for the copies around a hub.
+    """
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    first = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m")), "labels")
+    around = both.join(first.withColumnRenamed("node", "b"), "b").select("a", "m").unionByName(first.select(F.col("node").alias("a"), "m"))
+    return stored(around.groupBy(F.col("a").alias("node")).agg(F.min("m").alias("root")), "labels")
+
+
 def _apart(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of different components that share a region, searched at the depth at which the region is no longer crowded."""
     left = stored(shared.join(roots.withColumnRenamed("node", "key"), F.col("node") == F.col("key"), "left").select("tree", "sig", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
     found = None
-    for depth in range(LEAST_DEPTH, DEPTH + 1):
+    for depth in DEPTHS:
         members = left.withColumn("region", _region(depth))
         counts = stored(members.groupBy("region", "root").agg(F.count(F.lit(1)).alias("n")), "counts")
         regions = counts.groupBy("region").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
@@ -297,18 +311,14 @@ def _components(docs: DataFrame) -> DataFrame:
     sets = stored(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
     nodes = sets.where("sig is not null")
     shared = stored(_orders(nodes), "orders")
-    roots = stored(components(_confirmed(docs, _partners(shared), nodes)), "roots")
+    links = _confirmed(docs, _partners(shared), nodes)
     # Rows at the ends of a partition may share no region at all; they do no harm.
-    more = _confirmed(docs, _apart(shared, roots, nodes), nodes)
-    # What is found now joins whole components: only their roots are looked at again.
-    ends = [F.coalesce(f"root_{x}", x) for x in "ab"]
-    by = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
-    joined = stored(components(more.join(by[0], "a", "left").join(by[1], "b", "left").select(ends[0].alias("a"), ends[1].alias("b"))), "joined")
-
-    last = sets.select("k1", "k2", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    last = last.join(joined.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left")
+    links = links.unionByName(_confirmed(docs, _apart(shared, _labels(links), nodes), nodes))
+    roots = stored(components(links), "roots")
+
+    last = sets.select("k1", "k2", "doc_id", "node").join(roots, "node", "left")
     # Every set is of the component of its root, or is one by itself; stored, so that joins may be split.
-    placed = stored(last.select("k1", "k2", "doc_id", F.coalesce("top", "root").alias("root")), "placed")
+    placed = stored(last.select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("root")), "placed")
     heads = stored(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "heads")
     named = stored(placed.join(heads, "root").select("k1", "k2", "component_id"), "named")
     out = rows.select("doc_id", "text_hash", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
