@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from runlens.functions.scalar import task_doc
-from runlens.operators import collect, pairing, runs, signals, trace
+from runlens.operators import collect, pairing, runs, trace
 from runlens.operators import docs as documents
 from runlens.plans import attach, reports
 from runlens.schema import SCHEMA_VERSION
@@ -28,13 +28,13 @@ def _runs(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def _scores(fit: DataFrame) -> DataFrame:
-    """(run, score): by the declared protocol where a run has one, else its preferred metric over the tasks it asked for."""
+    """(run, score, higher): by the declared protocol where a run has one, else its preferred metric over the tasks it asked for."""
     long = fit.select(F.col("path").alias("run"), "tasks", F.explode("results").alias("task", "metrics")).select("run", "tasks", "task", F.explode("metrics").alias("metric", "value"))
     asked = long.where(F.array_contains("tasks", F.col("task")))
     rows = asked.unionByName(long.join(asked.select("run").distinct(), "run", "left_anti"))
-    protocols = fit.select(F.col("path").alias("run"), F.explode(F.from_json(F.get_json_object("benchmarks", "$.protocols"), "map<string,struct<primary_metric:string,primary_filter:string>>")).alias("task", "p")).select("run", "task", "p.*")
+    protocols = fit.select(F.col("path").alias("run"), F.explode(F.from_json(F.get_json_object("benchmarks", "$.protocols"), "map<string,struct<primary_metric:string,primary_filter:string,higher_is_better:boolean>>")).alias("task", "p")).select("run", "task", "p.*")
     declared = runs.protocol_scores(long, protocols, fit.select(F.col("path").alias("run"), "tasks"))
-    others = runs.headline_scores(rows.join(protocols.select("run").distinct(), "run", "left_anti"), ["run"], "metric", "value").select("run", "score")
+    others = runs.headline_scores(rows.join(protocols.select("run").distinct(), "run", "left_anti"), ["run"], "metric", "value").select("run", "score", F.lit(True).alias("higher"))
     return declared.unionByName(others)
 
 
@@ -73,34 +73,41 @@ def report(spark: SparkSession, args: argparse.Namespace) -> None:
         rows = pairing.mapping_of_runs(source.load_mapping(spark, args.pair_mapping), fit.select(F.col("path").alias("run"), F.col("language").alias("label"), F.get("tasks", F.lit(0)).alias("task"), F.lit(0).alias("nth")))
         mapping = rows.select("run", F.concat_ws("#", "task_name", F.col("doc_id").cast("string")).alias("doc"), F.col("canonical_doc_id").alias("canonical"), F.col("canonical_choice_ids").alias("choice_ids"), F.col("canonical_answer_id").alias("answer_id"))
         digest = source.mapping_digest(spark, args.pair_mapping)
-    told, pairs, examples = [], [], []
+    told, pairs, examples, drawn = [], [], [], []
     for g in groups.select("label").orderBy("label").collect():
         own = fit.where(F.col("label") == g.label)
         held = docs.join(F.broadcast(own.select(F.col("path").alias("run"))), "run", "left_semi")
         candidates = own.select(F.col("path").alias("run"), "label", "series").join(scores, "run", "left")
-        best = runs.named_reference(candidates, ["label"], "series", args.reference) if args.reference else runs.reference_runs(candidates, ["label"], "score", "run")
+        best = runs.named_reference(candidates, ["label"], "series", args.reference) if args.reference else runs.reference_runs(candidates, ["label"], "score", "run", F.coalesce("higher", F.lit(True)))
         reference = best.first().run
         task_doc_key = F.concat_ws("#", "task_name", F.col("doc_id").cast("string"))
         if datasets:
-            series = own.select(F.col("path").alias("run"), "series", F.col("model_id").alias("model"), "num_fewshot", "language")
+            series = own.select(F.col("path").alias("run"), "series", F.col("model_id").alias("model"), "num_fewshot", "language", F.get("tasks", F.lit(0)).alias("declared"))
             own_mapping = mapping.join(own.select(F.col("path").alias("run")), "run", "left_semi") if mapping is not None else None
             table, aligned, status = reports.pairing_report(held, series, _fields(spark, own) if mapping is None else None, own_mapping, args.pair_on, args.pair_strict, digest, g.label)
             table = table.persist()
             pairs.append(table)
             told.append({"group": g.label, "alignment": aligned.first().asDict(), "coverage": [r.asDict(True) for r in attach.coverage(table).collect()], "pair_on": args.pair_on, "strict": args.pair_strict, "mapping_sha256": digest})
             keyed = held.join(table.where("pairing_status = 'paired'").select(F.col("run_path").alias("run"), "task_name", "doc_id", F.col("canonical_doc_id").alias("key")), ["run", "task_name", "doc_id"])
-            keys = attach.comparable_keys(status, args.assume_aligned).withColumnRenamed("pair_key", "key")
+            keys = attach.comparable_keys(table, status, args.assume_aligned).withColumnRenamed("pair_key", "key")
         else:
             keyed = held.withColumn("key", task_doc_key)
             keys = pairing.same_prompts(_hashes(spark, own), "key", "run", "prompt_hash")
-        signal_rows = tables["signals"].join(F.broadcast(own.select(F.col("path").alias("run"), "n_blocks")), "run")
-        depth = signals.prediction_depth(signal_rows, ["run", "task_name", "doc_id", "choice_idx", "step"], "layer", "lens_token_id")
-        depth = signals.document_depth(depth, ["run", "task_name", "doc_id"], ["choice_idx", "step"]).withColumnRenamed("depth", "settle_depth")
+        depth = reports.settled(tables["signals"].join(F.broadcast(own.select(F.col("path").alias("run"))), "run", "left_semi"), held, own.select(F.col("path").alias("run"), "n_blocks"))
         depth = depth.join(keyed.select("run", "task_name", "doc_id", "key").distinct(), ["run", "task_name", "doc_id"]).select("run", "key", "settle_depth")
-        examples.append(reports.examples_report(keyed, keys, reference, depth, args.examples_per_category).withColumn("group", F.lit(g.label)))
+        facts = own.select(F.col("path").alias("run"), "series", F.col("model_id").alias("model"), "language", "n_blocks", "tasks")
+        axis = "language" if datasets else "model"
+        examples.append(reports.examples_report(keyed, keys, reference, depth, args.examples_per_category, facts, axis).withColumn("group", F.lit(g.label)))
+        pools = {r.bucket: r for r in reports.draw(keyed, keys, reference, args.examples_per_category).collect()}
+        drawn.append({
+            "group": g.label, "axis": axis, "datasets": [f"{a}={b}" for a, b in datasets or []], "reference": reference, "seed": pairing.SEED, "per_category": args.examples_per_category, "eligible": keys.distinct().count(),
+            "pool_sizes": {b: r.pool for b, r in pools.items() if b != "mixed"}, "taken": {b: r.taken for b, r in pools.items() if b != "mixed"}, "mixed_not_sampled": pools["mixed"].pool if "mixed" in pools else 0,
+            "eligibility": "gold-answer alignment across languages" if datasets else "identical prompt_hash per document",
+        })
     for name, parts in (("pairing", pairs), ("examples", examples)):
         if parts:
             reduce(DataFrame.unionByName, parts).write.mode("overwrite").parquet(f"{args.output}/{name}")
+    source.write_json(spark, f"{args.output}/examples.json", {"groups": drawn})
     if told:
         source.write_json(spark, f"{args.output}/pairing.json", {"pairing_schema": 1, "groups": told})
 

@@ -9,6 +9,10 @@ from runlens.functions.scalar import stripped
 from runlens.operators.docs import choices_of
 
 
+#: Seed of the draw of examples.
+SEED = 1234
+
+
 def shared_by_all(docs: DataFrame, run: str, key: str) -> DataFrame:
     """Keys that every run has."""
     n_runs = docs.select(run).distinct().agg(F.count(F.lit(1)).alias("n_runs"))
@@ -33,6 +37,13 @@ def field_report(values: DataFrame, run: str, field: str, value: str) -> DataFra
     return out.select(field, "everywhere", "is_unique", "same_values", (F.col("everywhere") & F.col("is_unique") & F.col("same_values") & (F.col("in_runs") == F.col("n_runs"))).alias("qualifies"))
 
 
+def same_fields(values: DataFrame, run: str, field: str, value: str) -> bool:
+    """Whether fields of long rows (run, doc, field, value) all have the same values in each run, however often."""
+    hash_ = F.xxhash64(value)
+    each = values.groupBy(run, field).agg(F.count(value).alias("n"), F.sum(hash_.cast("decimal(38,0)")).alias("total"), F.bit_xor(hash_).alias("mixed"))
+    return each.groupBy(run).agg(F.countDistinct("n", "total", "mixed").alias("kinds")).where("kinds > 1").limit(1).count() == 0
+
+
 def mapped(docs: DataFrame, mapping: DataFrame, run: str, doc: str, canonical: str) -> DataFrame:
     """Documents with their canonical id and status by a mapping (run, doc, canonical).
 
@@ -88,20 +99,24 @@ def mapping_of_runs(mapping: DataFrame, datasets: DataFrame) -> DataFrame:
 
 
 def answer_status(rows: DataFrame, key: str, run: str, gold: str) -> DataFrame:
-    """Per key that every run has: agree, disagree or unverifiable by its gold evidence (kind:value)."""
+    """Per key of which every run of ``rows`` tells the gold answer: agree, disagree or unverifiable by that evidence (kind:value).
+
+    A key that a run tells nothing of has no status, and neither has any where
+    a whole run tells nothing.
+    """
     n_runs = rows.select(run).distinct().agg(F.count(F.lit(1)).alias("n_runs"))
     kind = F.substring_index(gold, ":", 1)
-    each = rows.groupBy(key).agg(F.countDistinct(run).alias("n"), F.countDistinct(gold).alias("n_values"), F.countDistinct(kind).alias("n_kinds"), F.count_if(F.col(gold).isNull() | (kind == "invalid")).alias("n_bad"))
+    each = rows.where(F.col(gold).isNotNull()).groupBy(key).agg(F.countDistinct(run).alias("n"), F.countDistinct(gold).alias("n_values"), F.countDistinct(kind).alias("n_kinds"), F.count_if(kind == "invalid").alias("n_bad"))
     each = each.join(F.broadcast(n_runs), F.col("n") == F.col("n_runs"))
     status = F.when((F.col("n_bad") > 0) | (F.col("n_kinds") > 1), "unverifiable").when(F.col("n_values") > 1, "disagree").otherwise("agree")
     return each.select(key, status.alias("answer_status"))
 
 
 def alignment(status: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """Counts, the share of agreement among verifiable keys, and whether it reaches the threshold: one row."""
+    """Counts, the share of agreement among keys that can be checked (0 without any), and whether it reaches the threshold: one row."""
     n = {s: F.count_if(F.col("answer_status") == s) for s in ("agree", "disagree", "unverifiable")}
-    rate = n["agree"] / F.nullif(n["agree"] + n["disagree"], F.lit(0))
-    return status.agg(F.count(F.lit(1)).alias("shared"), *(c.alias(s) for s, c in n.items()), rate.alias("rate"), F.coalesce(rate >= threshold, F.lit(False)).alias("aligned"))
+    rate = F.coalesce(n["agree"] / F.nullif(n["agree"] + n["disagree"], F.lit(0)), F.lit(0.0))
+    return status.agg(F.count(F.lit(1)).alias("shared"), *(c.alias(s) for s, c in n.items()), rate.alias("rate"), (rate >= threshold).alias("aligned"))
 
 
 def agreement(verdicts: DataFrame, key: str, run: str, correct: str, reference: str) -> DataFrame:
@@ -122,7 +137,7 @@ def same_prompts(docs: DataFrame, key: str, run: str, prompt_hash: str) -> DataF
     return each.join(F.broadcast(n_runs), F.col("n") == F.col("n_runs")).where("n_hashes = 1").select(key)
 
 
-def stratified(df: DataFrame, strata: list[str], key: str, n: int, seed: int = 1234) -> DataFrame:
+def stratified(df: DataFrame, strata: list[str], key: str, n: int, seed: int = SEED) -> DataFrame:
     """n rows of each stratum, by the order of a seeded hash of their keys."""
     order = F.md5(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string")))
     return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*strata).orderBy(order, key))).where(F.col("_nth") <= n).drop("_nth")

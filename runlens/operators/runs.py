@@ -58,15 +58,15 @@ def headline_scores(results: DataFrame, keys: list[str], metric: str, value: str
 
 
 def protocol_scores(results: DataFrame, protocols: DataFrame, runs: DataFrame) -> DataFrame:
-    """(run, score) of runs that declare a protocol: the declared metric and filter of their only task, else null.
+    """(run, score, higher) of runs that declare a protocol: the declared metric and filter of their only task, else null, and whether more of it is better.
 
     ``results`` is (run, task, metric, value) with metric,filter names,
-    ``protocols`` (run, task, primary_metric, primary_filter), ``runs`` (run,
-    tasks). Runs without a protocol are left out: headline_scores() has theirs.
+    ``protocols`` (run, task, primary_metric, primary_filter, higher_is_better,
+    which null means true), ``runs`` (run, tasks). Runs without a protocol are left out: headline_scores() has theirs.
     """
     single = runs.join(protocols.select("run").distinct(), "run", "left_semi").select("run", F.when(F.size("tasks") == 1, F.get("tasks", F.lit(0))).alias("task"))
     wanted = single.join(protocols, ["run", "task"], "left").withColumn("metric", F.concat_ws(",", "primary_metric", "primary_filter"))
-    return wanted.join(results, ["run", "task", "metric"], "left").select("run", F.col("value").alias("score"))
+    return wanted.join(results, ["run", "task", "metric"], "left").select("run", F.col("value").alias("score"), F.coalesce("higher_is_better", F.lit(True)).alias("higher"))
 
 
 def named_reference(runs: DataFrame, group: list[str], series: str, text: str) -> DataFrame:

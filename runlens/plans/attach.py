@@ -12,15 +12,18 @@ EXCLUSIONS = ("unmapped", "duplicate_mapping_rows", "many_to_one", "counterpart_
 
 
 def attach_pairing(docs: DataFrame, fields: DataFrame | None = None, mapping: DataFrame | None = None, pair_on: str | None = None, strict: bool = False) -> tuple[DataFrame, str]:
-    """(rows run, doc, pair_key, pairing_status; the kind of pairing) of rows (run, doc).
+    """(rows run, doc, pair_key, pairing_status; the kind of pairing) of rows (run, doc) or (run, doc, position).
 
     A mapping comes first, then "position" if it is asked for, then the named
-    field, then the one field that qualifies; several that qualify are
-    ambiguous and refused; with none, documents pair by position, that is by
-    their own id, or not at all where strict.
+    field, then the field that qualifies; several that qualify are ambiguous
+    and refused unless they have the same values in every run, where the first
+    stands for all; with none, documents pair by position or not at all where
+    strict. Their position is ``position``, or else their own id.
     """
     if mapping is not None and pair_on is not None:
         raise ValueError("a mapping and a field cannot both be given")
+    if strict and pair_on == "position":
+        raise ValueError("strict pairing and pairing by position cannot both be asked for")
     if mapping is not None:
         out = pairing.mapped(docs, mapping, "run", "doc", "canonical")
         return out.withColumnRenamed("canonical", "pair_key"), "mapping"
@@ -31,6 +34,8 @@ def attach_pairing(docs: DataFrame, fields: DataFrame | None = None, mapping: Da
             if pair_on not in good:
                 raise ValueError(f"{pair_on} does not pair the documents; these do: {', '.join(good) or 'none'}")
             good = [pair_on]
+        if len(good) > 1 and pairing.same_fields(fields.where(F.col("field").isin(*good)), "run", "field", "value"):
+            good = good[:1]
         if len(good) > 1:
             raise ValueError(f"several fields pair the documents: {', '.join(good)}")
         if good:
@@ -39,7 +44,7 @@ def attach_pairing(docs: DataFrame, fields: DataFrame | None = None, mapping: Da
         # Nothing identifies a document, and its position may not.
         return docs.select("run", "doc", F.lit(None).cast("string").alias("pair_key"), F.lit("strict_no_identity").alias("pairing_status")), "none"
     if chosen is None:
-        keyed = docs.select("run", "doc", F.col("doc").cast("string").alias("pair_key"))
+        keyed = docs.select("run", "doc", F.col("position" if "position" in docs.columns else "doc").cast("string").alias("pair_key"))
     else:
         keyed = docs.select("run", "doc").join(fields.where(F.col("field") == chosen).select("run", "doc", F.col("value").alias("pair_key")), ["run", "doc"], "left")
     shared = pairing.shared_by_all(keyed, "run", "pair_key").withColumn("_shared", F.lit(True))
@@ -49,7 +54,7 @@ def attach_pairing(docs: DataFrame, fields: DataFrame | None = None, mapping: Da
 
 
 def answer_statuses(paired: DataFrame, gold: DataFrame) -> DataFrame:
-    """(pair_key, answer_status) of the paired documents, by the gold evidence (run, doc, gold) of all their runs."""
+    """(pair_key, answer_status) of the paired documents of which every run tells the gold answer, by that evidence (run, doc, gold)."""
     rows = paired.where("pairing_status = 'paired'").join(gold, ["run", "doc"], "left")
     return pairing.answer_status(rows, "pair_key", "run", "gold")
 
@@ -70,15 +75,21 @@ def pairing_table(paired: DataFrame, gold: DataFrame, series: DataFrame, kind: s
         F.lit(field).cast("string").alias("pairing_field"), F.lit(mapping_sha256).cast("string").alias("mapping_sha256"), F.col("pair_key").alias("canonical_doc_id"),
         F.when(is_paired, "paired").otherwise("excluded").alias("pairing_status"), F.when(~is_paired, F.col("pairing_status")).alias("exclusion_reason"),
         F.substring_index("gold", ":", 1).alias("gold_evidence"), F.when(F.col("gold").isNotNull(), F.expr("substr(gold, locate(':', gold) + 1)")).alias("gold_value"),
-        F.when(is_paired, F.when(F.col("gold").isNull(), "no_gold_evidence").otherwise(F.col("answer_status"))).alias("answer_status"),
+        F.when(is_paired, F.coalesce("answer_status", F.lit("no_gold_evidence"))).alias("answer_status"),
     )
 
 
-def comparable_keys(statuses: DataFrame, assume_aligned: bool = False) -> DataFrame:
-    """Keys whose documents may be compared across languages: those that agree where the group is aligned; all where that is asserted, else none."""
-    aligned = pairing.alignment(statuses).select("aligned")
-    out = statuses.join(F.broadcast(aligned), F.lit(True))
-    keep = F.col("aligned") & (F.col("answer_status") == "agree")
+def comparable_keys(table: DataFrame, statuses: DataFrame, assume_aligned: bool = False) -> DataFrame:
+    """Keys of a pairing table whose documents may be compared across languages.
+
+    Where the group is aligned these are all paired keys but those whose
+    answers disagree or cannot be checked; all of them where alignment is
+    asserted of another group, else none.
+    """
+    shared = table.where("pairing_status = 'paired'").select(F.col("canonical_doc_id").alias("pair_key")).distinct()
+    refused = statuses.where(F.col("answer_status").isin("disagree", "unverifiable")).select("pair_key", F.lit(True).alias("refused"))
+    out = shared.join(refused, "pair_key", "left").join(F.broadcast(pairing.alignment(statuses).select("aligned")), F.lit(True))
+    keep = F.col("aligned") & F.col("refused").isNull()
     return out.where(keep | ~F.col("aligned") if assume_aligned else keep).select("pair_key")
 
 

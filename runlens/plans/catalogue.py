@@ -430,8 +430,8 @@ def _gold(read) -> DataFrame:
 
 
 @query(f"""
-WITH p AS ({_PARTS}), g AS (SELECT run, doc, {_GOLD} AS gold FROM p), e AS (SELECT doc, count(DISTINCT gold) AS nv, count(DISTINCT split_part(gold, ':', 1)) AS nk, count(*) FILTER (gold IS NULL) AS bad FROM g GROUP BY doc HAVING count(DISTINCT run) = 3),
-s AS (SELECT CASE WHEN bad > 0 OR nk > 1 THEN 'unverifiable' WHEN nv > 1 THEN 'disagree' ELSE 'agree' END AS s FROM e), c AS (SELECT count(*) AS shared, count(*) FILTER (s = 'agree') AS agree, count(*) FILTER (s = 'disagree') AS disagree, count(*) FILTER (s = 'unverifiable') AS unverifiable FROM s)
+WITH p AS ({_PARTS}), g AS (SELECT run, doc, {_GOLD} AS gold FROM p), e AS (SELECT doc, count(DISTINCT gold) AS nv, count(DISTINCT split_part(gold, ':', 1)) AS nk, count(*) FILTER (gold LIKE 'invalid:%') AS bad, count(DISTINCT run) FILTER (gold IS NOT NULL) AS told FROM g GROUP BY doc HAVING count(DISTINCT run) = 3),
+s AS (SELECT CASE WHEN bad > 0 OR nk > 1 THEN 'unverifiable' WHEN nv > 1 THEN 'disagree' ELSE 'agree' END AS s FROM e WHERE told = 3), c AS (SELECT count(*) AS shared, count(*) FILTER (s = 'agree') AS agree, count(*) FILTER (s = 'disagree') AS disagree, count(*) FILTER (s = 'unverifiable') AS unverifiable FROM s)
 SELECT *, round(agree / (agree + disagree), 6) AS rate, agree / (agree + disagree) >= 0.9 AS aligned FROM c""")
 def gold_alignment(read):
     """How far the gold answers of shared documents agree."""
@@ -447,14 +447,15 @@ def agreement_buckets(read):
 
 
 @query(f"""
-WITH p AS ({_PARTS}), g AS (SELECT run, doc, {_GOLD} AS gold FROM p), e AS (SELECT doc, count(DISTINCT gold) AS nv, count(DISTINCT split_part(gold, ':', 1)) AS nk, count(*) FILTER (gold IS NULL) AS bad FROM g GROUP BY doc HAVING count(DISTINCT run) = 3)
-SELECT run, CASE WHEN e.doc IS NULL THEN 'not_in_every_language' WHEN bad > 0 OR nk > 1 THEN 'unverifiable' WHEN nv > 1 THEN 'disagree' ELSE 'agree' END AS status, count(*) AS n FROM g LEFT JOIN e USING (doc) GROUP BY 1, 2""")
+WITH p AS ({_PARTS}), g AS (SELECT run, doc, {_GOLD} AS gold FROM p), e AS (SELECT doc, count(DISTINCT gold) AS nv, count(DISTINCT split_part(gold, ':', 1)) AS nk, count(*) FILTER (gold LIKE 'invalid:%') AS bad, count(DISTINCT run) FILTER (gold IS NOT NULL) AS told FROM g GROUP BY doc HAVING count(DISTINCT run) = 3)
+SELECT run, CASE WHEN e.doc IS NULL THEN 'not_in_every_language' WHEN told < 3 THEN 'no_gold_evidence' WHEN bad > 0 OR nk > 1 THEN 'unverifiable' WHEN nv > 1 THEN 'disagree' ELSE 'agree' END AS status, count(*) AS n FROM g LEFT JOIN e USING (doc) GROUP BY 1, 2""")
 def pairing_table_coverage(read):
     """Per run, how many documents pair and what their answers tell."""
     rows = _gold(read)
-    status = pairing.answer_status(rows, "doc", "run", "gold")
-    out = rows.join(status, "doc", "left").withColumn("status", F.coalesce("answer_status", F.lit("not_in_every_language")))
-    return pairing.coverage_counts(out, "run", "status")
+    paired, kind = attach.attach_pairing(rows.select("run", "doc"), pair_on="position")
+    series = rows.select("run").distinct().select("run", F.col("run").alias("series"), F.lit("model").alias("model"), F.lit(0).alias("num_fewshot"), F.lit(None).cast("string").alias("language"))
+    table = attach.pairing_table(paired.withColumn("task_name", F.lit("parts")).withColumn("doc_id", F.col("doc")), rows.select("run", "doc", "gold"), series, kind)
+    return attach.provenance(table).select(F.col("run_path").alias("run"), F.col("outcome").alias("status"), "n")
 
 
 @query("""
@@ -682,10 +683,10 @@ def tensor_layouts(read):
 
 
 @query(f"""
-WITH p AS ({_PARTS}), g AS (SELECT run, doc, {_GOLD} AS gold FROM p), e AS (SELECT doc, count(DISTINCT gold) AS nv, count(DISTINCT split_part(gold, ':', 1)) AS nk, count(*) FILTER (gold IS NULL) AS bad FROM g GROUP BY doc HAVING count(DISTINCT run) = 3)
+WITH p AS ({_PARTS}), g AS (SELECT run, doc, {_GOLD} AS gold FROM p), e AS (SELECT doc, count(DISTINCT gold) AS nv, count(DISTINCT split_part(gold, ':', 1)) AS nk, count(*) FILTER (gold LIKE 'invalid:%') AS bad, count(DISTINCT run) FILTER (gold IS NOT NULL) AS told FROM g GROUP BY doc HAVING count(DISTINCT run) = 3)
 SELECT 'A' AS "group", 'model' AS model, 0::bigint AS num_fewshot, 'series ' || run AS series, lower(run) AS language, run AS run_path, 'parts' AS task_name, g.doc AS doc_id, 'position' AS pairing_source, NULL::varchar AS pairing_field, NULL::varchar AS mapping_sha256, g.doc::varchar AS canonical_doc_id,
 CASE WHEN e.doc IS NULL THEN 'excluded' ELSE 'paired' END AS pairing_status, CASE WHEN e.doc IS NULL THEN 'not_in_every_language' END AS exclusion_reason, split_part(gold, ':', 1) AS gold_evidence, split_part(gold, ':', 2) AS gold_value,
-CASE WHEN e.doc IS NOT NULL THEN CASE WHEN gold IS NULL THEN 'no_gold_evidence' WHEN bad > 0 OR nk > 1 THEN 'unverifiable' WHEN nv > 1 THEN 'disagree' ELSE 'agree' END END AS answer_status FROM g LEFT JOIN e USING (doc)""")
+CASE WHEN e.doc IS NOT NULL THEN CASE WHEN told < 3 THEN 'no_gold_evidence' WHEN bad > 0 OR nk > 1 THEN 'unverifiable' WHEN nv > 1 THEN 'disagree' ELSE 'agree' END END AS answer_status FROM g LEFT JOIN e USING (doc)""")
 def pairing_table(read):
     """A row per document and run: how it pairs, why not, and what its answer key tells."""
     rows = _gold(read)

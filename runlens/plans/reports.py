@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from runlens.functions.scalar import relative_depth
+from runlens.functions.scalar import doc_key, relative_depth
 from runlens.operators import docs as documents
 from runlens.operators import moments, pairing, runs, signals
 from runlens.plans import attach
@@ -61,33 +61,69 @@ def pairing_report(docs: DataFrame, series: DataFrame, fields: DataFrame | None
 
     ``docs`` has the columns of the table of documents and run; ``mapping``
     (run, doc, canonical, choice_ids, answer_id) brings canonical ids.
+    ``series`` (run, series, model, num_fewshot, language) may have declared,
+    the task that a run's language was declared by: a document's position is
+    its number and what its own task's name has after that.
     """
     rows = docs.withColumn("doc", F.concat_ws("#", "task_name", F.col("doc_id").cast("string")))
     each = rows.groupBy("run", "doc").agg(F.min("task_name").alias("task_name"), F.min("doc_id").alias("doc_id"))
-    paired, kind = attach.attach_pairing(each.select("run", "doc"), fields, mapping.select("run", "doc", "canonical") if mapping is not None else None, pair_on, strict)
+    declared = series.select("run", "declared") if "declared" in series.columns else series.select("run", F.lit("").alias("declared"))
+    placed = each.join(declared, "run", "left").select("run", "doc", doc_key(F.col("task_name"), F.col("doc_id"), F.coalesce("declared", F.lit(""))).alias("position"))
+    paired, kind = attach.attach_pairing(placed, fields, mapping.select("run", "doc", "canonical") if mapping is not None else None, pair_on, strict)
     gold = pairing.choices_of_documents(rows)
     if mapping is None:
         gold = pairing.gold_positions(gold, ["run", "doc"])
     else:
         gold = pairing.gold_positions(gold.join(mapping.select("run", "doc", "choice_ids", "answer_id").dropDuplicates(["run", "doc"]), ["run", "doc"], "left"), ["run", "doc"], F.col("choice_ids"), F.col("answer_id"))
-    table = attach.pairing_table(paired.join(each, ["run", "doc"]), gold, series, kind, pair_on if kind == "field" else None, mapping_sha256, label)
+    table = attach.pairing_table(paired.join(each, ["run", "doc"]), gold, series.drop("declared"), kind, pair_on if kind == "field" else None, mapping_sha256, label)
     status = attach.answer_statuses(paired, gold)
     return table, pairing.alignment(status), status
 
 
-def examples_report(docs: DataFrame, keys: DataFrame, reference: str, depths: DataFrame | None = None, per_bucket: int = 3) -> DataFrame:
-    """What every run made of a few documents of each bucket, where it settled, and which run is the reference.
+def settled(rows: DataFrame, docs: DataFrame, n_blocks: DataFrame) -> DataFrame:
+    """(run, task_name, doc_id, settle_depth): where in its own blocks each run settled on a document.
 
-    ``docs`` has the columns of the table of documents, run and key; ``keys``
-    (key) are those that compare.
+    ``rows`` are signals with run, ``n_blocks`` (run, n_blocks). Only rows of
+    the target choice count in runs whose ``docs`` mark one; the last choice
+    and step tell the document's depth.
     """
+    targets = docs.where("is_target_choice").select("run", "task_name", "doc_id", "choice_idx", F.lit(True).alias("is_target")).distinct()
+    rows = rows.join(targets, ["run", "task_name", "doc_id", "choice_idx"], "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+    rows = signals.target_rows(rows, ["run"], "is_target").join(F.broadcast(n_blocks), "run")
+    depth = signals.prediction_depth(rows, ["run", "n_blocks", "task_name", "doc_id", "choice_idx", "step"], "layer", "lens_token_id", F.coalesce("n_blocks", F.lit(0)))
+    return signals.document_depth(depth, ["run", "task_name", "doc_id"], ["choice_idx", "step"]).withColumnRenamed("depth", "settle_depth")
+
+
+def _buckets(docs: DataFrame, keys: DataFrame, reference: str) -> tuple[DataFrame, DataFrame]:
+    """Rows of the keys that compare, and the bucket of each key."""
     held = docs.join(keys.distinct(), "key", "left_semi")
     verdicts = documents.last_verdicts(held, ["run", "key"], "is_correct", "choice_idx")
-    buckets = pairing.agreement(verdicts, "key", "run", "is_correct", reference).where("bucket <> 'mixed'")
-    chosen = pairing.stratified(buckets, ["bucket"], "key", per_bucket)
+    return held, pairing.agreement(verdicts, "key", "run", "is_correct", reference)
+
+
+def examples_report(docs: DataFrame, keys: DataFrame, reference: str, depths: DataFrame | None = None, per_bucket: int = 3, about: DataFrame | None = None, axis: str = "model") -> DataFrame:
+    """What every run made of a few documents of each bucket, where it settled, and which run is the reference.
+
+    ``docs`` has the columns of the table of documents, run and key; ``keys``
+    (key) are those that compare; ``about`` (run, series, model, language,
+    n_blocks, tasks) tells of the runs, and ``axis`` what they differ by.
+    """
+    held, buckets = _buckets(docs, keys, reference)
+    chosen = pairing.stratified(buckets.where("bucket <> 'mixed'"), ["bucket"], "key", per_bucket)
     answers = documents.first_answers(held, ["run", "key"], ["task_name", "doc_id", "predicted", "target", "is_correct"], "choice_idx")
-    out = pairing.example_rows(chosen, held.select("run"), answers, depths)
-    return out.withColumn("is_reference", F.col("run") == reference)
+    out = pairing.example_rows(chosen, held.select("run"), answers, depths).withColumn("is_reference", F.col("run") == reference)
+    if about is None:
+        return out
+    # A run's tasks stand in where it has no answer to the document.
+    out = out.join(F.broadcast(about), "run", "left").withColumn("run_task", F.coalesce("task_name", F.array_join("tasks", "+"))).drop("tasks")
+    return out.withColumn("axis", F.lit(axis))
+
+
+def draw(docs: DataFrame, keys: DataFrame, reference: str, per_bucket: int = 3) -> DataFrame:
+    """How the examples were drawn: per bucket its documents and how many were taken; mixed ones are never taken."""
+    _, buckets = _buckets(docs, keys, reference)
+    pools = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("pool"))
+    return pools.withColumn("taken", F.when(F.col("bucket") == "mixed", 0).otherwise(F.least("pool", F.lit(per_bucket))))
 
 
 def module_statistics(observations: DataFrame, forwards: DataFrame, axis_stats: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -321,14 +321,14 @@ def shard_rolls(read):
 
 @query("""
 WITH m AS (SELECT l_suppkey AS run, CASE WHEN l_linenumber % 2 = 0 THEN 'a' ELSE 'b' END AS task, CASE WHEN l_returnflag = 'A' THEN 'acc,none' ELSE 'f1,strict' END AS metric, round(avg(l_discount), 9) AS value FROM lineitem GROUP BY 1, 2, 3)
-SELECT s_suppkey AS run, CASE WHEN s_suppkey % 3 > 0 THEN value END AS score FROM supplier LEFT JOIN m ON run = s_suppkey AND task = CASE WHEN s_suppkey % 3 = 1 THEN 'a' ELSE 'b' END AND metric = 'f1,strict' WHERE s_suppkey % 4 > 0""")
+SELECT s_suppkey AS run, CASE WHEN s_suppkey % 3 > 0 THEN value END AS score, s_suppkey % 3 = 0 OR s_suppkey % 5 > 0 AS higher FROM supplier LEFT JOIN m ON run = s_suppkey AND task = CASE WHEN s_suppkey % 3 = 1 THEN 'a' ELSE 'b' END AND metric = 'f1,strict' WHERE s_suppkey % 4 > 0""")
 def protocol_scores(read):
     """Scores by the protocol that a run declares; a run of several tasks has none."""
     r = read("lineitem").groupBy(F.col("l_suppkey").alias("run"), F.when(F.col("l_linenumber") % 2 == 0, "a").otherwise("b").alias("task"), F.when(F.col("l_returnflag") == "A", "acc,none").otherwise("f1,strict").alias("metric")).agg(F.round(F.avg("l_discount"), 9).alias("value"))
     key = F.col("s_suppkey")
     tasks = F.when(key % 3 == 0, F.array(F.lit("a"), F.lit("b"))).when(key % 3 == 1, F.array(F.lit("a"))).otherwise(F.array(F.lit("b")))
     s = read("supplier").select(key.alias("run"), tasks.alias("tasks"))
-    p = s.where("run % 4 > 0").select("run", F.explode("tasks").alias("task"), F.lit("f1").alias("primary_metric"), F.lit("strict").alias("primary_filter"))
+    p = s.where("run % 4 > 0").select("run", F.explode("tasks").alias("task"), F.lit("f1").alias("primary_metric"), F.lit("strict").alias("primary_filter"), F.when(F.col("run") % 5 == 0, False).when(F.col("run") % 5 == 1, True).alias("higher_is_better"))
     return runs.protocol_scores(r, p, s)
 
 

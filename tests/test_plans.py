@@ -37,6 +37,10 @@ def test_precedence_and_refusals(spark, docs):
         attach.attach_pairing(docs, two, pair_on="absent")
     out, kind = attach.attach_pairing(docs, strict=True)
     assert kind == "none" and {r.pairing_status for r in out.collect()} == {"strict_no_identity"}
+    with pytest.raises(ValueError, match="strict"):
+        attach.attach_pairing(docs, two, pair_on="position", strict=True)
+    same = fields(spark, name=["x", "y", "y", "x"], other=["y", "x", "x", "y"])
+    assert {(r.run, r.doc): r.pair_key for r in attach.attach_pairing(docs, same)[0].collect()}[("a", 1)] == "x"
     out, kind = attach.attach_pairing(docs, two, pair_on="position")
     assert kind == "position" and sorted(r.pairing_status for r in out.collect()) == ["not_in_every_language"] * 2 + ["paired"] * 2
     mapping = frame(spark, [("a", 1, "k"), ("b", 3, "k")], "run string, doc long, canonical string")
@@ -50,12 +54,12 @@ def test_assumed_alignment(spark, docs):
     paired, kind = attach.attach_pairing(docs, pair_on="position")
     gold = frame(spark, [("a", 1, "choice:0"), ("b", 1, "choice:1")], "run string, doc long, gold string")
     status = attach.answer_statuses(paired, gold)
-    assert attach.comparable_keys(status).count() == 0 and attach.comparable_keys(status, True).count() == 1
     series = frame(spark, [("a", "s1", "m", 0, "en"), ("b", "s2", "m", 0, "ko")], "run string, series string, model string, num_fewshot int, language string")
     table = attach.pairing_table(paired.selectExpr("*", "'t' AS task_name", "doc AS doc_id"), gold, series, kind)
     assert len(table.columns) == 17 and sorted((r.exclusion_reason or "", r.answer_status or "") for r in table.collect()) == [("", "disagree")] * 2 + [("not_in_every_language", "")] * 2
     assert {(r.series, r.documents, r.paired): r.excluded for r in attach.coverage(table).collect()} == {("s1", 2, 1): {"not_in_every_language": 1}, ("s2", 2, 1): {"not_in_every_language": 1}}
     assert {(r.run_path, r.outcome): r.n for r in attach.provenance(table).collect()} == {(r, o): 1 for r in "ab" for o in ("disagree", "not_in_every_language")}
+    assert attach.comparable_keys(table, status).count() == 0 and attach.comparable_keys(table, status, True).count() == 1
     assert {r.kind: r.n for r in attach.evidence_kinds(gold).collect()} == {"choice": 2}
 
 
@@ -95,3 +99,26 @@ def test_report_across_languages(spark, tmp_path):
     assert {r.is_reference for r in examples if r.run.endswith("/ko")} == {True}
     assert json.loads((tmp_path / "out/pairing.json").read_text())["groups"][0]["alignment"]["aligned"] is True
     assert cli.main(["report", f"file://{tmp_path}", "--output", f"file://{tmp_path}/out2", "--multilingual", "en=t_en,ko=t_ko", "--pair-on", "nothing"]) == 1
+
+
+def test_report_pairs_by_position(spark, tmp_path):
+    """No field identifies a document: subtasks meet by what they add to the declared task; one language lacks some gold answers, and less is better."""
+    for name, task, shift in (("en", "t_en", 0.0), ("ko", "t_ko", 0.2)):
+        path = f"file://{tmp_path}/{name}"
+        manifest = dict.fromkeys(REQUIRED_MANIFEST, "x") | {"tasks": [task], "model_id": "m", "num_fewshot": 0, "completed": True, "n_blocks": 4, "benchmarks": {"protocols": {task: {"primary_metric": "loss", "primary_filter": "none", "higher_is_better": False}}}}
+        source.write_results(spark, path, {"schema_version": "0.4", "results": {task: {"loss,none": 0.5 + shift}}, "manifest": manifest})
+        rows = [(f"{task}_{part}", d, c, d % 2 == 0, c == 0 and (name == "en" or d < 15), "p", "t", -1.0) for part in "ab" for d in range(20) for c in range(2)]
+        source.append(frame(spark, rows, "task_name string, doc_id long, choice_idx int, is_correct boolean, is_target_choice boolean, predicted string, target string, choice_logprob double"), path, "docs")
+        tokens = [(f"{task}_{part}", d, c, 0, layer, 5 if c == 0 and layer > 0 else layer) for part in "ab" for d in range(20) for c in range(2) for layer in range(3)]
+        source.append(frame(spark, tokens, "task_name string, doc_id long, choice_idx int, step int, layer int, lens_token_id long"), path, "signals")
+        samples = frame(spark, [(f"{task}_{part}", d, f"{name} text {part} {d}") for part in "ab" for d in range(20)], "task_name string, doc_id long, own string").selectExpr("task_name", "doc_id", "named_struct('own', own) AS doc")
+        source.write_samples(samples, path)
+    assert cli.main(["report", f"file://{tmp_path}", "--output", f"file://{tmp_path}/out", "--multilingual", "en=t_en,ko=t_ko"]) == 0
+    table = spark.read.parquet(f"file://{tmp_path}/out/pairing")
+    assert {(r.pairing_status, r.answer_status): r["count"] for r in table.groupBy("pairing_status", "answer_status").count().collect()} == {("paired", "agree"): 60, ("paired", "no_gold_evidence"): 20}
+    assert {r.canonical_doc_id for r in table.collect()} == {f"_{part}#{d}" for part in "ab" for d in range(20)} and {r.pairing_source for r in table.collect()} == {"position"}
+    examples = spark.read.parquet(f"file://{tmp_path}/out/examples").collect()
+    assert {r.series for r in examples if r.is_reference} == {"en"} and {r.settle_depth for r in examples} == {0.25}
+    assert {(r.axis, r.model, r.n_blocks) for r in examples} == {("language", "m", 4)} and {r.run_task for r in examples} <= {f"t_{x}_{y}" for x in ("en", "ko") for y in "ab"}
+    drawn = json.loads((tmp_path / "out/examples.json").read_text())["groups"][0]
+    assert drawn["pool_sizes"] == {"all_correct": 20, "all_wrong": 20} and drawn["taken"] == {"all_correct": 3, "all_wrong": 3} and drawn["eligible"] == 40 and drawn["datasets"] == ["en=t_en", "ko=t_ko"]
