@@ -106,7 +106,9 @@ def docs_from_samples(samples: DataFrame, record: str = "record", order: str = "
     """
     v = F.col(record)
     get = lambda path, kind: F.try_variant_get(v, path, kind)
-    metrics = {m: F.when(get(f"$.{m}", "variant").isNotNull(), F.coalesce(get(f"$.{m}", "string"), F.lit("null"))) for m in VERDICT_METRICS}
+    # The JSON values true and false are numbers; the texts are none.
+    worded = lambda m: (F.schema_of_variant(get(f"$.{m}", "variant")) == "STRING") & F.lower(get(f"$.{m}", "string")).isin("true", "false")
+    metrics = {m: F.when(get(f"$.{m}", "variant").isNotNull(), F.when(worded(m), "null").otherwise(F.coalesce(get(f"$.{m}", "string"), F.lit("null")))) for m in VERDICT_METRICS}
     contract = F.when(get("$._eval_framework", "variant").isNotNull(), F.struct(get("$._eval_framework.is_correct", "boolean").alias("is_correct")))
     rows = samples.select(
         F.col(order).alias("_order"), get("$.task_name", "string").alias("task_name"), get("$.doc_id", "long").alias("doc_id"), get("$.filter", "string").alias("filter"), get("$._eval_framework.primary_filter", "string").alias("_declared"),

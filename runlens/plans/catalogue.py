@@ -672,14 +672,23 @@ def trace_depth(read):
 
 
 @query("""
-WITH d AS (SELECT doc_id, CASE WHEN text IS NULL THEN NULL WHEN doc_id % 9 = 0 THEN NULL ELSE 2 + doc_id % 4 END AS rank, doc_id % 7 <> 0 AS floating, n_chars AS n_values, doc_id % 8 AS rows, 2 AS batch_rows, 3 AS batch_length FROM documents),
-r AS (SELECT *, CASE WHEN rank IS NULL THEN 'not a tensor' WHEN NOT floating THEN 'not floating point' WHEN n_values = 0 THEN 'empty' WHEN rank NOT IN (2, 3, 4) THEN 'unknown rank' WHEN rank = 2 AND rows <> 6 THEN 'rows are not batch times length' WHEN rank = 3 AND rows <> 2 THEN 'another batch size' WHEN rank = 4 AND rows <> 2 THEN 'another batch size in attention' END AS reason FROM d)
-SELECT doc_id, reason, CASE WHEN reason IS NULL THEN CASE rank WHEN 3 THEN 'bsh' WHEN 2 THEN 'flattened_bs' ELSE 'bhqk' END END AS layout FROM r""")
+WITH d AS (SELECT doc_id, CASE WHEN doc_id % 17 = 0 THEN 'decode' ELSE 'model_forward' END AS phase, 'layers.' || (doc_id % 5) || CASE WHEN doc_id % 4 = 0 THEN '.self_attn' ELSE '.mlp' END AS module, CASE doc_id % 6 WHEN 0 THEN 'RotaryEmbedding' WHEN 1 THEN 'SdpaAttention' ELSE 'Block' END AS module_type,
+  CASE doc_id % 10 WHEN 0 THEN 'kwargs.attention_mask' WHEN 1 THEN 'past_key_values.0' WHEN 2 THEN 'output.cos' WHEN 3 THEN 'attentions.1' ELSE 'output.0' END AS path, CASE WHEN text IS NULL OR doc_id % 19 = 0 THEN 0 ELSE 2 + doc_id % 3 END AS rank, doc_id % 7 <> 0 AS floating, n_chars % 3 AS a, n_chars % 4 AS b, doc_id % 23 <> 0 AS has_lengths, doc_id % 2 = 0 AS flattened FROM documents),
+r AS (SELECT *, CASE WHEN rank = 2 THEN a * 3 ELSE a END AS first, CASE WHEN rank = 3 AND a = 2 AND b = 3 THEN 'bsh' WHEN rank = 2 AND flattened AND a * 3 = 6 THEN 'flattened_bs' WHEN rank = 4 AND a = 2 AND b IN (1, 3) AND (path LIKE '%attentions%' OR module_type LIKE '%Attention%' OR module LIKE '%self_attn%') THEN 'bhqk' END AS fits FROM d)
+SELECT doc_id, CASE WHEN reason IS NULL THEN fits END AS layout, reason FROM (SELECT *, CASE WHEN phase <> 'model_forward' THEN 'not_model_forward' WHEN path LIKE '%attention_mask%' THEN 'attention_mask' WHEN module_type = 'RotaryEmbedding' THEN 'shared_or_cached' WHEN NOT has_lengths THEN 'missing_sample_or_valid_length' WHEN rank = 0 THEN 'opaque_or_deep_container'
+  WHEN NOT floating THEN 'nonfloating' WHEN path IN ('past_key_values.0', 'output.cos') THEN 'shared_or_cached' WHEN fits IS NULL AND rank = 2 AND flattened THEN 'flattened_size_mismatch' WHEN fits IS NULL THEN 'unsupported_layout' END AS reason FROM r)""")
 def tensor_layouts(read):
     """Which layout a tensor has or the first rule that leaves it out."""
-    i = F.col("doc_id")
-    d = read("documents").select("doc_id", F.when(F.col("text").isNotNull() & (i % 9 != 0), 2 + i % 4).alias("rank"), (i % 7 != 0).alias("floating"), F.col("n_chars").alias("n_values"), (i % 8).alias("rows"), F.lit(2).alias("batch_rows"), F.lit(3).alias("batch_length"))
-    return checks.tensor_layout(d).select("doc_id", "reason", "layout")
+    i, a, b = F.col("doc_id"), (F.col("n_chars") % 3).cast("long"), (F.col("n_chars") % 4).cast("long")
+    one = F.lit(1).cast("long")
+    rank = F.when(F.col("text").isNotNull() & (i % 19 != 0), 2 + i % 3)
+    shape = F.when(rank == 2, F.array(a * 3, one)).when(rank == 3, F.array(a, b, one)).when(rank == 4, F.array(a, one, b, one))
+    d = read("documents").select(
+        "doc_id", F.when(i % 17 == 0, "decode").otherwise("model_forward").alias("phase"), F.concat(F.lit("layers."), (i % 5).cast("string"), F.when(i % 4 == 0, ".self_attn").otherwise(".mlp")).alias("module"),
+        F.when(i % 6 == 0, "RotaryEmbedding").when(i % 6 == 1, "SdpaAttention").otherwise("Block").alias("module_type"), F.when(i % 10 == 0, "kwargs.attention_mask").when(i % 10 == 1, "past_key_values.0").when(i % 10 == 2, "output.cos").when(i % 10 == 3, "attentions.1").otherwise("output.0").alias("path"),
+        shape.alias("shape"), (i % 7 != 0).alias("floating"), F.lit(2).alias("batch"), F.lit(3).alias("width"), (i % 23 != 0).alias("has_lengths"), (i % 2 == 0).alias("flattened"),
+    )
+    return checks.tensor_layout(d).select("doc_id", "layout", "reason")
 
 
 @query(f"""

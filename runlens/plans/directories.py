@@ -41,10 +41,10 @@ def written_tables(read):
 
 
 @query(f"""
-WITH l AS (SELECT DISTINCT user_id FROM ({_LAYERS}) WHERE layer < 3), d AS (SELECT DISTINCT user_id FROM events WHERE user_id % 4 > 0) SELECT user_id AS doc_id FROM l WHERE user_id NOT IN (SELECT user_id FROM d)""")
+WITH l AS (SELECT DISTINCT user_id FROM ({_LAYERS})), d AS (SELECT DISTINCT user_id FROM events WHERE user_id % 4 > 0) SELECT user_id AS doc_id FROM l WHERE user_id NOT IN (SELECT user_id FROM d)""")
 def recorded_keys(read):
     """Documents that one written table has and another lacks."""
-    rows = _layers(read).where("layer < 3").select(F.lit("t").alias("task_name"), F.col("user_id").alias("doc_id"), F.lit(0).alias("choice_idx"), F.lit(0).alias("step"), "layer")
+    rows = _layers(read).select(F.lit("t").alias("task_name"), F.col("user_id").alias("doc_id"), F.lit(0).alias("choice_idx"), F.lit(0).alias("step"), "layer")
     spark, run = rows.sparkSession, _new_run(rows.sparkSession)
     source.append(rows, run, "signals")
     source.append(rows.where("doc_id % 4 > 0").select("task_name", "doc_id", "choice_idx").distinct(), run, "docs")
@@ -141,7 +141,7 @@ def split_validation(read):
     i = F.col("doc_id")
     k = i % 10
     key = F.when(i % 20 == 19, i - 1).otherwise(i).cast("string")
-    text = F.to_json(F.struct(F.substring("text", 1, 40).alias("q")))
+    text = F.to_json(F.struct(F.col("text").alias("q")))
     choices = F.when(k == 4, '["a"]').when(k == 5, '["a", 5]').otherwise('["a", "b"]')
     label = F.when(k == 6, "2").when(k == 7, "true").otherwise("1")
     body = F.concat(F.lit('{"id": '), F.when(k == 2, "null").when(i % 3 == 0, F.concat(F.lit('"'), key, F.lit('"'))).otherwise(key), F.when(k == 3, ', "question": " "').otherwise(', "question": "what"'), F.lit(', "choices": '), choices, F.lit(', "label": '), label, F.lit(', "more": '), text, F.lit("}"))

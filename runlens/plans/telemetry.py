@@ -15,6 +15,12 @@ from runlens.sources import judges
 # Samples
 
 
+def _placed_sum(values):
+    """A sum over the whole array in which every place counts differently, as text."""
+    total = F.aggregate(F.transform(values, lambda x, k: (k + 1) * x.cast("double")), F.lit(0.0), lambda a, x: a + x)
+    return F.round(total, 4).cast("decimal(12,4)").cast("string")
+
+
 def _records(read):
     """lineitem as harness records: an order is a document, its lines are choices or, for every fifth order, a generated answer."""
     each = read("lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct(*_LINE_ORDER))).alias("s"))
@@ -132,14 +138,14 @@ def judge_identities(read):
 
 
 @query("""
-WITH a AS (SELECT vec_id // 8 AS doc_id, vec_id % 2 AS step, vec_id % 8 // 2 AS head, label, embedding[1:3] AS w FROM embeddings)
-SELECT doc_id, step, count(*) AS n_heads, string_agg(round(w[1]::double, 4)::decimal(10, 4)::varchar, ' ' ORDER BY head) AS heads FROM a WHERE doc_id % 3 > 0 OR step = 0 GROUP BY 1, 2""")
+WITH a AS (SELECT vec_id // 8 AS doc_id, vec_id % 2 AS step, vec_id % 8 // 2 AS head, list_sum(list_transform(range(1, 65), lambda k: k * embedding[k]::double)) AS w FROM embeddings)
+SELECT doc_id, step, count(*) AS n_heads, string_agg(round(w, 4)::decimal(12, 4)::varchar, ' ' ORDER BY head) AS heads FROM a WHERE doc_id % 3 > 0 OR step = 0 GROUP BY 1, 2""")
 def attention_dump(read):
-    """Weights of the last query, heads in order; generated documents keep their first step only."""
+    """Weights of the last query, heads in order, each head's told by a sum over their places; generated documents keep their first step only."""
     i = F.col("vec_id")
-    rows = read("embeddings").select(F.floor(i / 8).alias("doc_id"), (i % 2).alias("step"), F.floor(i % 8 / 2).alias("head"), F.lit(0).alias("block"), F.slice("embedding", 1, 3).alias("w"), F.when(F.floor(i / 8) % 3 > 0, "choice").otherwise("generate").alias("kind"))
+    rows = read("embeddings").select(F.floor(i / 8).alias("doc_id"), (i % 2).alias("step"), F.floor(i % 8 / 2).alias("head"), F.lit(0).alias("block"), F.col("embedding").alias("w"), F.when(F.floor(i / 8) % 3 > 0, "choice").otherwise("generate").alias("kind"))
     out = tensors.attention_rows(rows, ["doc_id"], "block", "head", "w", "kind", "step")
-    return out.select("doc_id", "step", F.size("heads").alias("n_heads"), F.array_join(F.transform("heads", lambda h: F.round(h[0].cast("double"), 4).cast("decimal(10,4)").cast("string")), " ").alias("heads"))
+    return out.select("doc_id", "step", F.size("heads").alias("n_heads"), F.array_join(F.transform("heads", _placed_sum), " ").alias("heads"))
 
 
 @query("""
@@ -171,12 +177,12 @@ def lens_tokens(read):
 
 
 @query("""
-SELECT vec_id // 40 AS doc_id, label AS layer, count(*) AS n_steps, string_agg(round(embedding[1]::double, 4)::decimal(10, 4)::varchar, ' ' ORDER BY vec_id) AS first FROM embeddings WHERE label IN (1, 4, 7) GROUP BY 1, 2""")
+SELECT vec_id // 40 AS doc_id, label AS layer, count(*) AS n_steps, string_agg(round(list_sum(list_transform(range(1, 65), lambda k: k * embedding[k]::double)), 4)::decimal(12, 4)::varchar, ' ' ORDER BY vec_id) AS sums FROM embeddings WHERE label IN (1, 4, 7) GROUP BY 1, 2""")
 def hidden_dump(read):
-    """Hidden states of chosen layers, steps in order."""
+    """Hidden states of chosen layers, steps in order, each vector told by a sum over its places."""
     rows = read("embeddings").select(F.floor(F.col("vec_id") / 40).alias("doc_id"), F.col("label").alias("layer"), F.col("vec_id").alias("step"), "embedding")
     out = tensors.hidden_rows(rows, ["doc_id"], "layer", "step", "embedding", [1, 4, 7])
-    return out.select("doc_id", "layer", F.size("steps").alias("n_steps"), F.array_join(F.transform("steps", lambda v: F.round(v[0].cast("double"), 4).cast("decimal(10,4)").cast("string")), " ").alias("first"))
+    return out.select("doc_id", "layer", F.size("steps").alias("n_steps"), F.array_join(F.transform("steps", _placed_sum), " ").alias("sums"))
 
 
 @query("""

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import http.client
 import json
 import math
+import os
 import time
 import urllib.error
 import urllib.request
@@ -26,19 +28,53 @@ def _no_constant(name: str):
     raise ValueError(f"{name} is no JSON number")
 
 
-def ask(url: str, messages: list[dict], retries: int = 3, timeout: float = 60, opener=urllib.request.urlopen, wait=time.sleep) -> dict:
-    """POST the messages and return the JSON answer; what the server says in an error is not passed on."""
-    request = urllib.request.Request(url, json.dumps({"messages": messages}).encode(), {"Content-Type": "application/json"})
+def _finite(text: str) -> float:
+    return float(text) if math.isfinite(float(text)) else _no_constant(text)
+
+
+def _parsed(reply) -> object:
+    return json.loads(reply.read(), parse_constant=_no_constant, parse_float=_finite)
+
+
+def _refused_setting(error: urllib.error.HTTPError, body: dict) -> str:
+    """The setting of ours that the server names as wrong; nothing else that it says is passed on, as it may hold secrets."""
+    try:
+        named = _parsed(error)["error"]["param"]
+    except (ValueError, LookupError, TypeError, OSError, http.client.HTTPException):
+        return ""
+    return f", for {named}" if isinstance(named, str) and named in body else ""
+
+
+def ask(config: dict, messages: list[dict], opener=urllib.request.urlopen, wait=time.sleep) -> dict:
+    """POST the messages with the model and generation settings of ``config`` (see checks.JUDGE) and return the JSON answer.
+
+    The key is read from the environment as the request is made. Failures of
+    the transport and answers RETRIED are tried again; every failure in the
+    end is a RuntimeError or ValueError.
+    """
+    headers = {"Content-Type": "application/json"}
+    if name := config.get("api_key_env"):
+        if not os.environ.get(name):
+            raise ValueError(f"the environment has no {name}")
+        headers["Authorization"] = f"Bearer {os.environ[name]}"
+    body = {"model": config["model"], "messages": messages, "stream": False} | config.get("generation_kwargs", {})
+    request = urllib.request.Request(config["endpoint"], json.dumps(body, allow_nan=False).encode(), headers)
+    retries = config.get("max_retries", 2)
     for attempt in range(retries + 1):
+        why, again = "cannot be reached", True
         try:
-            with opener(request, timeout=timeout) as reply:
-                return json.loads(reply.read(), parse_constant=_no_constant)
+            with opener(request, timeout=config.get("timeout", 60)) as reply:
+                answer = _parsed(reply)
+            if isinstance(answer, dict):
+                return answer
+            raise ValueError("the judge's answer is no JSON object")
         except urllib.error.HTTPError as error:
-            if error.code not in RETRIED or attempt == retries:
-                raise RuntimeError(f"the judge answered with status {error.code}") from None
-        except urllib.error.URLError:
-            if attempt == retries:
-                raise RuntimeError("the judge cannot be reached") from None
+            why, again = f"answered with status {error.code}{_refused_setting(error, body)}", error.code in RETRIED
+        except (OSError, http.client.HTTPException):
+            # Time-outs, dropped connections and answers that end too soon are no URLError.
+            pass
+        if not again or attempt == retries:
+            raise RuntimeError(f"the judge {why}")
         wait(min(2**attempt, 8))
     raise AssertionError
 
@@ -53,10 +89,10 @@ def checked_scores(scores: dict, metrics: list[str]) -> dict[str, float]:
     return out
 
 
-def judge(work: DataFrame, url: str, prompt, score, metrics: list[str]) -> DataFrame:
+def judge(work: DataFrame, config: dict, prompt, score, metrics: list[str]) -> DataFrame:
     """(identity, status, scores) of each row of (identity, record): ``prompt`` makes messages of a record, ``score`` numbers of an answer.
 
-    Requests are made from tasks. A failure is a row of its own and does not
+    Requests go from tasks to the judge of ``config``. A failure, time-outs included, is a row of its own and does not
     end the job; add_to_journal() keeps all, and to_ask() asks again what has no success.
     """
 
@@ -65,7 +101,7 @@ def judge(work: DataFrame, url: str, prompt, score, metrics: list[str]) -> DataF
             out = []
             for record in batch.column(1).to_pylist():
                 try:
-                    out.append(("success", checked_scores(score(record, ask(url, prompt(record))), metrics)))
+                    out.append(("success", checked_scores(score(record, ask(config, prompt(record))), metrics)))
                 except (RuntimeError, ValueError):
                     out.append(("failed", {}))
             yield pa.RecordBatch.from_pydict({"identity": batch.column(0), "status": [s for s, _ in out], "scores": pa.array([list(x.items()) for _, x in out], pa.map_(pa.string(), pa.float64()))})

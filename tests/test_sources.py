@@ -1,4 +1,7 @@
+import http.server
 import io
+import time
+import threading
 import json
 import math
 import urllib.error
@@ -163,13 +166,56 @@ def test_judge_retries_and_checks():
         return reply
 
     waits = []
-    assert judges.ask("http://judge", [], opener=opener, wait=waits.append) == {"a": 1} and waits == [1, 2]
+    assert judges.ask({"endpoint": "http://judge", "model": "m", "max_retries": 3}, [], opener=opener, wait=waits.append) == {"a": 1} and waits == [1, 2]
     with pytest.raises(ValueError):
         judges.checked_scores({"a": float("inf")}, ["a"])
     with pytest.raises(ValueError):
         judges.checked_scores({"b": 1}, ["a"])
 
 
+def test_judge_over_http(spark, monkeypatch):
+    """What a server is sent, and what becomes of a refusal, an answer that comes too late and one that is no object."""
+    monkeypatch.setenv("RUNLENS_TEST_KEY", "k1")
+    seen, tries = [], {}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):  # noqa: N802
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            what = body["messages"][0]["content"]
+            seen.append((self.headers["Authorization"], body["model"], body["temperature"], body["stream"]))
+            tries[what] = tries.get(what, 0) + 1
+            if what == "late":
+                time.sleep(1.5)
+            status = {"busy": 503 if tries[what] == 1 else 200, "wrong": 400}.get(what, 200)
+            answer = b"[1]" if what == "list" else b'{"a": 1e999}' if what == "huge" else b'{"error": {"param": "temperature", "message": "k1"}}' if status == 400 else b'{"a": 0.5}'
+            try:
+                self.send_response(status)
+                self.end_headers()
+                self.wfile.write(answer)
+            except OSError:
+                pass
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    config = {"endpoint": f"http://127.0.0.1:{server.server_port}/v1", "model": "m", "api_key_env": "RUNLENS_TEST_KEY", "generation_kwargs": {"temperature": 0}, "timeout": 0.5, "max_retries": 1}
+    with pytest.raises(RuntimeError, match="status 400, for temperature$"):
+        judges.ask(config, [{"content": "wrong"}])
+    with pytest.raises(RuntimeError, match="cannot be reached"):
+        judges.ask(config, [{"content": "late"}])
+    with pytest.raises(ValueError, match="no_key"):
+        judges.ask(config | {"api_key_env": "no_key"}, [])
+    assert tries == {"wrong": 1, "late": 2}
+    work = spark.createDataFrame([(x, x) for x in ("fine", "busy", "late", "list", "huge", "wrong")], "identity string, record string")
+    config.pop("api_key_env")
+    out = judges.judge(work, config, lambda record: [{"content": record}], lambda record, answer: {"a": answer["a"]}, ["a"])
+    assert {r.identity: (r.status, r.scores) for r in out.collect()} == {x: ("success", {"a": 0.5}) for x in ("fine", "busy")} | {x: ("failed", {}) for x in ("late", "list", "huge", "wrong")}
+    assert set(seen) == {("Bearer k1", "m", 0, False), (None, "m", 0, False)}
+    server.shutdown()
+
+
 def test_judge_journal(spark):
     asked = spark.createDataFrame([("x",), ("y",)], "identity string")
     journal = spark.createDataFrame([("x", "success"), ("y", "failed")], "identity string, status string")
