@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,10 +88,35 @@ def collapsed_choices(df: DataFrame, keys: list[str], choice: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.to_json(F.array_sort(F.collect_set(choice))).alias("choices"))
 
 
+def _hashed_in_order(batches):
+    """The SHA-256 of the lines of each run, which come in order, one after another."""
+    run, state = None, None
+    for batch in batches:
+        done = {"run": [], "digest": []}
+        for r, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if state is not None and r == run:
+                state.update(b"\n")
+            else:
+                if state is not None:
+                    done["run"].append(run)
+                    done["digest"].append(state.hexdigest())
+                run, state = r, hashlib.sha256()
+            state.update((line or "").encode())
+        yield pa.RecordBatch.from_pydict({k: pa.array(v, pa.string()) for k, v in done.items()})
+    if state is not None:
+        yield pa.RecordBatch.from_pydict({"run": pa.array([run], pa.string()), "digest": pa.array([state.hexdigest()], pa.string())})
+
+
 def doc_set_hash(docs: DataFrame, keys: list[str], task: str, doc: str) -> DataFrame:
-    """The first 16 hex digits of the hash over the sorted task:doc lines of each run, repeats included."""
+    """The first 16 hex digits of the hash over the sorted task:doc lines of each run, repeats included.
+
+    Sorted lines pass through the hash one by one, so no task holds a run's lines.
+    """
     line = F.concat_ws(":", F.col(task).cast("string"), F.col(doc).cast("string"))
-    return docs.groupBy(*keys).agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256), 1, 16).alias("doc_id_set_hash"))
+    rows = docs.select(F.to_json(F.struct(*keys)).alias("run"), line.alias("line"))
+    rows = rows.repartition("run").sortWithinPartitions("run", "line").mapInArrow(_hashed_in_order, "run string, digest string")
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+    return rows.select(F.from_json("run", kinds).alias("k"), F.substring("digest", 1, 16).alias("doc_id_set_hash")).select("k.*", "doc_id_set_hash")
 
 
 def is_scored(responses: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.scalar import is_finite
+from runlens.operators.selection import lower_median
 
 
 def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -101,8 +102,10 @@ def numeric_summary(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """What a trace tells of a tensor: non-finite counts, then min, max, mean, std and the lower median of the finite."""
     x = F.col(value).cast("double")
     finite = F.when(is_finite(x), x)
-    low = F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN isnan({value}) OR abs({value}) = double('Infinity') THEN NULL ELSE {value} END)")
-    return df.groupBy(*keys).agg(F.count_if(F.isnan(x)).alias("nan"), F.count_if(F.abs(x) == float("inf")).alias("inf"), F.min(finite).alias("min"), F.max(finite).alias("max"), F.avg(finite).alias("mean"), F.stddev_pop(finite).alias("std"), low.alias("median"))
+    out = df.groupBy(*keys).agg(F.count_if(F.isnan(x)).alias("nan"), F.count_if(F.abs(x) == float("inf")).alias("inf"), F.min(finite).alias("min"), F.max(finite).alias("max"), F.avg(finite).alias("mean"), F.stddev_pop(finite).alias("std"))
+    # Groups without a finite value have no median.
+    middle = lower_median(df.withColumn("_finite", finite), keys, "_finite").select(F.struct(*keys).alias("_k"), "median")
+    return out.withColumn("_k", F.struct(*keys)).join(middle, "_k", "left").drop("_k")
 
 
 def axis_moments(df: DataFrame, keys: list[str], array: str) -> DataFrame:

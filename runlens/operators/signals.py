@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from runlens.functions.scalar import is_finite, relative_depth
+from runlens.operators import selection
 from runlens.operators.checks import refuse_duplicates
 
 
@@ -59,7 +60,8 @@ def target_rows(df: DataFrame, run: list[str], flag: str) -> DataFrame:
 
 
 def medians(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    return df.where(is_finite(F.col(value))).groupBy(*keys).agg(F.median(value).alias("median"), F.count(F.lit(1)).alias("n"))
+    """The median of the finite values of each group and their number."""
+    return selection.median(df.where(is_finite(F.col(value))), keys, value).select(*keys, "median", "n")
 
 
 def correlation(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

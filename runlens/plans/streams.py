@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from runlens.operators import trace
+from runlens.operators import requests, trace
 from runlens.plans.catalogue import _TRACE, _rounded, _trace
 from runlens.plans.directories import _new_run
 from runlens.plans.registry import query
-from runlens.streaming import reducers, traces
+from runlens.streaming import ingest, reducers, traces
 
 
 def _streamed(spark: SparkSession, parts: list[DataFrame], transform, again: bool = False) -> DataFrame:
@@ -96,3 +96,41 @@ def phases_and_samples(read):
     kind = lambda name: F.col("event") == name
     rows = trace.innermost(rows, ["user_id"], "i", kind("enter"), kind("exit"), F.concat(F.lit("p"), (F.col("event_id") % 5).cast("string")), "phase")
     return trace.sticky_samples(rows, ["user_id"], "i", kind("signup"), F.col("event_id"), kind("error"), kind("view"), "samples").select("user_id", "i", "phase", "samples")
+
+
+_REQUESTS = """o AS (SELECT l_orderkey AS doc_id, list(l_partkey % 7 ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax, l_shipdate)::INT[] AS t FROM lineitem GROUP BY 1),
+r AS (SELECT doc_id * 8 + c AS i, doc_id, c, t[1:greatest(1, len(t) - 1 - c % 3)] AS ctx, list_append(t[greatest(1, len(t) - 1 - c % 3) + 1:], c::INT) AS cont FROM o, unnest(range(4)) u(c)),
+p AS (SELECT *, list_concat(ctx, cont) AS tokens, list_concat(ctx, cont[:len(cont) - 1]) AS prefix FROM r),
+f AS (SELECT prefix, arg_min(tokens, i) AS tokens, min(i) AS i FROM p GROUP BY prefix), n AS (SELECT prefix, len(tokens) AS row_tokens, row_number() OVER (ORDER BY -len(tokens), tokens, i) - 1 AS row FROM f)"""
+
+
+@query(f"""
+WITH {_REQUESTS}, q AS (SELECT p.*, row, least(row_tokens - 1, 5) AS input_length, row_tokens - 1 AS whole FROM p JOIN n ON n.prefix = p.prefix)
+SELECT i AS request, doc_id, c AS choice_idx, row, step, cont[step + 1]::BIGINT AS target, input_length, whole - input_length AS input_offset, input_length - len(cont) + step AS position FROM q, unnest(range(len(cont))) u(step)""")
+def request_positions(read):
+    """Requests whose continuations begin at several places of one text: longest first, one forward for those that share it, and what each reads there."""
+    order = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_shipdate")
+    texts = read("lineitem").groupBy(F.col("l_orderkey").alias("doc_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct(*order))), lambda s: (s["l_partkey"] % 7).cast("int")).alias("t"))
+    c = F.col("choice_idx")
+    cut = F.greatest(F.lit(1), F.size("t") - 1 - c % 3)
+    rows = texts.select("*", F.explode(F.array(*map(F.lit, range(4)))).alias("choice_idx")).select((F.col("doc_id") * 8 + c).alias("request"), "doc_id", "choice_idx", F.slice("t", 1, cut).alias("ctx"), F.array_append(F.slice("t", cut + 1, F.size("t")), c).alias("cont"))
+    out = requests.scored_positions(requests.batched(rows, "request", "ctx", "cont"), "request", ["doc_id", "choice_idx"], "ctx", "cont", 5)
+    return out.withColumn("target", F.col("target").cast("long"))
+
+
+@query("""
+WITH d AS (SELECT DISTINCT user_id, least(2, event_id * 3 // (SELECT max(event_id) + 1 FROM events)) AS batch FROM events), n AS (SELECT *, row_number() OVER (ORDER BY batch, user_id) - 1 AS nth FROM d),
+e AS (SELECT *, least(2, event_id * 3 // (SELECT max(event_id) + 1 FROM events)) AS batch FROM events)
+SELECT 'clicks' AS "table", event_id, nth // 20 AS shard FROM e JOIN n USING (user_id, batch) WHERE event_type = 'click' UNION ALL SELECT 'large', event_id, nth // 20 FROM e JOIN n USING (user_id, batch) WHERE value > 50""")
+def rolled_tables(read):
+    """Two tables of a stream in three batches, rolled every twenty documents at one boundary."""
+    e = read("events")
+    spark, out = e.sparkSession, _new_run(e.sparkSession)
+    last = e.agg(F.max("event_id")).first()[0]
+    nth = F.least(F.lit(2), F.floor(F.col("event_id") * 3 / (last + 1)))
+    tables = {"clicks": lambda b: b.where("event_type = 'click'").select("user_id", "event_id"), "large": lambda b: b.where("value > 50").select("user_id", "event_id")}
+    for k in range(3):
+        e.where(nth == k).write.mode("append").parquet(f"{out}/in")
+        ingest.roll(spark.readStream.schema(e.schema).parquet(f"{out}/in"), tables, f"{out}/rolled", f"{out}/checkpoint", ["user_id"], 20)
+    parts = [ingest.read_rolled(spark, f"{out}/rolled", t).select(F.lit(t).alias("table"), "event_id", "shard") for t in tables]
+    return parts[0].unionByName(parts[1])

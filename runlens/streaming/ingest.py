@@ -1,13 +1,12 @@
-"""Structured Streaming: ingest that repeats safely, windows over events, and call stacks kept as state."""
+"""Structured Streaming: ingest that repeats safely, tables rolled at one boundary, and windows over events."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from runlens.operators.requests import ranked
+from runlens.sources.runs import write_json
 
 
 def ingest(source: DataFrame, tables: dict, out: str, checkpoint: str) -> None:
@@ -31,6 +30,54 @@ def read_ingested(spark: SparkSession, out: str, name: str) -> DataFrame:
     return spark.read.option("basePath", f"{out}/{name}").parquet(f"{out}/{name}").drop("batch_id")
 
 
+def _committed(spark: SparkSession, out: str) -> DataFrame:
+    """(batch_id, n_docs) of the batches whose tables are all written."""
+    commits = f"{out}/_commits"
+    if not _exists(spark, commits):
+        return spark.createDataFrame([], "batch_id long, n_docs long")
+    return spark.read.schema("batch_id long, n_docs long").json(f"{commits}/batch-*.json")
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def roll_batch(batch: DataFrame, batch_id: int, tables: dict, out: str, keys: list[str], per_shard: int) -> None:
+    """Write one batch into all tables, cut into shards at the same documents, and then its commit record.
+
+    Documents are numbered on from those of the batches before, in the order
+    of their keys, so a shard holds ``per_shard`` documents of the whole
+    stream and every table puts a document into the shard of that number. The
+    record is one small file that takes its place in one step: readers see all
+    tables of a batch or none. A batch that is committed is not written again.
+    """
+    spark = batch.sparkSession
+    done = {r.batch_id: r.n_docs for r in _committed(spark, out).collect()}
+    if batch_id in done:
+        return
+    numbered = f"{out}/_documents/batch_id={batch_id}"
+    ranked(batch.select(*keys).distinct(), [F.col(k) for k in keys], "_ordinal").write.mode("overwrite").parquet(numbered)
+    documents = spark.read.parquet(numbered)
+    first = sum(n for b, n in done.items() if b < batch_id)
+    for name, make in tables.items():
+        rows = make(batch).join(documents, keys).withColumn("shard", F.floor((F.col("_ordinal") + first) / per_shard)).drop("_ordinal")
+        rows.write.mode("overwrite").option("compression", "zstd").partitionBy("shard").parquet(f"{out}/{name}/batch_id={batch_id}")
+    write_json(spark, f"{out}/_commits/batch-{batch_id}.json", {"batch_id": batch_id, "n_docs": documents.count()})
+
+
+def roll(source: DataFrame, tables: dict, out: str, checkpoint: str, keys: list[str], per_shard: int = 500) -> None:
+    """roll_batch() of every micro-batch."""
+    put = lambda batch, batch_id: roll_batch(batch, batch_id, tables, out, keys, per_shard)
+    source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def read_rolled(spark: SparkSession, out: str, name: str) -> DataFrame:
+    """The rows of a table with their shard, of committed batches only."""
+    rows = spark.read.option("basePath", f"{out}/{name}").parquet(f"{out}/{name}/batch_id=*")
+    return rows.join(F.broadcast(_committed(spark, out).select("batch_id")), "batch_id", "left_semi").drop("batch_id")
+
+
 def event_windows(events: DataFrame, ts: str, keys: list[str], value: str, late: str = "10 minutes", size: str = "1 hour", slide: str | None = None) -> DataFrame:
     """Counts and sums per window of event time; rows later than the watermark are left out."""
     out = events.withWatermark(ts, late).groupBy(F.window(ts, size, slide or size), *keys).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total"))
@@ -47,26 +94,3 @@ def module_counters(events: DataFrame, module: str, event: str) -> DataFrame:
     """Calls, observations and exclusions of each module so far, as counters kept in the state store (output mode update)."""
     kinds = {"calls": "enter", "observations": "observe", "exclusions": "exclude"}
     return events.groupBy(module).agg(*(F.count_if(F.col(event) == kind).alias(name) for name, kind in kinds.items()))
-
-
-def open_calls(events: DataFrame, session: str, order: str, event: str) -> DataFrame:
-    """Calls as they close: (session, enter, exit, depth, status), orphan exits included.
-
-    The stack of each session is its state, so an enter may wait for an exit
-    in a later batch; within a batch events are taken in their order.
-    """
-    out = f"{session} long, enter long, exit long, depth long, status string"
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stack = list(state.get[0]) if state.exists else []
-        rows = []
-        for i, kind in pd.concat(batches).sort_values(order)[[order, event]].itertuples(index=False):
-            if kind == "enter":
-                stack.append(int(i))
-            elif kind == "exit":
-                depth = len(stack)
-                rows.append((key[0], stack.pop() if stack else None, int(i), depth, "closed" if depth else "orphan"))
-        state.update((stack,))
-        yield pd.DataFrame(rows, columns=[session, "enter", "exit", "depth", "status"]).astype({"enter": "Int64", "exit": "Int64"})
-
-    return events.select(session, order, event).groupBy(session).applyInPandasWithState(step, out, "stack array<long>", "append", GroupStateTimeout.NoTimeout)
