@@ -245,15 +245,6 @@ def test_windows_over_a_stream(spark, tmp_path):
     assert spark.table("sessions").agg(F.sum("n")).first()[0] == events.count()
 
 
-def test_call_stacks_across_batches(spark, tmp_path):
-    for n, part in enumerate(([(1, 1, "exit"), (1, 2, "enter")], [(1, 3, "enter"), (1, 4, "exit"), (1, 5, "exit")])):
-        spark.createDataFrame(part, "s long, i long, event string").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in/b{n}")
-    stream = spark.readStream.schema("s long, i long, event string").option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
-    q = ingest.open_calls(stream, "s", "i", "event").writeStream.outputMode("append").format("memory").queryName("calls").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert sorted((r.status, r.enter, r["exit"], r.depth) for r in spark.table("calls").where("enter IS NOT NULL").collect()) == [("closed", 2, 5, 1), ("closed", 3, 4, 2)]
-
-
 def test_tasks_and_splits(spark, tmp_path):
     (tmp_path / "a").mkdir()
     (tmp_path / "a/one.yaml").write_text("task: one\ndoc_to_text: !function helpers.text\n")
