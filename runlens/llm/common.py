@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -88,6 +89,22 @@ def slices(batches, rows: int = 1000):
             yield batch.slice(at, rows)
 
 
+#: What a worker process keeps between tasks, by the operator's part that keeps it, and how to drop it.
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, drop: Callable[[], None]) -> None:
+    _kept[name] = drop
+
+
+def claim(name: str) -> None:
+    """Called in a worker by a part that begins to fill its own store: the stores of other parts are dropped, so that stages share one budget."""
+    for other, drop in _kept.items():
+        if other != name:
+            drop()
+    pa.default_memory_pool().release_unused()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

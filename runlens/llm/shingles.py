@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from runlens.llm.common import claim, keeps
+
 #: Odd multipliers of a polynomial over word hashes, and the constants of the 64-bit finaliser.
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -15,6 +17,8 @@ _KEPT_WORDS = 150_000
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
+        if not self:
+            claim("words")
         if len(self) >= _KEPT_WORDS:
             self.clear()
         value = self[word] = xxhash.xxh3_64_intdigest(word)
@@ -22,6 +26,7 @@ class _WordHashes(dict):
 
 
 _hashes = _WordHashes()
+keeps("words", _hashes.clear)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:

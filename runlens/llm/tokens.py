@@ -16,6 +16,8 @@ import re
 import unicodedata
 from array import array
 
+from runlens.llm.common import claim, keeps
+
 #: Pieces whose ids a worker keeps at once, some 200 bytes each, unless it is told otherwise.
 KEPT_PIECES = 400_000
 #: Texts encoded together.
@@ -121,7 +123,11 @@ class PieceTokenizer:
         return [self._whole(text) if held is None else b"".join(held) for text, held in found]
 
 
-@functools.cache
+_tokenizer = functools.cache(PieceTokenizer)
+keeps("pieces", _tokenizer.cache_clear)
+
+
 def tokenizer(path: str, kept: int = KEPT_PIECES) -> PieceTokenizer:
-    """One per worker process and file."""
-    return PieceTokenizer(path, kept)
+    """One per worker process and file, while no other stage works there."""
+    claim("pieces")
+    return _tokenizer(path, kept)
