@@ -18,6 +18,10 @@ from runlens.sources import runs as source
 
 #: Columns of a run that its manifest holds, as paths into it.
 _MANIFEST = {"completed": "boolean", "reducers": "string", "tasks": "array<string>", "doc_id_set_hash": "string", "vocab_size": "long", "n_blocks": "int", "model_id": "string", "num_fewshot": "int", "benchmarks": "string"}
+#: Columns of a statistics report (fixed values).
+_STATISTICS = ("task_name", "module", "io", "tensor_path", "stage", "layout")
+_OF_DOCUMENT = ("doc_id", "count", "finite_count", "mean", "std", "min", "max", "nan", "posinf", "neginf")
+_OF_DATASET = ("documents", "finite_count", "sample_mean", "sample_mean_std", "pooled_mean", "pooled_std", "nan", "posinf", "neginf", "finite_documents", "sample_mean_m2", "sample_mean_sample_std", "sample_mean_sem")
 _EVENT = "i long, event string, module string, forward long, call long, phase string, depth long, args string, samples array<struct<task_name:string,doc_id:long,choice_idx:int>>"
 
 
@@ -147,11 +151,22 @@ def module_stats(spark: SparkSession, args: argparse.Namespace) -> None:
         out = out.where(F.col("doc_id") == ref.doc_id)
         if ref.task_name:
             out = out.where(F.col("task_name") == ref.task_name)
+    # Of a session's own tables these columns are shown, of others all.
+    wanted = [*_STATISTICS, *(_OF_DOCUMENT if args.doc else _OF_DATASET)]
+    if {"module", "io"} <= set(out.columns):
+        out = out.select(*(c for c in wanted if c in out.columns))
     out.show(args.limit, truncate=False)
 
 
 def debug(spark: SparkSession, args: argparse.Namespace) -> None:
-    events = source.read_trace(spark, args.path, _EVENT).withColumn("session", F.lit(0))
+    path = args.path
+    if not path.endswith(".jsonl"):
+        traces = source.list_traces(spark, path)
+        if not traces:
+            raise FileNotFoundError(f"no trace in {path}")
+        print("traces: " + ", ".join(traces))
+        path = traces[0]
+    events = source.read_trace(spark, path, _EVENT).withColumn("session", F.lit(0))
     if args.doc:
         ref = spark.range(1).select(task_doc(F.lit(args.doc)).alias("r")).first().r
         wanted = trace.forwards_of(events.where("samples IS NOT NULL"), "samples", ref.doc_id, ref.task_name).select("forward").distinct()

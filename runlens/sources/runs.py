@@ -83,6 +83,24 @@ def read_sample_metrics(spark: SparkSession, run: str, metric: str, name: str =
     return out
 
 
+def trace_path(run: str, name: str = "trace") -> str:
+    """Where a run keeps the trace of a pass."""
+    return f"{run.rstrip('/')}/debug/{name}.jsonl"
+
+
+def list_traces(spark: SparkSession, run: str) -> list[str]:
+    """The trace files of a run, that of the scoring pass first."""
+    return sorted(_listed(spark, trace_path(run, "*")), key=lambda p: (not p.endswith("/trace.jsonl"), p))
+
+
+def graded_documents(spark: SparkSession, run: str) -> DataFrame:
+    """(task_name, doc_id) of every document that a run graded: by its table of documents or, where it has no rows, its samples."""
+    docs = read_table(spark, run, "docs").select("task_name", "doc_id")
+    if not docs.take(1):
+        docs = read_samples(spark, run).select(F.try_variant_get("record", "$.task_name", "string").alias("task_name"), F.try_variant_get("record", "$.doc_id", "long").alias("doc_id"))
+    return docs.distinct()
+
+
 def read_trace(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Trace events; each enter carries the arguments of the last numeric record of its call."""
     events = spark.read.schema(schema).json(path)

@@ -14,6 +14,7 @@ from runlens.operators import checks
 from runlens.operators.checks import REQUIRED_MANIFEST
 from runlens.plans import reports
 from runlens.schema import TABLES
+from runlens.functions import metrics
 from runlens.sources import judges
 from runlens.sources import runs as source
 from runlens.streaming import ingest
@@ -271,3 +272,33 @@ def test_statistics_of_modules(spark):
     obs = spark.createDataFrame([("t", "m", "out", "0", "f32", "prefill", "bsh", 1, f, 2, 2, 0, 0, 0, 1.5, 0.5, 1.0, 2.0) for f in (1, 2)], "task_name string, module string, io string, tensor_path string, dtype string, stage string, layout string, doc_id long, forward long, count long, finite_count long, nan long, posinf long, neginf long, mean double, m2 double, min double, max double")
     out = reports.module_statistics(obs, spark.createDataFrame([(1, "complete"), (2, "incomplete")], "forward long, status string"))
     assert (out["samples"].first().observations, out["dataset"].first().documents) == (1, 1)
+
+
+def test_traces_and_documents_of_a_run(spark, tmp_path):
+    run = f"file://{tmp_path}/run"
+    source.write_samples(spark.createDataFrame([("t", 1), ("t", 1), ("u", 2)], "task_name string, doc_id long"), run)
+    assert sorted(tuple(r) for r in source.graded_documents(spark, run).collect()) == [("t", 1), ("u", 2)]
+    source.append(spark.createDataFrame([("t", 5, 0)], "task_name string, doc_id long, choice_idx int"), run, "docs")
+    assert [tuple(r) for r in source.graded_documents(spark, run).collect()] == [("t", 5)]
+    assert source.list_traces(spark, run) == []
+    (tmp_path / "run/debug").mkdir()
+    for name in ("collection", "trace", "zzz"):
+        (tmp_path / f"run/debug/{name}.jsonl").write_text("{}\n")
+    assert [p.rsplit("/", 1)[1] for p in source.list_traces(spark, run)] == ["trace.jsonl", "collection.jsonl", "zzz.jsonl"]
+    assert source.trace_path(run) == f"{run}/debug/trace.jsonl"
+
+
+def test_user_metrics_and_filters(spark):
+    df = spark.createDataFrame([(1, ["a 1", "b 2", "c 1"], "1"), (1, ["none", " X "], "x"), (2, [], "1"), (2, None, "1")], "k int, r array<string>, t string")
+    chain = lambda *steps: metrics.filtered(F.col("r"), [{"function": s} if isinstance(s, str) else s for s in steps])
+    got = df.select(chain({"function": "regex", "pattern": "([0-9])"}, "majority_vote").alias("a"), chain("take_first", "strip", "lowercase").alias("b"), chain({"function": "take_first_k", "k": 2}, {"function": "map", "mapping": {"a 1": "A"}, "default": "?"}).alias("c"), chain({"function": "function", "apply": lambda s: s.map(lambda x: None if x is None else list(x)[:1])}).alias("d")).collect()
+    assert [r.a for r in got] == [["1"], ["[invalid]"], [], []] and [r.b for r in got] == [["a 1"], ["none"], [], None]
+    assert [r.c for r in got] == [["A", "?"], ["?", "?"], [], None] and [r.d for r in got] == [["a 1"], ["none"], [], None]
+    with pytest.raises(ValueError, match="no such filter"):
+        chain("other")
+    two = [metrics.Metric("same", lambda r, t: r == t), metrics.Metric("spread", lambda r, t: r.str.len().astype(float), lambda v: v.max() - v.min())]
+    rows = spark.createDataFrame([(None, "1", "1"), (None, "22", "1"), (2, "1", "1")], "k int, r string, t string")
+    out = {r.k: (r.same, r.spread) for r in metrics.aggregated(metrics.scored(rows, two, "r", "t"), ["k"], two).collect()}
+    assert out == {None: (0.5, 1.0), 2: (1.0, 0.0)}
+    with pytest.raises(ValueError, match="no aggregation"):
+        metrics.Metric("m", len, "other")
