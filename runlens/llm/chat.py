@@ -3,8 +3,9 @@
 A dialogue is rendered once per participant: that speaker's turns as the
 assistant's, all others as named users', system turns as they are. Loss masks
 cover what the assistant says and its end mark. Long dialogues are rendered in
-parts of PART_TURNS turn numbers, so that no dialogue, however long, is ever
-gathered in one place; the parts in order make up the whole.
+parts of PART_TURNS turn numbers, so that one whose turns are numbered is never
+gathered in one place; the parts in order make up the whole. Turns without a
+number, or with the same one, are of one part, however many.
 """
 
 from __future__ import annotations
