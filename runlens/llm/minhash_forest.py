@@ -251,20 +251,24 @@ def _search(members: DataFrame, regions: DataFrame, nodes: DataFrame) -> DataFra
                 left, right = at[own[at] == i[start]], at[own[at] == j[start]]
             if not len(left) or not len(right):
                 continue
-            size = min(len(sketches[k]) for k in at)
-            flags = {}
-            for k in at:
-                x = np.frombuffer(sketches[k], np.uint8)
-                while len(x) > size:
-                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                flags[k] = x
-            theirs = np.stack([flags[k] for k in right])
+            # Sets that may link have sketches of one length, or of two neighbouring ones, where the longer is folded.
+            length = np.array([len(sketches[k]) for k in right])
+            theirs = {}
+            for size in np.unique(length):
+                own_size = right[length == size]
+                flags = np.frombuffer(b"".join(sketches[k] for k in own_size), np.uint8).reshape(len(own_size), size)
+                theirs[int(size)] = (own_size, flags, flags[:, : size // 2] ^ flags[:, size // 2 :])
             for k in left:
-                fits = np.flatnonzero((100 * np.minimum(n[right], n[k]) >= SIMILAR * np.maximum(n[right], n[k])) & (root[right] != root[k]))
-                if len(fits):
-                    apart = np.bitwise_count(theirs[fits] ^ flags[k]).sum(axis=1, dtype=np.int64)
-                    y = right[fits[(100 + SIMILAR) * apart <= (100 - SIMILAR) * (n[right[fits]] + n[k])]]
-                    found.append(np.stack([np.full(len(y), k), y]))
+                mine = np.frombuffer(sketches[k], np.uint8)
+                for size, (own_size, flags, folded) in theirs.items():
+                    if size not in (len(mine) // 2, len(mine), 2 * len(mine)):
+                        continue
+                    fits = np.flatnonzero((100 * np.minimum(n[own_size], n[k]) >= SIMILAR * np.maximum(n[own_size], n[k])) & (root[own_size] != root[k]))
+                    if len(fits):
+                        x, against = (mine, flags) if size == len(mine) else (mine, folded) if size > len(mine) else (mine[:size] ^ mine[size:], flags)
+                        apart = np.bitwise_count(against[fits] ^ x).sum(axis=1, dtype=np.int64)
+                        y = own_size[fits[(100 + SIMILAR) * apart <= (100 - SIMILAR) * (n[own_size[fits]] + n[k])]]
+                        found.append(np.stack([np.full(len(y), k), y]))
         x, y = np.concatenate(found, axis=1)
         # Two sets may share regions of several trees.
         pairs = np.unique(np.stack([np.minimum(node[x], node[y]), np.maximum(node[x], node[y])]), axis=1)
@@ -273,18 +277,6 @@ def _search(members: DataFrame, regions: DataFrame, nodes: DataFrame) -> DataFra
     return rows.groupBy("deal").applyInArrow(compare, "a long, b long").distinct()
 
 
-def _labels(links: DataFrame) -> DataFrame:
-    """(node, root) of all nodes with links: those of one root are connected. It may take several roots for a component.
-
-    The smallest label of a node and its neighbours, twice, which is enough
-    for the copies around a hub.
-    """
-    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    first = stored(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("m")), "labels")
-    around = both.join(first.withColumnRenamed("node", "b"), "b").select("a", "m").unionByName(first.select(F.col("node").alias("a"), "m"))
-    return stored(around.groupBy(F.col("a").alias("node")).agg(F.min("m").alias("root")), "labels")
-
-
 def _apart(shared: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pairs of different components that share a region, searched at the depth at which the region is no longer crowded."""
     left = stored(shared.join(roots.withColumnRenamed("node", "key"), F.col("node") == F.col("key"), "left").select("tree", "sig", "node", "n", F.coalesce("root", "node").alias("root")), "placed")
@@ -313,12 +305,16 @@ def _components(docs: DataFrame) -> DataFrame:
     shared = stored(_orders(nodes), "orders")
     links = _confirmed(docs, _partners(shared), nodes)
     # Rows at the ends of a partition may share no region at all; they do no harm.
-    links = links.unionByName(_confirmed(docs, _apart(shared, _labels(links), nodes), nodes))
     roots = stored(components(links), "roots")
+    more = _confirmed(docs, _apart(shared, roots, nodes), nodes)
+    # What is found now joins whole components: only their roots are looked at again.
+    by = [roots.select(F.col("node").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab"]
+    more = more.join(by[0], "a", "left").join(by[1], "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    joined = stored(components(more), "joined").select(F.col("node").alias("root"), F.col("root").alias("top"))
 
-    last = sets.select("k1", "k2", "doc_id", "node").join(roots, "node", "left")
+    last = sets.select("k1", "k2", "doc_id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(joined, "root", "left")
     # Every set is of the component of its root, or is one by itself; stored, so that joins may be split.
-    placed = stored(last.select("k1", "k2", "doc_id", F.coalesce("root", "node").alias("root")), "placed")
+    placed = stored(last.select("k1", "k2", "doc_id", F.coalesce("top", "root").alias("root")), "placed")
     heads = stored(placed.groupBy("root").agg(F.min("doc_id").alias("component_id")), "heads")
     named = stored(placed.join(heads, "root").select("k1", "k2", "component_id"), "named")
     out = rows.select("doc_id", "text_hash", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
