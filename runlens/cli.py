@@ -89,14 +89,17 @@ def report(spark: SparkSession, args: argparse.Namespace) -> None:
             series = own.select(F.col("path").alias("run"), "series", F.col("model_id").alias("model"), "num_fewshot", "language", F.get("tasks", F.lit(0)).alias("declared"))
             own_mapping = mapping.join(own.select(F.col("path").alias("run")), "run", "left_semi") if mapping is not None else None
             table, aligned, status = reports.pairing_report(held, series, _fields(spark, own) if mapping is None else None, own_mapping, args.pair_on, args.pair_strict, digest, g.label)
-            table = table.persist()
+            # What several tables below are made of is made once.
+            table, status = table.persist(), status.persist()
+            aligned = pairing.alignment(status)
             pairs.append(table)
             told.append({"group": g.label, "alignment": aligned.first().asDict(), "coverage": [r.asDict(True) for r in attach.coverage(table).collect()], "pair_on": args.pair_on, "strict": args.pair_strict, "mapping_sha256": digest})
             keyed = held.join(table.where("pairing_status = 'paired'").select(F.col("run_path").alias("run"), "task_name", "doc_id", F.col("canonical_doc_id").alias("key")), ["run", "task_name", "doc_id"])
-            keys = attach.comparable_keys(table, status, args.assume_aligned).withColumnRenamed("pair_key", "key")
+            keys = attach.comparable_keys(table, status, args.assume_aligned).withColumnRenamed("pair_key", "key").persist()
         else:
             keyed = held.withColumn("key", task_doc_key)
-            keys = pairing.same_prompts(_hashes(spark, own), "key", "run", "prompt_hash")
+            keys = pairing.same_prompts(_hashes(spark, own), "key", "run", "prompt_hash").persist()
+        keyed = keyed.persist()
         depth = reports.settled(tables["signals"].join(F.broadcast(own.select(F.col("path").alias("run"))), "run", "left_semi"), held, own.select(F.col("path").alias("run"), "n_blocks"))
         depth = depth.join(keyed.select("run", "task_name", "doc_id", "key").distinct(), ["run", "task_name", "doc_id"]).select("run", "key", "settle_depth")
         facts = own.select(F.col("path").alias("run"), "series", F.col("model_id").alias("model"), "language", "n_blocks", "tasks")
