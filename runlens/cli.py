@@ -59,7 +59,13 @@ def report(spark: SparkSession, args: argparse.Namespace) -> None:
     fit, groups, excluded = reports.partition_runs(found, SCHEMA_VERSION, by)
     for r in excluded.select("path", "reason").orderBy("path").collect():
         print(f"left out: {r.path}: {r.reason}")
-    fit = _series(fit.join(groups.select("label", "mixed_vocab"), "label"), datasets).persist()
+
+    def put(df: DataFrame, name: str) -> DataFrame:
+        """What several tables below are made of is written once and read again, so that plans stay short."""
+        df.write.mode("overwrite").parquet(f"{args.output}/_work/{name}")
+        return spark.read.parquet(f"{args.output}/_work/{name}")
+
+    fit, groups = put(_series(fit.join(groups.select("label", "mixed_vocab"), "label"), datasets), "runs"), put(groups, "groups")
     # A report compares a handful of runs: what is asked of each below is a driver's list of paths.
     paths = [r.path for r in fit.select("path").orderBy("path").collect()]
     if not paths:
@@ -89,19 +95,19 @@ def report(spark: SparkSession, args: argparse.Namespace) -> None:
             series = own.select(F.col("path").alias("run"), "series", F.col("model_id").alias("model"), "num_fewshot", "language", F.get("tasks", F.lit(0)).alias("declared"))
             own_mapping = mapping.join(own.select(F.col("path").alias("run")), "run", "left_semi") if mapping is not None else None
             table, aligned, status = reports.pairing_report(held, series, _fields(spark, own) if mapping is None else None, own_mapping, args.pair_on, args.pair_strict, digest, g.label)
-            # What several tables below are made of is made once.
-            table, status = table.persist(), status.persist()
+            table, status = put(table, f"{g.label}/pairing"), put(status, f"{g.label}/answers")
             aligned = pairing.alignment(status)
             pairs.append(table)
             told.append({"group": g.label, "alignment": aligned.first().asDict(), "coverage": [r.asDict(True) for r in attach.coverage(table).collect()], "pair_on": args.pair_on, "strict": args.pair_strict, "mapping_sha256": digest})
             keyed = held.join(table.where("pairing_status = 'paired'").select(F.col("run_path").alias("run"), "task_name", "doc_id", F.col("canonical_doc_id").alias("key")), ["run", "task_name", "doc_id"])
-            keys = attach.comparable_keys(table, status, args.assume_aligned).withColumnRenamed("pair_key", "key").persist()
+            keys = attach.comparable_keys(table, status, args.assume_aligned).withColumnRenamed("pair_key", "key")
         else:
             keyed = held.withColumn("key", task_doc_key)
-            keys = pairing.same_prompts(_hashes(spark, own), "key", "run", "prompt_hash").persist()
-        keyed = keyed.persist()
+            keys = pairing.same_prompts(_hashes(spark, own), "key", "run", "prompt_hash")
+        keyed, keys = put(keyed, f"{g.label}/documents"), put(keys, f"{g.label}/keys")
         depth = reports.settled(tables["signals"].join(F.broadcast(own.select(F.col("path").alias("run"))), "run", "left_semi"), held, own.select(F.col("path").alias("run"), "n_blocks"))
         depth = depth.join(keyed.select("run", "task_name", "doc_id", "key").distinct(), ["run", "task_name", "doc_id"]).select("run", "key", "settle_depth")
+        depth = put(depth, f"{g.label}/depths")
         facts = own.select(F.col("path").alias("run"), "series", F.col("model_id").alias("model"), "language", "n_blocks", "tasks")
         axis = "language" if datasets else "model"
         examples.append(reports.examples_report(keyed, keys, reference, depth, args.examples_per_category, facts, axis).withColumn("group", F.lit(g.label)))
@@ -117,6 +123,7 @@ def report(spark: SparkSession, args: argparse.Namespace) -> None:
     source.write_json(spark, f"{args.output}/examples.json", {"groups": drawn})
     if told:
         source.write_json(spark, f"{args.output}/pairing.json", {"pairing_schema": 1, "groups": told})
+    source.remove(spark, f"{args.output}/_work")
 
 
 def _per_run(spark: SparkSession, own: DataFrame, read) -> DataFrame:

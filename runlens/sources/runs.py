@@ -271,6 +271,12 @@ def _plain(value):
     return value
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder and what is in it, if it is there."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_json(spark: SparkSession, path: str, document: dict) -> None:
     """A small JSON file in one piece: it is written aside and takes the old one's place in one step."""
     text = json.dumps(_plain(document), ensure_ascii=False, default=str)

@@ -118,7 +118,9 @@ def test_report_pairs_by_position(spark, tmp_path):
     assert {(r.pairing_status, r.answer_status): r["count"] for r in table.groupBy("pairing_status", "answer_status").count().collect()} == {("paired", "agree"): 60, ("paired", "no_gold_evidence"): 20}
     assert {r.canonical_doc_id for r in table.collect()} == {f"_{part}#{d}" for part in "ab" for d in range(20)} and {r.pairing_source for r in table.collect()} == {"position"}
     examples = spark.read.parquet(f"file://{tmp_path}/out/examples").collect()
-    assert {r.series for r in examples if r.is_reference} == {"en"} and {r.settle_depth for r in examples} == {0.25}
+    assert {r.series for r in examples if r.is_reference} == {"en"}
+    # Where a run marks targets, a document without one has no row that counts.
+    assert all(r.settle_depth == (None if r.series == "ko" and r.doc_id >= 15 else 0.25) for r in examples)
     assert {(r.axis, r.model, r.n_blocks) for r in examples} == {("language", "m", 4)} and {r.run_task for r in examples} <= {f"t_{x}_{y}" for x in ("en", "ko") for y in "ab"}
     drawn = json.loads((tmp_path / "out/examples.json").read_text())["groups"][0]
     assert drawn["pool_sizes"] == {"all_correct": 20, "all_wrong": 20} and drawn["taken"] == {"all_correct": 3, "all_wrong": 3} and drawn["eligible"] == 40 and drawn["datasets"] == ["en=t_en", "ko=t_ko"]
