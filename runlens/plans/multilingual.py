@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from runlens.operators import pairing, runs
+from runlens.operators import runs
 from runlens.plans import attach, reports
 from runlens.plans.catalogue import _LAYERS, _layers, _rounded
 from runlens.plans.registry import query
