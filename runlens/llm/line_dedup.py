@@ -54,26 +54,31 @@ def _lines(docs: DataFrame) -> DataFrame:
 def recurring(docs: DataFrame) -> DataFrame:
     """(doc_id, text_hash, line) of every line whose template recurs."""
     lines = _lines(docs)
-    busy = lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines")).where(F.col("n_lines") >= MIN_DOCS)
-    # At most BUCKETS rows of one number; a leaf that shares its bucket with a busy one is only looked at in vain.
-    buckets = stored(busy.select(F.pmod("leaf", F.lit(BUCKETS)).alias("bucket")).distinct(), "leaves")
+    busy = stored(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n_lines")).where(F.col("n_lines") >= MIN_DOCS).select("leaf"), "leaves")
+    # At most BUCKETS rows of one number; a leaf that shares its bucket with a busy one is told from it below.
+    buckets = busy.select(F.pmod("leaf", F.lit(BUCKETS)).alias("bucket")).distinct()
     near = lines.withColumn("bucket", F.pmod("leaf", F.lit(BUCKETS))).join(F.broadcast(buckets), "bucket", "left_semi")
     masked = F.array_join("tokens", " ")
-    near = stored(near.select("doc_id", "text_hash", "line", masked.alias("masked")).select("*", F.xxhash64("masked").alias("l1"), F.xxhash64(F.lit(2), "masked").alias("l2")), "lines")
+    near = stored(near.select("doc_id", "text_hash", "line", "leaf", masked.alias("masked")).select("*", F.xxhash64("masked").alias("l1"), F.xxhash64(F.lit(2), "masked").alias("l2")), "lines")
 
-    # Each distinct line once, with how often it occurs. A token at its place in its leaf is two numbers.
-    each = stored(near.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("times"), F.any_value("masked").alias("masked")).withColumn("number", F.monotonically_increasing_id()), "distinct")
+    # Each distinct line of a busy leaf once, with how often it occurs. A token at its place in its leaf is two numbers.
+    # Leaves are looked up by numbers alone: buckets in common grow with the square of the input, and so would their tokens.
+    held_busy = near.select("l1", "l2", "leaf").distinct().join(busy, "leaf", "left_semi").select("l1", "l2")
+    each = near.groupBy("l1", "l2").agg(F.count(F.lit(1)).alias("times"), F.any_value("masked").alias("masked")).join(held_busy, ["l1", "l2"], "left_semi")
+    each = stored(each.withColumn("number", F.monotonically_increasing_id()), "distinct")
     each = each.select("number", "l1", "l2", "times", F.split("masked", " ").alias("tokens")).select("*", *_leaf(), F.size("tokens").alias("n"))
     held = F.transform("tokens", lambda t, i: F.when(t != WILD, F.struct(F.xxhash64("leaf", i, t).alias("h1"), F.xxhash64(t, "leaf2", i).alias("h2"))))
-    each = each.select("number", "l1", "l2", "times", "leaf", "leaf2", "n", F.array_compact(held).alias("words"))
+    words_of = F.size(F.filter("tokens", lambda t: t != WILD))
+    each = each.select("number", "l1", "l2", "times", "leaf", "leaf2", "n", words_of.alias("n_words"), F.array_compact(held).alias("words"))
     word = each.select("number", "times", F.explode_outer("words").alias("word")).select("number", "times", "word.*").where("h1 IS NOT NULL")
     often = stored(word.groupBy("h1", "h2").agg(F.sum("times").alias("n_lines")).where(F.col("n_lines") >= MIN_DOCS).select("h1", "h2"), "constants")
     # All tokens of a line that occurs often enough itself are constant; those of the others are looked up.
     rare = word.where(F.col("times") < MIN_DOCS).select("number", "h1", "h2").join(often, ["h1", "h2"]).groupBy("number").agg(F.collect_list(F.struct("h1", "h2")).alias("kept"))
-    whole = each.where(F.col("times") >= MIN_DOCS).select("l1", "l2", "leaf", "leaf2", "n", F.col("words").alias("kept"))
-    kept = whole.unionByName(each.select("number", "l1", "l2", "leaf", "leaf2", "n").join(rare, "number").drop("number"))
+    # Their words are counted without their hashes: a condition on these would split the line anew for every token.
+    whole = each.where((F.col("times") >= MIN_DOCS) & (F.col("n_words") >= CONSTANT * F.col("n"))).select("l1", "l2", "leaf", "leaf2", F.col("words").alias("kept"))
+    rare = each.select("number", "l1", "l2", "leaf", "leaf2", "n").join(rare, "number").where(F.size("kept") >= CONSTANT * F.col("n"))
     # The hashes tell the places too, so what is constant, in any fixed order, is the template.
-    kept = kept.where(F.size("kept") >= CONSTANT * F.col("n")).withColumn("kept", F.array_sort("kept")).select("l1", "l2", F.xxhash64("leaf", "kept").alias("t1"), F.xxhash64("kept", "leaf2").alias("t2"))
+    kept = whole.unionByName(rare.select("l1", "l2", "leaf", "leaf2", "kept")).withColumn("kept", F.array_sort("kept")).select("l1", "l2", F.xxhash64("leaf", "kept").alias("t1"), F.xxhash64("kept", "leaf2").alias("t2"))
     line = stored(near.select("doc_id", "text_hash", "line", "l1", "l2").join(stored(kept, "kept"), ["l1", "l2"]).select("doc_id", "text_hash", "line", "t1", "t2"), "templates")
     many = line.select("t1", "t2", "doc_id", "text_hash").distinct().groupBy("t1", "t2").agg(F.count(F.lit(1)).alias("n_docs")).where(F.col("n_docs") >= MIN_DOCS)
     return line.join(stored(many.select("t1", "t2"), "recurring"), ["t1", "t2"]).select("doc_id", "text_hash", "line")

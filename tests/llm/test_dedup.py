@@ -182,3 +182,38 @@ def test_line_dedup_looks_at_all_of_a_long_line(spark):
     rows += [(100 + i, head) for i in range(8)]
     out = {r.doc_id: r.n_dropped for r in line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(out[i] == 0 and out[100 + i] == 1 for i in range(8))
+
+
+def test_line_dedup_takes_apart_lines_of_busy_leaves_only(spark, monkeypatch):
+    """Leaves that share a bucket with a busy one change neither the result nor which lines are split into tokens."""
+    rows = [(i, f"one two three four {'abcdefghij'[i]} six seven eight\n{'abcdefghij'[i]} own words that nobody else has") for i in range(10)]
+    docs, kept, write = spark.createDataFrame(rows, "doc_id long, text string"), {}, line_dedup.stored
+
+    def counted(df, name):
+        out = write(df, name)
+        kept[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    results = []
+    for buckets in (line_dedup.BUCKETS, 1):
+        monkeypatch.setattr(line_dedup, "BUCKETS", buckets)
+        results.append(sorted((r.doc_id, r.n_dropped, r.text) for r in line_dedup.line_dedup(docs).collect()))
+        assert kept["distinct"] == 10
+    assert kept["lines"] == 20
+    assert results[0] == results[1] == [(i, 1, f"{'abcdefghij'[i]} own words that nobody else has") for i in range(10)]
+
+
+def test_line_dedup_splits_a_line_once_whatever_its_length(spark, monkeypatch, capsys):
+    """No expression over a line's tokens splits the line again for each of them."""
+    write = line_dedup.stored
+
+    def shown(df, name):
+        if name == "kept":
+            df.explain(True)
+        return write(df, name)
+
+    monkeypatch.setattr(line_dedup, "stored", shown)
+    line_dedup.line_dedup(spark.createDataFrame([(i, "one two three four five six") for i in range(6)], "doc_id long, text string")).collect()
+    plans = capsys.readouterr().out
+    assert "transform(tokens" in plans and "transform(split(" not in plans
