@@ -5,21 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from runlens.sources.scratch import new_folder
+
 
 def ranked(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """``df`` with its rank from 0 in a total order, without bringing all rows into one task.
 
-    Rows are sorted by range; a partition's first rank is the number of rows
-    before it, which comes from one count a partition. ``df`` must give the
-    same rows each time it is read.
+    Rows are sorted by range and written with their partition and their place
+    in it to the shared folder; a partition's first rank is the number of rows
+    before it, which comes from one count a partition. Ranges are drawn anew,
+    and partitions put together by their size, each time a plan runs, so both
+    sides must read what one run gave.
     """
-    held = df.select("*", *(c.alias(f"_o{i}") for i, c in enumerate(order)))
     keys = [f"_o{i}" for i in range(len(order))]
-    held = held.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    held = df.select("*", *(c.alias(k) for c, k in zip(order, keys, strict=True)))
+    held = held.repartitionByRange(*keys).sortWithinPartitions(*keys).drop(*keys)
+    held = held.withColumn("_part", F.spark_partition_id()).withColumn("_nth", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    path = new_folder(df.sparkSession, "ranked")
+    held.write.option("compression", "zstd").parquet(path)
+    held = df.sparkSession.read.schema(held.schema).parquet(path)
     # One row for each partition.
     counts = held.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = counts.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))
-    return held.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before", *keys)
+    return held.join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_nth")).drop("_part", "_nth", "_before")
 
 
 def batched(requests: DataFrame, index: str, context: str, continuation: str, share: bool = True) -> DataFrame:

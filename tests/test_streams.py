@@ -112,6 +112,14 @@ def test_ranks_over_many_partitions(spark):
     assert [r.row for r in got] == list(range(1000)) and [(r.y, r.x) for r in got] == sorted(((r.y, r.x) for r in got), key=lambda t: (-t[0], t[1]))
 
 
+def test_ranks_when_the_counts_take_fewer_partitions_than_the_rows(spark):
+    # The counts need no payload: alone, the keys fit one partition, the rows don't.
+    payload = F.concat(*(F.sha2(F.concat_ws("|", F.lit(k), "id"), 512) for k in range(8)))
+    df = spark.range(20000).select((F.col("id") * 37 % 20000).alias("x"), payload.alias("payload")).repartition(7)
+    got = requests.ranked(df, [F.col("x")], "row").select("x", "row", F.md5("payload")).collect()
+    assert sorted((r.x, r.row) for r in got) == [(x, x) for x in range(20000)]
+
+
 def test_shared_forwards_read_the_trailing_part(spark):
     rows = [(0, [1, 2], [3, 4]), (1, [1, 2, 3], [9]), (2, [1], [2, 3, 7]), (3, [5], [6])]
     df = spark.createDataFrame(rows, "i long, ctx array<int>, cont array<int>")
