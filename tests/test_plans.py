@@ -1,11 +1,15 @@
 import json
+import random
 
+import duckdb
 import pytest
+from oracle import rows_of
 from pyspark.sql import functions as F
 
 from runlens import cli
 from runlens.operators.checks import REQUIRED_MANIFEST
 from runlens.plans import attach
+from runlens.plans.queries import ORACLE_SQL, QUERIES
 from runlens.sources import runs as source
 
 
@@ -124,3 +128,21 @@ def test_report_pairs_by_position(spark, tmp_path):
     assert {(r.axis, r.model, r.n_blocks) for r in examples} == {("language", "m", 4)} and {r.run_task for r in examples} <= {f"t_{x}_{y}" for x in ("en", "ko") for y in "ab"}
     drawn = json.loads((tmp_path / "out/examples.json").read_text())["groups"][0]
     assert drawn["pool_sizes"] == {"all_correct": 20, "all_wrong": 20} and drawn["taken"] == {"all_correct": 3, "all_wrong": 3} and drawn["eligible"] == 40 and drawn["datasets"] == ["en=t_en", "ko=t_ko"]
+
+
+@pytest.mark.parametrize("name", ["agreement_buckets"])
+def test_means_at_the_threshold_are_summed_in_the_order_of_the_rows(spark, tmp_path, name):
+    # Every mean is 0.05 but for rounding, and the rows of each document lie in several files.
+    r = random.Random(3)
+    rows = [(doc, float(r.randrange(1, 51)), x / 100, run) for doc in range(200) for run in "ANR" for _ in range(4) for k in [r.randrange(11)] for x in (k, 10 - k)]
+    r.shuffle(rows)
+    c = duckdb.connect()
+    c.sql("SET threads = 1")
+    c.sql("CREATE TABLE t (nth BIGINT, l_partkey BIGINT, l_quantity DOUBLE, l_discount DOUBLE, l_returnflag VARCHAR)")
+    c.executemany("INSERT INTO t VALUES (?, ?, ?, ?, ?)", [(n, *row) for n, row in enumerate(rows)])
+    (tmp_path / "lineitem.parquet").mkdir()
+    for part in range(6):
+        c.sql(f"COPY (SELECT * EXCLUDE nth FROM t WHERE nth % 6 = {part} ORDER BY nth) TO '{tmp_path}/lineitem.parquet/part-{part}.parquet'")
+    c.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    df, found = QUERIES[name](spark, str(tmp_path)), c.sql(ORACLE_SQL[name])
+    assert rows_of(df.columns, df.collect()) == rows_of(found.columns, found.fetchall())
