@@ -130,7 +130,7 @@ def test_report_pairs_by_position(spark, tmp_path):
     assert drawn["pool_sizes"] == {"all_correct": 20, "all_wrong": 20} and drawn["taken"] == {"all_correct": 3, "all_wrong": 3} and drawn["eligible"] == 40 and drawn["datasets"] == ["en=t_en", "ko=t_ko"]
 
 
-@pytest.mark.parametrize("name", ["agreement_buckets"])
+@pytest.mark.parametrize("name", ["agreement_buckets", "examples_report"])
 def test_means_at_the_threshold_are_summed_in_the_order_of_the_rows(spark, tmp_path, name):
     # Every mean is 0.05 but for rounding, and the rows of each document lie in several files.
     r = random.Random(3)
