@@ -12,79 +12,94 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 _OUT = "enter long, exit long, depth long, status string, deepest boolean, reason string"
+_CALL = Row("session", *(c.split()[0] for c in _OUT.split(", ")))
 _RESTART, _IDLE = "a new batch was declared", "the session ended"
 
 
 class _Stack(StatefulProcessor):
-    """Events that wait, open frames, and the time of the last event."""
+    """Events that wait, open frames, and the time of the last event with what else is held and the timer that is set.
+
+    Each is one value: a session costs a few requests to its state, however
+    many events it has, and none for what is not held or does not change.
+    """
 
     def __init__(self, restart: str | None, idle_ms: int):
         self.restart, self.idle_ms = restart, idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "i long, ms long, event string")
-        self.stack = handle.getListState("stack", "i long")
-        self.last = handle.getValueState("last", "ms long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        new = [(int(r.i), int(r.ms), r.event) for frame in rows for r in frame.itertuples(index=False)]
-        self.waiting.appendList(new)
-        yield self._frame(key, self._take(timerValues.getCurrentWatermarkInMs()))
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = timerValues.getCurrentWatermarkInMs()
-        out = self._take(now)
-        if self.last.exists() and not self.waiting.exists() and self.last.get()[0] + self.idle_ms <= now:
-            out += self._unwound([i for (i,) in self.stack.get()], _IDLE)
-            for state in (self.waiting, self.stack, self.last):
-                state.clear()
-            for at in list(self.handle.listTimers()):
-                self.handle.deleteTimer(at)
-        yield self._frame(key, out)
-
-    def _take(self, watermark: int) -> list[tuple]:
-        """What the events that the watermark has passed do to the stack; a timer is set for those that wait and for the session's end."""
-        held = list(self.waiting.get()) if self.waiting.exists() else []
-        ready, rest = sorted(h for h in held if h[1] <= watermark), [h for h in held if h[1] > watermark]
-        if not ready and not rest:
+        self.waiting = handle.getValueState("waiting", "i array<long>, ms array<long>, event array<string>")
+        self.stack = handle.getValueState("stack", "i array<long>")
+        self.last = handle.getValueState("last", "ms long, timer long, waits boolean, open boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        new, latest = [], None
+        for _, _, i, ms, event in rows:
+            latest = ms if latest is None else max(latest, ms)
+            # Other events tell only that the session goes on.
+            if event in ("enter", "exit") or event is not None and event == self.restart:
+                new.append((i, ms, event))
+        yield from self._take(key[0], new, latest, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802, N803
+        yield from self._take(key[0], [], None, timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+
+    def _take(self, session: int, new: list[tuple], latest: int | None, watermark: int, fired: int | None = None) -> list[Row]:
+        """What the events that the watermark has passed do to the stack; one timer is set, for those that wait or for the session's end."""
+        ms, timer, waits, is_open = self.last.get() or (None, None, False, False)
+        if ms is None and latest is None:
             return []
-        stack, out = [i for (i,) in self.stack.get()] if self.stack.exists() else [], []
+        latest = max(t for t in (ms, latest) if t is not None)
+        held = (list(zip(*self.waiting.get(), strict=True)) if waits else []) + new
+        ready, rest = sorted(h for h in held if h[1] <= watermark), [h for h in held if h[1] > watermark]
+        ends = fired is not None and not rest and latest + self.idle_ms <= watermark
+        before = list(self.stack.get()[0]) if is_open and (ready or ends) else []
+        stack, out = list(before), []
         for i, _, event in ready:
             if event == "enter":
                 stack.append(i)
             elif event == "exit":
                 depth = len(stack)
                 out.append((stack.pop() if stack else None, i, depth, "closed" if depth else "orphan", None, None))
-            elif event == self.restart:
+            else:
                 out += self._unwound(stack, _RESTART)
                 stack = []
+        if ends:
+            out += self._unwound(stack, _IDLE)
+            stack = []
         # An empty list is no state.
-        self.waiting.put(rest) if rest else self.waiting.clear()
-        self.stack.put([(i,) for i in stack]) if stack else self.stack.clear()
-        latest = max([h[1] for h in held] + ([self.last.get()[0]] if self.last.exists() else []))
-        self.last.update((latest,))
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        self.handle.registerTimer(min([h[1] for h in rest], default=latest + self.idle_ms))
-        return out
+        if rest and (new or ready):
+            self.waiting.update(tuple(map(list, zip(*rest, strict=True))))
+        elif waits and not rest:
+            self.waiting.clear()
+        if ready or ends:
+            if stack and stack != before:
+                self.stack.update((stack,))
+            elif before and not stack:
+                self.stack.clear()
+            is_open = bool(stack)
+        if ends:
+            self.last.clear()
+        else:
+            due = min([h[1] for h in rest], default=latest + self.idle_ms)
+            if due != timer:
+                # The timer that fired is deleted after this.
+                if timer is not None and timer != fired:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(due)
+            self.last.update((latest, due, bool(rest), is_open))
+        return [_CALL(session, *o) for o in out]
 
     @staticmethod
     def _unwound(stack: list[int], reason: str) -> list[tuple]:
         """Frames from the outermost in; the deepest is where execution stopped."""
         return [(i, None, n + 1, "unwound", n + 1 == len(stack), reason) for n, i in enumerate(stack)]
 
-    def _frame(self, key, rows: list[tuple]) -> pd.DataFrame:
-        names = [c.split()[0] for c in _OUT.split(", ")]
-        out = pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("enter", "exit", "depth")} | {c: object for c in ("deepest",)})
-        out.insert(0, "session", int(key[0]))
-        return out
-
     def close(self) -> None:
         pass
 
@@ -99,5 +114,5 @@ def open_calls(events: DataFrame, session: str, order: str, event: str, ts: str,
     """
     idle_ms = int(pd.Timedelta(idle).total_seconds() * 1000)
     held = events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).select(F.col(session).alias("session"), ts, F.col(order).alias("i"), F.unix_millis(ts).alias("ms"), F.col(event).alias("event"))
-    out = held.groupBy("session").transformWithStateInPandas(_Stack(restart, idle_ms), f"session long, {_OUT}", "append", "EventTime")
+    out = held.groupBy("session").transformWithState(_Stack(restart, idle_ms), f"session long, {_OUT}", "append", "EventTime")
     return out.withColumnRenamed("session", session)

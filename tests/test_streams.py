@@ -38,6 +38,38 @@ def test_stacks_unwind_and_their_state_ends(spark, tmp_path):
         assert {r.key.session for r in held.select("key").collect()} <= {-1}
 
 
+def test_a_session_costs_few_requests_to_its_state():
+    asked = []
+
+    class Handle:
+        """A state that counts what is asked of it."""
+
+        def __init__(self, name=None):
+            self.name, self.value = name, None
+
+        def __getattr__(self, call):
+            def ask(*args):
+                if call.startswith("get") and args:
+                    return Handle(args[0])
+                asked.append((self.name, call))
+                if call in ("put", "update"):
+                    self.value = args[0]
+                return {"exists": self.value is not None, "get": self.value, "listTimers": []}.get(call)
+
+            return ask
+
+    class Times:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)  # noqa: N815
+
+    stack = traces._Stack("restart", 1000)
+    stack.init(Handle())
+    rows = [(7, None, i, i + 1, ("enter", "view", "exit")[i % 3]) for i in range(300)]
+    assert list(stack.handleInputRows((7,), iter(rows), Times)) == []
+    assert sorted(asked, key=str) == [("last", "get"), ("last", "update"), ("waiting", "update"), (None, "registerTimer")]
+    # Events that neither open nor close a call are not kept.
+    assert len(stack.waiting.value[0]) == 200
+
+
 def test_reducers_hold_a_forward_until_it_is_whole(spark, tmp_path):
     arrays = spark.createDataFrame([(1, f, "residual", k, [float(f + k), 1.0]) for f in range(2) for k in range(3)], "doc_id long, forward int, source string, index int, array array<double>")
     headers = spark.createDataFrame([(1, f, {"residual": 3}, None) for f in range(2)], "doc_id long, forward int, n_arrays map<string,int>, target int")
